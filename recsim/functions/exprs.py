@@ -40,14 +40,23 @@ def hash_order_key(*cols, seed: int = 0) -> Column:
     return F.md5(F.concat(*parts))
 
 
+def user_digest(user, chunk: int, seed: int) -> Column:
+    """md5 of (seed, user, chunk): 32 hex digits = 32 independent random signs."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), _s(user), F.lit(f":{chunk}")))
+
+
+def digest_sign(digest, table: int) -> Column:
+    """+1 if hex digit ``table % 32`` of ``digest`` is below '8', else -1."""
+    d = F.col(digest) if isinstance(digest, str) else digest
+    return F.when(F.substring(d, table % 32 + 1, 1) < F.lit("8"), F.lit(1)).otherwise(F.lit(-1))
+
+
 def sign_bit(user, table: int, seed: int) -> Column:
     """Random +1/-1 weight of ``user`` in projection ``table``.
 
-    One md5 digest gives 32 independent hex digits; digit ``table % 32`` of the
-    digest of (seed, user, table // 32) decides the sign (digit < '8' -> +1).
+    Digit ``table % 32`` of md5(seed, user, table // 32) decides the sign.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), _s(user), F.lit(f":{table // 32}")))
-    return F.when(F.substring(digest, table % 32 + 1, 1) < F.lit("8"), F.lit(1)).otherwise(F.lit(-1))
+    return digest_sign(user_digest(user, table // 32, seed), table)
 
 
 def distance_to_cosine(distance) -> Column:

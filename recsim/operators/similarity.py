@@ -11,7 +11,8 @@ from recsim.operators.gram import gram_products, grid_for
 from recsim.operators.interactions import item_support
 
 
-def cosine_from_dots(dots: DataFrame, ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def cosine_from_dots(dots: DataFrame, ratings: DataFrame, by: Sequence[str] = (),
+                     extra: Sequence[str] = ()) -> DataFrame:
     """cos(i, j) = dot / sqrt(||i||^2 ||j||^2), norms from a grouped sum.
 
     The norm table has one row per item; AQE broadcasts it only when its
@@ -24,7 +25,7 @@ def cosine_from_dots(dots: DataFrame, ratings: DataFrame, by: Sequence[str] = ()
     nj = norms.select(*by, F.col("movieId").alias("movie_j"), F.col("norm2").alias("_nj"))
     return (
         dots.join(ni, [*by, "movie_i"]).join(nj, [*by, "movie_j"])
-        .select(*by, "movie_i", "movie_j",
+        .select(*by, "movie_i", "movie_j", *extra,
                 (F.col("dot") / F.sqrt(F.col("_ni") * F.col("_nj"))).alias("cosine_similarity"))
     )
 

@@ -2,8 +2,9 @@
 
 ``Workload`` wires the fixture tables (event ratings, hash split, part
 titles) into the operators; each public method is one registered query and
-returns a lazy DataFrame.  Float outputs are rounded last (6 digits) so the
-DuckDB oracle can compare values exactly.
+returns a DataFrame over the whole tables.  Float outputs are rounded last
+(6 digits) so the DuckDB oracle can compare values exactly; every ordering
+decision is taken on the unrounded values.
 """
 
 from __future__ import annotations
@@ -14,16 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recsim.params import Params
+from recsim.functions.exprs import distance_to_cosine
+from recsim.operators import evaluate as H
 from recsim.operators import interactions as D
+from recsim.operators import lsh as L
+from recsim.operators import predict as G
 from recsim.operators import profile as B
+from recsim.operators import serving as I
 from recsim.operators import similarity as E
 from recsim.operators import splits as C
+from recsim.operators.gram import grid_for
+from recsim.params import Params
+from recsim.plans import train_eval as P
+from recsim.sources import files as A
 from recsim.sources import testdata as src
 
-# Parameters of the registered workloads (FIXTURES.md: threshold 1.2 keeps every
-# scale non-empty; the LSH oracle key uses 1.0 with 20 tables).
+# Parameters of the registered workloads.  FIXTURES.md: threshold 1.2 keeps
+# every scale non-empty; the LSH-vs-exact key uses threshold 1.0 and 20 tables.
 DRIVER_PARAMS = Params(threshold=1.2, top_k=20)
+SUPPORT_FLOOR = 70          # supported_items key: a floor that bites at sf0.01
+LSH_TABLES = 20             # MLlib LSH key compared with the exact oracle
+LSH_THRESHOLD = 1.0
+PROJ_BANDS, PROJ_BITS = 3, 2   # relational LSH keys: 3 bands of 2 sign bits
+RECALL_BANDS = 7
+LEAVE_START, LEAVE_STOP, LEAVE_CAP = 1, 10, 500
+KFOLDS = 5
+SEARCH_QUERY = "Red"
+SEED_PAGE_N = 8             # the seed page asks for 8 items
+SEED_BASKET_ITEMS = 3       # basket = titles of the 3 most rated items
+BULK_IDS = 10               # similar_items_bulk: the 10 most rated items
+BASKET_PER_USER = 2         # bulk baskets: each user's 2 best rated titled items
+HIST_BINS = 20
+RUN_STAMP = "20250101_000000"   # stamp written by the metrics round trip
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -33,6 +56,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+def _edges(hist: DataFrame) -> DataFrame:
+    """Bin edges of 6-digit values over 20 bins have at most 8 decimals: round there,
+    so a decimal half (e.g. x.xxxxxx5) never meets a rounding step."""
+    return hist.select("bin", F.round("bin_start", 8).alias("bin_start"),
+                       F.round("bin_end", 8).alias("bin_end"), "num_values")
+
+
 class Workload:
     def __init__(self, spark: SparkSession, sf_dir: str, params: Params = DRIVER_PARAMS):
         self.spark = spark
@@ -66,19 +96,305 @@ class Workload:
 
     @cached_property
     def grid(self) -> tuple[int, int]:
-        from recsim.operators.gram import grid_for
         return grid_for(self.train_supported, self.p.user_block, self.p.item_block)
 
     @cached_property
+    def pairs(self) -> DataFrame:
+        """Exact half edge list above the workload threshold."""
+        return E.exact_cosine_pairs(self.train_supported, min_cosine=self.p.min_cosine, grid=self.grid)
+
+    @cached_property
+    def neighbors_ranked(self) -> DataFrame:
+        return E.topk_neighbors(E.symmetric_pairs(self.pairs), self.p.top_k, keep_rank=True)
+
+    @property
     def neighbors(self) -> DataFrame:
-        """Exact top-K neighbour table at the workload threshold."""
-        pairs = E.exact_cosine_pairs(self.train_supported, min_cosine=self.p.min_cosine, grid=self.grid)
-        return E.topk_neighbors(E.symmetric_pairs(pairs), self.p.top_k)
+        return self.neighbors_ranked.drop("rank")
 
     @property
     def top_item(self) -> DataFrame:
         return B.most_rated_item(self.train).select("movieId")
 
-    # -- M0 -----------------------------------------------------------------------
+    @property
+    def top_user(self) -> DataFrame:
+        """Most active user of the rating table (ties: lowest id)."""
+        return (self.ratings.groupBy("userId").agg(F.count(F.lit(1)).alias("_n"))
+                .orderBy(F.col("_n").desc(), F.col("userId").asc()).limit(1).select("userId"))
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        warm = G.warm_test(self.test, self.train)
+        return G.final_predictions(warm, self.neighbors, self.train, self.p.default_rating)
+
+    @cached_property
+    def sim_cache(self) -> DataFrame:
+        return I.similarity_cache(self.neighbors, self.items)
+
+    @cached_property
+    def recs(self) -> DataFrame:
+        return G.user_recommendations(self.train, self.neighbors, self.items, self.p.user_top_n,
+                                      self.p.min_neighbors)
+
+    def _mllib(self, num_tables: int):
+        index = D.user_index(self.train_supported)
+        profiles = D.item_profiles(D.indexed_ratings(self.train_supported, index))
+        normalized = D.normalize_vectors(D.item_vectors(profiles, index))
+        model = L.fit_mllib_lsh(normalized, self.p.bucket_length, num_tables, self.p.seed)
+        return model, normalized
+
+    # -- A: sources and sinks -------------------------------------------------------
+    def load_ratings(self) -> DataFrame:
+        path = A.scratch_path(self.spark, "ratings-csv")
+        self.ratings.write.option("header", True).csv(path)
+        return rounded(A.read_ratings_csv(self.spark, path))
+
+    def load_items(self) -> DataFrame:
+        path = A.scratch_path(self.spark, "items-csv")
+        self.items.select("movieId", "title", F.lit(None).cast("string").alias("genres")) \
+            .write.option("header", True).csv(path)
+        return A.read_items_csv(self.spark, path)
+
+    def write_predictions(self) -> DataFrame:
+        path = A.scratch_path(self.spark, "predictions-csv")
+        A.write_predictions(rounded(self.predictions), path)
+        return A.read_predictions(self.spark, path)
+
+    def cache_roundtrip(self) -> DataFrame:
+        path = A.scratch_path(self.spark, "similarity-cache")
+        A.write_cache(self.sim_cache, path, "movie_i")
+        return rounded(A.read_cache(self.spark, path))
+
+    # -- B: profiling -------------------------------------------------------------------
+    def dataset_stats(self) -> DataFrame:
+        return rounded(B.dataset_stats(self.ratings))
+
+    def rating_distribution(self) -> DataFrame:
+        return B.rating_distribution(self.ratings)
+
+    def split_stats(self) -> DataFrame:
+        return rounded(B.split_stats(C.tag_hash_split(self.ratings, self.p.test_fraction)))
+
+    def most_rated_items(self) -> DataFrame:
+        return B.most_rated_items(self.train, 10)
+
+    def most_rated_item(self) -> DataFrame:
+        return B.most_rated_item(self.train)
+
+    def item_title(self) -> DataFrame:
+        return B.item_title(self.items, self.top_item)
+
+    def sample_rows(self) -> DataFrame:
+        return B.sample_rows(self.train, 5, self.p.seed)
+
+    def supported_item_count(self) -> DataFrame:
+        return B.supported_item_count(self.train, self.p.min_ratings)
+
+    def prediction_histogram(self) -> DataFrame:
+        v = self.predictions.select(F.round("predicted_rating", 6).alias("predicted_rating"))
+        return _edges(B.value_histogram(v, "predicted_rating", HIST_BINS))
+
+    def error_histogram(self) -> DataFrame:
+        e = self.predictions.select(F.round(F.col("predicted_rating") - F.col("true_rating"), 6).alias("error"))
+        return _edges(B.value_histogram(e, "error", HIST_BINS))
+
+    # -- C: splits ------------------------------------------------------------------------
+    def random_split(self) -> DataFrame:
+        tr, te = C.random_split(self.ratings, self.p.test_fraction, self.p.seed)
+        return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
+
+    def hash_split(self) -> DataFrame:
+        return C.tag_hash_split(self.ratings, self.p.test_fraction)
+
+    def kfold_assign(self) -> DataFrame:
+        return C.kfold_assign(self.ratings, KFOLDS, ["userId", "movieId"])
+
+    def leave_n_out(self) -> DataFrame:
+        return C.leave_n_out(self.ratings, LEAVE_START, LEAVE_STOP, ["movieId"])
+
+    def leave_n_out_capped(self) -> DataFrame:
+        return C.leave_n_out_capped(self.ratings, LEAVE_START, LEAVE_STOP, LEAVE_CAP, ["movieId"])
+
+    def cross_validate(self) -> DataFrame:
+        per_fold, _ = P.cross_validate(self.ratings, KFOLDS, self.p)
+        return rounded(per_fold.select("cv", "rmse", "mae", "num_predictions", "coverage"))
+
+    # -- D: interaction matrix ---------------------------------------------------------------
+    def user_index(self) -> DataFrame:
+        return D.user_index(self.train)
+
+    def indexed_ratings(self) -> DataFrame:
+        return D.indexed_ratings(self.train, D.user_index(self.train))
+
+    def item_profiles(self) -> DataFrame:
+        prof = D.item_profiles(D.indexed_ratings(self.train, D.user_index(self.train)))
+        return prof.select("movieId",
+                           F.transform("user_ratings", lambda x: x["user_idx"]).alias("user_idx_list"),
+                           F.transform("user_ratings", lambda x: x["rating"]).alias("rating_list"),
+                           "num_ratings")
+
+    def supported_items(self) -> DataFrame:
+        return D.supported_items(self.train, SUPPORT_FLOOR)
+
+    def item_vectors(self) -> DataFrame:
+        index = D.user_index(self.train_supported)
+        vec = D.item_vectors(D.item_profiles(D.indexed_ratings(self.train_supported, index)), index)
+        return D.vector_entries(vec)
+
+    def normalized_profiles(self) -> DataFrame:
+        return rounded(D.normalized_profiles(self.train_supported))
+
+    # -- E: similarity ---------------------------------------------------------------------------
+    def lsh_buckets(self) -> DataFrame:
+        model, normalized = self._mllib(self.p.num_hash_tables)
+        return L.mllib_buckets(model, normalized)
+
+    def lsh_similar_pairs(self) -> DataFrame:
+        model, normalized = self._mllib(LSH_TABLES)
+        pairs = L.mllib_similar_pairs(model, normalized, LSH_THRESHOLD)
+        return rounded(pairs.select("movie_i", "movie_j", "cosine_similarity"))
+
+    def distance_to_cosine(self) -> DataFrame:
+        d = F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - F.lit(2.0) * F.col("cosine_similarity")))
+        return rounded(self.pairs.select("movie_i", "movie_j", d.alias("distance"))
+                       .withColumn("cosine_similarity", distance_to_cosine("distance")))
+
+    def exact_cosine_pairs(self) -> DataFrame:
+        return rounded(E.exact_cosine_pairs(self.train_supported, grid=self.grid))
+
+    def projection_buckets(self) -> DataFrame:
+        return L.projection_signatures(self.train_supported, PROJ_BANDS, PROJ_BITS, self.p.seed)
+
+    def projection_similar_pairs(self) -> DataFrame:
+        sig = L.projection_signatures(self.train_supported, PROJ_BANDS, PROJ_BITS, self.p.seed)
+        pairs = L.projection_pairs(self.train_supported, sig, stripes=self.grid[0],
+                                   item_block=self.p.item_block, min_cosine=self.p.min_cosine)
+        return rounded(pairs)
+
+    def lsh_recall(self) -> DataFrame:
+        sig = L.projection_signatures(self.train_supported, RECALL_BANDS, 1, self.p.seed)
+        lsh = L.projection_pairs(self.train_supported, sig, stripes=self.grid[0],
+                                 item_block=self.p.item_block, min_cosine=self.p.min_cosine)
+        return rounded(L.lsh_recall(self.pairs, lsh, RECALL_BANDS))
+
+    def symmetric_pairs(self) -> DataFrame:
+        return rounded(E.symmetric_pairs(self.pairs))
+
+    def topk_neighbors(self) -> DataFrame:
+        return rounded(self.neighbors_ranked)
+
+    def embedding_cosine_pairs(self) -> DataFrame:
+        ent = src.embedding_entries(self.spark, self.sf_dir)
+        return rounded(E.exact_cosine_pairs(ent, min_cosine=self.p.min_cosine,
+                                            user_block=self.p.user_block, item_block=self.p.item_block))
+
+    # -- F: similar items --------------------------------------------------------------------------
     def similar_items(self) -> DataFrame:
         return rounded(E.similar_items(self.neighbors, self.items, self.top_item, self.p.similar_k))
+
+    def similar_items_bulk(self) -> DataFrame:
+        ids = B.most_rated_items(self.train, BULK_IDS).select("movieId")
+        return rounded(E.similar_items_bulk(self.neighbors, self.items, ids, self.p.similar_k))
+
+    # -- G: prediction --------------------------------------------------------------------------------
+    def warm_test_ratings(self) -> DataFrame:
+        return G.warm_test(self.test, self.train)
+
+    def neighbor_expansion(self) -> DataFrame:
+        return rounded(G.neighbor_expansion(G.warm_test(self.test, self.train), self.neighbors))
+
+    def neighbor_ratings(self) -> DataFrame:
+        exp = G.neighbor_expansion(G.warm_test(self.test, self.train), self.neighbors)
+        return rounded(G.neighbor_ratings(exp, self.train))
+
+    def neighbor_predictions(self) -> DataFrame:
+        exp = G.neighbor_expansion(G.warm_test(self.test, self.train), self.neighbors)
+        return rounded(G.neighbor_predictions(G.neighbor_ratings(exp, self.train)))
+
+    def final_predictions(self) -> DataFrame:
+        return rounded(self.predictions)
+
+    def user_recommendations(self) -> DataFrame:
+        return rounded(self.recs)
+
+    # -- H: evaluation ------------------------------------------------------------------------------------
+    def prediction_metrics(self) -> DataFrame:
+        return rounded(H.prediction_metrics(self.predictions))
+
+    def prediction_coverage(self) -> DataFrame:
+        return rounded(H.prediction_coverage(self.predictions, self.p.default_rating))
+
+    def error_stats(self) -> DataFrame:
+        return rounded(H.error_stats(self.predictions))
+
+    def true_vs_predicted(self) -> DataFrame:
+        pr = self.predictions.withColumn("predicted_rating", F.round("predicted_rating", 6))
+        return rounded(H.true_vs_predicted(pr))
+
+    def append_metrics(self) -> DataFrame:
+        path = A.scratch_path(self.spark, "metrics")
+        rec = H.metrics_record(rounded(H.prediction_metrics(self.predictions)), self.p, "events", stamp=RUN_STAMP)
+        A.append_metrics(rec, path)
+        A.append_metrics(rec, path)
+        return A.read_metrics(self.spark, path)
+
+    def parameter_sweep(self) -> DataFrame:
+        return rounded(P.parameter_sweep(self.ratings, base=self.p, grid=self.grid))
+
+    # -- I: serving -------------------------------------------------------------------------------------------
+    def user_ids(self) -> DataFrame:
+        return I.user_ids(self.ratings)
+
+    def user_history(self) -> DataFrame:
+        return I.user_history(self.ratings, self.items, self.top_user)
+
+    def user_profile_stats(self) -> DataFrame:
+        return rounded(I.user_profile_stats(self.ratings, self.items, self.top_user))
+
+    def recommendations_for_user(self) -> DataFrame:
+        return rounded(I.recommendations_for_user(I.recommendation_cache(self.recs), self.top_user,
+                                                  self.p.user_top_n))
+
+    def item_catalog(self) -> DataFrame:
+        return I.item_catalog(self.sim_cache)
+
+    def seed_recommendations(self) -> DataFrame:
+        ids = B.most_rated_items(self.train, SEED_BASKET_ITEMS).select("movieId")
+        seeds = ids.join(self.items, "movieId").select("title")
+        return rounded(I.seed_recommendations(self.sim_cache, seeds, SEED_PAGE_N))
+
+    def search_items(self) -> DataFrame:
+        return I.search_items(I.item_catalog(self.sim_cache), SEARCH_QUERY, self.p.search_limit)
+
+    def seed_recommendations_bulk(self) -> DataFrame:
+        titled = self.train.join(self.items, "movieId")
+        from pyspark.sql import Window
+        w = Window.partitionBy("userId").orderBy(F.col("rating").desc(), F.col("movieId").asc())
+        baskets = (titled.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= BASKET_PER_USER)
+                   .select(F.col("userId").alias("basket_id"), "title"))
+        return rounded(I.seed_recommendations_bulk(self.sim_cache, baskets, SEED_PAGE_N))
+
+
+REGISTERED = [
+    # A
+    "load_ratings", "load_items", "write_predictions", "cache_roundtrip", "append_metrics",
+    # B
+    "dataset_stats", "rating_distribution", "split_stats", "most_rated_items", "most_rated_item",
+    "item_title", "sample_rows", "supported_item_count", "prediction_histogram", "error_histogram",
+    # C
+    "random_split", "hash_split", "kfold_assign", "leave_n_out", "leave_n_out_capped", "cross_validate",
+    # D
+    "user_index", "indexed_ratings", "item_profiles", "supported_items", "item_vectors", "normalized_profiles",
+    # E
+    "lsh_buckets", "lsh_similar_pairs", "distance_to_cosine", "exact_cosine_pairs", "projection_buckets",
+    "projection_similar_pairs", "lsh_recall", "symmetric_pairs", "topk_neighbors", "embedding_cosine_pairs",
+    # F
+    "similar_items", "similar_items_bulk",
+    # G
+    "warm_test_ratings", "neighbor_expansion", "neighbor_ratings", "neighbor_predictions",
+    "final_predictions", "user_recommendations",
+    # H
+    "prediction_metrics", "prediction_coverage", "error_stats", "true_vs_predicted", "parameter_sweep",
+    # I
+    "user_ids", "user_history", "user_profile_stats", "recommendations_for_user", "item_catalog",
+    "seed_recommendations", "search_items", "seed_recommendations_bulk",
+]
