@@ -1,28 +1,29 @@
 """Blocked Gram product: dot(i, j) = sum over users u of r(u, i) * r(u, j).
 
-This is the shared kernel of exact cosine similarity and of the
-bucket-restricted LSH verification.  The naive relational form, a self join
-of the rating table on the user, emits one row per co-rated item pair *per
-user*: a user holding a third of all ratings would emit (N/3)^2 rows through
-one join key.  Here instead:
-
-* items of a group are hashed into ``n_sub`` sub-blocks, users into
-  ``stripes`` stripes;
-* a rating of sub-block ``b`` is sent to the cells (stripe, min(b, o), max(b, o))
-  for every partner sub-block ``o`` (replication factor ``n_sub``);
-* each cell builds two small dense matrices (stripe users x block items) with
-  numpy and multiplies them, so a heavy user is just one matrix row; the cell
-  emits at most |A| x |B| partial dot products, never per-user pairs;
-* Spark sums the partial products of the stripes (partial aggregation runs
-  map-side before the shuffle).
-
-The work of one task is bounded by ``user_block x item_block`` whatever the
-skew of the data; sizes come from one small sizing probe (``grid_for``).
+The shared kernel of exact cosine similarity and of the bucket-restricted
+LSH verification.  The textbook relational form, a self join of the rating
+table on the user, emits one row per co-rated pair *per user*: a user holding
+a third of all ratings would push (N/3)^2 rows through one join key.  Here:
+
+* items of a group are hashed into ``n_sub`` sub-blocks (n_sub = ceil(items /
+  item_block), a one-row aggregate in the plan, not a driver round trip);
+* each block gets ``ceil(rows / side_rows)`` user stripes from its row count,
+  so a hot item is spread over many stripes too; a cell (stripe, lo, hi) uses
+  the larger stripe count of its two blocks;
+* a rating of block ``b`` is sent to the cell (stripe, min(b, o), max(b, o))
+  for every non-empty partner block ``o`` (replication factor ``n_sub``);
+* each cell multiplies its two sparse blocks inside one pandas task, either
+  as dense BLAS (dense data) or as a chunked sparse expansion accumulated into
+  an |A| x |B| array (sparse data), whichever costs less.  A heavy user is one
+  matrix row; per-user pairs never become rows;
+* Spark sums the partial products of the stripes (map-side partial aggregation).
+
+Per-task memory and work are bounded by ``item_block`` and ``side_rows`` for
+any skew of users or items.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -31,22 +32,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def grid_for(ratings: DataFrame, user_block: int, item_block: int,
-             group_cols: Sequence[str] = ()) -> tuple[int, int]:
-    """(stripes, item sub-blocks) for a rating table.  Runs one small aggregate job.
-
-    Approximate distinct counts are enough: the numbers only size the cells.
-    """
-    row = ratings.agg(
-        F.approx_count_distinct("userId").alias("u"),
-        F.approx_count_distinct("movieId").alias("i"),
-    ).first()
-    users = int(row["u"] or 0)
-    items = int(row["i"] or 0)
-    stripes = max(1, math.ceil(users / max(1, user_block)))
-    blocks = max(1, math.ceil(items / max(1, item_block)))
-    return stripes, blocks
+DEFAULT_ITEM_BLOCK = 2048
+DEFAULT_SIDE_ROWS = 1_000_000
+_CHUNK = 1 << 22          # products expanded per numpy step in the sparse kernel
+_DENSE_MAX = 1 << 25      # largest dense operand (entries) a cell may allocate
+
+
+def _sparse_gram(ua, ia, va, ub, ib, vb, n_users, na, nb):
+    """sum_u a_u^T b_u with a, b given as (user, column, value) triplets."""
+    oa = np.argsort(ua, kind="stable")
+    ua, ia, va = ua[oa], ia[oa], va[oa]
+    ob = np.argsort(ub, kind="stable")
+    ub, ib, vb = ub[ob], ib[ob], vb[ob]
+    cb = np.bincount(ub, minlength=n_users)
+    b_start = np.concatenate(([0], np.cumsum(cb)[:-1]))
+    rep = cb[ua]
+    cum = np.cumsum(rep)
+    acc = np.zeros(na * nb, dtype=np.float64)
+    start, n = 0, len(ua)
+    while start < n:
+        base = cum[start - 1] if start else 0
+        end = max(int(np.searchsorted(cum, base + _CHUNK, side="right")), start + 1)
+        r = rep[start:end]
+        tot = int(r.sum())
+        if tot:
+            ka = np.repeat(np.arange(start, end), r)
+            within = np.arange(tot) - np.repeat(np.cumsum(r) - r, r)
+            kb = b_start[ua[ka]] + within
+            acc += np.bincount(ia[ka] * nb + ib[kb], weights=va[ka] * vb[kb], minlength=na * nb)
+        start = end
+    return acc.reshape(na, nb)
 
 
 def _cell_function(group_cols: Sequence[str]):
@@ -57,22 +72,32 @@ def _cell_function(group_cols: Sequence[str]):
         blk = pdf["_blk"].to_numpy()
         item = pdf["movieId"].to_numpy()
         val = pdf["rating"].to_numpy(dtype=np.float64)
-
-        def dense(mask):
-            ids, inv = np.unique(item[mask], return_inverse=True)
-            m = np.zeros((len(users), len(ids)), dtype=np.float64)
-            m[uinv[mask], inv] = val[mask]
-            return ids, m
-
-        ids_a, xa = dense(blk == lo)
+        ma = blk == lo
+        mb = ma if lo == hi else (blk == hi)
+        ids_a, ca = np.unique(item[ma], return_inverse=True)
+        ids_b, cb = (ids_a, ca) if lo == hi else np.unique(item[mb], return_inverse=True)
+        na, nb, nu = len(ids_a), len(ids_b), len(users)
+        # cost of the two kernels: dense flops vs expanded (user, a, b) products
+        per_user_a = np.bincount(uinv[ma], minlength=nu)
+        per_user_b = per_user_a if lo == hi else np.bincount(uinv[mb], minlength=nu)
+        expanded = float(np.dot(per_user_a.astype(np.float64), per_user_b))
+        dense_flops = float(nu) * na * nb
+        if nu * max(na, nb) <= _DENSE_MAX and dense_flops < 64.0 * expanded:
+            xa = np.zeros((nu, na))
+            xa[uinv[ma], ca] = val[ma]
+            if lo == hi:
+                g = xa.T @ xa
+            else:
+                xb = np.zeros((nu, nb))
+                xb[uinv[mb], cb] = val[mb]
+                g = xa.T @ xb
+        else:
+            g = _sparse_gram(uinv[ma], ca, val[ma], uinv[mb], cb, val[mb], nu, na, nb)
         if lo == hi:
-            g = xa.T @ xa
-            ii, jj = np.triu_indices(len(ids_a), k=1)
+            ii, jj = np.triu_indices(na, k=1)
             dots = g[ii, jj]
             mi, mj = ids_a[ii], ids_a[jj]
         else:
-            ids_b, xb = dense(blk == hi)
-            g = xa.T @ xb
             ii, jj = np.nonzero(g)
             dots = g[ii, jj]
             a, b = ids_a[ii], ids_b[jj]
@@ -87,36 +112,57 @@ def _cell_function(group_cols: Sequence[str]):
     return cell
 
 
+def sub_blocks(ratings: DataFrame, group_cols: Sequence[str] = (),
+               item_block: int = DEFAULT_ITEM_BLOCK) -> DataFrame:
+    """``ratings`` plus ``_nsub`` = ceil(distinct items of the group / item_block).
+
+    The count is a grouped aggregate joined back (one row per group; for no
+    groups a one-row broadcast), so the plan needs no driver round trip.
+    """
+    g = list(group_cols)
+    n = F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("movieId") / F.lit(item_block))).cast("int")
+    if not g:
+        return ratings.crossJoin(F.broadcast(ratings.agg(n.alias("_nsub"))))
+    return ratings.join(ratings.groupBy(*g).agg(n.alias("_nsub")), g)
+
+
 def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *,
-                  stripes: int = 1, n_sub: int | Column = 1) -> DataFrame:
+                  n_sub: int | Column | None = None, item_block: int = DEFAULT_ITEM_BLOCK,
+                  side_rows: int = DEFAULT_SIDE_ROWS) -> DataFrame:
     """Dot products of all item pairs (movie_i < movie_j) that share a group.
 
-    ``ratings`` needs ``userId, movieId, rating`` plus ``group_cols``; one item may
-    belong to several groups (one row per membership).  ``n_sub`` is the number
-    of item sub-blocks of the row's group (an int or a column).  Pairs with a
-    zero dot product (no co-rater) are not returned.
+    ``ratings`` needs ``userId, movieId, rating`` plus ``group_cols``; an item
+    may belong to several groups (one row per membership).  ``n_sub`` is the
+    number of item sub-blocks of the row's group (int or column); when absent
+    it is derived from ``item_block``.  Pairs with a zero dot product (no
+    co-rater) are not returned.
     """
-    group_cols = list(group_cols)
-    nsub = n_sub if isinstance(n_sub, Column) else F.lit(int(n_sub))
-    cells = (
-        ratings.select(*group_cols, "userId", "movieId", "rating", nsub.cast("int").alias("_nsub"))
-        .where(F.col("rating") != 0)
-        .withColumn("_blk", F.pmod(F.xxhash64("movieId"), F.col("_nsub")).cast("int"))
-        .withColumn("_stripe", F.pmod(F.xxhash64("userId"), F.lit(stripes)).cast("int"))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
-        .withColumn("_lo", F.least("_blk", "_other"))
-        .withColumn("_hi", F.greatest("_blk", "_other"))
-        .drop("_other", "_nsub")
-    )
-    gfields = [f for f in ratings.schema.fields if f.name in group_cols]
-    gfields = sorted(gfields, key=lambda f: group_cols.index(f.name))
+    g = list(group_cols)
+    if n_sub is None:
+        src = sub_blocks(ratings, g, item_block)
+        nsub = F.col("_nsub")
+    else:
+        src = ratings
+        nsub = n_sub if isinstance(n_sub, Column) else F.lit(int(n_sub))
+    base = (src.select(*g, "userId", "movieId", "rating", nsub.cast("int").alias("_nsub"))
+            .where(F.col("rating") != 0)
+            .withColumn("_blk", F.pmod(F.xxhash64("movieId"), F.col("_nsub")).cast("int")))
+    # One row per non-empty block: at most groups x ceil(items / item_block) rows,
+    # a bound fixed by the parameters, so both lookups below are broadcast.
+    stats = base.groupBy(*g, "_blk").agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(side_rows))).cast("int").alias("_s"))
+    rep = (base.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
+           .join(F.broadcast(stats.withColumnRenamed("_s", "_s1")), [*g, "_blk"])
+           .join(F.broadcast(stats.select(*g, F.col("_blk").alias("_other"), F.col("_s").alias("_s2"))),
+                 [*g, "_other"])
+           .select(*g, "userId", "movieId", "rating", "_blk",
+                   F.pmod(F.xxhash64("userId"), F.greatest("_s1", "_s2")).cast("int").alias("_stripe"),
+                   F.least("_blk", "_other").alias("_lo"), F.greatest("_blk", "_other").alias("_hi")))
+    gfields = sorted((f for f in ratings.schema.fields if f.name in g), key=lambda f: g.index(f.name))
     schema = T.StructType(gfields + [
         T.StructField("movie_i", T.LongType()),
         T.StructField("movie_j", T.LongType()),
         T.StructField("dot", T.DoubleType()),
     ])
-    partial = cells.groupBy(*group_cols, "_stripe", "_lo", "_hi").applyInPandas(
-        _cell_function(group_cols), schema)
-    if stripes == 1:
-        return partial
-    return partial.groupBy(*group_cols, "movie_i", "movie_j").agg(F.sum("dot").alias("dot"))
+    partial = rep.groupBy(*g, "_stripe", "_lo", "_hi").applyInPandas(_cell_function(g), schema)
+    return partial.groupBy(*g, "movie_i", "movie_j").agg(F.sum("dot").alias("dot"))

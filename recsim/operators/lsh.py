@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recsim.functions.exprs import digest_sign, distance_to_cosine, user_digest
-from recsim.operators.gram import gram_products
+from recsim.operators.gram import DEFAULT_ITEM_BLOCK, DEFAULT_SIDE_ROWS, gram_products
 from recsim.operators.similarity import cosine_from_dots
 
 # -- MLlib path ------------------------------------------------------------------
@@ -89,8 +89,9 @@ def projection_signatures(ratings: DataFrame, bands: int, bits_per_band: int = 1
         *by, "movieId", F.col("band").cast("int").alias("band"), F.col("bucket").cast("int").alias("bucket"))
 
 
-def projection_pairs(ratings: DataFrame, signatures: DataFrame, *, stripes: int, item_block: int,
-                     min_cosine: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+def projection_pairs(ratings: DataFrame, signatures: DataFrame, *, item_block: int = DEFAULT_ITEM_BLOCK,
+                     side_rows: int = DEFAULT_SIDE_ROWS, min_cosine: float | None = None,
+                     by: Sequence[str] = ()) -> DataFrame:
     """Verified LSH pairs: (movie_i, movie_j, first_table, cosine_similarity).
 
     A pair is a candidate when it shares a bucket in at least one band;
@@ -104,7 +105,7 @@ def projection_pairs(ratings: DataFrame, signatures: DataFrame, *, stripes: int,
     sig = signatures.join(F.broadcast(sizes), [*by, "band", "bucket"]).withColumn(
         "_nsub", F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(item_block))).cast("int"))
     r = ratings.join(sig, [*by, "movieId"])
-    dots = gram_products(r, [*by, "band", "bucket"], stripes=stripes, n_sub=F.col("_nsub"))
+    dots = gram_products(r, [*by, "band", "bucket"], n_sub=F.col("_nsub"), side_rows=side_rows)
     per_band = dots.groupBy(*by, "movie_i", "movie_j").agg(
         F.min("band").alias("first_table"), F.min_by("dot", "band").alias("dot"))
     pairs = cosine_from_dots(per_band, ratings, by, extra=["first_table"])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recsim.operators.gram import gram_products, grid_for
+from recsim.operators.gram import DEFAULT_ITEM_BLOCK, DEFAULT_SIDE_ROWS, gram_products
 from recsim.operators.interactions import item_support
 
 
@@ -31,17 +31,15 @@ def cosine_from_dots(dots: DataFrame, ratings: DataFrame, by: Sequence[str] = ()
 
 
 def exact_cosine_pairs(ratings: DataFrame, *, min_cosine: float | None = None,
-                       by: Sequence[str] = (), user_block: int = 4096,
-                       item_block: int = 1024, grid: tuple[int, int] | None = None) -> DataFrame:
+                       by: Sequence[str] = (), item_block: int = DEFAULT_ITEM_BLOCK,
+                       side_rows: int = DEFAULT_SIDE_ROWS) -> DataFrame:
     """All co-rated item pairs (movie_i < movie_j) with their exact cosine.
 
     ``min_cosine`` keeps pairs with cosine strictly above it (a distance
-    threshold t between unit vectors is the cosine cut 1 - t^2/2).  ``grid``
-    = (stripes, item sub-blocks); when absent one sizing job measures it.
+    threshold t between unit vectors is the cosine cut 1 - t^2/2).
     """
     by = list(by)
-    stripes, blocks = grid or grid_for(ratings, user_block, item_block)
-    dots = gram_products(ratings, by, stripes=stripes, n_sub=blocks)
+    dots = gram_products(ratings, by, item_block=item_block, side_rows=side_rows)
     pairs = cosine_from_dots(dots, ratings, by)
     if min_cosine is not None:
         pairs = pairs.where(F.col("cosine_similarity") > F.lit(float(min_cosine)))

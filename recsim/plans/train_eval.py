@@ -21,7 +21,6 @@ from recsim.operators import lsh as L
 from recsim.operators import predict as G
 from recsim.operators import similarity as E
 from recsim.operators import splits as C
-from recsim.operators.gram import grid_for
 from recsim.params import Params
 from recsim.session import cut_lineage
 
@@ -29,7 +28,7 @@ METHODS = ("exact", "lsh", "mllib")
 
 
 def similarity_pairs(train_supported: DataFrame, params: Params, method: str = "exact",
-                     by: Sequence[str] = (), grid: tuple[int, int] | None = None) -> DataFrame:
+                     by: Sequence[str] = ()) -> DataFrame:
     """Half edge list (movie_i < movie_j, cosine_similarity) above ``params.min_cosine``."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
@@ -42,17 +41,17 @@ def similarity_pairs(train_supported: DataFrame, params: Params, method: str = "
         model = L.fit_mllib_lsh(normalized, params.bucket_length, params.num_hash_tables, params.seed)
         return L.mllib_similar_pairs(model, normalized, params.threshold).select(
             "movie_i", "movie_j", "cosine_similarity")
-    grid = grid or grid_for(train_supported, params.user_block, params.item_block)
     if method == "exact":
-        return E.exact_cosine_pairs(train_supported, min_cosine=params.min_cosine, by=by, grid=grid)
+        return E.exact_cosine_pairs(train_supported, min_cosine=params.min_cosine, by=by,
+                                    item_block=params.item_block, side_rows=params.side_rows)
     sig = L.projection_signatures(train_supported, params.num_hash_tables, params.bits_per_band, params.seed, by)
-    return L.projection_pairs(train_supported, sig, stripes=grid[0], item_block=params.item_block,
+    return L.projection_pairs(train_supported, sig, item_block=params.item_block, side_rows=params.side_rows,
                               min_cosine=params.min_cosine, by=by).drop("first_table")
 
 
 def neighbor_table(train_supported: DataFrame, params: Params, method: str = "exact",
-                   by: Sequence[str] = (), grid: tuple[int, int] | None = None) -> DataFrame:
-    pairs = similarity_pairs(train_supported, params, method, by, grid)
+                   by: Sequence[str] = ()) -> DataFrame:
+    pairs = similarity_pairs(train_supported, params, method, by)
     return E.topk_neighbors(E.symmetric_pairs(pairs, by), params.top_k, by)
 
 
@@ -84,7 +83,7 @@ def train_and_evaluate(ratings: DataFrame, params: Params = Params(), method: st
 
 def parameter_sweep(ratings: DataFrame, tables: Sequence[int] = (1, 3, 5, 7),
                     thresholds: Sequence[float] = (0.8, 1.0, 1.2), top_ks: Sequence[int] = (10, 20, 30),
-                    base: Params = Params(), grid: tuple[int, int] | None = None) -> DataFrame:
+                    base: Params = Params()) -> DataFrame:
     """Metrics of every (tables, threshold, top_k) setting of the relational LSH in one job.
 
     * the LSH is hashed once with max(tables) bands; with T tables a pair is a
@@ -102,9 +101,8 @@ def parameter_sweep(ratings: DataFrame, tables: Sequence[int] = (1, 3, 5, 7),
     r = D.dedupe_ratings(ratings)
     train, test = C.hash_split(r, base.test_fraction)
     sup = D.supported_ratings(train, base.min_ratings)
-    grid = grid or grid_for(sup, base.user_block, base.item_block)
     sig = L.projection_signatures(sup, max(tables), base.bits_per_band, base.seed)
-    pairs = L.projection_pairs(sup, sig, stripes=grid[0], item_block=base.item_block,
+    pairs = L.projection_pairs(sup, sig, item_block=base.item_block, side_rows=base.side_rows,
                                min_cosine=min(cuts.values()))
     sym = E.symmetric_pairs(pairs, extra=["first_table"])
     tarr = F.array(*[F.lit(t) for t in tables])

@@ -24,7 +24,6 @@ from recsim.operators import profile as B
 from recsim.operators import serving as I
 from recsim.operators import similarity as E
 from recsim.operators import splits as C
-from recsim.operators.gram import grid_for
 from recsim.params import Params
 from recsim.plans import train_eval as P
 from recsim.sources import files as A
@@ -94,14 +93,11 @@ class Workload:
     def train_supported(self) -> DataFrame:
         return D.supported_ratings(self.train, self.p.min_ratings)
 
-    @cached_property
-    def grid(self) -> tuple[int, int]:
-        return grid_for(self.train_supported, self.p.user_block, self.p.item_block)
-
     @cached_property
     def pairs(self) -> DataFrame:
         """Exact half edge list above the workload threshold."""
-        return E.exact_cosine_pairs(self.train_supported, min_cosine=self.p.min_cosine, grid=self.grid)
+        return E.exact_cosine_pairs(self.train_supported, min_cosine=self.p.min_cosine,
+                                    item_block=self.p.item_block, side_rows=self.p.side_rows)
 
     @cached_property
     def neighbors_ranked(self) -> DataFrame:
@@ -259,21 +255,22 @@ class Workload:
                        .withColumn("cosine_similarity", distance_to_cosine("distance")))
 
     def exact_cosine_pairs(self) -> DataFrame:
-        return rounded(E.exact_cosine_pairs(self.train_supported, grid=self.grid))
+        return rounded(E.exact_cosine_pairs(self.train_supported, item_block=self.p.item_block,
+                                            side_rows=self.p.side_rows))
 
     def projection_buckets(self) -> DataFrame:
         return L.projection_signatures(self.train_supported, PROJ_BANDS, PROJ_BITS, self.p.seed)
 
     def projection_similar_pairs(self) -> DataFrame:
         sig = L.projection_signatures(self.train_supported, PROJ_BANDS, PROJ_BITS, self.p.seed)
-        pairs = L.projection_pairs(self.train_supported, sig, stripes=self.grid[0],
-                                   item_block=self.p.item_block, min_cosine=self.p.min_cosine)
+        pairs = L.projection_pairs(self.train_supported, sig, item_block=self.p.item_block,
+                                   side_rows=self.p.side_rows, min_cosine=self.p.min_cosine)
         return rounded(pairs)
 
     def lsh_recall(self) -> DataFrame:
         sig = L.projection_signatures(self.train_supported, RECALL_BANDS, 1, self.p.seed)
-        lsh = L.projection_pairs(self.train_supported, sig, stripes=self.grid[0],
-                                 item_block=self.p.item_block, min_cosine=self.p.min_cosine)
+        lsh = L.projection_pairs(self.train_supported, sig, item_block=self.p.item_block,
+                                 side_rows=self.p.side_rows, min_cosine=self.p.min_cosine)
         return rounded(L.lsh_recall(self.pairs, lsh, RECALL_BANDS))
 
     def symmetric_pairs(self) -> DataFrame:
@@ -285,7 +282,7 @@ class Workload:
     def embedding_cosine_pairs(self) -> DataFrame:
         ent = src.embedding_entries(self.spark, self.sf_dir)
         return rounded(E.exact_cosine_pairs(ent, min_cosine=self.p.min_cosine,
-                                            user_block=self.p.user_block, item_block=self.p.item_block))
+                                            item_block=self.p.item_block, side_rows=self.p.side_rows))
 
     # -- F: similar items --------------------------------------------------------------------------
     def similar_items(self) -> DataFrame:
@@ -338,7 +335,7 @@ class Workload:
         return A.read_metrics(self.spark, path)
 
     def parameter_sweep(self) -> DataFrame:
-        return rounded(P.parameter_sweep(self.ratings, base=self.p, grid=self.grid))
+        return rounded(P.parameter_sweep(self.ratings, base=self.p))
 
     # -- I: serving -------------------------------------------------------------------------------------------
     def user_ids(self) -> DataFrame:

@@ -28,6 +28,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("RECSIM_DRIVER_MEMORY", "16g"))
+        # one BLAS thread per Python worker: Spark already runs one worker per core
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        .config("spark.executorEnv.MKL_NUM_THREADS", "1")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
