@@ -5,11 +5,12 @@ LSH verification.  The textbook relational form, a self join of the rating
 table on the user, emits one row per co-rated pair *per user*: a user holding
 a third of all ratings would push (N/3)^2 rows through one join key.  Here:
 
-* items of a group are hashed into ``n_sub`` sub-blocks (n_sub = ceil(items /
-  item_block), a one-row aggregate in the plan, not a driver round trip);
-* each block gets ``ceil(rows / side_rows)`` user stripes from its row count,
-  so a hot item is spread over many stripes too; a cell (stripe, lo, hi) uses
-  the larger stripe count of its two blocks;
+* items are hashed into V virtual blocks; one aggregate pass gives rows and
+  distinct items per virtual block, from which a small layout table follows:
+  ``n_sub`` = ceil(items / item_block) sub-blocks per group (unions of virtual
+  blocks) and ``ceil(rows / side_rows)`` user stripes per sub-block, so a hot
+  item is spread over many stripes too; a cell (stripe, lo, hi) uses the larger
+  stripe count of its two blocks.  No driver round trip is needed;
 * a rating of block ``b`` is sent to the cell (stripe, min(b, o), max(b, o))
   for every non-empty partner block ``o`` (replication factor ``n_sub``);
 * each cell multiplies its two sparse blocks inside one pandas task, either
@@ -34,6 +35,7 @@ from pyspark.sql import types as T
 
 DEFAULT_ITEM_BLOCK = 2048
 DEFAULT_SIDE_ROWS = 1_000_000
+DEFAULT_VIRTUAL_BLOCKS = 8192   # fine hash buckets of items; sub-blocks are unions of them
 _CHUNK = 1 << 22          # products expanded per numpy step in the sparse kernel
 _DENSE_MAX = 1 << 25      # largest dense operand (entries) a cell may allocate
 
@@ -112,51 +114,51 @@ def _cell_function(group_cols: Sequence[str]):
     return cell
 
 
-def sub_blocks(ratings: DataFrame, group_cols: Sequence[str] = (),
-               item_block: int = DEFAULT_ITEM_BLOCK) -> DataFrame:
-    """``ratings`` plus ``_nsub`` = ceil(distinct items of the group / item_block).
+def block_map(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_block: int = DEFAULT_ITEM_BLOCK,
+              side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS) -> DataFrame:
+    """Small table (group, _vblk) -> (_blk, _nsub, _s): the block layout of every group.
 
-    The count is a grouped aggregate joined back (one row per group; for no
-    groups a one-row broadcast), so the plan needs no driver round trip.
+    One aggregate pass over the ratings by (group, virtual block = hash(item) %
+    V) yields rows and distinct items per virtual block; everything else is
+    arithmetic on that small table: n_sub = ceil(items / item_block) sub-blocks,
+    sub-block = virtual block % n_sub, and ``_s`` = ceil(rows / side_rows) user
+    stripes per sub-block.  At most groups x V rows, so it is broadcast.
     """
     g = list(group_cols)
-    n = F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("movieId") / F.lit(item_block))).cast("int")
-    if not g:
-        return ratings.crossJoin(F.broadcast(ratings.agg(n.alias("_nsub"))))
-    return ratings.join(ratings.groupBy(*g).agg(n.alias("_nsub")), g)
-
-
-def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *,
-                  n_sub: int | Column | None = None, item_block: int = DEFAULT_ITEM_BLOCK,
-                  side_rows: int = DEFAULT_SIDE_ROWS) -> DataFrame:
+    vb = ratings.where(F.col("rating") != 0).groupBy(
+        *g, F.pmod(F.xxhash64("movieId"), F.lit(virtual_blocks)).cast("int").alias("_vblk")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.approx_count_distinct("movieId").alias("_items"))
+    per_group = vb.groupBy(*g).agg(
+        F.least(F.lit(virtual_blocks), F.greatest(F.lit(1), F.ceil(F.sum("_items") / F.lit(item_block))))
+        .cast("int").alias("_nsub"))
+    laid = (vb.join(per_group, g) if g else vb.crossJoin(per_group)).withColumn(
+        "_blk", F.pmod(F.col("_vblk"), F.col("_nsub")).cast("int"))
+    stripes = laid.groupBy(*g, "_blk").agg(
+        F.greatest(F.lit(1), F.ceil(F.sum("_rows") / F.lit(side_rows))).cast("int").alias("_s"))
+    return laid.join(stripes, [*g, "_blk"]).select(*g, "_vblk", "_blk", "_nsub", "_s")
+
+
+def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_block: int = DEFAULT_ITEM_BLOCK,
+                  side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS) -> DataFrame:
     """Dot products of all item pairs (movie_i < movie_j) that share a group.
 
     ``ratings`` needs ``userId, movieId, rating`` plus ``group_cols``; an item
-    may belong to several groups (one row per membership).  ``n_sub`` is the
-    number of item sub-blocks of the row's group (int or column); when absent
-    it is derived from ``item_block``.  Pairs with a zero dot product (no
-    co-rater) are not returned.
+    may belong to several groups (one row per membership).  Pairs with a zero
+    dot product (no co-rater) are not returned.  The input is read twice: once
+    for the block layout, once for the product.
     """
     g = list(group_cols)
-    if n_sub is None:
-        src = sub_blocks(ratings, g, item_block)
-        nsub = F.col("_nsub")
-    else:
-        src = ratings
-        nsub = n_sub if isinstance(n_sub, Column) else F.lit(int(n_sub))
-    base = (src.select(*g, "userId", "movieId", "rating", nsub.cast("int").alias("_nsub"))
-            .where(F.col("rating") != 0)
-            .withColumn("_blk", F.pmod(F.xxhash64("movieId"), F.col("_nsub")).cast("int")))
-    # One row per non-empty block: at most groups x ceil(items / item_block) rows,
-    # a bound fixed by the parameters, so both lookups below are broadcast.
-    stats = base.groupBy(*g, "_blk").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(side_rows))).cast("int").alias("_s"))
-    rep = (base.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
-           .join(F.broadcast(stats.withColumnRenamed("_s", "_s1")), [*g, "_blk"])
-           .join(F.broadcast(stats.select(*g, F.col("_blk").alias("_other"), F.col("_s").alias("_s2"))),
-                 [*g, "_other"])
+    layout = block_map(ratings, g, item_block=item_block, side_rows=side_rows, virtual_blocks=virtual_blocks)
+    stripes = layout.select(*g, F.col("_blk").alias("_other"), F.col("_s").alias("_s2")).distinct()
+    rep = (ratings.where(F.col("rating") != 0)
+           .select(*g, "userId", "movieId", "rating",
+                   F.pmod(F.xxhash64("movieId"), F.lit(virtual_blocks)).cast("int").alias("_vblk"))
+           .join(F.broadcast(layout), [*g, "_vblk"])
+           .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
+           # partner blocks without ratings drop out here
+           .join(F.broadcast(stripes), [*g, "_other"])
            .select(*g, "userId", "movieId", "rating", "_blk",
-                   F.pmod(F.xxhash64("userId"), F.greatest("_s1", "_s2")).cast("int").alias("_stripe"),
+                   F.pmod(F.xxhash64("userId"), F.greatest("_s", "_s2")).cast("int").alias("_stripe"),
                    F.least("_blk", "_other").alias("_lo"), F.greatest("_blk", "_other").alias("_hi")))
     gfields = sorted((f for f in ratings.schema.fields if f.name in g), key=lambda f: g.index(f.name))
     schema = T.StructType(gfields + [

@@ -96,16 +96,13 @@ def projection_pairs(ratings: DataFrame, signatures: DataFrame, *, item_block: i
 
     A pair is a candidate when it shares a bucket in at least one band;
     ``first_table`` is the lowest such band, so the result for the first T
-    bands is ``first_table < T`` (used by the one-job sweep).  The bucket
-    size table has at most ``bands * 2**bits`` rows per group: a proven bound,
-    so it is broadcast.
+    bands is ``first_table < T`` (used by the one-job sweep).  Every (band,
+    bucket) is a group of the blocked Gram product, so a degenerate bucket
+    holding half of the items is split into sub-blocks like any large group.
     """
     by = list(by)
-    sizes = signatures.groupBy(*by, "band", "bucket").agg(F.count(F.lit(1)).alias("_size"))
-    sig = signatures.join(F.broadcast(sizes), [*by, "band", "bucket"]).withColumn(
-        "_nsub", F.greatest(F.lit(1), F.ceil(F.col("_size") / F.lit(item_block))).cast("int"))
-    r = ratings.join(sig, [*by, "movieId"])
-    dots = gram_products(r, [*by, "band", "bucket"], n_sub=F.col("_nsub"), side_rows=side_rows)
+    r = ratings.join(signatures, [*by, "movieId"])
+    dots = gram_products(r, [*by, "band", "bucket"], item_block=item_block, side_rows=side_rows)
     per_band = dots.groupBy(*by, "movie_i", "movie_j").agg(
         F.min("band").alias("first_table"), F.min_by("dot", "band").alias("dot"))
     pairs = cosine_from_dots(per_band, ratings, by, extra=["first_table"])

@@ -55,6 +55,18 @@ def neighbor_table(train_supported: DataFrame, params: Params, method: str = "ex
     return E.topk_neighbors(E.symmetric_pairs(pairs, by), params.top_k, by)
 
 
+def staged_split(ratings: DataFrame, params: Params, checkpoint: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Deduplicated ratings tagged train/test, written once to the shared
+    checkpoint folder: every later stage reads the files instead of
+    re-running the scan, the dedupe shuffle and the split."""
+    tagged = C.tag_hash_split(D.dedupe_ratings(ratings), params.test_fraction)
+    if checkpoint:
+        tagged = cut_lineage(tagged, "ratings")
+    train = tagged.where(F.col("split") == "train").drop("split")
+    test = tagged.where(F.col("split") == "test").drop("split")
+    return train, test
+
+
 @dataclass
 class Run:
     train: DataFrame
@@ -66,12 +78,11 @@ class Run:
 
 def train_and_evaluate(ratings: DataFrame, params: Params = Params(), method: str = "exact",
                        checkpoint: bool = True) -> Run:
-    r = D.dedupe_ratings(ratings)
-    train, test = C.hash_split(r, params.test_fraction)
+    train, test = staged_split(ratings, params, checkpoint)
     sup = D.supported_ratings(train, params.min_ratings)
     neighbors = neighbor_table(sup, params, method)
     if checkpoint:
-        neighbors = cut_lineage(neighbors)
+        neighbors = cut_lineage(neighbors, "neighbors")
     warm = G.warm_test(test, train)
     preds = G.final_predictions(warm, neighbors, train, params.default_rating)
     metrics = H.prediction_metrics(preds).crossJoin(
@@ -98,8 +109,7 @@ def parameter_sweep(ratings: DataFrame, tables: Sequence[int] = (1, 3, 5, 7),
     tables = sorted(set(int(t) for t in tables))
     settings = [(float(t), int(k)) for t in thresholds for k in top_ks]
     cuts = {t: 1.0 - t * t / 2.0 for t, _ in settings}
-    r = D.dedupe_ratings(ratings)
-    train, test = C.hash_split(r, base.test_fraction)
+    train, test = staged_split(ratings, base)
     sup = D.supported_ratings(train, base.min_ratings)
     sig = L.projection_signatures(sup, max(tables), base.bits_per_band, base.seed)
     pairs = L.projection_pairs(sup, sig, item_block=base.item_block, side_rows=base.side_rows,

@@ -27,6 +27,7 @@ from recsim.operators import splits as C
 from recsim.params import Params
 from recsim.plans import train_eval as P
 from recsim.sources import files as A
+from recsim.session import cut_lineage
 from recsim.sources import testdata as src
 
 # Parameters of the registered workloads.  FIXTURES.md: threshold 1.2 keeps
@@ -70,24 +71,27 @@ class Workload:
 
     # -- fixture tables ---------------------------------------------------------
     @cached_property
+    def tagged(self) -> DataFrame:
+        """Event ratings tagged train/test, written once to the shared checkpoint
+        folder so the many branches of a query read files, not the events scan."""
+        return cut_lineage(C.tag_hash_split(src.event_ratings(self.spark, self.sf_dir), self.p.test_fraction),
+                           "event-ratings")
+
+    @property
     def ratings(self) -> DataFrame:
-        return src.event_ratings(self.spark, self.sf_dir)
+        return self.tagged.drop("split")
 
     @cached_property
     def items(self) -> DataFrame:
         return src.part_items(self.spark, self.sf_dir)
 
-    @cached_property
-    def split(self) -> tuple[DataFrame, DataFrame]:
-        return C.hash_split(self.ratings, self.p.test_fraction)
-
     @property
     def train(self) -> DataFrame:
-        return self.split[0]
+        return self.tagged.where(F.col("split") == "train").drop("split")
 
     @property
     def test(self) -> DataFrame:
-        return self.split[1]
+        return self.tagged.where(F.col("split") == "test").drop("split")
 
     @cached_property
     def train_supported(self) -> DataFrame:
@@ -168,7 +172,7 @@ class Workload:
         return B.rating_distribution(self.ratings)
 
     def split_stats(self) -> DataFrame:
-        return rounded(B.split_stats(C.tag_hash_split(self.ratings, self.p.test_fraction)))
+        return rounded(B.split_stats(self.tagged))
 
     def most_rated_items(self) -> DataFrame:
         return B.most_rated_items(self.train, 10)
@@ -199,7 +203,7 @@ class Workload:
         return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
 
     def hash_split(self) -> DataFrame:
-        return C.tag_hash_split(self.ratings, self.p.test_fraction)
+        return C.tag_hash_split(src.event_ratings(self.spark, self.sf_dir), self.p.test_fraction)
 
     def kfold_assign(self) -> DataFrame:
         return C.kfold_assign(self.ratings, KFOLDS, ["userId", "movieId"])
