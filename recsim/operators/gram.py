@@ -17,7 +17,10 @@ a third of all ratings would push (N/3)^2 rows through one join key.  Here:
   as dense BLAS (dense data) or as a chunked sparse expansion accumulated into
   an |A| x |B| array (sparse data), whichever costs less.  A heavy user is one
   matrix row; per-user pairs never become rows;
-* Spark sums the partial products of the stripes (map-side partial aggregation).
+* every rating carries its item's squared norm, so a cell also emits the
+  partial cosine dot / sqrt(|i|^2 |j|^2); Spark sums the partial products of
+  the stripes (map-side partial aggregation) and the pair table is never
+  joined back to the norms.
 
 Per-task memory and work are bounded by ``item_block`` and ``side_rows`` for
 any skew of users or items.
@@ -74,10 +77,16 @@ def _cell_function(group_cols: Sequence[str]):
         blk = pdf["_blk"].to_numpy()
         item = pdf["movieId"].to_numpy()
         val = pdf["rating"].to_numpy(dtype=np.float64)
+        nrm = pdf["_norm2"].to_numpy(dtype=np.float64)
         ma = blk == lo
         mb = ma if lo == hi else (blk == hi)
-        ids_a, ca = np.unique(item[ma], return_inverse=True)
-        ids_b, cb = (ids_a, ca) if lo == hi else np.unique(item[mb], return_inverse=True)
+        ids_a, first_a, ca = np.unique(item[ma], return_index=True, return_inverse=True)
+        if lo == hi:
+            ids_b, first_b, cb = ids_a, first_a, ca
+        else:
+            ids_b, first_b, cb = np.unique(item[mb], return_index=True, return_inverse=True)
+        norm_a = nrm[ma][first_a]
+        norm_b = nrm[mb][first_b]
         na, nb, nu = len(ids_a), len(ids_b), len(users)
         # cost of the two kernels: dense flops vs expanded (user, a, b) products
         per_user_a = np.bincount(uinv[ma], minlength=nu)
@@ -97,37 +106,46 @@ def _cell_function(group_cols: Sequence[str]):
             g = _sparse_gram(uinv[ma], ca, val[ma], uinv[mb], cb, val[mb], nu, na, nb)
         if lo == hi:
             ii, jj = np.triu_indices(na, k=1)
-            dots = g[ii, jj]
-            mi, mj = ids_a[ii], ids_a[jj]
         else:
             ii, jj = np.nonzero(g)
-            dots = g[ii, jj]
-            a, b = ids_a[ii], ids_b[jj]
-            mi, mj = np.minimum(a, b), np.maximum(a, b)
+        dots = g[ii, jj]
         keep = dots != 0.0
-        out = {c: np.repeat(pdf[c].iat[0], int(keep.sum())) for c in group_cols}
-        out["movie_i"] = mi[keep].astype(np.int64)
-        out["movie_j"] = mj[keep].astype(np.int64)
-        out["dot"] = dots[keep]
+        ii, jj, dots = ii[keep], jj[keep], dots[keep]
+        a, b = ids_a[ii], ids_b[jj]
+        out = {c: np.repeat(pdf[c].iat[0], len(dots)) for c in group_cols}
+        out["movie_i"] = np.minimum(a, b).astype(np.int64)
+        out["movie_j"] = np.maximum(a, b).astype(np.int64)
+        out["dot"] = dots
+        # the stripe sum of dot / sqrt(|i|^2 |j|^2) is the cosine (division distributes)
+        out["cosine_similarity"] = dots / np.sqrt(norm_a[ii] * norm_b[jj])
         return pd.DataFrame(out)
 
     return cell
 
 
-def block_map(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_block: int = DEFAULT_ITEM_BLOCK,
+def item_stats(ratings: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Per (group, item): rating count and squared norm (partial aggregation map-side)."""
+    return ratings.where(F.col("rating") != 0).groupBy(*group_cols, "movieId").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("rating") * F.col("rating")).alias("_norm2"))
+
+
+def _vblk(virtual_blocks: int):
+    return F.pmod(F.xxhash64("movieId"), F.lit(virtual_blocks)).cast("int")
+
+
+def block_map(stats: DataFrame, group_cols: Sequence[str] = (), *, item_block: int = DEFAULT_ITEM_BLOCK,
               side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS) -> DataFrame:
     """Small table (group, _vblk) -> (_blk, _nsub, _s): the block layout of every group.
 
-    One aggregate pass over the ratings by (group, virtual block = hash(item) %
-    V) yields rows and distinct items per virtual block; everything else is
-    arithmetic on that small table: n_sub = ceil(items / item_block) sub-blocks,
-    sub-block = virtual block % n_sub, and ``_s`` = ceil(rows / side_rows) user
-    stripes per sub-block.  At most groups x V rows, so it is broadcast.
+    From the per-item statistics: rows and items per virtual block (hash(item)
+    % V), n_sub = ceil(items / item_block) sub-blocks per group (unions of
+    virtual blocks: sub-block = virtual block % n_sub), and ``_s`` =
+    ceil(rows / side_rows) user stripes per sub-block.  At most groups x V rows,
+    so it is broadcast.
     """
     g = list(group_cols)
-    vb = ratings.where(F.col("rating") != 0).groupBy(
-        *g, F.pmod(F.xxhash64("movieId"), F.lit(virtual_blocks)).cast("int").alias("_vblk")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.approx_count_distinct("movieId").alias("_items"))
+    vb = stats.groupBy(*g, _vblk(virtual_blocks).alias("_vblk")).agg(
+        F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_items"))
     per_group = vb.groupBy(*g).agg(
         F.least(F.lit(virtual_blocks), F.greatest(F.lit(1), F.ceil(F.sum("_items") / F.lit(item_block))))
         .cast("int").alias("_nsub"))
@@ -140,24 +158,28 @@ def block_map(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_block:
 
 def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_block: int = DEFAULT_ITEM_BLOCK,
                   side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS) -> DataFrame:
-    """Dot products of all item pairs (movie_i < movie_j) that share a group.
+    """(group..., movie_i, movie_j, dot, cosine_similarity) for item pairs i < j sharing a group.
 
     ``ratings`` needs ``userId, movieId, rating`` plus ``group_cols``; an item
     may belong to several groups (one row per membership).  Pairs with a zero
     dot product (no co-rater) are not returned.  The input is read twice: once
-    for the block layout, once for the product.
+    for the per-item statistics (norms and the block layout), once for the
+    product; the pair table is never joined again.
     """
     g = list(group_cols)
-    layout = block_map(ratings, g, item_block=item_block, side_rows=side_rows, virtual_blocks=virtual_blocks)
+    stats = item_stats(ratings, g)
+    layout = block_map(stats, g, item_block=item_block, side_rows=side_rows, virtual_blocks=virtual_blocks)
     stripes = layout.select(*g, F.col("_blk").alias("_other"), F.col("_s").alias("_s2")).distinct()
     rep = (ratings.where(F.col("rating") != 0)
-           .select(*g, "userId", "movieId", "rating",
-                   F.pmod(F.xxhash64("movieId"), F.lit(virtual_blocks)).cast("int").alias("_vblk"))
+           .select(*g, "userId", "movieId", "rating")
+           # per-item norms: one row per item; AQE broadcasts it when it is small
+           .join(stats.select(*g, "movieId", "_norm2"), [*g, "movieId"])
+           .withColumn("_vblk", _vblk(virtual_blocks))
            .join(F.broadcast(layout), [*g, "_vblk"])
            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
            # partner blocks without ratings drop out here
            .join(F.broadcast(stripes), [*g, "_other"])
-           .select(*g, "userId", "movieId", "rating", "_blk",
+           .select(*g, "userId", "movieId", "rating", "_norm2", "_blk",
                    F.pmod(F.xxhash64("userId"), F.greatest("_s", "_s2")).cast("int").alias("_stripe"),
                    F.least("_blk", "_other").alias("_lo"), F.greatest("_blk", "_other").alias("_hi")))
     gfields = sorted((f for f in ratings.schema.fields if f.name in g), key=lambda f: g.index(f.name))
@@ -165,6 +187,8 @@ def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_bl
         T.StructField("movie_i", T.LongType()),
         T.StructField("movie_j", T.LongType()),
         T.StructField("dot", T.DoubleType()),
+        T.StructField("cosine_similarity", T.DoubleType()),
     ])
     partial = rep.groupBy(*g, "_stripe", "_lo", "_hi").applyInPandas(_cell_function(g), schema)
-    return partial.groupBy(*g, "movie_i", "movie_j").agg(F.sum("dot").alias("dot"))
+    return partial.groupBy(*g, "movie_i", "movie_j").agg(
+        F.sum("dot").alias("dot"), F.sum("cosine_similarity").alias("cosine_similarity"))

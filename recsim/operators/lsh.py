@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from recsim.functions.exprs import digest_sign, distance_to_cosine, user_digest
 from recsim.operators.gram import DEFAULT_ITEM_BLOCK, DEFAULT_SIDE_ROWS, gram_products
-from recsim.operators.similarity import cosine_from_dots
 
 # -- MLlib path ------------------------------------------------------------------
 
@@ -103,9 +102,8 @@ def projection_pairs(ratings: DataFrame, signatures: DataFrame, *, item_block: i
     by = list(by)
     r = ratings.join(signatures, [*by, "movieId"])
     dots = gram_products(r, [*by, "band", "bucket"], item_block=item_block, side_rows=side_rows)
-    per_band = dots.groupBy(*by, "movie_i", "movie_j").agg(
-        F.min("band").alias("first_table"), F.min_by("dot", "band").alias("dot"))
-    pairs = cosine_from_dots(per_band, ratings, by, extra=["first_table"])
+    pairs = dots.groupBy(*by, "movie_i", "movie_j").agg(
+        F.min("band").alias("first_table"), F.min_by("cosine_similarity", "band").alias("cosine_similarity"))
     if min_cosine is not None:
         pairs = pairs.where(F.col("cosine_similarity") > F.lit(float(min_cosine)))
     return pairs.select(*by, "movie_i", "movie_j", "first_table", "cosine_similarity")

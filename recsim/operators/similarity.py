@@ -8,26 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recsim.operators.gram import DEFAULT_ITEM_BLOCK, DEFAULT_SIDE_ROWS, gram_products
-from recsim.operators.interactions import item_support
-
-
-def cosine_from_dots(dots: DataFrame, ratings: DataFrame, by: Sequence[str] = (),
-                     extra: Sequence[str] = ()) -> DataFrame:
-    """cos(i, j) = dot / sqrt(||i||^2 ||j||^2), norms from a grouped sum.
-
-    The norm table has one row per item; AQE broadcasts it only when its
-    measured size is under the broadcast threshold, otherwise both joins stay
-    sort-merge joins.
-    """
-    by = list(by)
-    norms = item_support(ratings, by).select(*by, "movieId", "norm2")
-    ni = norms.select(*by, F.col("movieId").alias("movie_i"), F.col("norm2").alias("_ni"))
-    nj = norms.select(*by, F.col("movieId").alias("movie_j"), F.col("norm2").alias("_nj"))
-    return (
-        dots.join(ni, [*by, "movie_i"]).join(nj, [*by, "movie_j"])
-        .select(*by, "movie_i", "movie_j", *extra,
-                (F.col("dot") / F.sqrt(F.col("_ni") * F.col("_nj"))).alias("cosine_similarity"))
-    )
 
 
 def exact_cosine_pairs(ratings: DataFrame, *, min_cosine: float | None = None,
@@ -39,8 +19,8 @@ def exact_cosine_pairs(ratings: DataFrame, *, min_cosine: float | None = None,
     threshold t between unit vectors is the cosine cut 1 - t^2/2).
     """
     by = list(by)
-    dots = gram_products(ratings, by, item_block=item_block, side_rows=side_rows)
-    pairs = cosine_from_dots(dots, ratings, by)
+    pairs = gram_products(ratings, by, item_block=item_block, side_rows=side_rows).select(
+        *by, "movie_i", "movie_j", "cosine_similarity")
     if min_cosine is not None:
         pairs = pairs.where(F.col("cosine_similarity") > F.lit(float(min_cosine)))
     return pairs

@@ -41,7 +41,7 @@ def test_hot_user_with_a_third_of_all_rows(mk):
     rows = random_ratings(60, 200, 0.02, seed=3, hot_user=0, hot_share=0.34)
     share = sum(1 for r in rows if r[0] == 0) / len(rows)
     assert share > 0.3
-    layout = gram.block_map(mk(rows), item_block=16, side_rows=10).collect()
+    layout = gram.block_map(gram.item_stats(mk(rows)), item_block=16, side_rows=10).collect()
     assert max(r["_s"] for r in layout) > 1          # the hot block is striped
     got = _pairs(E.exact_cosine_pairs(mk(rows), item_block=16, side_rows=10))
     assert got == pytest.approx(brute_cosines(rows), abs=1e-12)
