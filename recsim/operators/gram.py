@@ -36,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recsim.session import cut_lineage
+
 DEFAULT_ITEM_BLOCK = 2048
 DEFAULT_SIDE_ROWS = 1_000_000
 DEFAULT_VIRTUAL_BLOCKS = 8192   # fine hash buckets of items; sub-blocks are unions of them
@@ -163,11 +165,15 @@ def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_bl
     ``ratings`` needs ``userId, movieId, rating`` plus ``group_cols``; an item
     may belong to several groups (one row per membership).  Pairs with a zero
     dot product (no co-rater) are not returned.  The input is read twice: once
-    for the per-item statistics (norms and the block layout), once for the
-    product; the pair table is never joined again.
+    for the per-item statistics (norms and the block layout; runs one job that
+    writes them to the checkpoint folder), once for the product; the pair table
+    is never joined again.
     """
     g = list(group_cols)
-    stats = item_stats(ratings, g)
+    # One job: the per-item statistics (one row per item and group) are written to
+    # the shared checkpoint folder, so the layout's branches read that small table
+    # instead of re-aggregating the ratings each time.
+    stats = cut_lineage(item_stats(ratings, g), "item-stats")
     layout = block_map(stats, g, item_block=item_block, side_rows=side_rows, virtual_blocks=virtual_blocks)
     stripes = layout.select(*g, F.col("_blk").alias("_other"), F.col("_s").alias("_s2")).distinct()
     rep = (ratings.where(F.col("rating") != 0)
