@@ -35,7 +35,10 @@ def main() -> None:
     ratings = src.event_ratings(spark, sf_dir)
     wl = Workload(spark, sf_dir, p)
 
-    drain(D.item_support(ratings))            # warm-up (not timed)
+    # warm-up (not timed): JVM/JIT and the Python workers of the pandas stages
+    drain(D.item_support(ratings))
+    n = int(cpus) if cpus.isdigit() else 8
+    drain(spark.range(0, 4 * n, numPartitions=n).mapInPandas(lambda it: it, "id long"))
 
     def run_eval(method: str, params: Params):
         run = P.train_and_evaluate(ratings, params, method)

@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The original pipeline has no streaming part (no stream source, watermark,
+window, state or late data), so no streaming operator is built here: adding
+one would add behaviour the original does not have.  Every operator of the
+package is a plain DataFrame function, so it can be applied to each
+micro-batch of a Structured Streaming query through ``foreachBatch`` without
+changes.
+"""
