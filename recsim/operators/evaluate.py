@@ -41,6 +41,22 @@ def prediction_coverage(preds: DataFrame, default_rating: float, by: Sequence[st
         (F.lit(100.0) * not_default / n).alias("coverage_compat"))
 
 
+def summary(preds: DataFrame, default_rating: float, by: Sequence[str] = ()) -> DataFrame:
+    """RMSE, MAE and both coverages in a single aggregate (one pass over the predictions)."""
+    e = _err()
+    n = F.count(F.lit(1))
+    from_nb = F.count_if(~F.col("is_fallback"))
+    not_default = F.count_if(F.col("predicted_rating") != F.lit(float(default_rating)))
+    return preds.groupBy(*by).agg(
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.avg(F.abs(e)).alias("mae"),
+        n.alias("num_predictions"),
+        from_nb.alias("num_from_neighbors"),
+        not_default.alias("num_not_default"),
+        (F.lit(100.0) * from_nb / n).alias("coverage"),
+        (F.lit(100.0) * not_default / n).alias("coverage_compat"))
+
+
 def error_stats(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean and sample standard deviation of the error, plus MAE and RMSE."""
     e = _err()

@@ -148,11 +148,12 @@ def block_map(stats: DataFrame, group_cols: Sequence[str] = (), *, item_block: i
     g = list(group_cols)
     vb = stats.groupBy(*g, _vblk(virtual_blocks).alias("_vblk")).agg(
         F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_items"))
-    per_group = vb.groupBy(*g).agg(
-        F.least(F.lit(virtual_blocks), F.greatest(F.lit(1), F.ceil(F.sum("_items") / F.lit(item_block))))
-        .cast("int").alias("_nsub"))
-    laid = (vb.join(per_group, g) if g else vb.crossJoin(per_group)).withColumn(
-        "_blk", F.pmod(F.col("_vblk"), F.col("_nsub")).cast("int"))
+    nsub = F.least(F.lit(virtual_blocks), F.greatest(F.lit(1), F.ceil(F.sum("_items") / F.lit(item_block))))
+    if g:
+        laid = vb.join(vb.groupBy(*g).agg(nsub.cast("int").alias("_nsub")), g)
+    else:   # one group: the count is a scalar subquery
+        laid = vb.withColumn("_nsub", vb.agg(nsub.cast("int")).scalar())
+    laid = laid.withColumn("_blk", F.pmod(F.col("_vblk"), F.col("_nsub")).cast("int"))
     stripes = laid.groupBy(*g, "_blk").agg(
         F.greatest(F.lit(1), F.ceil(F.sum("_rows") / F.lit(side_rows))).cast("int").alias("_s"))
     return laid.join(stripes, [*g, "_blk"]).select(*g, "_vblk", "_blk", "_nsub", "_s")

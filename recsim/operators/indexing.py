@@ -20,12 +20,13 @@ from recsim.session import cut_lineage
 
 
 def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "pos",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, with_total: bool = False):
     """Add ``index_col`` = 0-based position of the row in ``order_cols`` order.
 
     Keys must be unique for the result to be deterministic.  Runs two jobs
     (checkpoint + per-partition counts); the offset table has one row per
-    partition, so its size is bounded by the partition count.
+    partition, so its size is bounded by the partition count.  With
+    ``with_total`` it returns ``(frame, total row count)``.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -46,8 +47,9 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "pos"
         T.StructField("_first", T.LongType()),
     ])
     off = spark.createDataFrame(offsets, schema)
-    return (
+    out = (
         staged.join(F.broadcast(off), "_pid")
         .withColumn(index_col, F.col("_off") + F.col("_mono") - F.col("_first"))
         .drop("_pid", "_mono", "_off", "_first")
     )
+    return (out, acc) if with_total else out

@@ -90,14 +90,13 @@ def item_vectors(profiles: DataFrame, index: DataFrame) -> DataFrame:
 
     The one Python UDF of the library: MLlib's LSH needs ``VectorUDT`` input and
     no built-in builds a sparse vector from index/value arrays.  It runs once per
-    item, not per rating.  The user count joins in as a one-row aggregate, so no
-    driver round trip is needed.
+    item, not per rating.  The user count is a scalar subquery, so no driver
+    round trip is needed.
     """
     from pyspark.ml.linalg import VectorUDT
     to_vec = F.udf(_to_sparse, VectorUDT())
-    size = index.agg(F.count(F.lit(1)).alias("_size"))
-    return profiles.crossJoin(F.broadcast(size)).select(
-        "movieId", to_vec("user_ratings", "_size").alias("features"), "num_ratings")
+    size = index.agg(F.count(F.lit(1))).scalar()
+    return profiles.select("movieId", to_vec("user_ratings", size).alias("features"), "num_ratings")
 
 
 def normalize_vectors(vectors: DataFrame, input_col: str = "features",

@@ -68,20 +68,18 @@ def supported_item_count(ratings: DataFrame, min_ratings: int) -> DataFrame:
 def value_histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram over [min, max]; the last bin is closed on the right.
 
-    The min/max pass is a one-row aggregate cross-joined back (broadcast of one
-    row), so the whole histogram is one plan without driver round trips.
+    The min/max pass is a scalar subquery, so the whole histogram is one plan
+    without driver round trips.
     """
     v = F.col(col)
-    rng = df.agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor((v - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    return (df.where(v.isNotNull()).crossJoin(F.broadcast(rng)).withColumn("bin", b)
-            .groupBy("bin").agg(
-                F.count(F.lit(1)).alias("num_values"),
-                F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    rng = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
+    lo, hi = rng["lo"], rng["hi"]
+    width = (hi - lo) / F.lit(bins)
+    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((v - lo) / width), F.lit(bins - 1))).cast("int")
+    return (df.where(v.isNotNull()).withColumn("bin", b)
+            .groupBy("bin").agg(F.count(F.lit(1)).alias("num_values"))
             .select("bin",
-                    (F.col("_lo") + F.col("bin") * (F.col("_hi") - F.col("_lo")) / F.lit(bins)).alias("bin_start"),
-                    (F.col("_lo") + (F.col("bin") + 1) * (F.col("_hi") - F.col("_lo")) / F.lit(bins)).alias("bin_end"),
+                    (lo + F.col("bin") * (hi - lo) / F.lit(bins)).alias("bin_start"),
+                    (lo + (F.col("bin") + 1) * (hi - lo) / F.lit(bins)).alias("bin_end"),
                     "num_values")
             .orderBy("bin"))

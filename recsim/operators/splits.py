@@ -39,11 +39,9 @@ def kfold_assign(ratings: DataFrame, k: int = 5, order_cols: Sequence[str] = ("u
     Positions come from the distributed dense index (no single-partition window).
     ``order_cols`` must be a unique key.
     """
-    pos = dense_index(ratings, list(order_cols), "_pos")
-    total = ratings.agg(F.count(F.lit(1)).alias("_n"))
-    return (pos.crossJoin(F.broadcast(total))
-            .withColumn(fold_col, (F.floor(F.col("_pos") * F.lit(k) / F.col("_n")) + 1).cast("int"))
-            .drop("_pos", "_n"))
+    pos, total = dense_index(ratings, list(order_cols), "_pos", with_total=True)
+    return (pos.withColumn(fold_col, (F.floor(F.col("_pos") * F.lit(k) / F.lit(max(total, 1))) + 1).cast("int"))
+            .drop("_pos"))
 
 
 def leave_n_out(ratings: DataFrame, start: int, stop: int, order_cols: Sequence[str] = ("movieId",),

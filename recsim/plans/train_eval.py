@@ -85,8 +85,7 @@ def train_and_evaluate(ratings: DataFrame, params: Params = Params(), method: st
         neighbors = cut_lineage(neighbors, "neighbors")
     warm = G.warm_test(test, train)
     preds = G.final_predictions(warm, neighbors, train, params.default_rating)
-    metrics = H.prediction_metrics(preds).crossJoin(
-        H.prediction_coverage(preds, params.default_rating).drop("num_predictions"))
+    metrics = H.summary(preds, params.default_rating)
     return Run(train, test, neighbors, preds, metrics)
 
 
@@ -171,8 +170,7 @@ def cross_validate(ratings: DataFrame, k: int = 5, params: Params = Params(), me
     neighbors = neighbor_table(sup, params, method, by)
     warm = G.warm_test(test, train, by)
     preds = G.final_predictions(warm, neighbors, train, params.default_rating, by)
-    per_fold = H.prediction_metrics(preds, by).join(
-        H.prediction_coverage(preds, params.default_rating, by).drop("num_predictions"), by)
+    per_fold = H.summary(preds, params.default_rating, by)
     mean = per_fold.agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"),
                         F.avg("coverage").alias("coverage"), F.count(F.lit(1)).alias("folds"))
     return per_fold, mean
