@@ -125,9 +125,3 @@ def vector_entries(vectors: DataFrame, col: str = "features") -> DataFrame:
     return vectors.select("movieId", F.explode(entries(col)).alias("e")).select(
         "movieId", "e.user_idx", "e.value")
 
-
-EMPTY_PAIRS = T.StructType([
-    T.StructField("movie_i", T.LongType()),
-    T.StructField("movie_j", T.LongType()),
-    T.StructField("cosine_similarity", T.DoubleType()),
-])

@@ -94,6 +94,8 @@ def test_topk_at_most_k_per_item(mk):
     top = E.topk_neighbors(E.symmetric_pairs(E.exact_cosine_pairs(mk(rows))), 3)
     counts = top.groupBy("movie_i").count().collect()
     assert max(r["count"] for r in counts) <= 3
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
 
 
 def test_threshold_is_strict(mk):

@@ -70,7 +70,7 @@ def test_leave_n_out_per_user(mk):
 def test_leave_n_out_uses_group_limit_before_shuffle(mk):
     df = C.leave_n_out(mk(random_ratings(10, 10, 0.5)), 1, 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan or "Window" in plan
+    assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
 def test_leave_n_out_capped(mk):
