@@ -42,7 +42,7 @@ DEFAULT_ITEM_BLOCK = 2048
 DEFAULT_SIDE_ROWS = 1_000_000
 DEFAULT_VIRTUAL_BLOCKS = 8192   # fine hash buckets of items; sub-blocks are unions of them
 _CHUNK = 1 << 22          # products expanded per numpy step in the sparse kernel
-_DENSE_MAX = 1 << 25      # largest dense operand (entries) a cell may allocate
+_DENSE_MAX = 1 << 24      # largest dense operand (entries, 128 MB) a cell may allocate
 
 
 def _sparse_gram(ua, ia, va, ub, ib, vb, n_users, na, nb):
