@@ -14,8 +14,9 @@ a third of all ratings would push (N/3)^2 rows through one join key.  Here:
 * a rating of block ``b`` is sent to the cell (stripe, min(b, o), max(b, o))
   for every non-empty partner block ``o`` (replication factor ``n_sub``);
 * each cell multiplies its two sparse blocks inside one pandas task, either
-  as dense BLAS (dense data) or as a chunked sparse expansion accumulated into
-  an |A| x |B| array (sparse data), whichever costs less.  A heavy user is one
+  as dense BLAS (dense data) or as a chunked sparse expansion reduced per
+  chunk (into an |A| x |B| array when small, else by sorting pair keys),
+  whichever costs less.  A heavy user is one
   matrix row; per-user pairs never become rows;
 * every rating carries its item's squared norm, so a cell also emits the
   partial cosine dot / sqrt(|i|^2 |j|^2); Spark sums the partial products of
@@ -38,15 +39,23 @@ from pyspark.sql import types as T
 
 from recsim.session import cut_lineage
 
-DEFAULT_ITEM_BLOCK = 2048
+DEFAULT_ITEM_BLOCK = 8192
 DEFAULT_SIDE_ROWS = 1_000_000
 DEFAULT_VIRTUAL_BLOCKS = 8192   # fine hash buckets of items; sub-blocks are unions of them
 _CHUNK = 1 << 22          # products expanded per numpy step in the sparse kernel
 _DENSE_MAX = 1 << 24      # largest dense operand (entries, 128 MB) a cell may allocate
+_MIN_BLOCK = 64           # smallest sub-block the parallelism floor may create
+_DENSE_ACC = 1 << 22      # largest dense accumulator (entries, 32 MB); beyond it pairs are sorted
 
 
-def _sparse_gram(ua, ia, va, ub, ib, vb, n_users, na, nb):
-    """sum_u a_u^T b_u with a, b given as (user, column, value) triplets."""
+def _sparse_gram(ua, ia, va, ub, ib, vb, n_users, na, nb, upper: bool = False):
+    """sum_u a_u^T b_u from (user, column, value) triplets, as COO (rows, cols, values).
+
+    Users' outer products are expanded in chunks of at most ``_CHUNK`` products
+    and reduced per chunk: into a dense |A| x |B| array when that is small,
+    otherwise by sorting the pair keys, so memory stays bounded for any block
+    size.  ``upper`` keeps only row < col (diagonal cells).
+    """
     oa = np.argsort(ua, kind="stable")
     ua, ia, va = ua[oa], ia[oa], va[oa]
     ob = np.argsort(ub, kind="stable")
@@ -55,7 +64,9 @@ def _sparse_gram(ua, ia, va, ub, ib, vb, n_users, na, nb):
     b_start = np.concatenate(([0], np.cumsum(cb)[:-1]))
     rep = cb[ua]
     cum = np.cumsum(rep)
-    acc = np.zeros(na * nb, dtype=np.float64)
+    dense = na * nb <= _DENSE_ACC
+    acc = np.zeros(na * nb, dtype=np.float64) if dense else None
+    parts_k, parts_v = [], []
     start, n = 0, len(ua)
     while start < n:
         base = cum[start - 1] if start else 0
@@ -66,12 +77,59 @@ def _sparse_gram(ua, ia, va, ub, ib, vb, n_users, na, nb):
             ka = np.repeat(np.arange(start, end), r)
             within = np.arange(tot) - np.repeat(np.cumsum(r) - r, r)
             kb = b_start[ua[ka]] + within
-            acc += np.bincount(ia[ka] * nb + ib[kb], weights=va[ka] * vb[kb], minlength=na * nb)
+            rows, cols = ia[ka], ib[kb]
+            vals = va[ka] * vb[kb]
+            if upper:
+                keep = rows < cols
+                rows, cols, vals = rows[keep], cols[keep], vals[keep]
+            keys = rows.astype(np.int64) * nb + cols
+            if dense:
+                acc += np.bincount(keys, weights=vals, minlength=na * nb)
+            else:
+                uk, inv = np.unique(keys, return_inverse=True)
+                parts_k.append(uk)
+                parts_v.append(np.bincount(inv, weights=vals))
         start = end
-    return acc.reshape(na, nb)
+    if dense:
+        keys = np.nonzero(acc)[0]
+        vals = acc[keys]
+    elif parts_k:
+        uk, inv = np.unique(np.concatenate(parts_k), return_inverse=True)
+        keys, vals = uk, np.bincount(inv, weights=np.concatenate(parts_v))
+    else:
+        keys, vals = np.zeros(0, dtype=np.int64), np.zeros(0)
+    return keys // nb, keys % nb, vals
+
 
+def _dense_gram(ua, ia, va, ub, ib, vb, n_users, na, nb, upper: bool = False):
+    """Same result as ``_sparse_gram`` through BLAS on dense operands; the product is
+    formed in column slabs so the result never exceeds ``_DENSE_ACC`` entries."""
+    xa = np.zeros((n_users, na))
+    xa[ua, ia] = va
+    if upper:
+        xb = xa
+    else:
+        xb = np.zeros((n_users, nb))
+        xb[ub, ib] = vb
+    step = max(1, _DENSE_ACC // max(na, 1))
+    rows, cols, vals = [], [], []
+    for c0 in range(0, nb, step):
+        g = xa.T @ xb[:, c0:c0 + step]
+        r, c = np.nonzero(g)
+        v = g[r, c]
+        c = c + c0
+        if upper:
+            keep = r < c
+            r, c, v = r[keep], c[keep], v[keep]
+        rows.append(r)
+        cols.append(c)
+        vals.append(v)
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
 
-def _cell_function(group_cols: Sequence[str]):
+
+def _cell_function(group_cols: Sequence[str], with_dot: bool = False):
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         lo = int(pdf["_lo"].iat[0])
         hi = int(pdf["_hi"].iat[0])
@@ -96,28 +154,19 @@ def _cell_function(group_cols: Sequence[str]):
         expanded = float(np.dot(per_user_a.astype(np.float64), per_user_b))
         dense_flops = float(nu) * na * nb
         if nu * max(na, nb) <= _DENSE_MAX and dense_flops < 64.0 * expanded:
-            xa = np.zeros((nu, na))
-            xa[uinv[ma], ca] = val[ma]
-            if lo == hi:
-                g = xa.T @ xa
-            else:
-                xb = np.zeros((nu, nb))
-                xb[uinv[mb], cb] = val[mb]
-                g = xa.T @ xb
-        else:
-            g = _sparse_gram(uinv[ma], ca, val[ma], uinv[mb], cb, val[mb], nu, na, nb)
-        if lo == hi:
-            ii, jj = np.triu_indices(na, k=1)
+            ii, jj, dots = _dense_gram(uinv[ma], ca, val[ma], uinv[mb], cb, val[mb], nu, na, nb,
+                                       upper=(lo == hi))
         else:
-            ii, jj = np.nonzero(g)
-        dots = g[ii, jj]
+            ii, jj, dots = _sparse_gram(uinv[ma], ca, val[ma], uinv[mb], cb, val[mb], nu, na, nb,
+                                        upper=(lo == hi))
         keep = dots != 0.0
         ii, jj, dots = ii[keep], jj[keep], dots[keep]
         a, b = ids_a[ii], ids_b[jj]
         out = {c: np.repeat(pdf[c].iat[0], len(dots)) for c in group_cols}
         out["movie_i"] = np.minimum(a, b).astype(np.int64)
         out["movie_j"] = np.maximum(a, b).astype(np.int64)
-        out["dot"] = dots
+        if with_dot:
+            out["dot"] = dots
         # the stripe sum of dot / sqrt(|i|^2 |j|^2) is the cosine (division distributes)
         out["cosine_similarity"] = dots / np.sqrt(norm_a[ii] * norm_b[jj])
         return pd.DataFrame(out)
@@ -136,19 +185,23 @@ def _vblk(virtual_blocks: int):
 
 
 def block_map(stats: DataFrame, group_cols: Sequence[str] = (), *, item_block: int = DEFAULT_ITEM_BLOCK,
-              side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS) -> DataFrame:
+              side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS,
+              min_sub: int = 1) -> DataFrame:
     """Small table (group, _vblk) -> (_blk, _nsub, _s): the block layout of every group.
 
     From the per-item statistics: rows and items per virtual block (hash(item)
     % V), n_sub = ceil(items / item_block) sub-blocks per group (unions of
     virtual blocks: sub-block = virtual block % n_sub), and ``_s`` =
-    ceil(rows / side_rows) user stripes per sub-block.  At most groups x V rows,
-    so it is broadcast.
+    ceil(rows / side_rows) user stripes per sub-block.  ``min_sub`` raises the
+    sub-block count for parallelism (blocks keep at least ``_MIN_BLOCK`` items).
+    At most groups x V rows, so it is broadcast.
     """
     g = list(group_cols)
     vb = stats.groupBy(*g, _vblk(virtual_blocks).alias("_vblk")).agg(
         F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_items"))
-    nsub = F.least(F.lit(virtual_blocks), F.greatest(F.lit(1), F.ceil(F.sum("_items") / F.lit(item_block))))
+    items = F.sum("_items")
+    floor = F.least(F.lit(min_sub), F.ceil(items / F.lit(_MIN_BLOCK)))
+    nsub = F.least(F.lit(virtual_blocks), F.greatest(F.lit(1), F.ceil(items / F.lit(item_block)), floor))
     if g:
         laid = vb.join(vb.groupBy(*g).agg(nsub.cast("int").alias("_nsub")), g)
     else:   # one group: the count is a scalar subquery
@@ -160,22 +213,34 @@ def block_map(stats: DataFrame, group_cols: Sequence[str] = (), *, item_block: i
 
 
 def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_block: int = DEFAULT_ITEM_BLOCK,
-                  side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS) -> DataFrame:
-    """(group..., movie_i, movie_j, dot, cosine_similarity) for item pairs i < j sharing a group.
+                  side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS,
+                  with_dot: bool = False) -> DataFrame:
+    """(group..., movie_i, movie_j[, dot], cosine_similarity) for item pairs i < j sharing a group.
 
     ``ratings`` needs ``userId, movieId, rating`` plus ``group_cols``; an item
     may belong to several groups (one row per membership).  Pairs with a zero
     dot product (no co-rater) are not returned.  The input is read twice: once
     for the per-item statistics (norms and the block layout; runs one job that
-    writes them to the checkpoint folder), once for the product; the pair table
-    is never joined again.
+    writes them to the checkpoint folder, and one tiny job over the layout),
+    once for the product; the pair table is never joined again.  When every
+    block has a single user stripe each pair comes out of exactly one cell and
+    the stripe-sum shuffle is skipped.
     """
     g = list(group_cols)
+    # Without groups, ask for enough sub-blocks to give every core about two cells.
+    min_sub = 1
+    if not g:
+        target = 2 * ratings.sparkSession.sparkContext.defaultParallelism
+        while min_sub * (min_sub + 1) // 2 < target:
+            min_sub += 1
     # One job: the per-item statistics (one row per item and group) are written to
     # the shared checkpoint folder, so the layout's branches read that small table
     # instead of re-aggregating the ratings each time.
     stats = cut_lineage(item_stats(ratings, g), "item-stats")
-    layout = block_map(stats, g, item_block=item_block, side_rows=side_rows, virtual_blocks=virtual_blocks)
+    layout = block_map(stats, g, item_block=item_block, side_rows=side_rows, virtual_blocks=virtual_blocks,
+                       min_sub=min_sub)
+    layout = cut_lineage(layout, "gram-layout")     # small: at most groups x V rows
+    single_stripe = (layout.agg(F.max("_s")).first()[0] or 1) == 1
     stripes = layout.select(*g, F.col("_blk").alias("_other"), F.col("_s").alias("_s2")).distinct()
     rep = (ratings.where(F.col("rating") != 0)
            .select(*g, "userId", "movieId", "rating")
@@ -193,9 +258,12 @@ def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_bl
     schema = T.StructType(gfields + [
         T.StructField("movie_i", T.LongType()),
         T.StructField("movie_j", T.LongType()),
-        T.StructField("dot", T.DoubleType()),
+    ] + ([T.StructField("dot", T.DoubleType())] if with_dot else []) + [
         T.StructField("cosine_similarity", T.DoubleType()),
     ])
-    partial = rep.groupBy(*g, "_stripe", "_lo", "_hi").applyInPandas(_cell_function(g), schema)
+    partial = rep.groupBy(*g, "_stripe", "_lo", "_hi").applyInPandas(_cell_function(g, with_dot), schema)
+    if single_stripe:
+        return partial
+    sums = [F.sum("dot").alias("dot")] if with_dot else []
     return partial.groupBy(*g, "movie_i", "movie_j").agg(
-        F.sum("dot").alias("dot"), F.sum("cosine_similarity").alias("cosine_similarity"))
+        *sums, F.sum("cosine_similarity").alias("cosine_similarity"))

@@ -24,7 +24,7 @@ class Params:
     # Our own additions.
     bits_per_band: int = 1          # AND-amplification of the relational LSH
     min_neighbors: int = 1          # rated neighbours needed for a user recommendation
-    item_block: int = 2048          # items per sub-block of the blocked Gram product
+    item_block: int = 8192          # items per sub-block of the blocked Gram product
     side_rows: int = 1_000_000      # rating rows per block side and user stripe
     round_digits: int = 6           # rounding applied last to float outputs
 

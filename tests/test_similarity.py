@@ -55,8 +55,19 @@ def test_sparse_kernel_in_small_chunks(monkeypatch):
     b = (rng.random((40, 9)) < 0.4) * rng.integers(1, 6, (40, 9))
     ua, ia = np.nonzero(a)
     ub, ib = np.nonzero(b)
-    g = gram._sparse_gram(ua, ia, a[ua, ia].astype(float), ub, ib, b[ub, ib].astype(float), 40, 12, 9)
-    assert np.array_equal(g, a.T @ b)
+    for acc in (1 << 22, 4):            # dense accumulator, then sorted pair keys
+        monkeypatch.setattr(gram, "_DENSE_ACC", acc)
+        for kernel in (gram._sparse_gram, gram._dense_gram):
+            r, c, v = kernel(ua, ia, a[ua, ia].astype(float), ub, ib, b[ub, ib].astype(float), 40, 12, 9)
+            g = np.zeros((12, 9))
+            g[r, c] = v
+            assert np.array_equal(g, a.T @ b)
+    # diagonal cell: strictly upper triangle only
+    r, c, v = gram._sparse_gram(ua, ia, a[ua, ia].astype(float), ua, ia, a[ua, ia].astype(float), 40, 12, 12,
+                                upper=True)
+    full = a.T @ a
+    assert np.all(r < c) and np.array_equal(v, full[r, c])
+    assert len(v) == int(np.count_nonzero(np.triu(full, k=1)))
 
 
 def test_cosine_properties(mk):
