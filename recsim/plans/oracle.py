@@ -385,6 +385,35 @@ def topk_neighbors(p):
     return q(p, "SELECT movie_i, movie_j, round(cosine_similarity, 6) AS cosine_similarity, rank FROM neigh")
 
 
+def _lineitem_pairs(item_col: str) -> str:
+    return f"""
+lr AS (
+  SELECT o.o_custkey AS userId, l.{item_col} AS movieId, CAST(ceil(max(l.l_quantity) / 10) AS DOUBLE) AS rating
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2),
+ln AS (SELECT movieId, sum(rating * rating) AS norm2 FROM lr GROUP BY movieId),
+ld AS (
+  SELECT a.movieId AS movie_i, b.movieId AS movie_j, sum(a.rating * b.rating) AS dot
+  FROM lr a JOIN lr b ON a.userId = b.userId AND a.movieId < b.movieId GROUP BY 1, 2),
+lp AS (
+  SELECT d.movie_i, d.movie_j, d.dot / sqrt(ni.norm2 * nj.norm2) AS cosine_similarity
+  FROM ld d JOIN ln ni ON ni.movieId = d.movie_i JOIN ln nj ON nj.movieId = d.movie_j)"""
+
+
+def supplier_cosine_pairs(p):
+    return f"""WITH {_lineitem_pairs("l_suppkey")}
+SELECT movie_i, movie_j, round(cosine_similarity, 6) AS cosine_similarity FROM lp
+WHERE cosine_similarity > {dbl(p.min_cosine)}"""
+
+
+def part_topk_neighbors(p):
+    return f"""WITH {_lineitem_pairs("l_partkey")},
+ls AS (SELECT movie_i, movie_j, cosine_similarity FROM lp
+       UNION ALL SELECT movie_j, movie_i, cosine_similarity FROM lp)
+SELECT movie_i, movie_j, round(cosine_similarity, 6) AS cosine_similarity, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY movie_i ORDER BY cosine_similarity DESC, movie_j) AS rank FROM ls)
+WHERE rank <= {p.top_k}"""
+
+
 def embedding_cosine_pairs(p):
     return f"""WITH
 e AS (SELECT vec_id AS movieId, CAST(unnest(embedding) AS DOUBLE) AS v,

@@ -283,6 +283,18 @@ class Workload:
     def topk_neighbors(self) -> DataFrame:
         return rounded(self.neighbors_ranked)
 
+    def supplier_cosine_pairs(self) -> DataFrame:
+        """Exact pairs above the threshold on the lineitem/supplier ratings (R_ls)."""
+        ls = src.lineitem_ratings(self.spark, self.sf_dir, "supp")
+        return rounded(E.exact_cosine_pairs(ls, min_cosine=self.p.min_cosine,
+                                            item_block=self.p.item_block, side_rows=self.p.side_rows))
+
+    def part_topk_neighbors(self) -> DataFrame:
+        """Top-K neighbours without a threshold on the sparse lineitem/part ratings (R_lp)."""
+        lp = src.lineitem_ratings(self.spark, self.sf_dir, "part")
+        pairs = E.exact_cosine_pairs(lp, item_block=self.p.item_block, side_rows=self.p.side_rows)
+        return rounded(E.topk_neighbors(E.symmetric_pairs(pairs), self.p.top_k, keep_rank=True))
+
     def embedding_cosine_pairs(self) -> DataFrame:
         ent = src.embedding_entries(self.spark, self.sf_dir)
         return rounded(E.exact_cosine_pairs(ent, min_cosine=self.p.min_cosine,
@@ -388,6 +400,7 @@ REGISTERED = [
     # E
     "lsh_buckets", "lsh_similar_pairs", "distance_to_cosine", "exact_cosine_pairs", "projection_buckets",
     "projection_similar_pairs", "lsh_recall", "symmetric_pairs", "topk_neighbors", "embedding_cosine_pairs",
+    "supplier_cosine_pairs", "part_topk_neighbors",
     # F
     "similar_items", "similar_items_bulk",
     # G
