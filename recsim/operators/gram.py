@@ -5,24 +5,26 @@ LSH verification.  The textbook relational form, a self join of the rating
 table on the user, emits one row per co-rated pair *per user*: a user holding
 a third of all ratings would push (N/3)^2 rows through one join key.  Here:
 
-* items are hashed into V virtual blocks; one aggregate pass gives rows and
-  distinct items per virtual block, from which a small layout table follows:
-  ``n_sub`` = ceil(items / item_block) sub-blocks per group (unions of virtual
-  blocks) and ``ceil(rows / side_rows)`` user stripes per sub-block, so a hot
-  item is spread over many stripes too; a cell (stripe, lo, hi) uses the larger
-  stripe count of its two blocks.  No driver round trip is needed;
+* items are hashed into V virtual blocks; one aggregate pass writes the
+  per-item statistics (count, squared norm) and a small layout table follows
+  from them: ``n_sub`` = ceil(items / item_block) sub-blocks per group (unions
+  of virtual blocks) and ``ceil(rows / side_rows)`` user stripes per sub-block,
+  so a hot item is spread over many stripes too; a cell (stripe, lo, hi) uses
+  the larger stripe count of its two blocks;
 * a rating of block ``b`` is sent to the cell (stripe, min(b, o), max(b, o))
   for every non-empty partner block ``o`` (replication factor ``n_sub``);
 * each cell multiplies its two sparse blocks inside one pandas task, either
   as dense BLAS (dense data) or as a chunked sparse expansion reduced per
   chunk (into an |A| x |B| array when small, else by sorting pair keys),
-  whichever costs less.  A heavy user is one
-  matrix row; per-user pairs never become rows;
+  whichever costs less.  A heavy user is one matrix row; per-user pairs never
+  become rows;
 * every rating carries its item's squared norm, so a cell also emits the
-  partial cosine dot / sqrt(|i|^2 |j|^2); Spark sums the partial products of
-  the stripes (map-side partial aggregation) and the pair table is never
-  joined back to the norms.
+  partial cosine dot / sqrt(|i|^2 |j|^2); Spark sums the partials of the
+  stripes (map-side partial aggregation, skipped when every block has one
+  stripe) and the pair table is never joined back to the norms.
 
+The only values that reach the driver are the maximum stripe count (one
+number) and the parallelism target; everything else stays in Spark.
 Per-task memory and work are bounded by ``item_block`` and ``side_rows`` for
 any skew of users or items.
 """
@@ -33,7 +35,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from recsim.operators import gram
 from recsim.operators import similarity as E
