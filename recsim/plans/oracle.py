@@ -369,7 +369,7 @@ FROM cand c JOIN pj_cands k ON k.movie_i = c.movie_i AND k.movie_j = c.movie_j""
 
 def lsh_recall(p):
     b = W.RECALL_BANDS
-    return q(p, f"""SELECT CAST(g.t AS INTEGER) AS num_tables, count_if(j.first_table < g.t) AS found_pairs,
+    return q(p, f"""SELECT CAST(g.t AS INTEGER) AS num_tables, CAST(count_if(j.first_table < g.t) AS BIGINT) AS found_pairs,
        count(*) AS exact_pairs, round(count_if(j.first_table < g.t) / count(*), 6) AS recall
 FROM (SELECT c.movie_i, c.movie_j, k.first_table FROM cand c
       LEFT JOIN rc7_cands k ON k.movie_i = c.movie_i AND k.movie_j = c.movie_j) j
@@ -490,8 +490,8 @@ def prediction_metrics(p):
 
 def prediction_coverage(p):
     d = dbl(p.default_rating)
-    return q(p, f"""SELECT count(*) AS num_predictions, count_if(NOT is_fallback) AS num_from_neighbors,
-       count_if(predicted_rating <> {d}) AS num_not_default,
+    return q(p, f"""SELECT count(*) AS num_predictions, CAST(count_if(NOT is_fallback) AS BIGINT) AS num_from_neighbors,
+       CAST(count_if(predicted_rating <> {d}) AS BIGINT) AS num_not_default,
        round(CAST(100 AS DOUBLE) * count_if(NOT is_fallback) / count(*), 6) AS coverage,
        round(CAST(100 AS DOUBLE) * count_if(predicted_rating <> {d}) / count(*), 6) AS coverage_compat
 FROM preds""")
