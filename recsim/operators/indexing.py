@@ -29,8 +29,11 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "pos"
     ``with_total`` it returns ``(frame, total row count)``.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    # Without an explicit count AQE may merge neighbouring range partitions; merged
+    # partitions are still contiguous key ranges, so the order is preserved.
+    ranged = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
+    ordered = ranged.sortWithinPartitions(*order_cols)
     staged = cut_lineage(
         ordered.withColumn("_pid", F.spark_partition_id())
         .withColumn("_mono", F.monotonically_increasing_id())
