@@ -67,6 +67,16 @@ def staged_split(ratings: DataFrame, params: Params, checkpoint: bool = True) ->
     return train, test
 
 
+def supported_train(train: DataFrame, params: Params, by: Sequence[str] = (), checkpoint: bool = True) -> DataFrame:
+    """Training ratings of the supported items.  The item list (one row per item)
+    is written once, so the two passes of the Gram product do not each redo the
+    support aggregation over the training ratings."""
+    keep = D.supported_items(train, params.min_ratings, by).select(*by, "movieId")
+    if checkpoint:
+        keep = cut_lineage(keep, "supported-items")
+    return train.join(keep, [*by, "movieId"], "left_semi")
+
+
 @dataclass
 class Run:
     train: DataFrame
@@ -79,7 +89,7 @@ class Run:
 def train_and_evaluate(ratings: DataFrame, params: Params = Params(), method: str = "exact",
                        checkpoint: bool = True) -> Run:
     train, test = staged_split(ratings, params, checkpoint)
-    sup = D.supported_ratings(train, params.min_ratings)
+    sup = supported_train(train, params, checkpoint=checkpoint)
     neighbors = neighbor_table(sup, params, method)
     if checkpoint:
         neighbors = cut_lineage(neighbors, "neighbors")
@@ -109,7 +119,7 @@ def parameter_sweep(ratings: DataFrame, tables: Sequence[int] = (1, 3, 5, 7),
     settings = [(float(t), int(k)) for t in thresholds for k in top_ks]
     cuts = {t: 1.0 - t * t / 2.0 for t, _ in settings}
     train, test = staged_split(ratings, base)
-    sup = D.supported_ratings(train, base.min_ratings)
+    sup = supported_train(train, base)
     sig = L.projection_signatures(sup, max(tables), base.bits_per_band, base.seed)
     pairs = L.projection_pairs(sup, sig, item_block=base.item_block, side_rows=base.side_rows,
                                min_cosine=min(cuts.values()))
@@ -166,7 +176,7 @@ def cross_validate(ratings: DataFrame, k: int = 5, params: Params = Params(), me
     by = ["cv"]
     train = roles.where(F.col("role") == "train").drop("role")
     test = roles.where(F.col("role") == "test").drop("role")
-    sup = D.supported_ratings(train, params.min_ratings, by)
+    sup = supported_train(train, params, by)
     neighbors = neighbor_table(sup, params, method, by)
     warm = G.warm_test(test, train, by)
     preds = G.final_predictions(warm, neighbors, train, params.default_rating, by)
