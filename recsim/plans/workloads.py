@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -380,7 +380,6 @@ class Workload:
 
     def seed_recommendations_bulk(self) -> DataFrame:
         titled = self.train.join(self.items, "movieId")
-        from pyspark.sql import Window
         w = Window.partitionBy("userId").orderBy(F.col("rating").desc(), F.col("movieId").asc())
         baskets = (titled.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= BASKET_PER_USER)
                    .select(F.col("userId").alias("basket_id"), "title"))
