@@ -131,7 +131,23 @@ def _dense_gram(ua, ia, va, ub, ib, vb, n_users, na, nb, upper: bool = False):
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
 
 
-def _cell_function(group_cols: Sequence[str], with_dot: bool = False):
+def _cell_top_k(a, b, cos, k):
+    """Directed edges (src, dst, cos) keeping each source's best k by cos desc, dst asc."""
+    src = np.concatenate((a, b))
+    dst = np.concatenate((b, a))
+    c = np.concatenate((cos, cos))
+    order = np.lexsort((dst, -c, src))
+    src, dst, c = src[order], dst[order], c[order]
+    if len(src) == 0:
+        return src, dst, c
+    starts = np.r_[0, np.flatnonzero(np.diff(src)) + 1]
+    rank = np.arange(len(src)) - np.repeat(starts, np.diff(np.r_[starts, len(src)]))
+    keep = rank < k
+    return src[keep], dst[keep], c[keep]
+
+
+def _cell_function(group_cols: Sequence[str], with_dot: bool = False, top_k: int | None = None,
+                   min_cosine: float | None = None):
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         lo = int(pdf["_lo"].iat[0])
         hi = int(pdf["_hi"].iat[0])
@@ -164,13 +180,25 @@ def _cell_function(group_cols: Sequence[str], with_dot: bool = False):
         keep = dots != 0.0
         ii, jj, dots = ii[keep], jj[keep], dots[keep]
         a, b = ids_a[ii], ids_b[jj]
-        out = {c: np.repeat(pdf[c].iat[0], len(dots)) for c in group_cols}
+        # the stripe sum of dot / sqrt(|i|^2 |j|^2) is the cosine (division distributes)
+        cos = dots / np.sqrt(norm_a[ii] * norm_b[jj])
+        if top_k is not None:
+            # single-stripe cell: cosines are final, keep each item's best top_k partners
+            if min_cosine is not None:
+                m = cos > min_cosine
+                a, b, cos = a[m], b[m], cos[m]
+            src, dst, c = _cell_top_k(a, b, cos, top_k)
+            out = {col: np.repeat(pdf[col].iat[0], len(c)) for col in group_cols}
+            out["movie_i"] = src.astype(np.int64)
+            out["movie_j"] = dst.astype(np.int64)
+            out["cosine_similarity"] = c
+            return pd.DataFrame(out)
+        out = {col: np.repeat(pdf[col].iat[0], len(dots)) for col in group_cols}
         out["movie_i"] = np.minimum(a, b).astype(np.int64)
         out["movie_j"] = np.maximum(a, b).astype(np.int64)
         if with_dot:
             out["dot"] = dots
-        # the stripe sum of dot / sqrt(|i|^2 |j|^2) is the cosine (division distributes)
-        out["cosine_similarity"] = dots / np.sqrt(norm_a[ii] * norm_b[jj])
+        out["cosine_similarity"] = cos
         return pd.DataFrame(out)
 
     return cell
@@ -216,9 +244,16 @@ def block_map(stats: DataFrame, group_cols: Sequence[str] = (), *, item_block: i
 
 def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_block: int = DEFAULT_ITEM_BLOCK,
                   side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS,
-                  with_dot: bool = False) -> DataFrame:
+                  with_dot: bool = False, top_k: int | None = None,
+                  min_cosine: float | None = None) -> DataFrame:
     """(group..., movie_i, movie_j[, dot], cosine_similarity) for item pairs i < j sharing a group.
 
+    With ``top_k`` the result is instead a *directed* edge list that contains, for
+    every item, at least its ``top_k`` best partners above ``min_cosine`` (cosine
+    desc, partner id asc) - a superset for a final per-item window.  When every
+    block has one stripe the cells prune to their own top_k per item, so at most
+    (|A| + |B|) * top_k edges leave a cell instead of |A| * |B| pairs.
+
     ``ratings`` needs ``userId, movieId, rating`` plus ``group_cols``; an item
     may belong to several groups (one row per membership).  Pairs with a zero
     dot product (no co-rater) are not returned.  The input is read twice: once
@@ -263,7 +298,25 @@ def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_bl
     ] + ([T.StructField("dot", T.DoubleType())] if with_dot else []) + [
         T.StructField("cosine_similarity", T.DoubleType()),
     ])
+    if top_k is not None and single_stripe:
+        directed = T.StructType(gfields + [
+            T.StructField("movie_i", T.LongType()),
+            T.StructField("movie_j", T.LongType()),
+            T.StructField("cosine_similarity", T.DoubleType()),
+        ])
+        return rep.groupBy(*g, "_stripe", "_lo", "_hi").applyInPandas(
+            _cell_function(g, False, top_k, min_cosine), directed)
     partial = rep.groupBy(*g, "_stripe", "_lo", "_hi").applyInPandas(_cell_function(g, with_dot), schema)
+    if top_k is not None:
+        # several stripes: cosines are complete only after the stripe sum
+        summed = partial.groupBy(*g, "movie_i", "movie_j").agg(F.sum("cosine_similarity").alias("cosine_similarity"))
+        if min_cosine is not None:
+            summed = summed.where(F.col("cosine_similarity") > F.lit(float(min_cosine)))
+        both = F.explode(F.array(
+            F.struct(F.col("movie_i").alias("a"), F.col("movie_j").alias("b")),
+            F.struct(F.col("movie_j").alias("a"), F.col("movie_i").alias("b")))).alias("_e")
+        return summed.select(*g, both, "cosine_similarity").select(
+            *g, F.col("_e.a").alias("movie_i"), F.col("_e.b").alias("movie_j"), "cosine_similarity")
     if single_stripe:
         return partial
     sums = [F.sum("dot").alias("dot")] if with_dot else []

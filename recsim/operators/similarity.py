@@ -26,6 +26,21 @@ def exact_cosine_pairs(ratings: DataFrame, *, min_cosine: float | None = None,
     return pairs
 
 
+def exact_topk_neighbors(ratings: DataFrame, k: int, *, min_cosine: float | None = None,
+                         by: Sequence[str] = (), item_block: int = DEFAULT_ITEM_BLOCK,
+                         side_rows: int = DEFAULT_SIDE_ROWS, keep_rank: bool = False) -> DataFrame:
+    """Top-k exact neighbours per item (cosine desc, neighbour id asc), cosine > ``min_cosine``.
+
+    Same result as ``topk_neighbors(symmetric_pairs(exact_cosine_pairs(...)), k)``,
+    but the Gram cells keep only their own top-k per item whenever cosines are
+    final inside a cell, so the full pair table is never shuffled.
+    """
+    by = list(by)
+    edges = gram_products(ratings, by, item_block=item_block, side_rows=side_rows,
+                          top_k=k, min_cosine=min_cosine)
+    return topk_neighbors(edges, k, by, keep_rank=keep_rank)
+
+
 def symmetric_pairs(pairs: DataFrame, by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
     """Both directions of every edge from one scan of the half edge list."""
     by, extra = list(by), list(extra)

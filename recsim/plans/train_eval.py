@@ -51,6 +51,9 @@ def similarity_pairs(train_supported: DataFrame, params: Params, method: str = "
 
 def neighbor_table(train_supported: DataFrame, params: Params, method: str = "exact",
                    by: Sequence[str] = ()) -> DataFrame:
+    if method == "exact":
+        return E.exact_topk_neighbors(train_supported, params.top_k, min_cosine=params.min_cosine, by=by,
+                                      item_block=params.item_block, side_rows=params.side_rows)
     pairs = similarity_pairs(train_supported, params, method, by)
     return E.topk_neighbors(E.symmetric_pairs(pairs, by), params.top_k, by)
 

@@ -105,7 +105,8 @@ class Workload:
 
     @cached_property
     def neighbors_ranked(self) -> DataFrame:
-        return E.topk_neighbors(E.symmetric_pairs(self.pairs), self.p.top_k, keep_rank=True)
+        return E.exact_topk_neighbors(self.train_supported, self.p.top_k, min_cosine=self.p.min_cosine,
+                                      item_block=self.p.item_block, side_rows=self.p.side_rows, keep_rank=True)
 
     @property
     def neighbors(self) -> DataFrame:
@@ -292,8 +293,8 @@ class Workload:
     def part_topk_neighbors(self) -> DataFrame:
         """Top-K neighbours without a threshold on the sparse lineitem/part ratings (R_lp)."""
         lp = src.lineitem_ratings(self.spark, self.sf_dir, "part")
-        pairs = E.exact_cosine_pairs(lp, item_block=self.p.item_block, side_rows=self.p.side_rows)
-        return rounded(E.topk_neighbors(E.symmetric_pairs(pairs), self.p.top_k, keep_rank=True))
+        return rounded(E.exact_topk_neighbors(lp, self.p.top_k, item_block=self.p.item_block,
+                                              side_rows=self.p.side_rows, keep_rank=True))
 
     def embedding_cosine_pairs(self) -> DataFrame:
         ent = src.embedding_entries(self.spark, self.sf_dir)

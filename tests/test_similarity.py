@@ -130,3 +130,18 @@ def test_exact_path_has_no_row_python_udf(mk):
     plan = E.exact_cosine_pairs(mk(TINY))._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan
     assert "FlatMapGroupsInPandas" in plan
+
+
+@pytest.mark.parametrize("item_block,side_rows,cut", [(2048, 10 ** 6, None), (3, 10 ** 6, 0.3), (3, 7, 0.3), (1, 5, None)])
+def test_exact_topk_equals_window_over_all_pairs(mk, item_block, side_rows, cut):
+    rows = random_ratings(35, 30, 0.3, seed=17)
+    # duplicate some item vectors so that cosine ties cross cell borders
+    rows += [(u, 100 + i, r) for u, i, r in rows if i < 4]
+    r = mk(rows)
+    want = E.topk_neighbors(E.symmetric_pairs(E.exact_cosine_pairs(r, min_cosine=cut)), 4, keep_rank=True)
+    got = E.exact_topk_neighbors(r, 4, min_cosine=cut, item_block=item_block, side_rows=side_rows, keep_rank=True)
+    key = lambda x: (x.movie_i, x.rank)
+    w = sorted(want.collect(), key=key)
+    g = sorted(got.collect(), key=key)
+    assert [(x.movie_i, x.movie_j, x.rank) for x in g] == [(x.movie_i, x.movie_j, x.rank) for x in w]
+    assert [x.cosine_similarity for x in g] == pytest.approx([x.cosine_similarity for x in w], abs=1e-12)
