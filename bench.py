@@ -54,6 +54,10 @@ def main() -> None:
         lp = src.lineitem_ratings(spark, sf_dir, "part")
         drain(E.exact_cosine_pairs(lp, item_block=p.item_block, side_rows=p.side_rows))
 
+    def lp_topk():
+        lp = src.lineitem_ratings(spark, sf_dir, "part")
+        drain(E.exact_topk_neighbors(lp, p.top_k, item_block=p.item_block, side_rows=p.side_rows))
+
     queries = {
         "train_eval_exact": lambda: run_eval("exact", p),
         "train_eval_lsh": lambda: run_eval("lsh", p),
@@ -61,6 +65,7 @@ def main() -> None:
         "parameter_sweep_36": sweep,
         "cross_validate_5fold": cv,
         "exact_pairs_part_ratings": lp_pairs,
+        "exact_topk_part_ratings": lp_topk,
         "similar_items": lambda: wl.similar_items().collect(),
         "user_recommendations": lambda: drain(wl.user_recommendations()),
         "seed_recommendations_bulk": lambda: drain(wl.seed_recommendations_bulk()),
