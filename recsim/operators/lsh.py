@@ -109,6 +109,25 @@ def projection_pairs(ratings: DataFrame, signatures: DataFrame, *, item_block: i
     return pairs.select(*by, "movie_i", "movie_j", "first_table", "cosine_similarity")
 
 
+def projection_topk_neighbors(ratings: DataFrame, signatures: DataFrame, k: int, *,
+                              min_cosine: float | None = None, item_block: int = DEFAULT_ITEM_BLOCK,
+                              side_rows: int = DEFAULT_SIDE_ROWS, by: Sequence[str] = ()) -> DataFrame:
+    """Top-k LSH neighbours per item (cosine desc, id asc) among bucket-sharing items.
+
+    Each (band, bucket) group keeps only its own top-k per item inside the Gram
+    cells; an edge of the global top-k is in the top-k of every group holding
+    it, so the union of the group winners (deduplicated across bands) followed
+    by the per-item window is exact.
+    """
+    from recsim.operators.similarity import topk_neighbors
+    by = list(by)
+    r = ratings.join(signatures, [*by, "movieId"])
+    edges = gram_products(r, [*by, "band", "bucket"], item_block=item_block, side_rows=side_rows,
+                          top_k=k, min_cosine=min_cosine)
+    unique = edges.groupBy(*by, "movie_i", "movie_j").agg(F.max("cosine_similarity").alias("cosine_similarity"))
+    return topk_neighbors(unique, k, by)
+
+
 def lsh_recall(exact_pairs: DataFrame, lsh_pairs: DataFrame, bands: int) -> DataFrame:
     """Recall of the first T bands against the exact pairs, T = 1..bands, in one pass.
 

@@ -54,6 +54,11 @@ def neighbor_table(train_supported: DataFrame, params: Params, method: str = "ex
     if method == "exact":
         return E.exact_topk_neighbors(train_supported, params.top_k, min_cosine=params.min_cosine, by=by,
                                       item_block=params.item_block, side_rows=params.side_rows)
+    if method == "lsh":
+        sig = L.projection_signatures(train_supported, params.num_hash_tables, params.bits_per_band,
+                                      params.seed, by)
+        return L.projection_topk_neighbors(train_supported, sig, params.top_k, min_cosine=params.min_cosine,
+                                           item_block=params.item_block, side_rows=params.side_rows, by=by)
     pairs = similarity_pairs(train_supported, params, method, by)
     return E.topk_neighbors(E.symmetric_pairs(pairs, by), params.top_k, by)
 

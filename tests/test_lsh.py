@@ -68,3 +68,17 @@ def test_recall_monotone_in_tables(mk):
     vals = [x.recall for x in rec]
     assert vals == sorted(vals)
     assert all(0.0 <= v <= 1.0 for v in vals)
+
+
+@pytest.mark.parametrize("item_block,side_rows", [(2048, 10 ** 6), (3, 10 ** 6), (3, 7)])
+def test_projection_topk_equals_window_over_lsh_pairs(mk, item_block, side_rows):
+    rows = random_ratings(35, 30, 0.3, seed=19)
+    r = mk(rows)
+    sig = L.projection_signatures(r, 3, 2, 11)
+    pairs = L.projection_pairs(r, sig, min_cosine=0.2).drop("first_table")
+    want = E.topk_neighbors(E.symmetric_pairs(pairs), 4, keep_rank=True).collect()
+    got = E.topk_neighbors(L.projection_topk_neighbors(r, sig, 4, min_cosine=0.2, item_block=item_block,
+                                                       side_rows=side_rows), 4, keep_rank=True).collect()
+    key = lambda x: (x.movie_i, x.rank)
+    assert [(x.movie_i, x.movie_j) for x in sorted(got, key=key)] == \
+        [(x.movie_i, x.movie_j) for x in sorted(want, key=key)]
