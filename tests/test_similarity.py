@@ -145,3 +145,20 @@ def test_exact_topk_equals_window_over_all_pairs(mk, item_block, side_rows, cut)
     g = sorted(got.collect(), key=key)
     assert [(x.movie_i, x.movie_j, x.rank) for x in g] == [(x.movie_i, x.movie_j, x.rank) for x in w]
     assert [x.cosine_similarity for x in g] == pytest.approx([x.cosine_similarity for x in w], abs=1e-12)
+
+
+def test_hot_item_is_spread_over_stripes(mk):
+    rows = random_ratings(120, 60, 0.03, seed=23)
+    have = {(u, i) for u, i, _ in rows}
+    rows += [(u, 0, float(1 + u % 5)) for u in range(120) if (u, 0) not in have]   # item 0: every user
+    share = sum(1 for r in rows if r[1] == 0) / len(rows)
+    assert share > 0.3
+    stats = gram.item_stats(mk(rows))
+    layout = gram.block_map(stats, item_block=16, side_rows=25).collect()
+    hot_block = [r for r in layout if r["_s"] > 1]
+    assert hot_block                                   # the hot item's block is striped
+    got = _pairs(E.exact_cosine_pairs(mk(rows), item_block=16, side_rows=25))
+    assert got == pytest.approx(brute_cosines(rows), abs=1e-12)
+    top = E.exact_topk_neighbors(mk(rows), 3, item_block=16, side_rows=25, keep_rank=True).collect()
+    ref = E.topk_neighbors(E.symmetric_pairs(E.exact_cosine_pairs(mk(rows))), 3, keep_rank=True).collect()
+    assert sorted((x.movie_i, x.rank, x.movie_j) for x in top) == sorted((x.movie_i, x.rank, x.movie_j) for x in ref)
