@@ -39,7 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recsim.session import cut_lineage
+from recsim.session import cut_lineage, ship_by_value
+
+# The cell functions run in Python workers: ship them by value so executors do
+# not need this package on their import path.
+ship_by_value(__name__)
 
 DEFAULT_ITEM_BLOCK = 8192
 DEFAULT_SIDE_ROWS = 1_000_000

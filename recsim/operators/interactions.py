@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recsim.operators.indexing import dense_index
+from recsim.session import ship_by_value
+
+# The vector UDFs below run in Python workers: ship them by value.
+ship_by_value(__name__)
 
 
 def dedupe_ratings(ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -14,6 +14,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_by_value(module_name: str) -> None:
+    """Pickle functions of ``module_name`` by value when Spark sends them to Python
+    workers, so executors need not have this package on their import path."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "recsim") -> SparkSession:
     """Single-JVM session for tests and the local bench."""
