@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsim.llm import simhash, warc
+from recsim.llm import packing, simhash, warc
 from recsim.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,10 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM d JOIN f USING (payload_digest)
 """
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                                  max_tokens=4096, end_id=1).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
