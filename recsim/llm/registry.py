@@ -6,10 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsim.llm import packing, simhash, warc
+from recsim.llm import packing, quality, simhash, toxicity, warc
 from recsim.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,26 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                                   max_tokens=4096, end_id=1).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def fold(of: int) -> Column:
+    """crc32 of the id as text, modulo ``of``."""
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def _scored(docs: DataFrame, held_out: Column) -> DataFrame:
+    return docs.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(docs, labels.where(fold(5) != 0))
+    return _scored(toxicity.with_toxicity(docs.select("doc_id", "text"), model), fold(5) == 0)
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels.where(fold(3) != 1))
+    return _scored(quality.with_quality(docs.select("doc_id", "text"), model), fold(3) == 1)
