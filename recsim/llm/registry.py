@@ -9,13 +9,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsim.llm import packing, quality, simhash, toxicity, warc
+from recsim.llm import packing, quality, simhash, substrings, toxicity, warc
 from recsim.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def words_joined(text: Column) -> Column:
+    """The words (runs of characters other than 0x20 and 0x09-0x0D) of a text, joined by one space."""
+    flat = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
+    return F.regexp_replace(flat, "^ | $", "")
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -79,3 +85,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = quality.fit_quality(docs, labels.where(fold(3) != 1))
     return _scored(quality.with_quality(docs.select("doc_id", "text"), model), fold(3) == 1)
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substrings.substring_dedup(docs, window=20)
+    kept = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(words_joined(F.coalesce("kept_text", F.lit(""))))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
+#: Every window's first start by (doc_id, position); words under a later start go.
+SQL["op3_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM w WHERE len(words) >= 20),
+h AS (SELECT doc_id, pos, list_aggregate(words[pos:pos + 19], 'string_agg', ' ') AS body FROM p),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS n FROM h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS i FROM r WHERE n > 1),
+cut AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS kept FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i
+         GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(len(cut.gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.kept, '')) AS kept_sha256
+FROM w LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
