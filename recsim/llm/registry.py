@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsim.llm import packing, quality, simhash, substrings, toxicity, warc
+from recsim.llm import packing, pii, quality, simhash, substrings, toxicity, warc
 from recsim.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,13 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(len(cut.
        sha256(coalesce(kept.kept, '')) AS kept_sha256
 FROM w LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(F.array_join(F.transform(base, told), ","), 256).alias("base_sha256"),
+                        F.array_join(F.transform("spans", told), ",").alias("spans"))
