@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsim.llm import packing, pii, quality, simhash, substrings, toxicity, warc
+from recsim.llm import lzprint, packing, pii, quality, simhash, substrings, toxicity, warc
 from recsim.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(number, pii.KINDS), F.sha2(F.array_join(F.transform(base, told), ","), 256).alias("base_sha256"),
                         F.array_join(F.transform("spans", told), ",").alias("spans"))
+
+
+@query
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.compare_with_next(read_table(spark, sf_dir, "documents"))
