@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsim.llm import lzprint, packing, pii, quality, simhash, substrings, toxicity, warc
+from recsim.llm import lzprint, packing, pii, quality, simhash, substrings, toxicity, vectors, warc
 from recsim.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,23 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"), min_cosine=0.9)
+
+
+#: Every pair, then everything reachable.
+SQL["op2_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL),
+ok AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND list_dot_product(e, e) > 0),
+pairs AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+                       ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(n, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.n, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r),
+least AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n),
+links AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(links.n_links, 0) AS BIGINT) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON least.n = v.vec_id LEFT JOIN links ON links.a = v.vec_id
+"""
