@@ -150,14 +150,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def spark_xxhash64(x: np.ndarray) -> np.ndarray:
-    """What Spark's ``xxhash64`` gives for a long: XXH64 of its eight bytes with seed 42."""
+def spark_xxhash64(x: np.ndarray, seed: np.ndarray | int = 42) -> np.ndarray:
+    """What Spark's ``xxhash64`` gives for a long: XXH64 of its eight bytes with seed 42.  For several
+    columns Spark takes the hash of one as the seed of the next."""
     u = np.uint64
     p1, p2, p3, p4, p5 = (u(0x9E3779B185EBCA87), u(0xC2B2AE3D27D4EB4F), u(0x165667B19E3779F9), u(0x85EBCA77C2B2AE63),
                           u(0x27D4EB2F165667C5))
     turn = lambda v, n: (v << u(n)) | (v >> u(64 - n))
     x = np.asarray(x, np.int64).view(u)
-    h = (p5 + u(42 + 8)) ^ (turn(x * p2, 31) * p1)
+    h = (np.asarray(seed, np.int64).view(u) + p5 + u(8)) ^ (turn(x * p2, 31) * p1)
     h = turn(h, 27) * p1 + p4
     h = (h ^ (h >> u(33))) * p2
     h = (h ^ (h >> u(29))) * p3

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsim.llm import lzprint, packing, pii, quality, simhash, substrings, toxicity, vectors, warc
+from recsim.llm import bpe, lzprint, packing, pii, quality, simhash, substrings, toxicity, vectors, warc
 from recsim.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,9 @@ links AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(links.n_links, 0) AS BIGINT) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
 FROM v JOIN least ON least.n = v.vec_id LEFT JOIN links ON links.a = v.vec_id
 """
+
+
+@query
+def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
