@@ -14,14 +14,13 @@ a third of all ratings would push (N/3)^2 rows through one join key.  Here:
 * a rating of block ``b`` is sent to the cell (stripe, min(b, o), max(b, o))
   for every non-empty partner block ``o`` (replication factor ``n_sub``);
 * each cell multiplies its two sparse blocks inside one pandas task, either
-  as dense BLAS (dense data) or as a chunked sparse expansion reduced per
-  chunk (into an |A| x |B| array when small, else by sorting pair keys),
-  whichever costs less.  A heavy user is one matrix row; per-user pairs never
+  as dense BLAS (dense data) or as a chunked sparse expansion, both in column
+  slabs of bounded size, whichever costs less.  A heavy user is one matrix row; per-user pairs never
   become rows;
 * every rating carries its item's squared norm, so a cell also emits the
-  partial cosine dot / sqrt(|i|^2 |j|^2); Spark sums the partials of the
-  stripes (map-side partial aggregation, skipped when every block has one
-  stripe) and the pair table is never joined back to the norms.
+  product of the norms; Spark sums the dot products of the stripes (map-side
+  partial aggregation, skipped when every block has one stripe) and divides
+  once, and the pair table is never joined back to the norms.
 
 The only values that reach the driver are the maximum stripe count (one
 number) and the parallelism target; everything else stays in Spark.
@@ -48,63 +47,59 @@ ship_by_value(__name__)
 DEFAULT_ITEM_BLOCK = 8192
 DEFAULT_SIDE_ROWS = 1_000_000
 DEFAULT_VIRTUAL_BLOCKS = 8192   # fine hash buckets of items; sub-blocks are unions of them
-_CHUNK = 1 << 22          # products expanded per numpy step in the sparse kernel
+_CHUNK = 1 << 20          # products expanded per numpy step in the sparse kernel
 _DENSE_MAX = 1 << 24      # largest dense operand (entries, 128 MB) a cell may allocate
 _MIN_BLOCK = 64           # smallest sub-block the parallelism floor may create
-_DENSE_ACC = 1 << 22      # largest dense accumulator (entries, 32 MB); beyond it pairs are sorted
+_DENSE_ACC = 1 << 22      # largest dense accumulator (entries, 32 MB); larger products go slab by slab
+_ZERO = 1e-12             # cosines up to this size are rounding of a zero dot product
+RANK_DIGITS = 9           # cosines are ranked at so many digits, so equal ones tie whatever the layout
 
 
 def _sparse_gram(ua, ia, va, ub, ib, vb, n_users, na, nb, upper: bool = False):
     """sum_u a_u^T b_u from (user, column, value) triplets, as COO (rows, cols, values).
 
-    Users' outer products are expanded in chunks of at most ``_CHUNK`` products
-    and reduced per chunk: into a dense |A| x |B| array when that is small,
-    otherwise by sorting the pair keys, so memory stays bounded for any block
-    size.  ``upper`` keeps only row < col (diagonal cells).
+    The product is formed in column slabs of at most ``_DENSE_ACC`` entries.  Within a slab the
+    users' outer products are expanded in chunks of about ``_CHUNK`` products and added to one
+    dense accumulator, so beside the result memory is flat whatever the users hold.
+    ``upper`` keeps only row < col (diagonal cells).
     """
     oa = np.argsort(ua, kind="stable")
     ua, ia, va = ua[oa], ia[oa], va[oa]
     ob = np.argsort(ub, kind="stable")
     ub, ib, vb = ub[ob], ib[ob], vb[ob]
-    cb = np.bincount(ub, minlength=n_users)
-    b_start = np.concatenate(([0], np.cumsum(cb)[:-1]))
-    rep = cb[ua]
-    cum = np.cumsum(rep)
-    dense = na * nb <= _DENSE_ACC
-    acc = np.zeros(na * nb, dtype=np.float64) if dense else None
-    parts_k, parts_v = [], []
-    start, n = 0, len(ua)
-    while start < n:
-        base = cum[start - 1] if start else 0
-        end = max(int(np.searchsorted(cum, base + _CHUNK, side="right")), start + 1)
-        r = rep[start:end]
-        tot = int(r.sum())
-        if tot:
-            ka = np.repeat(np.arange(start, end), r)
-            within = np.arange(tot) - np.repeat(np.cumsum(r) - r, r)
-            kb = b_start[ua[ka]] + within
-            rows, cols = ia[ka], ib[kb]
-            vals = va[ka] * vb[kb]
-            if upper:
-                keep = rows < cols
-                rows, cols, vals = rows[keep], cols[keep], vals[keep]
-            keys = rows.astype(np.int64) * nb + cols
-            if dense:
-                acc += np.bincount(keys, weights=vals, minlength=na * nb)
-            else:
-                uk, inv = np.unique(keys, return_inverse=True)
-                parts_k.append(uk)
-                parts_v.append(np.bincount(inv, weights=vals))
-        start = end
-    if dense:
-        keys = np.nonzero(acc)[0]
-        vals = acc[keys]
-    elif parts_k:
-        uk, inv = np.unique(np.concatenate(parts_k), return_inverse=True)
-        keys, vals = uk, np.bincount(inv, weights=np.concatenate(parts_v))
-    else:
-        keys, vals = np.zeros(0, dtype=np.int64), np.zeros(0)
-    return keys // nb, keys % nb, vals
+    step = max(1, _DENSE_ACC // max(na, 1))
+    out_r, out_c, out_v = [], [], []
+    for c0 in range(0, nb, step):
+        width = min(step, nb - c0)
+        inside = (ib >= c0) & (ib < c0 + width)
+        us, cs, vs = ub[inside], ib[inside] - c0, vb[inside]
+        count = np.bincount(us, minlength=n_users)
+        first = np.cumsum(count) - count
+        rep = count[ua]
+        cum = np.cumsum(rep)
+        acc = np.zeros(na * width)
+        start, n = 0, len(ua)
+        while start < n:
+            base = cum[start - 1] if start else 0
+            end = max(int(np.searchsorted(cum, base + _CHUNK, side="right")), start + 1)
+            r = rep[start:end]
+            tot = int(r.sum())
+            if tot:
+                ka = np.repeat(np.arange(start, end), r)
+                kb = first[ua[ka]] + np.arange(tot) - np.repeat(np.cumsum(r) - r, r)
+                acc += np.bincount(ia[ka] * width + cs[kb], weights=va[ka] * vs[kb], minlength=na * width)
+            start = end
+        keys = np.flatnonzero(acc)
+        rows, cols, vals = keys // width, keys % width + c0, acc[keys]
+        if upper:
+            keep = rows < cols
+            rows, cols, vals = rows[keep], cols[keep], vals[keep]
+        out_r.append(rows)
+        out_c.append(cols)
+        out_v.append(vals)
+    if not out_r:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return np.concatenate(out_r), np.concatenate(out_c), np.concatenate(out_v)
 
 
 def _dense_gram(ua, ia, va, ub, ib, vb, n_users, na, nb, upper: bool = False):
@@ -136,11 +131,12 @@ def _dense_gram(ua, ia, va, ub, ib, vb, n_users, na, nb, upper: bool = False):
 
 
 def _cell_top_k(a, b, cos, k):
-    """Directed edges (src, dst, cos) keeping each source's best k by cos desc, dst asc."""
+    """Directed edges (src, dst, cos) keeping each source's best k by cos (at
+    ``RANK_DIGITS`` digits) desc, dst asc."""
     src = np.concatenate((a, b))
     dst = np.concatenate((b, a))
     c = np.concatenate((cos, cos))
-    order = np.lexsort((dst, -c, src))
+    order = np.lexsort((dst, -np.round(c, RANK_DIGITS), src))
     src, dst, c = src[order], dst[order], c[order]
     if len(src) == 0:
         return src, dst, c
@@ -150,8 +146,9 @@ def _cell_top_k(a, b, cos, k):
     return src[keep], dst[keep], c[keep]
 
 
-def _cell_function(group_cols: Sequence[str], with_dot: bool = False, top_k: int | None = None,
-                   min_cosine: float | None = None):
+def _cell_function(group_cols: Sequence[str], final: bool, top_k: int | None = None, min_cosine: float | None = None):
+    """The product of one cell.  ``final`` cells (one stripe) give cosines, others their share of the
+    dot product and the product of the squared norms, to be divided once after the stripe sum."""
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         lo = int(pdf["_lo"].iat[0])
         hi = int(pdf["_hi"].iat[0])
@@ -181,28 +178,23 @@ def _cell_function(group_cols: Sequence[str], with_dot: bool = False, top_k: int
         else:
             ii, jj, dots = _sparse_gram(uinv[ma], ca, val[ma], uinv[mb], cb, val[mb], nu, na, nb,
                                         upper=(lo == hi))
-        keep = dots != 0.0
-        ii, jj, dots = ii[keep], jj[keep], dots[keep]
-        a, b = ids_a[ii], ids_b[jj]
-        # the stripe sum of dot / sqrt(|i|^2 |j|^2) is the cosine (division distributes)
-        cos = dots / np.sqrt(norm_a[ii] * norm_b[jj])
-        if top_k is not None:
-            # single-stripe cell: cosines are final, keep each item's best top_k partners
-            if min_cosine is not None:
-                m = cos > min_cosine
-                a, b, cos = a[m], b[m], cos[m]
-            src, dst, c = _cell_top_k(a, b, cos, top_k)
-            out = {col: np.repeat(pdf[col].iat[0], len(c)) for col in group_cols}
-            out["movie_i"] = src.astype(np.int64)
-            out["movie_j"] = dst.astype(np.int64)
-            out["cosine_similarity"] = c
-            return pd.DataFrame(out)
-        out = {col: np.repeat(pdf[col].iat[0], len(dots)) for col in group_cols}
-        out["movie_i"] = np.minimum(a, b).astype(np.int64)
-        out["movie_j"] = np.maximum(a, b).astype(np.int64)
-        if with_dot:
-            out["dot"] = dots
-        out["cosine_similarity"] = cos
+        a, b, norms = ids_a[ii], ids_b[jj], norm_a[ii] * norm_b[jj]
+        cos = np.clip(dots / np.sqrt(norms), -1.0, 1.0)
+        if final:
+            keep = np.abs(cos) > _ZERO
+            if top_k is not None and min_cosine is not None:
+                keep &= cos > min_cosine
+            a, b, cos = a[keep], b[keep], cos[keep]
+        if final and top_k is not None:
+            src, dst, cos = _cell_top_k(a, b, cos, top_k)
+        else:
+            src, dst = np.minimum(a, b), np.maximum(a, b)
+        out = {col: np.repeat(pdf[col].iat[0], len(src)) for col in group_cols}
+        out["movie_i"], out["movie_j"] = src.astype(np.int64), dst.astype(np.int64)
+        if final:
+            out["cosine_similarity"] = cos
+        else:
+            out["_dot"], out["_norms"] = dots, norms
         return pd.DataFrame(out)
 
     return cell
@@ -228,14 +220,14 @@ def block_map(stats: DataFrame, group_cols: Sequence[str] = (), *, item_block: i
     virtual blocks: sub-block = virtual block % n_sub), and ``_s`` =
     ceil(rows / side_rows) user stripes per sub-block.  ``min_sub`` raises the
     sub-block count for parallelism (blocks keep at least ``_MIN_BLOCK`` items).
-    At most groups x V rows, so it is broadcast.
+    At most groups x V rows; Spark broadcasts it if its written size allows.
     """
     g = list(group_cols)
     vb = stats.groupBy(*g, _vblk(virtual_blocks).alias("_vblk")).agg(
         F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_items"))
     items = F.sum("_items")
     floor = F.least(F.lit(min_sub), F.ceil(items / F.lit(_MIN_BLOCK)))
-    nsub = F.least(F.lit(virtual_blocks), F.greatest(F.lit(1), F.ceil(items / F.lit(item_block)), floor))
+    nsub = F.greatest(F.lit(1), F.ceil(items / F.lit(item_block)), floor)
     if g:
         laid = vb.join(vb.groupBy(*g).agg(nsub.cast("int").alias("_nsub")), g)
     else:   # one group: the count is a scalar subquery
@@ -248,9 +240,8 @@ def block_map(stats: DataFrame, group_cols: Sequence[str] = (), *, item_block: i
 
 def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_block: int = DEFAULT_ITEM_BLOCK,
                   side_rows: int = DEFAULT_SIDE_ROWS, virtual_blocks: int = DEFAULT_VIRTUAL_BLOCKS,
-                  with_dot: bool = False, top_k: int | None = None,
-                  min_cosine: float | None = None) -> DataFrame:
-    """(group..., movie_i, movie_j[, dot], cosine_similarity) for item pairs i < j sharing a group.
+                  top_k: int | None = None, min_cosine: float | None = None) -> DataFrame:
+    """(group..., movie_i, movie_j, cosine_similarity) for item pairs i < j sharing a group.
 
     With ``top_k`` the result is instead a *directed* edge list that contains, for
     every item, at least its ``top_k`` best partners above ``min_cosine`` (cosine
@@ -265,7 +256,10 @@ def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_bl
     writes them to the checkpoint folder, and one tiny job over the layout),
     once for the product; the pair table is never joined again.  When every
     block has a single user stripe each pair comes out of exactly one cell and
-    the stripe-sum shuffle is skipped.
+    the stripe-sum shuffle is skipped.  Either way the dot products are summed
+    first and divided, tested for zero and clipped to [-1, 1] once, so the layout
+    does not show in the result (fractional ratings: beyond rounding, which
+    ``RANK_DIGITS`` hides from the ranking).
     """
     g = list(group_cols)
     # Without groups, ask for enough sub-blocks to give every core about two cells.
@@ -278,6 +272,9 @@ def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_bl
     # the shared checkpoint folder, so the layout's branches read that small table
     # instead of re-aggregating the ratings each time.
     stats = cut_lineage(item_stats(ratings, g), "item-stats")
+    # virtual blocks enough to cut the largest group into sub-blocks of item_block items
+    most = stats.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+    virtual_blocks = max(virtual_blocks, 8 * -(-most // item_block))
     layout = block_map(stats, g, item_block=item_block, side_rows=side_rows, virtual_blocks=virtual_blocks,
                        min_sub=min_sub)
     layout = cut_lineage(layout, "gram-layout")     # small: at most groups x V rows
@@ -288,41 +285,31 @@ def gram_products(ratings: DataFrame, group_cols: Sequence[str] = (), *, item_bl
            # per-item norms: one row per item; AQE broadcasts it when it is small
            .join(stats.select(*g, "movieId", "_norm2"), [*g, "movieId"])
            .withColumn("_vblk", _vblk(virtual_blocks))
-           .join(F.broadcast(layout), [*g, "_vblk"])
+           .join(layout, [*g, "_vblk"])
            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nsub") - 1)))
            # partner blocks without ratings drop out here
-           .join(F.broadcast(stripes), [*g, "_other"])
+           .join(stripes, [*g, "_other"])
            .select(*g, "userId", "movieId", "rating", "_norm2", "_blk",
                    F.pmod(F.xxhash64("userId"), F.greatest("_s", "_s2")).cast("int").alias("_stripe"),
                    F.least("_blk", "_other").alias("_lo"), F.greatest("_blk", "_other").alias("_hi")))
     gfields = sorted((f for f in ratings.schema.fields if f.name in g), key=lambda f: g.index(f.name))
-    schema = T.StructType(gfields + [
-        T.StructField("movie_i", T.LongType()),
-        T.StructField("movie_j", T.LongType()),
-    ] + ([T.StructField("dot", T.DoubleType())] if with_dot else []) + [
-        T.StructField("cosine_similarity", T.DoubleType()),
-    ])
-    if top_k is not None and single_stripe:
-        directed = T.StructType(gfields + [
-            T.StructField("movie_i", T.LongType()),
-            T.StructField("movie_j", T.LongType()),
-            T.StructField("cosine_similarity", T.DoubleType()),
-        ])
-        return rep.groupBy(*g, "_stripe", "_lo", "_hi").applyInPandas(
-            _cell_function(g, False, top_k, min_cosine), directed)
-    partial = rep.groupBy(*g, "_stripe", "_lo", "_hi").applyInPandas(_cell_function(g, with_dot), schema)
-    if top_k is not None:
-        # several stripes: cosines are complete only after the stripe sum
-        summed = partial.groupBy(*g, "movie_i", "movie_j").agg(F.sum("cosine_similarity").alias("cosine_similarity"))
-        if min_cosine is not None:
-            summed = summed.where(F.col("cosine_similarity") > F.lit(float(min_cosine)))
-        both = F.explode(F.array(
-            F.struct(F.col("movie_i").alias("a"), F.col("movie_j").alias("b")),
-            F.struct(F.col("movie_j").alias("a"), F.col("movie_i").alias("b")))).alias("_e")
-        return summed.select(*g, both, "cosine_similarity").select(
-            *g, F.col("_e.a").alias("movie_i"), F.col("_e.b").alias("movie_j"), "cosine_similarity")
+    ends = [T.StructField("movie_i", T.LongType()), T.StructField("movie_j", T.LongType())]
+    cells = rep.groupBy(*g, "_stripe", "_lo", "_hi")
     if single_stripe:
-        return partial
-    sums = [F.sum("dot").alias("dot")] if with_dot else []
-    return partial.groupBy(*g, "movie_i", "movie_j").agg(
-        *sums, F.sum("cosine_similarity").alias("cosine_similarity"))
+        schema = T.StructType(gfields + ends + [T.StructField("cosine_similarity", T.DoubleType())])
+        return cells.applyInPandas(_cell_function(g, True, top_k, min_cosine), schema)
+    shares = [T.StructField("_dot", T.DoubleType()), T.StructField("_norms", T.DoubleType())]
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_dot") / F.sqrt("_norms")))
+    summed = (cells.applyInPandas(_cell_function(g, False), T.StructType(gfields + ends + shares))
+              .groupBy(*g, "movie_i", "movie_j").agg(F.sum("_dot").alias("_dot"), F.max("_norms").alias("_norms"))
+              .select(*g, "movie_i", "movie_j", cosine.alias("cosine_similarity"))
+              .where(F.abs("cosine_similarity") > _ZERO))
+    if top_k is None:
+        return summed
+    if min_cosine is not None:
+        summed = summed.where(F.col("cosine_similarity") > F.lit(float(min_cosine)))
+    both = F.explode(F.array(
+        F.struct(F.col("movie_i").alias("a"), F.col("movie_j").alias("b")),
+        F.struct(F.col("movie_j").alias("a"), F.col("movie_i").alias("b")))).alias("_e")
+    return summed.select(*g, both, "cosine_similarity").select(
+        *g, F.col("_e.a").alias("movie_i"), F.col("_e.b").alias("movie_j"), "cosine_similarity")

@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recsim.operators.gram import DEFAULT_ITEM_BLOCK, DEFAULT_SIDE_ROWS, gram_products
+from recsim.operators.gram import DEFAULT_ITEM_BLOCK, DEFAULT_SIDE_ROWS, RANK_DIGITS, gram_products
+
+
+def best_first():
+    """Order of neighbours: cosine at ``RANK_DIGITS`` digits desc, then neighbour id asc."""
+    return F.round("cosine_similarity", RANK_DIGITS).desc(), F.col("movie_j").asc()
 
 
 def exact_cosine_pairs(ratings: DataFrame, *, min_cosine: float | None = None,
@@ -59,7 +64,7 @@ def topk_neighbors(sym: DataFrame, k: int, by: Sequence[str] = (), keep_rank: bo
     ``row_number() <= k`` becomes a WindowGroupLimit, which also runs before
     the shuffle, so a hub item ships at most k rows per map task.
     """
-    w = Window.partitionBy(*by, "movie_i").orderBy(F.col("cosine_similarity").desc(), F.col("movie_j").asc())
+    w = Window.partitionBy(*by, "movie_i").orderBy(*best_first())
     ranked = sym.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked if keep_rank else ranked.drop("rank")
 
@@ -74,7 +79,7 @@ def similar_items(neighbors: DataFrame, items: DataFrame, movie_id, k: int = 5)
     else:
         sel = neighbors.where(F.col("movie_i") == F.lit(movie_id))
     titled = sel.join(items.select(F.col("movieId").alias("movie_j"), "title"), "movie_j")
-    return (titled.orderBy(F.col("cosine_similarity").desc(), F.col("movie_j").asc())
+    return (titled.orderBy(*best_first())
             .select("movie_j", "title", "cosine_similarity").limit(k))
 
 
@@ -82,6 +87,6 @@ def similar_items_bulk(neighbors: DataFrame, items: DataFrame, ids: DataFrame, k
     """``similar_items`` for every id of ``ids`` (column movieId) in one job."""
     sel = neighbors.join(ids.select(F.col("movieId").alias("movie_i")), "movie_i", "left_semi")
     titled = sel.join(items.select(F.col("movieId").alias("movie_j"), "title"), "movie_j")
-    w = Window.partitionBy("movie_i").orderBy(F.col("cosine_similarity").desc(), F.col("movie_j").asc())
+    w = Window.partitionBy("movie_i").orderBy(*best_first())
     return (titled.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("movie_i", "rank", "movie_j", "title", "cosine_similarity"))
