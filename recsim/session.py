@@ -50,12 +50,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; create a local one only if unset."""
+    """Use the cluster's ``spark.checkpoint.dir``.  Where it is unset, a single-machine master
+    gets a local folder; on a cluster that would be a different folder on every executor,
+    so it is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="recsim-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +19,32 @@ ITEMS_CSV = T.StructType([
 ])
 
 
+#: One CSV dialect for reading and writing: a quote inside a quoted field is doubled.
+CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
+def read_csv_by_name(spark: SparkSession, path: str, schema: T.StructType, optional: Sequence[str] = (),
+                     encoding: str = "UTF-8") -> DataFrame:
+    """Header CSV whose columns are found by name, in any order; other columns are ignored.
+
+    The header is the first line of the files (they must share it).  A column of ``schema`` that
+    the header lacks is null if it is in ``optional``, else an error."""
+    raw = spark.read.options(**CSV, encoding=encoding, inferSchema=False).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns and f.name not in optional]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header is {', '.join(raw.columns)}")
+    return raw.select(*[(F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None)).try_cast(f.dataType).alias(f.name)
+                        for f in schema.fields])
+
+
 def read_ratings_csv(spark: SparkSession, path: str) -> DataFrame:
-    """ratings.csv with header: userId, movieId, rating[, timestamp]."""
-    return spark.read.schema(RATINGS).option("header", True).csv(path)
+    """ratings.csv with header columns userId, movieId, rating[, timestamp]."""
+    return read_csv_by_name(spark, path, RATINGS, optional=("timestamp",))
 
 
 def read_items_csv(spark: SparkSession, path: str) -> DataFrame:
-    """movies.csv with header: movieId, title[, genres] (quoted titles with commas are fine)."""
-    return (spark.read.schema(ITEMS_CSV).option("header", True).option("quote", '"')
-            .option("escape", '"').csv(path))
+    """movies.csv with header columns movieId, title[, genres] (quoted titles may hold commas and quotes)."""
+    return read_csv_by_name(spark, path, ITEMS_CSV, optional=("genres",))
 
 
 def read_rating_folds(spark: SparkSession, path: str) -> DataFrame:
@@ -52,9 +70,9 @@ def read_occupations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("occupation")).where(F.col("occupation") != "")
 
 
-def read_item_file(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
-    """Item file with 19 genre flags -> movieId, title, dates, url, genres array."""
-    raw = spark.read.schema(ITEM_FILE).option("sep", sep).option("quote", "\u0000").csv(path)
+def read_item_file(spark: SparkSession, path: str, sep: str = "|", encoding: str = "ISO-8859-1") -> DataFrame:
+    """Item file with 19 genre flags (Latin-1 unless told otherwise) -> movieId, title, dates, url, genres array."""
+    raw = spark.read.schema(ITEM_FILE).option("sep", sep).option("quote", "\u0000").option("encoding", encoding).csv(path)
     flags = [F.when(F.col(f"g{i}") == 1, F.lit(name)) for i, name in enumerate(GENRE_NAMES)]
     genres = F.filter(F.array(*flags), lambda x: x.isNotNull())
     return raw.select(F.col("movie_id").alias("movieId"), "title", "release_date", "video_release_date",
