@@ -66,20 +66,23 @@ def supported_item_count(ratings: DataFrame, min_ratings: int) -> DataFrame:
 
 
 def value_histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
-    """Equal-width histogram over [min, max]; the last bin is closed on the right.
+    """Equal-width histogram over [min, max], one row per bin, empty ones with 0; the last bin
+    is closed on the right, and equal values all fall into bin 0.  No value, no bin.
 
-    The min/max pass is a scalar subquery, so the whole histogram is one plan
-    without driver round trips.
+    One aggregation: the values are counted by a map from bin to count, and the bins come
+    from that single row.  The min/max pass is a scalar subquery.
     """
     v = F.col(col)
     rng = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
     lo, hi = rng["lo"], rng["hi"]
     width = (hi - lo) / F.lit(bins)
     b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((v - lo) / width), F.lit(bins - 1))).cast("int")
-    return (df.where(v.isNotNull()).withColumn("bin", b)
-            .groupBy("bin").agg(F.count(F.lit(1)).alias("num_values"))
+    filled = (df.where(v.isNotNull()).withColumn("bin", b).groupBy("bin").agg(F.count(F.lit(1)).alias("num_values"))
+              .agg(F.map_from_entries(F.collect_list(F.struct("bin", "num_values"))).alias("filled"))   # at most ``bins`` entries
+              .where(F.size("filled") > 0))
+    return (filled.select("filled", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
             .select("bin",
                     (lo + F.col("bin") * (hi - lo) / F.lit(bins)).alias("bin_start"),
                     (lo + (F.col("bin") + 1) * (hi - lo) / F.lit(bins)).alias("bin_end"),
-                    "num_values")
+                    F.coalesce(F.try_element_at("filled", F.col("bin")), F.lit(0)).alias("num_values"))
             .orderBy("bin"))

@@ -73,7 +73,7 @@ sym AS (
   UNION ALL SELECT movie_j AS movie_i, movie_i AS movie_j, cosine_similarity FROM cand),
 neigh AS (
   SELECT movie_i, movie_j, cosine_similarity, CAST(rank AS INTEGER) AS rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY movie_i ORDER BY cosine_similarity DESC, movie_j) AS rank
+    SELECT *, row_number() OVER (PARTITION BY movie_i ORDER BY round(cosine_similarity, 9) DESC, movie_j) AS rank
     FROM sym) WHERE rank <= {p.top_k}),
 top_item AS (SELECT movieId FROM train GROUP BY movieId ORDER BY count(*) DESC, movieId LIMIT 1),
 top_user AS (SELECT userId FROM r GROUP BY userId ORDER BY count(*) DESC, userId LIMIT 1),
@@ -194,15 +194,20 @@ def supported_item_count(p):
 
 def _histogram(p, expr: str, col: str) -> str:
     bins = W.HIST_BINS
-    return q(p, f"""SELECT bin, round(lo + bin * (hi - lo) / {bins}, 8) AS bin_start,
-       round(lo + (bin + 1) * (hi - lo) / {bins}, 8) AS bin_end, count(*) AS num_values
-FROM (
-  SELECT CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((x - lo) / ((hi - lo) / {bins})), {bins - 1}) AS INTEGER) END
-           AS bin, lo, hi
+    return q(p, f"""SELECT CAST(g.bin AS INTEGER) AS bin, round(lo + g.bin * (hi - lo) / {bins}, 8) AS bin_start,
+       round(lo + (g.bin + 1) * (hi - lo) / {bins}, 8) AS bin_end, count(v.b) AS num_values
+FROM generate_series(0, {bins - 1}) g(bin)
+JOIN (SELECT min(round({expr}, 6)) AS lo, max(round({expr}, 6)) AS hi FROM preds) m ON lo IS NOT NULL
+LEFT JOIN (
+  SELECT CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((x - lo) / ((hi - lo) / {bins})), {bins - 1}) AS INTEGER) END AS b
   FROM (SELECT round({expr}, 6) AS x FROM preds) v,
        (SELECT min(round({expr}, 6)) AS lo, max(round({expr}, 6)) AS hi FROM preds) m
-  WHERE x IS NOT NULL)
-GROUP BY bin, lo, hi""")
+  WHERE x IS NOT NULL) v ON v.b = g.bin
+GROUP BY g.bin, lo, hi""")
+
+
+def true_rating_histogram(p):
+    return _histogram(p, "true_rating", "true_rating")
 
 
 def prediction_histogram(p):
@@ -279,7 +284,7 @@ cv_sym AS (
   UNION ALL SELECT cv, movie_j, movie_i, cosine_similarity FROM cv_cand),
 cv_neigh AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY cv, movie_i ORDER BY cosine_similarity DESC, movie_j) AS rank
+    SELECT *, row_number() OVER (PARTITION BY cv, movie_i ORDER BY round(cosine_similarity, 9) DESC, movie_j) AS rank
     FROM cv_sym) WHERE rank <= {p.top_k}),
 cv_warm AS (
   SELECT * FROM cv_test t
@@ -410,10 +415,13 @@ def part_topk_neighbors(p):
 ls AS (SELECT movie_i, movie_j, cosine_similarity FROM lp
        UNION ALL SELECT movie_j, movie_i, cosine_similarity FROM lp)
 SELECT movie_i, movie_j, round(cosine_similarity, 6) AS cosine_similarity, CAST(rank AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY movie_i ORDER BY cosine_similarity DESC, movie_j) AS rank FROM ls)
+  SELECT *, row_number() OVER (PARTITION BY movie_i ORDER BY round(cosine_similarity, 9) DESC, movie_j) AS rank FROM ls)
 WHERE rank <= {p.top_k}"""
 
 
+topk_neighbors_striped = part_topk_neighbors
+
+
 def embedding_cosine_pairs(p):
     return f"""WITH
 e AS (SELECT vec_id AS movieId, CAST(unnest(embedding) AS DOUBLE) AS v,
@@ -433,7 +441,7 @@ def similar_items(p):
     return q(p, f"""SELECT n.movie_j, i.title, round(n.cosine_similarity, 6) AS cosine_similarity
 FROM neigh n JOIN items i ON i.movieId = n.movie_j
 WHERE n.movie_i = (SELECT movieId FROM top_item)
-ORDER BY n.cosine_similarity DESC, n.movie_j
+ORDER BY round(n.cosine_similarity, 9) DESC, n.movie_j
 LIMIT {p.similar_k}""")
 
 
@@ -441,10 +449,8 @@ def similar_items_bulk(p):
     return q(p, f"""SELECT movie_i, CAST(rk AS INTEGER) AS rank, movie_j, title,
        round(cosine_similarity, 6) AS cosine_similarity FROM (
   SELECT n.movie_i, n.movie_j, i.title, n.cosine_similarity,
-         row_number() OVER (PARTITION BY n.movie_i ORDER BY n.cosine_similarity DESC, n.movie_j) AS rk
-  FROM neigh n JOIN items i ON i.movieId = n.movie_j
-  WHERE n.movie_i IN (SELECT movieId FROM train GROUP BY movieId ORDER BY count(*) DESC, movieId
-                      LIMIT {W.BULK_IDS}))
+         row_number() OVER (PARTITION BY n.movie_i ORDER BY round(n.cosine_similarity, 9) DESC, n.movie_j) AS rk
+  FROM neigh n JOIN items i ON i.movieId = n.movie_j)
 WHERE rk <= {p.similar_k}""")
 
 
@@ -527,7 +533,7 @@ sw_rank AS (
   SELECT * FROM (
     SELECT s.*, tv.num_tables,
            row_number() OVER (PARTITION BY tv.num_tables, s.movie_i
-                              ORDER BY s.cosine_similarity DESC, s.movie_j) AS rank
+                              ORDER BY round(s.cosine_similarity, 9) DESC, s.movie_j) AS rank
     FROM sw_sym s JOIN tv ON s.first_table < tv.num_tables)
   WHERE rank <= {max(top_ks)}),
 sw_rated AS (
@@ -611,11 +617,7 @@ def seed_recommendations_bulk(p):
     n = W.SEED_PAGE_N
     extra = f"""
 bk AS (
-  SELECT DISTINCT basket_id, title FROM (
-    SELECT t.userId AS basket_id, i.title,
-           row_number() OVER (PARTITION BY t.userId ORDER BY t.rating DESC, t.movieId) AS rn
-    FROM train t JOIN items i ON i.movieId = t.movieId)
-  WHERE rn <= {W.BASKET_PER_USER}),
+  SELECT DISTINCT t.userId AS basket_id, i.title FROM train t JOIN items i ON i.movieId = t.movieId),
 bh AS (
   SELECT b.basket_id, s.movie_j, s.title_j, sum(s.cosine_similarity) AS score
   FROM sim_cache s JOIN bk b ON b.title = s.title_i GROUP BY 1, 2, 3),

@@ -43,8 +43,7 @@ KFOLDS = 5
 SEARCH_QUERY = "Red"
 SEED_PAGE_N = 8             # the seed page asks for 8 items
 SEED_BASKET_ITEMS = 3       # basket = titles of the 3 most rated items
-BULK_IDS = 10               # similar_items_bulk: the 10 most rated items
-BASKET_PER_USER = 2         # bulk baskets: each user's 2 best rated titled items
+STRIPED = {"item_block": 256, "side_rows": 2000}   # many user stripes, so the stripe sum is exercised
 HIST_BINS = 20
 RUN_STAMP = "20250101_000000"   # stamp written by the metrics round trip
 
@@ -146,13 +145,13 @@ class Workload:
     # -- A: sources and sinks -------------------------------------------------------
     def load_ratings(self) -> DataFrame:
         path = A.scratch_path(self.spark, "ratings-csv")
-        self.ratings.write.option("header", True).csv(path)
+        self.ratings.write.options(**A.CSV).csv(path)
         return rounded(A.read_ratings_csv(self.spark, path))
 
     def load_items(self) -> DataFrame:
         path = A.scratch_path(self.spark, "items-csv")
         self.items.select("movieId", "title", F.lit(None).cast("string").alias("genres")) \
-            .write.option("header", True).csv(path)
+            .write.options(**A.CSV).csv(path)
         return A.read_items_csv(self.spark, path)
 
     def write_predictions(self) -> DataFrame:
@@ -194,6 +193,10 @@ class Workload:
         v = self.predictions.select(F.round("predicted_rating", 6).alias("predicted_rating"))
         return _edges(B.value_histogram(v, "predicted_rating", HIST_BINS))
 
+    def true_rating_histogram(self) -> DataFrame:
+        v = self.predictions.select(F.round("true_rating", 6).alias("true_rating"))
+        return _edges(B.value_histogram(v, "true_rating", HIST_BINS))
+
     def error_histogram(self) -> DataFrame:
         e = self.predictions.select(F.round(F.col("predicted_rating") - F.col("true_rating"), 6).alias("error"))
         return _edges(B.value_histogram(e, "error", HIST_BINS))
@@ -296,6 +299,11 @@ class Workload:
         return rounded(E.exact_topk_neighbors(lp, self.p.top_k, item_block=self.p.item_block,
                                               side_rows=self.p.side_rows, keep_rank=True))
 
+    def topk_neighbors_striped(self) -> DataFrame:
+        """``part_topk_neighbors`` under a layout of many stripes; the result is the same."""
+        lp = src.lineitem_ratings(self.spark, self.sf_dir, "part")
+        return rounded(E.exact_topk_neighbors(lp, self.p.top_k, keep_rank=True, **STRIPED))
+
     def embedding_cosine_pairs(self) -> DataFrame:
         ent = src.embedding_entries(self.spark, self.sf_dir)
         return rounded(E.exact_cosine_pairs(ent, min_cosine=self.p.min_cosine,
@@ -306,7 +314,7 @@ class Workload:
         return rounded(E.similar_items(self.neighbors, self.items, self.top_item, self.p.similar_k))
 
     def similar_items_bulk(self) -> DataFrame:
-        ids = B.most_rated_items(self.train, BULK_IDS).select("movieId")
+        ids = self.train.select("movieId").distinct()
         return rounded(E.similar_items_bulk(self.neighbors, self.items, ids, self.p.similar_k))
 
     # -- G: prediction --------------------------------------------------------------------------------
@@ -380,10 +388,8 @@ class Workload:
         return I.search_items(I.item_catalog(self.sim_cache), SEARCH_QUERY, self.p.search_limit)
 
     def seed_recommendations_bulk(self) -> DataFrame:
-        titled = self.train.join(self.items, "movieId")
-        w = Window.partitionBy("userId").orderBy(F.col("rating").desc(), F.col("movieId").asc())
-        baskets = (titled.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= BASKET_PER_USER)
-                   .select(F.col("userId").alias("basket_id"), "title"))
+        """Every user's whole history is a basket."""
+        baskets = self.train.join(self.items, "movieId").select(F.col("userId").alias("basket_id"), "title")
         return rounded(I.seed_recommendations_bulk(self.sim_cache, baskets, SEED_PAGE_N))
 
 
@@ -392,7 +398,8 @@ REGISTERED = [
     "load_ratings", "load_items", "write_predictions", "cache_roundtrip", "append_metrics",
     # B
     "dataset_stats", "rating_distribution", "split_stats", "most_rated_items", "most_rated_item",
-    "item_title", "sample_rows", "supported_item_count", "prediction_histogram", "error_histogram",
+    "item_title", "sample_rows", "supported_item_count", "prediction_histogram", "true_rating_histogram",
+    "error_histogram",
     # C
     "random_split", "hash_split", "kfold_assign", "leave_n_out", "leave_n_out_capped", "cross_validate",
     # D
@@ -400,7 +407,7 @@ REGISTERED = [
     # E
     "lsh_buckets", "lsh_similar_pairs", "distance_to_cosine", "exact_cosine_pairs", "projection_buckets",
     "projection_similar_pairs", "lsh_recall", "symmetric_pairs", "topk_neighbors", "embedding_cosine_pairs",
-    "supplier_cosine_pairs", "part_topk_neighbors",
+    "supplier_cosine_pairs", "part_topk_neighbors", "topk_neighbors_striped",
     # F
     "similar_items", "similar_items_bulk",
     # G

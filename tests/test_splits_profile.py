@@ -106,4 +106,7 @@ def test_histogram_last_bin_closed(mk, spark):
     assert sum(h.values()) == 7
     assert h[4] == 1 and h[0] == 2
     const = spark.createDataFrame([(2.0,), (2.0,)], "v double")
-    assert [(x.bin, x.num_values) for x in B.value_histogram(const, "v", 20).collect()] == [(0, 2)]
+    assert [(x.bin, x.num_values) for x in B.value_histogram(const, "v", 20).collect()] == [(0, 2)] + [(b, 0) for b in range(1, 20)]
+    gap = B.value_histogram(df, "v", 20).collect()
+    assert [x.bin for x in gap] == list(range(20)) and sum(x.num_values == 0 for x in gap) == 13
+    assert B.value_histogram(df.where("v > 99"), "v", 20).count() == 0
