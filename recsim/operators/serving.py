@@ -3,8 +3,6 @@ recommendation cache), as DataFrame functions instead of in-process lookups."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,15 +100,14 @@ def seed_recommendations_bulk(sim_cache: DataFrame, baskets: DataFrame, top_n: i
                       rel.cast("int").alias("relative_score"))
 
 
+def filter_titles(catalog: DataFrame, query: str) -> DataFrame:
+    """Case-insensitive substring match on the title (no pattern characters), without a limit; an
+    empty query keeps everything."""
+    return catalog.where(F.lower(F.col("title")).contains(F.lit(query.lower())))
+
+
 def search_items(catalog: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Case-insensitive substring match on the title (no pattern characters), title
-    order, first ``limit``; an empty query returns nothing."""
+    """The first ``limit`` of ``filter_titles`` in title order; an empty query returns nothing."""
     if not query:
         return catalog.limit(0)
-    hit = F.lower(F.col("title")).contains(F.lit(query.lower()))
-    return catalog.where(hit).orderBy("title", "movieId").limit(limit)
-
-
-def seed_baskets_from(ids: DataFrame, items: DataFrame, basket_cols: Sequence[str] = ("basket_id",)) -> DataFrame:
-    """Turn (basket_id, movieId) rows into (basket_id, title) seed rows."""
-    return ids.join(items, "movieId").select(*basket_cols, "title")
+    return filter_titles(catalog, query).orderBy("title", "movieId").limit(limit)

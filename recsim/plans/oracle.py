@@ -9,6 +9,7 @@ executed by DuckDB.
 
 from __future__ import annotations
 
+from recsim.schemas import GENRE_NAMES
 from recsim.functions.exprs import hex_cut
 from recsim.params import Params
 from recsim.plans import workloads as W
@@ -141,6 +142,42 @@ def cache_roundtrip(p):
 FROM sim_cache""")
 
 
+def recs_cache_roundtrip(p):
+    return q(p, "SELECT userId, title, round(score, 6) AS score FROM recs")
+
+
+def load_rating_folds(p):
+    return """SELECT user_id AS userId, CAST(json_extract_string(props, '$.k') AS BIGINT) AS movieId,
+       CAST(least(5, 1 + floor(value / 20)) AS DOUBLE) AS rating, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp,
+       strftime(to_timestamp(floor(epoch(ts))) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS "at"
+FROM events WHERE user_id IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL"""
+
+
+def load_user_table(p):
+    return """SELECT c_custkey AS user_id, CAST(c_nationkey AS INTEGER) AS age, substr(c_mktsegment, 1, 1) AS gender,
+       c_mktsegment AS occupation, c_name AS zip FROM customer"""
+
+
+def load_item_flags(p):
+    flags = ", ".join(f"CASE WHEN p_size % {i + 1} = 0 THEN '{n.replace(chr(39), chr(39) * 2)}' END" for i, n in enumerate(GENRE_NAMES))
+    return f"""SELECT p_partkey AS movieId, p_name || ' é' AS title, p_brand AS release_date, p_type AS url,
+       concat_ws(',', {flags}) AS genres FROM part"""
+
+
+def random_split_invariants(p):
+    return q(p, "SELECT count(*) AS num_ratings, count(*) AS num_rows, CAST(0 AS BIGINT) AS overlap FROM r")
+
+
+def lsh_bucket_invariants(p):
+    return q(p, f"""SELECT CAST(t.t AS INTEGER) AS hash_table, count(*) AS num_rows, count(DISTINCT s.movieId) AS num_items,
+       true AS in_range FROM sup s, generate_series(0, {p.num_hash_tables - 1}) t(t) GROUP BY t.t""")
+
+
+def filter_titles(p):
+    return q(p, f"""SELECT DISTINCT movie_i AS movieId, title_i AS title FROM sim_cache
+WHERE contains(lower(title_i), '{W.SEARCH_QUERY.lower()}')""")
+
+
 def append_metrics(p):
     row = f"""SELECT 'events' AS dataset,
        round(sqrt(avg((predicted_rating - true_rating) * (predicted_rating - true_rating))), 6) AS rmse,

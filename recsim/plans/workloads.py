@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ from recsim.operators import similarity as E
 from recsim.operators import splits as C
 from recsim.params import Params
 from recsim.plans import train_eval as P
+from recsim.schemas import GENRE_NAMES
 from recsim.sources import files as A
 from recsim.session import cut_lineage
 from recsim.sources import testdata as src
@@ -164,6 +165,40 @@ class Workload:
         A.write_cache(self.sim_cache, path, "movie_i")
         return rounded(A.read_cache(self.spark, path))
 
+    def recs_cache_roundtrip(self) -> DataFrame:
+        path = A.scratch_path(self.spark, "recommendation-cache")
+        A.write_cache(I.recommendation_cache(self.recs), path, "userId")
+        return rounded(A.read_cache(self.spark, path))
+
+    def load_rating_folds(self) -> DataFrame:
+        """All events with an item, as a tab separated fold with Unix seconds."""
+        path = A.scratch_path(self.spark, "fold-tsv")
+        ev = src.table(self.spark, self.sf_dir, "events")
+        (ev.select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("item_id"),
+                   F.least(F.lit(5), 1 + F.floor(F.col("value") / 20)).cast("int").alias("rating"),
+                   F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+         .where("user_id is not null and item_id is not null").write.option("sep", "\t").csv(path))
+        return A.read_rating_folds(self.spark, path).select("userId", "movieId", "rating", "timestamp",
+                                                            F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+    def load_user_table(self) -> DataFrame:
+        """Customers as a pipe separated user table; the zip column holds letters."""
+        path = A.scratch_path(self.spark, "users-pipe")
+        (src.table(self.spark, self.sf_dir, "customer")
+         .select("c_custkey", "c_nationkey", F.substring("c_mktsegment", 1, 1), "c_mktsegment", "c_name")
+         .write.option("sep", "|").csv(path))
+        return A.read_users(self.spark, path)
+
+    def load_item_flags(self) -> DataFrame:
+        """Parts as an item file in Latin-1; a part's genres are those whose number its size is a multiple of."""
+        path = A.scratch_path(self.spark, "item-flags")
+        part = src.table(self.spark, self.sf_dir, "part")
+        flags = [(F.col("p_size") % (i + 1) == 0).cast("int").alias(f"g{i}") for i in range(len(GENRE_NAMES))]
+        (part.select("p_partkey", F.concat("p_name", F.lit(" é")).alias("title"), "p_brand", F.lit(None).cast("string").alias("v"), "p_type", *flags)
+         .write.option("sep", "|").option("quote", "\u0000").option("encoding", "ISO-8859-1").option("emptyValue", "").csv(path))
+        return A.read_item_file(self.spark, path).select("movieId", "title", "release_date", "url",
+                                                         F.array_join("genres", ",").alias("genres"))
+
     # -- B: profiling -------------------------------------------------------------------
     def dataset_stats(self) -> DataFrame:
         return rounded(B.dataset_stats(self.ratings))
@@ -206,6 +241,12 @@ class Workload:
         tr, te = C.random_split(self.ratings, self.p.test_fraction, self.p.seed)
         return tr.withColumn("split", F.lit("train")).unionByName(te.withColumn("split", F.lit("test")))
 
+    def random_split_invariants(self) -> DataFrame:
+        """What holds for any random split: every rating lies in exactly one side."""
+        both = self.random_split().groupBy("userId", "movieId").agg(F.count(F.lit(1)).alias("times"))
+        return both.agg(F.count(F.lit(1)).alias("num_ratings"), F.sum("times").alias("num_rows"),
+                        F.count_if(F.col("times") > 1).alias("overlap"))
+
     def hash_split(self) -> DataFrame:
         return C.tag_hash_split(src.event_ratings(self.spark, self.sf_dir), self.p.test_fraction)
 
@@ -252,6 +293,12 @@ class Workload:
         model, normalized = self._mllib(self.p.num_hash_tables)
         return L.mllib_buckets(model, normalized)
 
+    def lsh_bucket_invariants(self) -> DataFrame:
+        """Every item has one bucket per table, and on unit vectors a bucket is the sign: -1 or 0."""
+        return self.lsh_buckets().groupBy("hash_table").agg(
+            F.count(F.lit(1)).alias("num_rows"), F.count_distinct("movieId").alias("num_items"),
+            F.bool_and(F.col("bucket").isin(-1, 0)).alias("in_range"))
+
     def lsh_similar_pairs(self) -> DataFrame:
         model, normalized = self._mllib(LSH_TABLES)
         pairs = L.mllib_similar_pairs(model, normalized, LSH_THRESHOLD)
@@ -387,6 +434,9 @@ class Workload:
     def search_items(self) -> DataFrame:
         return I.search_items(I.item_catalog(self.sim_cache), SEARCH_QUERY, self.p.search_limit)
 
+    def filter_titles(self) -> DataFrame:
+        return I.filter_titles(I.item_catalog(self.sim_cache), SEARCH_QUERY)
+
     def seed_recommendations_bulk(self) -> DataFrame:
         """Every user's whole history is a basket."""
         baskets = self.train.join(self.items, "movieId").select(F.col("userId").alias("basket_id"), "title")
@@ -396,16 +446,17 @@ class Workload:
 REGISTERED = [
     # A
     "load_ratings", "load_items", "write_predictions", "cache_roundtrip", "append_metrics",
+    "recs_cache_roundtrip", "load_rating_folds", "load_user_table", "load_item_flags",
     # B
     "dataset_stats", "rating_distribution", "split_stats", "most_rated_items", "most_rated_item",
     "item_title", "sample_rows", "supported_item_count", "prediction_histogram", "true_rating_histogram",
     "error_histogram",
     # C
-    "random_split", "hash_split", "kfold_assign", "leave_n_out", "leave_n_out_capped", "cross_validate",
+    "random_split", "random_split_invariants", "hash_split", "kfold_assign", "leave_n_out", "leave_n_out_capped", "cross_validate",
     # D
     "user_index", "indexed_ratings", "item_profiles", "supported_items", "item_vectors", "normalized_profiles",
     # E
-    "lsh_buckets", "lsh_similar_pairs", "distance_to_cosine", "exact_cosine_pairs", "projection_buckets",
+    "lsh_buckets", "lsh_bucket_invariants", "lsh_similar_pairs", "distance_to_cosine", "exact_cosine_pairs", "projection_buckets",
     "projection_similar_pairs", "lsh_recall", "symmetric_pairs", "topk_neighbors", "embedding_cosine_pairs",
     "supplier_cosine_pairs", "part_topk_neighbors", "topk_neighbors_striped",
     # F
@@ -417,5 +468,5 @@ REGISTERED = [
     "prediction_metrics", "prediction_coverage", "error_stats", "true_vs_predicted", "parameter_sweep",
     # I
     "user_ids", "user_history", "user_profile_stats", "recommendations_for_user", "item_catalog",
-    "seed_recommendations", "search_items", "seed_recommendations_bulk",
+    "seed_recommendations", "search_items", "filter_titles", "seed_recommendations_bulk",
 ]
