@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recsim.operators.indexing import dense_index
-from recsim.session import ship_by_value
-
-# The vector UDFs below run in Python workers: ship them by value.
-ship_by_value(__name__)
+from recsim.session import cut_lineage
 
 
 def dedupe_ratings(ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -81,26 +78,26 @@ def normalized_profiles(ratings: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 # -- sparse vectors (MLlib path only) -----------------------------------------
 
-def _to_sparse(entries, size):
-    from pyspark.ml.linalg import Vectors
-    if not entries:
-        return Vectors.sparse(int(size), [], [])
-    pairs = sorted((int(e[0]), float(e[1])) for e in entries)
-    return Vectors.sparse(int(size), [p[0] for p in pairs], [p[1] for p in pairs])
+# What MLlib stores a vector as: type 0 is sparse, type 1 dense (``values`` alone).
+VECTOR = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
 def item_vectors(profiles: DataFrame, index: DataFrame) -> DataFrame:
     """Sparse rating vector per item (size = number of indexed users).
 
-    The one Python UDF of the library: MLlib's LSH needs ``VectorUDT`` input and
-    no built-in builds a sparse vector from index/value arrays.  It runs once per
-    item, not per rating.  The user count is a scalar subquery, so no driver
-    round trip is needed.
+    No built-in makes a sparse vector from arrays, so the vector's storage form is built as
+    a struct, written to the shared checkpoint folder and read back as a vector column.
+    The user count is a scalar subquery, so no driver round trip is needed.
     """
     from pyspark.ml.linalg import VectorUDT
-    to_vec = F.udf(_to_sparse, VectorUDT())
-    size = index.agg(F.count(F.lit(1))).scalar()
-    return profiles.select("movieId", to_vec("user_ratings", size).alias("features"), "num_ratings")
+    size = index.agg(F.count(F.lit(1))).scalar().cast("int")
+    entries = F.col("user_ratings")
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), size.alias("size"),
+                      F.transform(entries, lambda e: e["user_idx"].cast("int")).alias("indices"),
+                      F.transform(entries, lambda e: e["rating"].cast("double")).alias("values"))
+    plain = profiles.select("movieId", stored.alias("features"), "num_ratings")
+    schema = T.StructType([plain.schema["movieId"], T.StructField("features", VectorUDT()), plain.schema["num_ratings"]])
+    return cut_lineage(plain, "item-vectors", schema)
 
 
 def normalize_vectors(vectors: DataFrame, input_col: str = "features",
@@ -109,23 +106,16 @@ def normalize_vectors(vectors: DataFrame, input_col: str = "features",
     return Normalizer(inputCol=input_col, outputCol=output_col, p=2.0).transform(vectors)
 
 
-def _sparse_entries(v):
-    if v is None:
-        return []
-    sv = v.toSparse() if hasattr(v, "toSparse") else v
-    return [(int(i), float(x)) for i, x in zip(sv.indices, sv.values)]
-
-
 def vector_entries(vectors: DataFrame, col: str = "features") -> DataFrame:
     """Explode sparse vectors back to (movieId, user_idx, value) entries.
 
-    Reads only the stored entries of each vector (no dense expansion).
+    Reads only the stored entries of each vector (no dense expansion), from the storage form
+    as written to the shared checkpoint folder.
     """
-    entry = T.ArrayType(T.StructType([
-        T.StructField("user_idx", T.IntegerType()),
-        T.StructField("value", T.DoubleType()),
-    ]))
-    entries = F.udf(_sparse_entries, entry)
-    return vectors.select("movieId", F.explode(entries(col)).alias("e")).select(
-        "movieId", "e.user_idx", "e.value")
-
+    stored = cut_lineage(vectors.select("movieId", F.col(col).alias("vector")), "vector-entries",
+                         f"movieId {vectors.schema['movieId'].dataType.simpleString()}, vector {VECTOR}")
+    entries = F.arrays_zip(
+        F.coalesce("vector.indices", F.transform("vector.values", lambda _, i: i)).alias("user_idx"),
+        F.col("vector.values").alias("value"))
+    return (stored.select("movieId", F.explode(entries).alias("e"))
+            .select("movieId", F.col("e.user_idx").cast("int").alias("user_idx"), F.col("e.value").alias("value")))

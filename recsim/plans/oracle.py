@@ -390,6 +390,12 @@ def lsh_similar_pairs(p):
 WHERE cosine_similarity > {dbl(cut)}""")
 
 
+def join_distance_to_cosine(p):
+    cut = 1.0 - W.LSH_THRESHOLD * W.LSH_THRESHOLD / 2.0
+    return q(p, f"""SELECT movie_i, movie_j, round(sqrt(greatest(0.0, 2.0 - 2.0 * cosine_similarity)), 6) AS distance,
+       round(cosine_similarity, 6) AS cosine_similarity FROM pairs WHERE cosine_similarity > {dbl(cut)}""")
+
+
 def distance_to_cosine(p):
     return q(p, """SELECT movie_i, movie_j, round(d, 6) AS distance, round(1.0 - d * d / 2.0, 6) AS cosine_similarity
 FROM (SELECT movie_i, movie_j, sqrt(greatest(0.0, 2.0 - 2.0 * cosine_similarity)) AS d FROM cand)""")

@@ -304,6 +304,12 @@ class Workload:
         pairs = L.mllib_similar_pairs(model, normalized, LSH_THRESHOLD)
         return rounded(pairs.select("movie_i", "movie_j", "cosine_similarity"))
 
+    def join_distance_to_cosine(self) -> DataFrame:
+        """The distances that MLlib's join returns, and the cosines they stand for."""
+        model, normalized = self._mllib(LSH_TABLES)
+        pairs = L.mllib_similar_pairs(model, normalized, LSH_THRESHOLD)
+        return rounded(pairs.select("movie_i", "movie_j", "distance", distance_to_cosine("distance").alias("cosine_similarity")))
+
     def distance_to_cosine(self) -> DataFrame:
         d = F.sqrt(F.greatest(F.lit(0.0), F.lit(2.0) - F.lit(2.0) * F.col("cosine_similarity")))
         return rounded(self.pairs.select("movie_i", "movie_j", d.alias("distance"))
@@ -456,7 +462,7 @@ REGISTERED = [
     # D
     "user_index", "indexed_ratings", "item_profiles", "supported_items", "item_vectors", "normalized_profiles",
     # E
-    "lsh_buckets", "lsh_bucket_invariants", "lsh_similar_pairs", "distance_to_cosine", "exact_cosine_pairs", "projection_buckets",
+    "lsh_buckets", "lsh_bucket_invariants", "lsh_similar_pairs", "distance_to_cosine", "join_distance_to_cosine", "exact_cosine_pairs", "projection_buckets",
     "projection_similar_pairs", "lsh_recall", "symmetric_pairs", "topk_neighbors", "embedding_cosine_pairs",
     "supplier_cosine_pairs", "part_topk_neighbors", "topk_neighbors_striped",
     # F

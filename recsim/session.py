@@ -66,14 +66,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "stage", schema=None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     Downstream plans start from the files (they survive executor loss) and
     keep column pruning and filter pushdown, which an RDD checkpoint would lose.
+    ``schema`` reads the columns back under other types of the same layout.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/recsim-stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
