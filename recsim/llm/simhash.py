@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recsim.llm.common import blobs, cell_blocks, components, cut_lineage, fresh, local_roots, ship, without
+from recsim.llm.common import cell_blocks, components, cut_lineage, fresh, local_roots, ship, without
 
 #: log2 of the number of anchors; cells hold (rows x replicas / 2**BLOCKS) fingerprints.
 BLOCKS = 13
@@ -100,7 +100,6 @@ def _spanning(home: np.ndarray, guest: np.ndarray, max_bits: int) -> tuple[np.nd
     """A spanning forest of the links between two sets of fingerprints."""
     nodes = np.unique(np.concatenate((home, guest)))
     at_h, at_g = np.searchsorted(nodes, home), np.searchsorted(nodes, guest)
-    a, b = [], []
     step = max(1, (1 << 21) // max(1, len(guest)))
     root = np.arange(len(nodes))
     for i in range(0, len(home), step):
@@ -110,8 +109,7 @@ def _spanning(home: np.ndarray, guest: np.ndarray, max_bits: int) -> tuple[np.nd
         keep = x != y
         root = local_roots(len(nodes), np.concatenate((x[keep], np.arange(len(nodes)))), np.concatenate((y[keep], root)))
     hit = np.flatnonzero(root != np.arange(len(nodes)))
-    a, b = nodes[hit], nodes[root[hit]]
-    return a, b
+    return nodes[hit], nodes[root[hit]]
 
 
 def fingerprint_links(fps: DataFrame, fp: str = "fingerprint", max_bits: int = 2, blocks: int = BLOCKS) -> DataFrame:
