@@ -1,16 +1 @@
 """Column expressions shared by the operators (all JVM-side built-ins)."""
-
-from recsim.functions.exprs import (
-    distance_to_cosine,
-    hash_order_key,
-    hex_cut,
-    in_hash_sample,
-    rank_confidence,
-    round_col,
-    sign_bit,
-)
-
-__all__ = [
-    "distance_to_cosine", "hash_order_key", "hex_cut", "in_hash_sample",
-    "rank_confidence", "round_col", "sign_bit",
-]

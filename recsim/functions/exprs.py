@@ -51,14 +51,6 @@ def digest_sign(digest, table: int) -> Column:
     return F.when(F.substring(d, table % 32 + 1, 1) < F.lit("8"), F.lit(1)).otherwise(F.lit(-1))
 
 
-def sign_bit(user, table: int, seed: int) -> Column:
-    """Random +1/-1 weight of ``user`` in projection ``table``.
-
-    Digit ``table % 32`` of md5(seed, user, table // 32) decides the sign.
-    """
-    return digest_sign(user_digest(user, table // 32, seed), table)
-
-
 def distance_to_cosine(distance) -> Column:
     """Cosine of two unit vectors from their Euclidean distance: 1 - d^2 / 2."""
     d = F.col(distance) if isinstance(distance, str) else distance
@@ -69,8 +61,3 @@ def rank_confidence(rank) -> Column:
     """Display confidence of the n-th recommendation (1-based): max(95 - 5 (n-1), 75)."""
     r = F.col(rank) if isinstance(rank, str) else rank
     return F.greatest(F.lit(95) - F.lit(5) * (r - F.lit(1)), F.lit(75)).cast("int")
-
-
-def round_col(c, digits: int = 6) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.round(col, digits)

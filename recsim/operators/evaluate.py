@@ -73,10 +73,6 @@ def true_vs_predicted(preds: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("num_predictions"))
 
 
-def with_error(preds: DataFrame) -> DataFrame:
-    return preds.withColumn("error", _err())
-
-
 def metrics_record(metrics: DataFrame, params: Params, dataset: str, num_hash_tables: int | None = None,
                    stamp: str | None = None) -> DataFrame:
     """One metrics row (dataset, rmse, mae, parameters, run stamp) per input row.

@@ -18,7 +18,6 @@ class Params:
     seed: int = 126784              # split / LSH seed
     similar_k: int = 5              # result size of the similar-item query
     user_top_n: int = 5             # titles per user recommendation list
-    seed_top_n: int = 5             # items per seed-basket recommendation
     search_limit: int = 20          # title search result cap
 
     # Our own additions.
@@ -26,7 +25,6 @@ class Params:
     min_neighbors: int = 1          # rated neighbours needed for a user recommendation
     item_block: int = 8192          # items per sub-block of the blocked Gram product
     side_rows: int = 1_000_000      # rating rows per block side and user stripe
-    round_digits: int = 6           # rounding applied last to float outputs
 
     @property
     def min_cosine(self) -> float:

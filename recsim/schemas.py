@@ -10,12 +10,6 @@ RATINGS = T.StructType([
     T.StructField("timestamp", T.LongType()),
 ])
 
-# Canonical item table (id -> title).
-ITEMS = T.StructType([
-    T.StructField("movieId", T.LongType()),
-    T.StructField("title", T.StringType()),
-])
-
 # Tab separated rating folds: user id | item id | rating | unix seconds, no header.
 RATING_FOLD = T.StructType([
     T.StructField("user_id", T.LongType()),

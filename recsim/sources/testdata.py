@@ -42,19 +42,10 @@ def lineitem_ratings(spark: SparkSession, sf_dir: str, item: str = "supp") -> Da
     )
 
 
-def part_items(spark: SparkSession, sf_dir: str, drop_mod10: int | None = None) -> DataFrame:
-    """Item titles from ``part`` (titles are not unique).  ``drop_mod10`` removes the
-    parts whose key is that value mod 10, to exercise untitled items."""
-    p = table(spark, sf_dir, "part").select(
+def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item titles from ``part`` (titles are not unique)."""
+    return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("movieId"), F.col("p_name").alias("title"))
-    if drop_mod10 is not None:
-        p = p.where(F.pmod(F.col("movieId"), F.lit(10)) != drop_mod10)
-    return p
-
-
-def supplier_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("movieId"), F.col("s_name").alias("title"))
 
 
 def embedding_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
