@@ -594,12 +594,13 @@ sw_pred AS (
   FROM sw_rated r CROSS JOIN settings s
   GROUP BY 1, 2, 3, 4, 5, 6)"""
     d = dbl(p.default_rating)
-    return q(p, f"""SELECT CAST(num_tables AS INTEGER) AS numHashTables, threshold, CAST(top_k AS INTEGER) AS top_k,
+    return q(p, f"""SELECT b.b AS bucketLength, m.* FROM (VALUES (1.0::DOUBLE), (2.0), (3.0), (4.0), (5.0)) b(b) CROSS JOIN (
+SELECT CAST(num_tables AS INTEGER) AS numHashTables, threshold, CAST(top_k AS INTEGER) AS top_k,
        round(sqrt(avg((coalesce(pr, {d}) - rating) * (coalesce(pr, {d}) - rating))), 6) AS rmse,
        round(avg(abs(coalesce(pr, {d}) - rating)), 6) AS mae,
        round(CAST(100 AS DOUBLE) * count_if(pr IS NOT NULL) / count(*), 6) AS coverage,
        count(*) AS num_predictions
-FROM sw_pred GROUP BY num_tables, threshold, top_k""", extra)
+FROM sw_pred GROUP BY num_tables, threshold, top_k) m""", extra)
 
 
 # -- I ------------------------------------------------------------------------------------------

@@ -111,8 +111,8 @@ def train_and_evaluate(ratings: DataFrame, params: Params = Params(), method: st
 
 def parameter_sweep(ratings: DataFrame, tables: Sequence[int] = (1, 3, 5, 7),
                     thresholds: Sequence[float] = (0.8, 1.0, 1.2), top_ks: Sequence[int] = (10, 20, 30),
-                    base: Params = Params()) -> DataFrame:
-    """Metrics of every (tables, threshold, top_k) setting of the relational LSH in one job.
+                    base: Params = Params(), bucket_lengths: Sequence[float] = (1.0, 2.0, 3.0, 4.0, 5.0)) -> DataFrame:
+    """Metrics of every (bucketLength, tables, threshold, top_k) setting of the relational LSH.
 
     * the LSH is hashed once with max(tables) bands; with T tables a pair is a
       candidate iff its ``first_table < T`` (the first T bands of a larger model
@@ -121,8 +121,11 @@ def parameter_sweep(ratings: DataFrame, tables: Sequence[int] = (1, 3, 5, 7),
       cuts the tail), so it is computed once per table count;
     * predictions for all (threshold, top_k) pairs are conditional sums of one
       aggregate per (table count, test row) - no replication per setting.
-    bucketLength has no effect on sign-bit buckets and is not a dimension.
+    * on unit vectors every bucketLength of at least 1 gives the same sign buckets, so the
+      metrics are computed once and emitted per value; smaller ones are refused.
     """
+    if min(bucket_lengths) < 1:
+        raise ValueError("bucketLength below 1 does not give sign buckets")
     tables = sorted(set(int(t) for t in tables))
     settings = [(float(t), int(k)) for t in thresholds for k in top_ks]
     cuts = {t: 1.0 - t * t / 2.0 for t, _ in settings}
@@ -156,8 +159,10 @@ def parameter_sweep(ratings: DataFrame, tables: Sequence[int] = (1, 3, 5, 7),
                               F.col(f"_rmse{i}").alias("rmse"), F.col(f"_mae{i}").alias("mae"),
                               F.col(f"_cov{i}").alias("num_from_neighbors"))
                      for i, (t, k) in enumerate(settings)])
+    lengths = F.array(*[F.lit(float(b)) for b in bucket_lengths])
     return (m.select("num_tables", "num_predictions", F.explode(rows).alias("_s"))
-            .select(F.col("num_tables").cast("int").alias("numHashTables"), "_s.threshold", "_s.top_k",
+            .withColumn("bucketLength", F.explode(lengths))
+            .select("bucketLength", F.col("num_tables").cast("int").alias("numHashTables"), "_s.threshold", "_s.top_k",
                     "_s.rmse", "_s.mae",
                     (F.lit(100.0) * F.col("_s.num_from_neighbors") / F.col("num_predictions")).alias("coverage"),
                     "num_predictions"))

@@ -85,6 +85,7 @@ def test_sweep_row_equals_single_run(mk):
     r = mk(rows)
     base = Params(min_ratings=2, bits_per_band=1)
     sweep = P.parameter_sweep(r, tables=(1, 3), thresholds=(1.0, 1.3), top_ks=(3, 10), base=base).collect()
+    assert len(sweep) == 5 * 2 * 2 * 2 and {x.bucketLength for x in sweep} == {1.0, 2.0, 3.0, 4.0, 5.0}
     for t, thr, k in [(1, 1.3, 3), (3, 1.0, 10), (3, 1.3, 10)]:
         row = [x for x in sweep if x.numHashTables == t and x.threshold == thr and x.top_k == k][0]
         single = P.train_and_evaluate(r, base.with_(num_hash_tables=t, threshold=thr, top_k=k),
