@@ -15,7 +15,9 @@ checkpoint folder; the driver learns only how many pieces are left.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -37,12 +39,28 @@ PAIRS = 12
 ship(__name__)
 
 
+#: Signs that the tokenizer's pattern parts, as one run, from an ASCII letter before them.
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 0x27)
+#: Letters that are lowered one by one and need no more than their bytes' signs (up to Latin Extended-A).
+_PLAIN = frozenset(chr(c) for c in range(0x180) if chr(c).isalpha() and c not in (0x130, 0x149, 0x17F) and len(chr(c).lower()) == 1)
+
+
+def byte_signs() -> list[str]:
+    """The printable sign that stands for each byte in a byte-level vocabulary: itself where it is
+    printable in Latin-1, else the next free one from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class WordIds:
     """Ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words (split at ASCII white space) one after the other.  Ids of short words are
-    kept in a table of bounded size."""
+    The tokenizer lowers letters, drops white space, never joins across it and parts letters from
+    signs, so a text's ids are those of its lower-cased words (split at ASCII white space) one
+    after the other, a run of last signs by itself.  Words of plain letters go straight to the
+    tokenizer's model, others through all of it.  Ids of words are kept in two tables of bounded
+    size: when the newer one is full it becomes the older, whose words move up when met."""
 
     def __init__(self, path: str, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,26 +69,65 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.signs = byte_signs()
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        found = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _of(self, word: bytes, slow: list[bytes]) -> bytes | None:
+        """The ids of a word that no table has; None, and the word added to ``slow``, if it needs the whole
+        tokenizer."""
+        ids = self.known.get(word) or self.older.get(word)
+        if ids is None:
+            stem = word.rstrip(_SIGNS)
+            if stem and len(stem) < len(word) and 97 <= stem[-1] <= 122:
+                first, last = self._of(stem, slow), self._of(word[len(stem):], slow)
+                return None if first is None or last is None else first + last
+            text = unicodedata.normalize("NFC", word.decode())
+            if len(text) > 64 or not _PLAIN.issuperset(text):
+                slow.append(word)
+                return None
+            text = text.lower()
+            raw = text.encode()
+            if not raw.isascii():
+                text = "".join([self.signs[b] for b in raw])
+            ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            self.known[word] = ids
+        return ids
 
     def __call__(self, data: bytes) -> bytes:
-        words = data.split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > self.limit:
-                known = self.known = {}
-                new = list(set(words))
-            for i in range(0, len(new), 4096):
-                part = new[i:i + 4096]
-                known.update(zip(part, self._encode(part)))
-        out = b"".join([known[w] for w in words])
-        if len(known) > self.limit:
-            self.known = {}
-        return out
+        words = data.lower().split()
+        found = list(map(self.known.get, words))
+        if None in found:
+            miss = [i for i, ids in enumerate(found) if ids is None]
+            slow: list[bytes] = []
+            new = {w: self._of(w, slow) for w in {words[i] for i in miss}}
+            slow = list(dict.fromkeys(slow))
+            for i in range(0, len(slow), 1024):
+                part = slow[i:i + 1024]
+                self.known.update(zip(part, self._encode(part)))
+            for w, ids in new.items():
+                self.known[w] = self._of(w, []) if ids is None else ids
+            for i in miss:
+                found[i] = self.known[words[i]]
+            if len(self.known) > self.limit:
+                self.older, self.known = self.known if len(self.known) < 2 * self.limit else {}, {}
+        return b"".join(found)
+
+
+def word_ids(path: str) -> WordIds:
+    """The ids that this worker process knows: tasks that follow in the same process share them."""
+    import tokenizers
+    kept = vars(tokenizers).setdefault("_kept_word_ids", {})
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -85,7 +142,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, end_id
     schema = PIECE + (", ids binary" if ids else "")
 
     def cut(batches):
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
