@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from recsim.llm.common import ship, spark_xxhash64
 
 #: UTF-8 bytes of the documents of one block.
-BLOCK = 24 << 20
+BLOCK = 8 << 20
 #: Ids lie below this; (left * LEFT + right) * LEFT + joined is an entry of the rank map.
 LEFT = 1 << 20
 
