@@ -83,7 +83,9 @@ class WordIds:
     def _of(self, word: bytes, slow: list[bytes]) -> bytes | None:
         """The ids of a word that no table has; None, and the word added to ``slow``, if it needs the whole
         tokenizer."""
-        ids = self.known.get(word) or self.older.get(word)
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.older.get(word)
         if ids is None:
             stem = word.rstrip(_SIGNS)
             if stem and len(stem) < len(word) and 97 <= stem[-1] <= 122:

@@ -28,6 +28,13 @@ def test_word_ids_equal_the_tokenizer(tok, limit):
         assert enc(text.encode()) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@pytest.mark.parametrize("limit", [3, 1 << 18])
+def test_words_without_a_token(tok, limit):
+    enc = packing.WordIds(WORDS, limit)
+    for text in ["foo \u00a0 bar", "\u3000", "a \u0085 b", "\u2003 \u00a0\u3000 x", "foo \u00a0 bar", "a\u00a0 \u00a0. b"]:
+        assert enc(text.encode()) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def check_packing(rows, size):
     seqs = {}
     for r in rows:
