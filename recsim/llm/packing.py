@@ -60,19 +60,28 @@ class WordIds:
     signs, so a text's ids are those of its lower-cased words (split at ASCII white space) one
     after the other, a run of last signs by itself.  Words of plain letters go straight to the
     tokenizer's model, others through all of it.  Ids of words are kept in two tables of bounded
-    size: when the newer one is full it becomes the older, whose words move up when met."""
+    size: when the newer one is full it becomes the older, whose words move up when met.
 
-    def __init__(self, path: str, limit: int = CACHE):
+    With ``special`` the tokenizer's special tokens ('<|endoftext|>') that a text spells out get their
+    own ids, as in the tokenizer as loaded; otherwise they are ordinary signs and letters.  Words
+    that may hold one go to the tokenizer whole and in their own case."""
+
+    def __init__(self, path: str, limit: int = CACHE, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.marks = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
         self.signs = byte_signs()
 
+    def _marked(self, low: bytes) -> bool:
+        """Whether a lower-cased text spells out a special token in some case."""
+        return any(m in low for m in self.marks)
+
     def _encode(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
@@ -87,6 +96,9 @@ class WordIds:
         if ids is None:
             ids = self.older.get(word)
         if ids is None:
+            if self._marked(word.lower()):
+                slow.append(word)
+                return None
             stem = word.rstrip(_SIGNS)
             if stem and len(stem) < len(word) and 97 <= stem[-1] <= 122:
                 first, last = self._of(stem, slow), self._of(word[len(stem):], slow)
@@ -104,7 +116,10 @@ class WordIds:
         return ids
 
     def __call__(self, data: bytes) -> bytes:
-        words = data.lower().split()
+        low = data.lower()
+        words = low.split()
+        if self._marked(low):
+            words = [w if self._marked(v) else v for w, v in zip(data.split(), words)]
         found = list(map(self.known.get, words))
         if None in found:
             miss = [i for i, ids in enumerate(found) if ids is None]
@@ -128,7 +143,7 @@ def word_ids(path: str) -> WordIds:
     import tokenizers
     kept = vars(tokenizers).setdefault("_kept_word_ids", {})
     if path not in kept:
-        kept[path] = WordIds(path)
+        kept[path] = WordIds(path, special=True)
     return kept[path]
 
 
@@ -138,7 +153,8 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, end_id: int = 1,
                  text: str = "text", doc_id: str = "doc_id", ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece (from 0), start, length, ids_crc32 (of the piece's ids as
-    little-endian unsigned 32-bit numbers) and, with ``ids``, those bytes.  A null text is
+    little-endian unsigned 32-bit numbers) and, with ``ids``, those bytes.  Special tokens that a text
+    spells out have their own ids, as in the tokenizer as loaded.  A null text is
     empty (its one piece is the end id); null ids and repeated rows stay; other columns are
     not read."""
     schema = PIECE + (", ids binary" if ids else "")

@@ -35,6 +35,25 @@ def test_words_without_a_token(tok, limit):
         assert enc(text.encode()) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+SPECIAL = ["<|endoftext|>", "Foo <|endoftext|> BAR.", "a<|startoftext|>B's <|ENDOFTEXT|> É<|endoftext|>.", "<|endoftext <|endoftext|>|> x",
+           "<|endoftext|><|startoftext|>\n\u00a0<|endoftext|>ΑΣ ΑΣ<|endoftext|>"]
+
+
+@pytest.mark.parametrize("limit", [3, 1 << 18])
+def test_special_tokens_as_the_tokenizer_is_loaded(limit):
+    loaded = Tokenizer.from_file(WORDS)
+    enc = packing.WordIds(WORDS, limit, special=True)
+    for text in SPECIAL:
+        assert enc(text.encode()) == np.array(loaded.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_pieces_hold_special_tokens(spark):
+    loaded = Tokenizer.from_file(WORDS)
+    got = packing.token_pieces(spark.createDataFrame(list(enumerate(SPECIAL)), "doc_id long, text string"), WORDS, ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {
+        i: loaded.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(SPECIAL)}
+
+
 def check_packing(rows, size):
     seqs = {}
     for r in rows:
