@@ -33,8 +33,6 @@ GROUP_ROWS = 20_000
 CARRY = 1 / 16
 #: Words whose ids a worker keeps at hand.
 CACHE = 1 << 18
-#: Two-for-one exchanges are tried among so many of a bin's largest documents.
-PAIRS = 12
 
 ship(__name__)
 
@@ -205,71 +203,132 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _step(donor: int, length: np.ndarray, bin_of: np.ndarray, fill: np.ndarray, size: int) -> bool:
-    """One move or exchange out of bin ``donor`` that raises the squared fill; False if there is none.
-
-    A move: into the fullest bin with room.  An exchange: one or two documents of the donor
-    against one of a bin at least as full, with the largest gain that fits there."""
-    own = fill[donor]
-    mine = np.flatnonzero(bin_of == donor)
-    mine = mine[np.argsort(-length[mine], kind="stable")]
-    for x in mine:
-        after = fill + length[x]
-        fits = np.flatnonzero((after <= size) & (after > own))
-        fits = fits[fits != donor]
-        if len(fits):
-            to = fits[np.argmax(fill[fits])]
-            bin_of[x] = to
-            fill[donor] -= length[x]
-            fill[to] += length[x]
-            return True
-    theirs = np.flatnonzero((fill[bin_of] >= own) & (fill[bin_of] < size) & (bin_of != donor))
-    if not len(theirs):
-        return False
-    room = size - fill[bin_of[theirs]]
-    few = mine[:PAIRS]
-    sets = [(x,) for x in mine] + [(x, y) for k, x in enumerate(few) for y in few[k + 1:]]
-    best = (0, None, None)
-    for xs in sets:
-        gain = length[list(xs)].sum() - length[theirs]
-        gain[(gain > room)] = 0
-        k = int(np.argmax(gain))
-        if gain[k] > best[0]:
-            best = int(gain[k]), xs, theirs[k]
-    gain, xs, y = best
-    if xs is None:
-        return False
-    to = bin_of[y]
-    bin_of[list(xs)], bin_of[y] = to, donor
-    fill[donor] -= gain
-    fill[to] += gain
-    return True
+class _Search:
+    """The state of a local search: which bin each document is in, and the bins' fills.
+
+    A bin without a step gets one only by a change of a bin that it could give to, so it is tried
+    again against the bins changed since, and only if its fill and lengths allow a step there."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], size: int):
+        self.size, self.length = size, np.array(lengths, np.int64)
+        self.members = [sorted(b) for b in bins]
+        self.bin_of = np.empty(len(self.length), np.int64)
+        for k, b in enumerate(bins):
+            self.bin_of[b] = k
+        self.fill = np.bincount(self.bin_of, self.length, len(bins)).astype(np.int64)
+        self.least, self.most = np.zeros(len(bins), np.int64), np.zeros(len(bins), np.int64)
+        self.sums: dict[int, tuple] = {}
+        #: By sum of one or two documents, the bins that have it.
+        self.has = np.zeros((size + 1, len(bins)), bool)
+        for k in range(len(bins)):
+            self._changed(k)
+        self.able = np.ones(len(bins), bool)
+        #: The step of a bin's last change, and the step after which it was last tried in vain.
+        self.changed, self.tried = np.ones(len(bins), np.int64), np.zeros(len(bins), np.int64)
+
+    def _changed(self, k: int) -> None:
+        self.sums.pop(k, None)
+        if self.members[k]:
+            lengths = self.length[self.members[k]]
+            self.least[k], self.most[k] = lengths.min(), lengths.max()
+        self.has[:, k] = False
+        if self.members[k]:
+            self.has[self._sums(k)[2], k] = True
+
+    def _sums(self, k: int) -> tuple:
+        """Distinct lengths in the bin with a document of each, and the distinct sums of one or any two with
+        those documents.  Documents of equal length are alike, and a bin has few distinct lengths."""
+        if k not in self.sums:
+            mine = np.array(self.members[k])
+            kinds, first, count = np.unique(self.length[mine], return_index=True, return_counts=True)
+            second = mine[first]
+            for i in np.flatnonzero(count > 1):
+                second[i] = mine[self.length[mine] == kinds[i]][1]
+            a, b = np.triu_indices(len(kinds))
+            two = (a != b) | (count[a] > 1)
+            a, b = a[two], b[two]
+            x = np.concatenate((mine[first], mine[first][a]))
+            y = np.concatenate((np.full(len(kinds), -1), np.where(a == b, second[b], mine[first][b])))
+            sums, at = np.unique(np.concatenate((kinds, kinds[a] + kinds[b])), return_index=True)
+            self.sums[k] = kinds, mine[first], sums, x[at], y[at]
+        return self.sums[k]
+
+    def _give(self, out: list[int], back: list[int], donor: int, to: int) -> None:
+        for xs, old, new in ((out, donor, to), (back, to, donor)):
+            for x in xs:
+                self.members[old].remove(x)
+                self.members[new].append(x)
+                self.bin_of[x] = new
+                self.fill[old] -= self.length[x]
+                self.fill[new] += self.length[x]
+        self.members[donor].sort()
+        self.members[to].sort()
+
+    def step(self, donor: int) -> int:
+        """One move or exchange out of bin ``donor`` that raises the squared fill; the bin it went to, -1 if there
+        is none.  A move: into the fullest bin with room.  An exchange: one or any two documents of the donor
+        against one of a bin at least as full, with the largest gain that fits there."""
+        own, size, fill = self.fill[donor], self.size, self.fill
+        kinds, first, sums, one, two = self._sums(donor)
+        bins = np.flatnonzero((self.changed > self.tried[donor]) & (fill < size) & (fill > 0))
+        bins = bins[bins != donor]
+        if not len(bins):
+            return -1
+        have = fill[bins]
+        if have.min() + kinds[0] <= size:
+            for n, x in zip(kinds[::-1], first[::-1]):
+                fits = (have <= size - n) & (have > own - n)
+                if fits.any():
+                    to = int(bins[np.argmax(np.where(fits, have, -1))])
+                    self._give([int(x)], [], donor, to)
+                    return to
+        bins = bins[have >= own]
+        if not len(bins):
+            return -1
+        theirs = np.array([x for k in bins.tolist() for x in self.members[k]])
+        room = size - fill[self.bin_of[theirs]]
+        best = np.searchsorted(sums, room + self.length[theirs], "right") - 1
+        gains = np.where(best >= 0, sums[best] - self.length[theirs], 0)
+        k = int(np.argmax(gains))
+        if gains[k] <= 0:
+            return -1
+        to = int(self.bin_of[theirs[k]])
+        self._give([int(x) for x in (one[best[k]], two[best[k]]) if x >= 0], [int(theirs[k])], donor, to)
+        return to
+
+    def run(self) -> None:
+        need, turn = -(-int(self.length.sum()) // self.size), 1
+        used = np.count_nonzero(self.fill)
+        while used > need:
+            able = np.flatnonzero(self.able & (self.fill > 0) & (self.fill < self.size))
+            if not len(able):
+                break
+            donor = int(able[np.argmin(self.fill[able])])
+            to = self.step(donor)
+            if to < 0:
+                self.able[donor], self.tried[donor] = False, turn
+                continue
+            turn += 1
+            used -= self.fill[donor] == 0
+            for k in (donor, to):
+                self._changed(k)
+                self.changed[k], self.tried[k], self.able[k] = turn, 0, True
+            for k in (donor, to):
+                f = self.fill[k]
+                if 0 < f < self.size:
+                    gains = [self.has[n + 1:n + 1 + self.size - f].any(axis=0) for n in self._sums(k)[0].tolist()]
+                    self.able |= (self.fill <= f) & np.logical_or.reduce(gains)
+                    self.able |= (self.fill < f + self.most) & (f + self.least <= self.size)
 
 
 def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """Empties bins while there are more than the tokens need: the emptiest bin that can gives
-    documents to fuller ones by moves and exchanges.  Ends when no bin has such a step, or
-    after twice as many steps as documents; what it has found by then stands."""
-    length = np.array(lengths, np.int64)
-    bin_of = np.empty(len(length), np.int64)
-    for k, b in enumerate(bins):
-        bin_of[b] = k
-    fill = np.bincount(bin_of, length, len(bins)).astype(np.int64)
-    need = -(-int(length.sum()) // size)
-    stuck = np.zeros(len(bins), bool)
-    for _ in range(2 * len(length)):
-        if np.count_nonzero(fill) <= need:
-            break
-        able = np.flatnonzero(~stuck & (fill > 0) & (fill < size))
-        if not len(able):
-            break
-        donor = int(able[np.argmin(fill[able])])
-        if _step(donor, length, bin_of, fill, size):
-            stuck[:] = False
-        else:
-            stuck[donor] = True
-    order = np.argsort(bin_of, kind="stable")
-    return [part.tolist() for part in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1) if len(part)]
+    documents to fuller ones by moves and exchanges.  Ends when no bin has such a step."""
+    if len(bins) <= -(-sum(lengths) // size):
+        return bins
+    search = _Search(bins, lengths, size)
+    search.run()
+    return [b for b in search.members if b]
 
 
 def pack_lengths(lengths: list[int], size: int) -> list[list[int]]:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -78,6 +79,39 @@ def test_bins_are_valid_and_search_never_worsens(seed):
     assert -(-sum(lengths) // 100) <= len(second) <= len(first)
 
 
+def steps_left(bins, lengths, size):
+    """(donor, documents given, bin, document taken back) of every step that raises the squared fill, one by one."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for d, mine in enumerate(bins):
+        pairs = [(x,) for x in mine] + list(itertools.combinations(mine, 2))
+        for t, theirs in enumerate(bins):
+            if d == t or max(fill[d], fill[t]) >= size:
+                continue
+            yield from ((d, (x,), t, None) for x in mine if fill[d] < fill[t] + lengths[x] <= size)
+            if fill[t] >= fill[d]:
+                yield from ((d, xs, t, y) for xs in pairs for y in theirs
+                            if 0 < sum(lengths[x] for x in xs) - lengths[y] <= size - fill[t])
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_search_ends_where_no_step_is_left(seed):
+    rng = random.Random(seed)
+    low, high = [(24, 49), (10, 60), (3, 6), (1, 9)][seed % 4]
+    lengths = [rng.randint(low, high) for _ in range(160)]
+    first = [[i] for i in range(160)] if seed % 2 else packing.best_fit(lengths, 100)
+    bins = packing.local_search(first, lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(160))
+    assert len(bins) == -(-sum(lengths) // 100) or not next(steps_left(bins, lengths, 100), None)
+
+
+def test_any_two_documents_of_the_donor_are_exchanged():
+    """Only 21 + 20 for 40 fits into a room of 17; both stand behind sixteen longer documents."""
+    lengths = [40] * 16 + [21, 20] + [943, 40] * 41
+    bins = packing.local_search([list(range(18))] + [[k, k + 1] for k in range(18, 100, 2)], lengths, 1000)
+    assert {16, 17} <= set(next(b for b in bins if 16 in b)) and not next(steps_left(bins, lengths, 1000), None)
+    assert sorted(map(len, bins)) == [2] * 40 + [3, 17]
+
+
 def test_search_empties_a_bin_that_best_fit_leaves():
     lengths = [50, 40, 30, 30, 30, 20]
     first = [[0, 1], [2, 3, 4], [5]]
