@@ -7,11 +7,15 @@ inside its document; the score is a logistic function of the weighted passage en
 Only documents have labels; passages get theirs through the attention weights.
 
 Fitting: on a bounded sample of labelled documents (``SAMPLE``, the smallest hashes of their
-ids), measured by the executors.  Scoring: every document, all passages of it, in tasks.
+ids), all passages of them, measured by the executors.  The driver takes the measurements in by
+partitions, keeps them in a file and reads a mini-batch at a time.  Scoring: every document, all
+passages of it, in tasks.
 """
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recsim.llm.common import ship, spans_hash, without, word_edges
+from recsim.llm.common import cut_lineage, ship, spans_hash, without, word_edges
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 6000
 PASSAGE_WORDS = 64
-#: Passages of one document used in fitting, evenly spaced; scoring uses all.
-FIT_PASSAGES = 48
 #: Bytes measured at a time.
 SLICE = 1 << 20
 #: Passages encoded at a time.
@@ -129,29 +131,46 @@ class AttentionModel:
         return float(_sigmoid(rep / total @ self.out + self.bias))
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 30,
+class Bags(Sequence):
+    """Bags of measurements in a file of half-precision numbers, one after the other; a bag is read when asked for."""
+
+    def __init__(self, file, places: list[tuple[int, int]]):
+        """``places``: first row and number of rows of each bag."""
+        self.places = places
+        self.rows = np.memmap(file, np.float16, "r").reshape(-1, FEATURES) if places else None
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        at, n = self.places[i]
+        return np.asarray(self.rows[at:at + n], np.float32)
+
+
+def fit(bags: Sequence[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 30,
         rate: float = 0.005, decay: float = 1e-4, batch: int = 64, seed: int = 7) -> AttentionModel:
     """Fits encoder, attention and output together by Adam on the documents' cross entropy, both
     classes weighted alike.  Without both classes the score is the share of label 1."""
     labels = np.asarray(labels, float)
-    every = np.concatenate(bags) if bags else np.zeros((1, FEATURES), np.float32)
-    mean, scale = every.mean(axis=0).astype(float), every.std(axis=0).astype(float) + 0.02
+    rows = max(1, sum(len(b) for b in bags))
+    mean = sum((b.sum(axis=0, dtype=float) for b in bags), np.zeros(FEATURES)) / rows
+    scale = np.sqrt(sum((np.square(b - mean).sum(axis=0) for b in bags), np.zeros(FEATURES)) / rows) + 0.02
     rng = np.random.default_rng(seed)
     p = {"encode": rng.normal(0, 1 / np.sqrt(FEATURES), (FEATURES, hidden)), "shift": np.zeros(hidden),
          "v": rng.normal(0, hidden ** -0.5, (hidden, gate)), "u": rng.normal(0, hidden ** -0.5, (hidden, gate)),
          "attend": rng.normal(0, gate ** -0.5, gate), "out": rng.normal(0, hidden ** -0.5, hidden), "bias": np.zeros(1)}
     share = float(labels.mean()) if len(labels) else 0.5
-    if not bags or not 0 < share < 1:
+    if not len(bags) or not 0 < share < 1:
         odds = np.log((share + 1e-3) / (1 - share + 1e-3))
         return AttentionModel(mean, scale, p["encode"], p["shift"], p["v"], p["u"], p["attend"], 0 * p["out"], float(odds))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    bags = [((b - mean) / scale).astype(np.float32) for b in bags]
     moment = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in p.items()}
     t = 0
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // batch)):
-            x = np.concatenate([bags[i] for i in part])
-            sizes = np.array([len(bags[i]) for i in part])
+            x = [bags[i] for i in part]
+            sizes = np.array([len(b) for b in x])
+            x = (np.concatenate(x) - mean.astype(np.float32)) / scale.astype(np.float32)
             doc = np.repeat(np.arange(len(part)), sizes)
             begin = np.cumsum(sizes) - sizes
             h = np.tanh(x @ p["encode"] + p["shift"])
@@ -190,18 +209,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
 
     @F.pandas_udf("binary")
     def measured(texts: pd.Series) -> pd.Series:
-        def one(t):
-            x = measure((t or "").encode())
-            if len(x) > FIT_PASSAGES:
-                x = x[np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int)]
-            return x.astype(np.float16).tobytes()
-        return texts.map(one)
-
-    got = (docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-           .select("doc_id", "y", measured(F.coalesce("text", F.lit(""))).alias("x")).toPandas())
-    got = got.sort_values("doc_id").drop_duplicates("doc_id")
-    bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for b in got["x"]]
-    return fit(bags, got["y"].to_numpy())
+        return texts.map(lambda t: measure((t or "").encode()).astype(np.float16).tobytes())
+
+    got = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+                      .select("doc_id", "y", measured(F.coalesce("text", F.lit(""))).alias("x")), "quality-bags")
+    with tempfile.TemporaryFile() as file:
+        seen: dict[int, tuple[int, int, int]] = {}
+        at = 0
+        for r in got.toLocalIterator():
+            if r.doc_id not in seen:
+                n = len(r.x) // (2 * FEATURES)
+                file.write(r.x)
+                seen[r.doc_id] = (at, n, r.y)
+                at += n
+        file.flush()
+        order = [seen[i] for i in sorted(seen)]
+        return fit(Bags(file, [(at, n) for at, n, _ in order]), np.array([y for _, _, y in order]))
 
 
 def with_quality(docs: DataFrame, model: AttentionModel, text: str = "text", out: str = "score") -> DataFrame:

@@ -63,6 +63,19 @@ def test_odd_rows(spark):
     assert quality.with_quality(none, empty).count() == 0
 
 
+def test_fit_takes_every_passage(spark, monkeypatch):
+    texts = {i: " ".join(f"w{k % 7}{'!' * (k // 64 % 5)}" for k in range(64 * n)) for i, n in enumerate([1, 48, 49, 100, 313])}
+    rows = [(i, t, i % 2) for i, t in texts.items()]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.append(([bags[i] for i in range(len(bags))], list(labels))))
+    train = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    quality.fit_quality(train, train)
+    (bags, labels), = seen
+    assert labels == [i % 2 for i in range(5)]
+    for i, b in enumerate(bags):
+        assert np.array_equal(b, quality.measure(texts[i].encode()).astype(np.float16).astype(np.float32))
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in QUERIES["op10_quality_classifier"](spark, SF).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
