@@ -44,6 +44,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, y, text): one row for each id of ``known`` (doc_id, y; few, distinct) that ``docs`` holds.  Of rows
+    that repeat an id the smallest text counts, a null one as empty; tasks reduce them before the shuffle."""
+    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+            .groupBy("doc_id", "y").agg(F.min("text").alias("text")))
+
+
 def fan_out(df: DataFrame) -> int:
     """How many buckets to deal rows into: as many as the session's shuffle partitions,
     or as the input has partitions where those are more, so a bucket holds about one

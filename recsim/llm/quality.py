@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recsim.llm.common import cut_lineage, ship, spans_hash, without, word_edges
+from recsim.llm.common import cut_lineage, labelled_texts, ship, spans_hash, without, word_edges
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 6000
@@ -202,7 +202,7 @@ def fit(bags: Sequence[np.ndarray], labels: np.ndarray, hidden: int = 24, gate:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> AttentionModel:
     """Model of ``labels`` (doc_id, ``label``) on at most ``sample`` of the labelled ``docs``: those with
     the smallest hashes of their ids, so the choice does not depend on the order of rows.  Rows
-    with a null id or label are not used; of rows that repeat an id one is."""
+    with a null id or label are not used; of rows that repeat an id the smallest text is."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
              .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample))
@@ -211,17 +211,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
     def measured(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: measure((t or "").encode()).astype(np.float16).tobytes())
 
-    got = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-                      .select("doc_id", "y", measured(F.coalesce("text", F.lit(""))).alias("x")), "quality-bags")
+    got = cut_lineage(labelled_texts(docs, known).select("doc_id", "y", measured("text").alias("x")), "quality-bags")
     with tempfile.TemporaryFile() as file:
         seen: dict[int, tuple[int, int, int]] = {}
         at = 0
         for r in got.toLocalIterator():
-            if r.doc_id not in seen:
-                n = len(r.x) // (2 * FEATURES)
-                file.write(r.x)
-                seen[r.doc_id] = (at, n, r.y)
-                at += n
+            n = len(r.x) // (2 * FEATURES)
+            file.write(r.x)
+            seen[r.doc_id] = (at, n, r.y)
+            at += n
         file.flush()
         order = [seen[i] for i in sorted(seen)]
         return fit(Bags(file, [(at, n) for at, n, _ in order]), np.array([y for _, _, y in order]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recsim.llm.common import cut_lineage, fresh, ship, without
+from recsim.llm.common import cut_lineage, fresh, labelled_texts, ship, without
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 16_000
@@ -128,8 +128,8 @@ def fit_logistic(docs: list[list[int]], labels: np.ndarray, n_features: int, pai
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE,
                  features: int = FEATURES, fairness: float = 5.0, identity=IDENTITY) -> ToxicModel:
     """Model of ``labels`` (doc_id, ``label``) on at most ``sample`` of the labelled ``docs``: those with
-    the smallest hashes of their ids.  Rows with a null id or label are not used, repeated
-    ids count once per row of ``docs``.  Without labels the score is 0.5."""
+    the smallest hashes of their ids.  Rows with a null id or label are not used; of rows
+    that repeat an id the smallest text is.  Without labels the score is 0.5."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
              .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample))
@@ -140,7 +140,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sampl
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.list_(pa.string()))],
                                              names=["doc_id", "y", "words"])
 
-    train = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
+    train = cut_lineage(labelled_texts(docs, known)
                         .mapInArrow(bags, "doc_id long, y int, words array<string>"), "toxic-words")
     total = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
     n1, n0 = int(total.ones), int(total.n - total.ones)

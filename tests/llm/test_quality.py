@@ -76,6 +76,19 @@ def test_fit_takes_every_passage(spark, monkeypatch):
         assert np.array_equal(b, quality.measure(texts[i].encode()).astype(np.float16).astype(np.float32))
 
 
+def test_a_repeated_id_is_measured_once(spark, monkeypatch):
+    rows = [(i, f"word {i} " * 70, i % 2) for i in range(6)]
+    labels = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    train = spark.createDataFrame(rows + [(3, "word 3 " * 70, 1)] * 500 + [(2, None, 0)], labels.schema).repartition(4)
+    kept, cut = [], quality.cut_lineage
+    monkeypatch.setattr(quality, "cut_lineage", lambda df, name: kept.append(cut(df, name)) or kept[-1])
+    bags = []
+    monkeypatch.setattr(quality, "fit", lambda b, y: bags.extend(len(x) for x in b))
+    quality.fit_quality(train, labels)
+    assert sorted(r.doc_id for r in kept[0].collect()) == list(range(6))
+    assert bags == [3, 3, 1, 3, 3, 3]
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in QUERIES["op10_quality_classifier"](spark, SF).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}

@@ -49,6 +49,16 @@ def test_without_labels_or_documents(spark):
     assert toxicity.with_toxicity(none, model).count() == 0
 
 
+def test_a_repeated_id_is_fitted_once(spark, monkeypatch):
+    rows = [(i, "bad idiot" if i % 2 else "good day", i % 2) for i in range(40)]
+    labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    train = spark.createDataFrame(rows + [(3, "bad idiot", 1)] * 500 + [(2, None, 0)], labels.schema).repartition(4)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda docs, y, n, *_: seen.append((len(docs), sum(y))) or (np.zeros(n), 0.0))
+    toxicity.fit_toxicity(train, labels)
+    assert seen == [(40, 20)]
+
+
 def test_held_out_accuracy_and_purity(spark):
     got = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
