@@ -153,7 +153,8 @@ def _term_spans(text: Column, terms: Column, kind: str) -> Column:
 
 def _sanitised(text: Column, spans: Column) -> Column:
     """The text with every span replaced: base spans by <KIND>, generalised terms by <TERM>, removed
-    ones by nothing.  Of overlapping spans the one that starts first counts, then the longest."""
+    ones by nothing.  Overlapping spans go together, under the name of the one that starts first, then the
+    longest."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -162,7 +163,8 @@ def _sanitised(text: Column, spans: Column) -> Column:
                .otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
         step = F.struct((-s["back"]).alias("at"),
                         F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), tag).alias("out"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(step)
+        both = F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), acc["out"].alias("out"))
+        return F.when(s["start"] < acc["at"], both).otherwise(step)
 
     end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, begin, put, end))

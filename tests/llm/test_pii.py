@@ -122,6 +122,17 @@ def test_overlapping_base_spans_are_replaced_once(spark):
     assert pii.sanitise(df).first().text == "<EMAIL> y <PHONE> z" or pii.sanitise(df).first().text.count("<") >= 2
 
 
+def test_nothing_of_an_overlapping_span_stays(spark):
+    rows = ["a 4111 1111 1111 1111@x.com b", "bob@x.4111 1111 1111 1111 b", "x 1.2.3.4@y.org,bob@x.4111 1111 1111 1111@z.de b"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for i, text in enumerate(rows):
+        gone = {k for _, a, b in brute(text) for k in range(a, b)}
+        rest = "".join(" " if k in gone else c for k, c in enumerate(text)).split()
+        assert re.sub("<[A-Z]+>", " ", got[i]).split() == rest, got[i]
+    assert got[0] == "a <CARD> b" and got[1] == "<EMAIL> b"
+
+
 def test_counting_before_the_join_changes_nothing(spark, monkeypatch):
     want = disclosed(spark, corpus())[0]
     monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
