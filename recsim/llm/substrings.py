@@ -12,8 +12,8 @@ so they share an anchor aligned at that offset.  Therefore:
 3. The words that marked windows cover are taken out.
 
 Both meetings work on packed arrays.  A task first reduces what it has: equal hashes inside
-a batch send one representative and list the others, so a passage that a third of the
-corpus shares costs at most one entry per batch.  Texts are shuffled once, by document;
+a batch send the hash once, but every occurrence's id and position.  All occurrences of one
+hash meet in one task, which is not split.  Texts are shuffled once, by document;
 both later steps read that shuffle.  Buckets grow in number with the input.
 """
 
