@@ -9,9 +9,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsim.llm import bpe, lzprint, packing, pii, quality, simhash, substrings, toxicity, vectors, warc
+from recsim.llm import bpe, lzprint, mixing, negatives, packing, pii, quality, simhash, spelling, substrings, toxicity, vectors, warc
 from recsim.llm.common import read_table
 
+#: What op13 takes runs of, and the letters that it lower-cases.
+LETTERS, UPPER = r"[A-Za-z\u00C0-\u00FF]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -151,3 +154,94 @@ FROM v JOIN least ON least.n = v.vec_id LEFT JOIN links ON links.a = v.vec_id
 def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ids=False)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0, scale=256)
+
+
+#: Every score of every anchor, ranked.
+SQL["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, r.id AS id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.id <> r.id WHERE a.id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+       s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) <= 5
+"""
+
+
+@query
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix_documents(read_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+    return mixing.taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same schedule by windows over whole tables: streams in md5 order, golden-ratio points over the cumulative widths.
+SQL["op12_source_mixing"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, source_size, 2 * source_size AS cap, no, CASE no % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
+  FROM (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
+        FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source))
+), u(k, unit) AS (
+  SELECT 0, 1.5::DOUBLE * sum(source_size) / sum(w) FROM s
+  UNION ALL
+  SELECT k + 1, (1.5::DOUBLE * sum(source_size) - coalesce(sum(CASE WHEN w * unit > cap THEN cap END), 0)) / sum(CASE WHEN w * unit > cap THEN 0 ELSE w END)
+  FROM u, s WHERE k < 30 GROUP BY k
+), t AS (
+  SELECT s.*, least(w * unit, CAST(cap AS DOUBLE)) AS target, greatest(1, least(128, source_size // 64)) AS bw FROM s, u WHERE k = 30
+), b AS (
+  SELECT *, (source_size + bw - 1) // bw AS blocks, CAST(floor(target * 65536 / bw) AS BIGINT) AS width FROM t
+), laid AS (SELECT no, blocks, width, CAST(sum(width) OVER (ORDER BY no) - width AS BIGINT) AS low FROM b),
+points AS (
+  SELECT i AS slot, CAST((CAST(i + 1 AS HUGEINT) * 679535556991) % 1099511627776 AS DOUBLE) / 1099511627776 * whole AS x
+  FROM (SELECT CAST(whole AS DOUBLE) AS whole, unnest(range((whole + 65535) // 65536)) AS i FROM (SELECT CAST(sum(width) AS BIGINT) AS whole FROM b))
+), slots AS (
+  SELECT no, blocks, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS r FROM points JOIN laid ON x >= low AND x < low + width
+), each_block AS (
+  SELECT no, blocks, p.pass, unnest(range(blocks)) AS block FROM b, (VALUES (0), (1)) p(pass)
+), placed AS (
+  SELECT no, pass, block, row_number() OVER (PARTITION BY no, pass ORDER BY md5(concat_ws(':', '1', no, pass, block))) - 1 AS place FROM each_block
+), uses AS (
+  SELECT placed.no, block, count(*) AS times FROM slots JOIN placed ON slots.no = placed.no AND r // blocks = pass AND r % blocks = place GROUP BY 1, 2
+), streams AS (
+  SELECT doc_id, size, source_size, target, no, bw,
+         CAST(sum(size) OVER (PARTITION BY no ORDER BY md5(concat('1:', doc_id)), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS f
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+), spans AS (
+  SELECT doc_id, no, bw, f, size, unnest(range(f // bw, (f + size - 1) // bw + 1)) AS block FROM streams WHERE size > 0
+), got AS (
+  SELECT doc_id, sum(times * (least(f + size, (spans.block + 1) * bw) - greatest(f, spans.block * bw))) AS taken
+  FROM spans JOIN uses ON spans.no = uses.no AND spans.block = uses.block GROUP BY doc_id
+)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM streams LEFT JOIN got USING (doc_id)
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    run = F.explode(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, UPPER.lower()), F.lit(LETTERS), F.lit(0)))
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), run.alias("run"))
+    h = F.crc32(F.concat("doc_id", F.lit(":"), "run"))
+    cut = F.pmod(F.col("h"), F.length("run")).cast("int")
+    word = F.when(F.col("h") % 97 == 0, F.concat(F.substring("run", F.lit(1), cut), F.substring("run", cut + 2, F.length("run")))).otherwise(F.col("run"))
+    return spelling.group_variants(runs.withColumn("h", h).select(word.alias("word")), least_length=5, least_n=3).select(
+        "word", "form", "root", "n", "n_near", "form_n")
