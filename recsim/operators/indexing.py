@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,3 +56,18 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "pos"
         .drop("_pid", "_mono", "_off", "_first")
     )
     return (out, acc) if with_total else out
+
+
+def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], amounts: dict[str, Column]) -> DataFrame:
+    """``df`` with, per entry of ``amounts``, its total over the rows of equal ``keys`` that come earlier in the order (bucket, ``order``).
+
+    ``bucket`` cuts a key's rows into ranges of the order: totals per range run on over the ranges, and a window runs only inside
+    a range, so a hot key never meets in one task.  ``df`` is read twice.
+    """
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    over = earlier(Window.partitionBy(*keys).orderBy(bucket))
+    totals = df.groupBy(*keys, bucket).agg(*[F.sum(a).alias(f"_{n}") for n, a in amounts.items()])
+    offsets = totals.select(*keys, bucket, *[F.coalesce(F.sum(f"_{n}").over(over), F.lit(0)).alias(f"_{n}") for n in amounts])
+    inside = earlier(Window.partitionBy(*keys, bucket).orderBy(*order))
+    joined = df.join(offsets, [*keys, bucket])
+    return joined.select(*df.columns, *[(F.col(f"_{n}") + F.coalesce(F.sum(a).over(inside), F.lit(0))).alias(n) for n, a in amounts.items()])

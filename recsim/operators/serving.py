@@ -111,3 +111,42 @@ def search_items(catalog: DataFrame, query: str, limit: int = 20) -> DataFrame:
     if not query:
         return catalog.limit(0)
     return filter_titles(catalog, query).orderBy("title", "movieId").limit(limit)
+
+
+# -- indexed title search ---------------------------------------------------------------
+
+GRAM = 3        # code points of the longest index entry
+
+
+def _grams(text, size: int):
+    """Distinct substrings of ``size`` code points."""
+    last = F.length(text) - size + 1
+    return F.array_distinct(F.transform(F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")),
+                                        lambda i: F.substring(text, i, F.lit(size))))
+
+
+def title_index(catalog: DataFrame) -> DataFrame:
+    """(gram, movieId): the distinct substrings of one to three code points of every lower-cased title."""
+    text = F.lower(F.col("title"))
+    return (catalog.select("movieId", F.explode(F.flatten(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)]))).alias("gram"))
+            .select("gram", "movieId").distinct())
+
+
+def search_titles(index: DataFrame, catalog: DataFrame, queries: DataFrame, rarest: int = 2) -> DataFrame:
+    """(query, movieId, title): the titles that contain each of the distinct ``queries`` (column query), in any letter case.
+
+    A query of three code points or more is looked up by its ``rarest`` trigrams, whose lists are intersected, and verified; a
+    shorter one by its own entry, which is exact.  A query with a trigram that no title has finds nothing; an empty or null one
+    finds nothing.  No title is scanned.
+    """
+    text = F.lower(F.col("query"))
+    asked = queries.select("query").distinct().where(F.length("query") > 0)
+    grams = asked.select("query", F.explode(F.when(F.length(text) >= GRAM, _grams(text, GRAM)).otherwise(F.array(text))).alias("gram"))
+    lists = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_df"))
+    sized = grams.join(lists, "gram", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+    place = Window.partitionBy("query").orderBy("_df", "gram")
+    picked = sized.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= rarest)
+    need = picked.groupBy("query").agg(F.count(F.lit(1)).alias("_need"))
+    hits = picked.select("query", "gram").join(index, "gram").groupBy("query", "movieId").agg(F.count(F.lit(1)).alias("_n"))
+    both = hits.join(need, "query").where(F.col("_n") == F.col("_need")).select("query", "movieId")
+    return both.join(catalog.select("movieId", "title"), "movieId").where(F.contains(F.lower("title"), text)).select("query", "movieId", "title")

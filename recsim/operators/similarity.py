@@ -69,6 +69,30 @@ def topk_neighbors(sym: DataFrame, k: int, by: Sequence[str] = (), keep_rank: bo
     return ranked if keep_rank else ranked.drop("rank")
 
 
+def seed_products(ratings: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(movie_i, movie_j, cosine_similarity) of the items ``seeds`` (column movieId) with every co-rated item: a few items against all.
+
+    The seeds' ratings meet the histories of their raters, so the products are those of the seeds alone; norms are one
+    aggregate over the ratings.  No table of neighbours or pairs is built.
+    """
+    own = ratings.join(seeds.select("movieId").distinct(), "movieId").select(F.col("movieId").alias("movie_i"), "userId", F.col("rating").alias("_a"))
+    norms = ratings.groupBy("movieId").agg(F.sum(F.col("rating") * F.col("rating")).alias("_norm2"))
+    dots = (ratings.join(own, "userId").where(F.col("movieId") != F.col("movie_i"))
+            .groupBy("movie_i", F.col("movieId").alias("movie_j")).agg(F.sum(F.col("_a") * F.col("rating")).alias("_dot")))
+    norm_i, norm_j = (norms.select(F.col("movieId").alias(f"movie_{s}"), F.col("_norm2").alias(f"_n{s}")) for s in "ij")
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_dot") / F.sqrt(F.col("_ni") * F.col("_nj"))))
+    return (dots.where("_dot <> 0").join(norm_j, "movie_j").join(norm_i, "movie_i").where("_ni > 0 and _nj > 0")
+            .select("movie_i", "movie_j", cosine.alias("cosine_similarity")))
+
+
+def seed_neighbors(ratings: DataFrame, seeds: DataFrame, k: int, *, min_cosine: float | None = None) -> DataFrame:
+    """Top-k exact neighbours of the items ``seeds`` (column movieId): the rows that ``exact_topk_neighbors`` has for them."""
+    found = seed_products(ratings, seeds)
+    if min_cosine is not None:
+        found = found.where(F.col("cosine_similarity") > F.lit(float(min_cosine)))
+    return topk_neighbors(found, k)
+
+
 def similar_items(neighbors: DataFrame, items: DataFrame, movie_id, k: int = 5) -> DataFrame:
     """Top-k neighbours of one item with titles (inner join: untitled neighbours vanish).
 

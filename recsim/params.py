@@ -22,6 +22,8 @@ class Params:
 
     # Our own additions.
     bits_per_band: int = 1          # AND-amplification of the relational LSH
+    bucket_items: int = 64          # items of an average bucket of the multi-probe LSH
+    probes: int = 2                 # further buckets that it looks into per band
     min_neighbors: int = 1          # rated neighbours needed for a user recommendation
     item_block: int = 8192          # items per sub-block of the blocked Gram product
     side_rows: int = 1_000_000      # rating rows per block side and user stripe

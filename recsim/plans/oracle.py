@@ -40,6 +40,79 @@ def sig_ctes(name: str, bands: int, bits: int, seed: int) -> str:
   GROUP BY 1, 2)"""
 
 
+def probe_ctes(name: str, source: str, bands: int, bucket_items: int, probes: int, seed: int) -> str:
+    """Multi-probe signatures over ``source`` and the candidate pairs they imply."""
+    return f"""
+{name}_bits AS (
+  SELECT min(b) AS bits FROM range(1, 31) t(b), (SELECT count(DISTINCT movieId) AS n FROM {source}) WHERE b = 30 OR ({bucket_items} << b) >= n),
+{name}_proj AS (
+  SELECT x.movieId, CAST(g.band AS INTEGER) AS band, CAST(k.k AS INTEGER) AS k,
+         sum(x.rating * CASE WHEN substr(md5(concat('{seed}:', CAST(x.userId AS VARCHAR), ':', CAST(g.band AS VARCHAR))),
+                                         CAST(k.k AS INTEGER) + 1, 1) < '8' THEN 1 ELSE -1 END) AS p
+  FROM {source} x CROSS JOIN range({bands}) g(band) CROSS JOIN (SELECT unnest(range(bits)) AS k FROM {name}_bits) k
+  GROUP BY 1, 2, 3),
+{name}_own AS (SELECT movieId, band, CAST(sum(CASE WHEN p > 0 THEN 1 << k ELSE 0 END) AS INTEGER) AS bucket FROM {name}_proj GROUP BY 1, 2),
+{name}_sig AS (
+  SELECT movieId, band, bucket FROM {name}_own
+  UNION ALL
+  SELECT o.movieId, o.band, CAST(xor(o.bucket, 1 << u.k) AS INTEGER)
+  FROM {name}_own o JOIN (SELECT *, row_number() OVER (PARTITION BY movieId, band ORDER BY abs(p), k) AS n FROM {name}_proj) u
+    ON u.movieId = o.movieId AND u.band = o.band AND u.n <= {probes}),
+{name}_cands AS (
+  SELECT DISTINCT a.movieId AS movie_i, b.movieId AS movie_j
+  FROM {name}_sig a JOIN {name}_sig b ON a.band = b.band AND a.bucket = b.bucket AND a.movieId < b.movieId)"""
+
+
+def gaussian_ctes(name: str, source: str, tables: int, lengths, seed: int) -> str:
+    """Buckets of the Gaussian projections of ``source`` for each bucketLength."""
+    number = lambda at: f"(CAST('0x' || substr(h, {at}, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+    lv = ", ".join(f"({dbl(float(x))})" for x in lengths)
+    return f"""
+{name}_g AS (
+  SELECT userId, t, sqrt(-2.0::DOUBLE * ln({number(1)})) * cos(2.0::DOUBLE * pi() * {number(9)}) AS g
+  FROM (SELECT userId, t, md5(concat('{seed}:g:', CAST(userId AS VARCHAR), ':', CAST(t AS VARCHAR))) AS h
+        FROM (SELECT DISTINCT userId FROM {source}) CROSS JOIN range({tables}) r(t))),
+{name}_len AS (SELECT t, sqrt(sum(g * g)) AS len FROM {name}_g GROUP BY t),
+{name}_p AS (
+  SELECT x.movieId, g.t, sum(x.rating * g.g) / (sqrt(sum(x.rating * x.rating)) * any_value(l.len)) AS p
+  FROM {source} x JOIN {name}_g g ON g.userId = x.userId JOIN {name}_len l ON l.t = g.t GROUP BY 1, 2),
+{name}_buckets AS (
+  SELECT b.l AS bucketLength, movieId, CAST(t AS INTEGER) AS hash_table, CAST(floor(p / b.l) AS BIGINT) AS bucket
+  FROM {name}_p CROSS JOIN (VALUES {lv}) b(l)),
+{name}_cands AS (
+  SELECT a.bucketLength AS len, a.movieId AS movie_i, b.movieId AS movie_j, min(a.hash_table) AS first_table
+  FROM {name}_buckets a JOIN {name}_buckets b
+    ON a.bucketLength = b.bucketLength AND a.hash_table = b.hash_table AND a.bucket = b.bucket AND a.movieId < b.movieId
+  GROUP BY 1, 2, 3)"""
+
+
+def sampled_ctes(source: str, sym: str, sig: str, bands: int, sample: int, seed: int) -> str:
+    """``sr_total``: sums over the sampled items per number of bands; ``sym`` holds the true pairs both ways, ``sig`` the buckets."""
+    return f"""
+sr_items AS (SELECT DISTINCT movieId FROM {source}),
+sr_seeds AS (SELECT movieId FROM sr_items ORDER BY md5(concat('{seed}', ':', CAST(movieId AS VARCHAR))), movieId LIMIT {sample}),
+sr_truth AS (SELECT movie_i, movie_j FROM {sym} WHERE movie_i IN (SELECT movieId FROM sr_seeds)),
+sr_first AS (
+  SELECT t.movie_i, t.movie_j, min(a.band) FILTER (WHERE b.band IS NOT NULL) AS first_table
+  FROM sr_truth t LEFT JOIN {sig} a ON a.movieId = t.movie_i LEFT JOIN {sig} b ON b.movieId = t.movie_j AND b.band = a.band AND b.bucket = a.bucket
+  GROUP BY 1, 2),
+sr_item AS (
+  SELECT g.t AS num_tables, movie_i, CAST(count(*) AS DOUBLE) AS t, CAST(count_if(first_table < g.t) AS DOUBLE) AS f
+  FROM sr_first CROSS JOIN range(1, {bands + 1}) g(t) GROUP BY 1, 2),
+sr_total AS (
+  SELECT num_tables, sum(t) AS t, sum(f) AS f, sum(f * f) AS ff, sum(f * t) AS ft, sum(t * t) AS tt,
+         (SELECT CAST(count(*) AS DOUBLE) FROM sr_seeds) AS m, (SELECT CAST(count(*) AS DOUBLE) FROM sr_items) AS n
+  FROM sr_item GROUP BY 1)"""
+
+
+def sampled_select() -> str:
+    from recsim.operators.lsh import Z99
+    return f"""SELECT CAST(num_tables AS INTEGER) AS num_tables, CAST(m AS BIGINT) AS sampled_items, CAST(t AS BIGINT) AS true_pairs,
+       CAST(f AS BIGINT) AS found_pairs, round(r, 6) AS recall, round(greatest(0.0, r - e), 6) AS low, round(least(1.0, r + e), 6) AS high
+FROM (SELECT *, {dbl(Z99)} * sqrt((1.0::DOUBLE - m / n) * m * greatest(0.0, ff - 2 * r * ft + r * r * tt) / (greatest(m - 1, 1.0) * t * t)) AS e
+      FROM (SELECT *, f / t AS r FROM sr_total))"""
+
+
 def base_ctes(p: Params) -> str:
     cut = hex_cut(p.test_fraction)
     return f"""
@@ -415,6 +488,53 @@ FROM cand c JOIN pj_cands k ON k.movie_i = c.movie_i AND k.movie_j = c.movie_j""
              sig_ctes("pj", W.PROJ_BANDS, W.PROJ_BITS, p.seed))
 
 
+def lsh_topk_neighbors(p):
+    return f"""WITH {_lineitem_pairs("l_partkey")},{probe_ctes("mp", "lr", W.PROBE_BANDS, W.PART_BUCKET, W.PROBES, p.seed)},
+lk AS (SELECT lp.* FROM lp JOIN mp_cands c ON c.movie_i = lp.movie_i AND c.movie_j = lp.movie_j),
+ls AS (SELECT movie_i, movie_j, cosine_similarity FROM lk UNION ALL SELECT movie_j, movie_i, cosine_similarity FROM lk)
+SELECT movie_i, movie_j, round(cosine_similarity, 6) AS cosine_similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY movie_i ORDER BY round(cosine_similarity, 9) DESC, movie_j) AS rank FROM ls)
+WHERE rank <= {p.top_k}"""
+
+
+def lsh_metrics(p):
+    extra = probe_ctes("mp", "tr", W.PROBE_BANDS, W.EVENT_BUCKET, W.PROBES, p.seed) + f""",
+mp_pairs AS (SELECT c.* FROM cand c JOIN mp_cands m ON m.movie_i = c.movie_i AND m.movie_j = c.movie_j),
+mp_sym AS (SELECT movie_i, movie_j, cosine_similarity FROM mp_pairs UNION ALL SELECT movie_j, movie_i, cosine_similarity FROM mp_pairs),
+mp_neigh AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY movie_i ORDER BY round(cosine_similarity, 9) DESC, movie_j) AS rank FROM mp_sym)
+  WHERE rank <= {p.top_k}),
+mp_np AS (
+  SELECT w.userId, w.movieId, sum(n.cosine_similarity * t.rating) / sum(n.cosine_similarity) AS pr
+  FROM warm w JOIN mp_neigh n ON n.movie_i = w.movieId JOIN train t ON t.userId = w.userId AND t.movieId = n.movie_j GROUP BY 1, 2),
+mp_preds AS (
+  SELECT w.rating AS true_rating, coalesce(n.pr, {dbl(p.default_rating)}) AS predicted_rating, n.pr IS NULL AS is_fallback
+  FROM warm w LEFT JOIN mp_np n ON n.userId = w.userId AND n.movieId = w.movieId)"""
+    return q(p, f"""SELECT round(sqrt(avg({_ERR} * {_ERR})), 6) AS rmse, round(avg(abs({_ERR})), 6) AS mae, count(*) AS num_predictions,
+       round(CAST(100 AS DOUBLE) * count_if(NOT is_fallback) / count(*), 6) AS coverage,
+       (SELECT round(count(m.movie_i) / count(*), 6) FROM neigh n LEFT JOIN mp_neigh m ON m.movie_i = n.movie_i AND m.movie_j = n.movie_j) AS recall,
+       (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM (SELECT count(*) AS n FROM mp_sig GROUP BY band, bucket)) AS pairs
+FROM mp_preds""", extra)
+
+
+def gaussian_buckets(p):
+    return q(p, "SELECT bucketLength, movieId, hash_table, bucket FROM ga_buckets",
+             gaussian_ctes("ga", "tr", p.num_hash_tables, W.FINE_LENGTHS, p.seed))
+
+
+def lsh_recall_sampled(p):
+    b = W.RECALL_BANDS
+    return q(p, sampled_select(), sig_ctes("rs", b, 1, p.seed) + "," + sampled_ctes("tr", "sym", "rs_sig", b, W.RECALL_SAMPLE, p.seed))
+
+
+def part_recall_sampled(p):
+    b = W.RECALL_BANDS
+    return f"""WITH {_lineitem_pairs("l_partkey")},{probe_ctes("mp", "lr", b, W.PART_BUCKET, W.PROBES, p.seed)},
+ls AS (SELECT movie_i, movie_j FROM lp WHERE cosine_similarity > {dbl(W.PREFIX_COSINE)}
+       UNION ALL SELECT movie_j, movie_i FROM lp WHERE cosine_similarity > {dbl(W.PREFIX_COSINE)}),{sampled_ctes("lr", "ls", "mp_sig", b, W.PART_SAMPLE, p.seed)}
+{sampled_select()}"""
+
+
 def lsh_recall(p):
     b = W.RECALL_BANDS
     return q(p, f"""SELECT CAST(g.t AS INTEGER) AS num_tables, CAST(count_if(j.first_table < g.t) AS BIGINT) AS found_pairs,
@@ -453,6 +573,35 @@ SELECT movie_i, movie_j, round(cosine_similarity, 6) AS cosine_similarity FROM l
 WHERE cosine_similarity > {dbl(p.min_cosine)}"""
 
 
+supplier_threshold_pairs = supplier_cosine_pairs
+
+
+def part_threshold_pairs(p):
+    return f"""WITH {_lineitem_pairs("l_partkey")}
+SELECT movie_i, movie_j, round(cosine_similarity, 6) AS cosine_similarity FROM lp
+WHERE cosine_similarity > {dbl(W.PREFIX_COSINE)}"""
+
+
+def prefix_join_work(p):
+    t, slack = W.PREFIX_COSINE, 1e-9
+    return f"""WITH {_lineitem_pairs("l_partkey")},
+deg AS (SELECT userId, count(*) AS d FROM lr GROUP BY userId),
+ordered AS (
+  SELECT l.*, n.norm2, count(*) OVER (PARTITION BY l.movieId) AS n,
+         n.norm2 - sum(l.rating * l.rating) OVER (PARTITION BY l.movieId ORDER BY length(bin(d.d)), md5(CAST(l.userId AS VARCHAR)), l.userId
+                                                  ROWS UNBOUNDED PRECEDING) AS rest
+  FROM lr l JOIN deg d ON d.userId = l.userId JOIN ln n ON n.movieId = l.movieId),
+idx AS (SELECT * FROM ordered WHERE rest + rating * rating >= {dbl(t * t - slack)} * norm2),
+cands AS (
+  SELECT DISTINCT a.movieId AS movie_i, b.movieId AS movie_j, least(a.n, b.n) AS products
+  FROM idx a JOIN idx b ON a.userId = b.userId AND a.movieId < b.movieId
+  WHERE a.rating * b.rating + sqrt(a.rest * b.rest) >= {dbl(t - slack)} * sqrt(a.norm2 * b.norm2))
+SELECT (SELECT count(*) FROM lr) AS ratings, (SELECT count(*) FROM idx) AS indexed, count(*) AS candidates,
+       CAST(sum(products) AS BIGINT) AS products_done,
+       CAST((SELECT sum(d * (d - 1) // 2) FROM deg) - sum(products) AS BIGINT) AS products_pruned
+FROM cands"""
+
+
 def part_topk_neighbors(p):
     return f"""WITH {_lineitem_pairs("l_partkey")},
 ls AS (SELECT movie_i, movie_j, cosine_similarity FROM lp
@@ -513,6 +662,9 @@ def neighbor_ratings(p):
        round(cosine_similarity, 6) AS cosine_similarity, neighbor_rating FROM nrated""")
 
 
+bucketed_neighbor_ratings = neighbor_ratings
+
+
 def neighbor_predictions(p):
     return q(p, """SELECT userId, target_movie, true_rating, round(predicted_rating, 6) AS predicted_rating,
        num_neighbors FROM npred""")
@@ -556,51 +708,65 @@ def true_vs_predicted(p):
        count(*) AS num_predictions FROM preds GROUP BY 1, 2""")
 
 
-def parameter_sweep(p):
-    tables = (1, 3, 5, 7)
-    thresholds = (0.8, 1.0, 1.2)
-    top_ks = (10, 20, 30)
+def _sweep(p, tables, thresholds, top_ks, bucket_lengths):
+    """Every setting the plain way.  ``len`` is a bucketLength below 1, or -1 for all others (sign buckets)."""
+    fine, coarse = [x for x in bucket_lengths if x < 1], [x for x in bucket_lengths if x >= 1]
     min_cut = min(1.0 - t * t / 2.0 for t in thresholds)
     tv = ", ".join(f"({t})" for t in tables)
     sv = ", ".join(f"({dbl(t)}, {k}, {dbl(1.0 - t * t / 2.0)})" for t in thresholds for k in top_ks)
-    extra = sig_ctes("sw", max(tables), 1, p.seed) + f""",
+    lens = ", ".join(f"({dbl(float(x))}, {dbl(float(x if x < 1 else -1))})" for x in bucket_lengths)
+    extra = sig_ctes("sw", max(tables), 1, p.seed) + ","
+    cands = ["SELECT -1.0::DOUBLE AS len, movie_i, movie_j, first_table FROM sw_cands"] if coarse else []
+    if fine:
+        extra += gaussian_ctes("sg", "tr", max(tables), fine, p.seed) + ","
+        cands.append("SELECT len, movie_i, movie_j, first_table FROM sg_cands")
+    extra += f"""
+lens AS (SELECT * FROM (VALUES {lens}) v(bucketLength, len)),
+all_cands AS ({" UNION ALL ".join(cands)}),
 sw_pairs AS (
-  SELECT c.movie_i, c.movie_j, k.first_table, c.cosine_similarity
-  FROM pairs c JOIN sw_cands k ON k.movie_i = c.movie_i AND k.movie_j = c.movie_j
+  SELECT k.len, c.movie_i, c.movie_j, k.first_table, c.cosine_similarity
+  FROM pairs c JOIN all_cands k ON k.movie_i = c.movie_i AND k.movie_j = c.movie_j
   WHERE c.cosine_similarity > {dbl(min_cut)}),
 sw_sym AS (
-  SELECT movie_i, movie_j, first_table, cosine_similarity FROM sw_pairs
-  UNION ALL SELECT movie_j, movie_i, first_table, cosine_similarity FROM sw_pairs),
-tv AS (SELECT * FROM (VALUES {tv}) v(num_tables)),
+  SELECT len, movie_i, movie_j, first_table, cosine_similarity FROM sw_pairs
+  UNION ALL SELECT len, movie_j, movie_i, first_table, cosine_similarity FROM sw_pairs),
+tv AS (SELECT l.len, v.num_tables FROM (VALUES {tv}) v(num_tables) CROSS JOIN (SELECT DISTINCT len FROM lens) l),
 sw_rank AS (
   SELECT * FROM (
     SELECT s.*, tv.num_tables,
-           row_number() OVER (PARTITION BY tv.num_tables, s.movie_i
+           row_number() OVER (PARTITION BY tv.len, tv.num_tables, s.movie_i
                               ORDER BY round(s.cosine_similarity, 9) DESC, s.movie_j) AS rank
-    FROM sw_sym s JOIN tv ON s.first_table < tv.num_tables)
+    FROM sw_sym s JOIN tv ON s.len = tv.len AND s.first_table < tv.num_tables)
   WHERE rank <= {max(top_ks)}),
 sw_rated AS (
-  SELECT t.num_tables, w.userId, w.movieId, w.rating, n.cosine_similarity, n.rank, x.rating AS r2
+  SELECT t.len, t.num_tables, w.userId, w.movieId, w.rating, n.cosine_similarity, n.rank, x.rating AS r2
   FROM warm w CROSS JOIN tv t
-  LEFT JOIN sw_rank n ON n.num_tables = t.num_tables AND n.movie_i = w.movieId
+  LEFT JOIN sw_rank n ON n.len = t.len AND n.num_tables = t.num_tables AND n.movie_i = w.movieId
   LEFT JOIN train x ON x.userId = w.userId AND x.movieId = n.movie_j),
 settings AS (SELECT * FROM (VALUES {sv}) s(threshold, top_k, cut)),
 sw_pred AS (
-  SELECT r.num_tables, r.userId, r.movieId, r.rating, s.threshold, s.top_k,
+  SELECT r.len, r.num_tables, r.userId, r.movieId, r.rating, s.threshold, s.top_k,
          sum(CASE WHEN r.r2 IS NOT NULL AND r.rank <= s.top_k AND r.cosine_similarity > s.cut
                   THEN r.cosine_similarity * r.r2 END)
          / sum(CASE WHEN r.r2 IS NOT NULL AND r.rank <= s.top_k AND r.cosine_similarity > s.cut
                     THEN r.cosine_similarity END) AS pr
   FROM sw_rated r CROSS JOIN settings s
-  GROUP BY 1, 2, 3, 4, 5, 6)"""
+  GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
     d = dbl(p.default_rating)
-    return q(p, f"""SELECT b.b AS bucketLength, m.* FROM (VALUES (1.0::DOUBLE), (2.0), (3.0), (4.0), (5.0)) b(b) CROSS JOIN (
-SELECT CAST(num_tables AS INTEGER) AS numHashTables, threshold, CAST(top_k AS INTEGER) AS top_k,
+    return q(p, f"""SELECT lens.bucketLength, CAST(num_tables AS INTEGER) AS numHashTables, threshold, CAST(top_k AS INTEGER) AS top_k,
        round(sqrt(avg((coalesce(pr, {d}) - rating) * (coalesce(pr, {d}) - rating))), 6) AS rmse,
        round(avg(abs(coalesce(pr, {d}) - rating)), 6) AS mae,
        round(CAST(100 AS DOUBLE) * count_if(pr IS NOT NULL) / count(*), 6) AS coverage,
        count(*) AS num_predictions
-FROM sw_pred GROUP BY num_tables, threshold, top_k) m""", extra)
+FROM sw_pred JOIN lens ON lens.len = sw_pred.len GROUP BY lens.bucketLength, num_tables, threshold, top_k""", extra)
+
+
+def parameter_sweep(p):
+    return _sweep(p, (1, 3, 5, 7), (0.8, 1.0, 1.2), (10, 20, 30), (1.0, 2.0, 3.0, 4.0, 5.0))
+
+
+def parameter_sweep_fine(p):
+    return _sweep(p, **W.FINE_SWEEP)
 
 
 # -- I ------------------------------------------------------------------------------------------
@@ -657,6 +823,12 @@ WHERE contains(lower(title), '{W.SEARCH_QUERY.lower()}')
 ORDER BY title, movieId LIMIT {p.search_limit}""")
 
 
+def search_titles_bulk(p):
+    return q(p, """SELECT w.query, i.movieId, i.title
+FROM (SELECT DISTINCT query FROM (SELECT unnest(string_split(title, ' ')) AS query FROM items) WHERE query <> '') w
+JOIN items i ON contains(lower(i.title), lower(w.query))""")
+
+
 def seed_recommendations_bulk(p):
     n = W.SEED_PAGE_N
     extra = f"""

@@ -21,10 +21,12 @@ from recsim.operators import lsh as L
 from recsim.operators import predict as G
 from recsim.operators import similarity as E
 from recsim.operators import splits as C
+from recsim.operators.fold_gram import fold_topk_neighbors
 from recsim.params import Params
 from recsim.session import cut_lineage
 
-METHODS = ("exact", "lsh", "mllib")
+SIGNS = -1.0    # stands for every bucketLength of at least 1 in the sweep
+METHODS = ("exact", "lsh", "multiprobe", "mllib")
 
 
 def similarity_pairs(train_supported: DataFrame, params: Params, method: str = "exact",
@@ -41,6 +43,8 @@ def similarity_pairs(train_supported: DataFrame, params: Params, method: str = "
         model = L.fit_mllib_lsh(normalized, params.bucket_length, params.num_hash_tables, params.seed)
         return L.mllib_similar_pairs(model, normalized, params.threshold).select(
             "movie_i", "movie_j", "cosine_similarity")
+    if method == "multiprobe":
+        raise ValueError("the multi-probe path gives top-K neighbours, not pairs; see neighbor_table")
     if method == "exact":
         return E.exact_cosine_pairs(train_supported, min_cosine=params.min_cosine, by=by,
                                     item_block=params.item_block, side_rows=params.side_rows)
@@ -59,6 +63,12 @@ def neighbor_table(train_supported: DataFrame, params: Params, method: str = "ex
                                       params.seed, by)
         return L.projection_topk_neighbors(train_supported, sig, params.top_k, min_cosine=params.min_cosine,
                                            item_block=params.item_block, side_rows=params.side_rows, by=by)
+    if method == "multiprobe":
+        if by:
+            raise ValueError("the multi-probe path has no grouping support; use 'exact' or 'lsh'")
+        return L.multiprobe_topk_neighbors(train_supported, params.top_k, bands=params.num_hash_tables, bucket_items=params.bucket_items,
+                                           probes=params.probes, seed=params.seed, min_cosine=params.min_cosine,
+                                           item_block=params.item_block, side_rows=params.side_rows)
     pairs = similarity_pairs(train_supported, params, method, by)
     return E.topk_neighbors(E.symmetric_pairs(pairs, by), params.top_k, by)
 
@@ -121,46 +131,55 @@ def parameter_sweep(ratings: DataFrame, tables: Sequence[int] = (1, 3, 5, 7),
       cuts the tail), so it is computed once per table count;
     * predictions for all (threshold, top_k) pairs are conditional sums of one
       aggregate per (table count, test row) - no replication per setting.
-    * on unit vectors every bucketLength of at least 1 gives the same sign buckets, so the
-      metrics are computed once and emitted per value; smaller ones are refused.
+    * on unit vectors every bucketLength of at least 1 gives the same sign buckets, so these
+      metrics are computed once and emitted per value; smaller lengths have the buckets of
+      ``gaussian_buckets``, whose projections are computed once for all of them.
     """
-    if min(bucket_lengths) < 1:
-        raise ValueError("bucketLength below 1 does not give sign buckets")
     tables = sorted(set(int(t) for t in tables))
     settings = [(float(t), int(k)) for t in thresholds for k in top_ks]
     cuts = {t: 1.0 - t * t / 2.0 for t, _ in settings}
+    fine, coarse = [[float(b) for b in bucket_lengths if (b < 1) == small] for small in (True, False)]
+    keys = ["_length", "num_tables"]                   # _length: a fine bucketLength, or SIGNS for all coarse ones
     train, test = staged_split(ratings, base)
     sup = supported_train(train, base)
-    sig = L.projection_signatures(sup, max(tables), base.bits_per_band, base.seed)
-    pairs = L.projection_pairs(sup, sig, item_block=base.item_block, side_rows=base.side_rows,
-                               min_cosine=min(cuts.values()))
-    sym = E.symmetric_pairs(pairs, extra=["first_table"])
+    lowest = dict(item_block=base.item_block, side_rows=base.side_rows, min_cosine=min(cuts.values()))
+    columns = ["_length", "movie_i", "movie_j", "first_table", "cosine_similarity"]
+    found = []
+    if coarse:
+        sig = L.projection_signatures(sup, max(tables), base.bits_per_band, base.seed)
+        found.append(L.projection_pairs(sup, sig, **lowest).withColumn("_length", F.lit(SIGNS)).select(*columns))
+    if fine:
+        buckets = L.gaussian_buckets(sup, max(tables), fine, base.seed)
+        found.append(L.gaussian_pairs(sup, buckets, **lowest).withColumnRenamed("bucketLength", "_length").select(*columns))
+    pairs = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    sym = E.symmetric_pairs(pairs, ["_length"], extra=["first_table"])
     tarr = F.array(*[F.lit(t) for t in tables])
+    larr = F.array(*[F.lit(x) for x in fine + ([SIGNS] if coarse else [])])
     per_t = sym.withColumn("num_tables", F.explode(F.filter(tarr, lambda t: t > F.col("first_table"))))
-    ranked = E.topk_neighbors(per_t, max(top_ks), by=["num_tables"], keep_rank=True)
-    warm = G.warm_test(test, train).withColumn("num_tables", F.explode(tarr))
-    nb = ranked.select("num_tables", F.col("movie_i").alias("movieId"), "movie_j", "cosine_similarity", "rank")
+    ranked = E.topk_neighbors(per_t, max(top_ks), by=keys, keep_rank=True)
+    warm = G.warm_test(test, train).withColumn("num_tables", F.explode(tarr)).withColumn("_length", F.explode(larr))
+    nb = ranked.select(*keys, F.col("movie_i").alias("movieId"), "movie_j", "cosine_similarity", "rank")
     tr = train.select("userId", F.col("movieId").alias("movie_j"), F.col("rating").alias("_r"))
-    rated = warm.join(nb, ["num_tables", "movieId"], "left").join(tr, ["userId", "movie_j"], "left")
+    rated = warm.join(nb, [*keys, "movieId"], "left").join(tr, ["userId", "movie_j"], "left")
     aggs = []
     for i, (t, k) in enumerate(settings):
         cond = F.col("_r").isNotNull() & (F.col("rank") <= k) & (F.col("cosine_similarity") > F.lit(cuts[t]))
         aggs += [F.sum(F.when(cond, F.col("cosine_similarity") * F.col("_r"))).alias(f"_n{i}"),
                  F.sum(F.when(cond, F.col("cosine_similarity"))).alias(f"_d{i}")]
-    per_row = rated.groupBy("num_tables", "userId", "movieId", "rating").agg(*aggs)
+    per_row = rated.groupBy(*keys, "userId", "movieId", "rating").agg(*aggs)
     metric_aggs = []
     for i, _ in enumerate(settings):
         p = F.try_divide(F.col(f"_n{i}"), F.col(f"_d{i}"))
         e = F.coalesce(p, F.lit(float(base.default_rating))) - F.col("rating")
         metric_aggs += [F.sqrt(F.avg(e * e)).alias(f"_rmse{i}"), F.avg(F.abs(e)).alias(f"_mae{i}"),
                         F.count_if(p.isNotNull()).alias(f"_cov{i}")]
-    m = per_row.groupBy("num_tables").agg(F.count(F.lit(1)).alias("num_predictions"), *metric_aggs)
+    m = per_row.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_predictions"), *metric_aggs)
     rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(k).alias("top_k"),
                               F.col(f"_rmse{i}").alias("rmse"), F.col(f"_mae{i}").alias("mae"),
                               F.col(f"_cov{i}").alias("num_from_neighbors"))
                      for i, (t, k) in enumerate(settings)])
-    lengths = F.array(*[F.lit(float(b)) for b in bucket_lengths])
-    return (m.select("num_tables", "num_predictions", F.explode(rows).alias("_s"))
+    lengths = F.when(F.col("_length") == SIGNS, F.array(*[F.lit(b) for b in coarse]).cast("array<double>")).otherwise(F.array("_length"))
+    return (m.select(*keys, "num_predictions", F.explode(rows).alias("_s"))
             .withColumn("bucketLength", F.explode(lengths))
             .select("bucketLength", F.col("num_tables").cast("int").alias("numHashTables"), "_s.threshold", "_s.top_k",
                     "_s.rmse", "_s.mae",
@@ -172,7 +191,10 @@ def parameter_sweep(ratings: DataFrame, tables: Sequence[int] = (1, 3, 5, 7),
 
 def cross_validate(ratings: DataFrame, k: int = 5, params: Params = Params(), method: str = "exact",
                    order_cols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """k-fold cross-validation as one job: every operator is keyed by the fold ``cv``.
+    """k-fold cross-validation as one job: every operator is keyed by the run ``cv``.
+
+    The exact method takes every rating once: one Gram product serves all runs (``fold_gram``), and predictions join
+    the training table once, leaving out the run's own fold.  The LSH method replicates the ratings to the runs.
 
     Folds are positional (fold i = i-th block of N/k rows) over a seeded hash
     order of the keys (a reproducible shuffle, like a randomly ordered rating
@@ -184,15 +206,24 @@ def cross_validate(ratings: DataFrame, k: int = 5, params: Params = Params(), me
         from recsim.functions.exprs import hash_order_key
         r = r.withColumn("_h", hash_order_key("userId", "movieId", seed=params.seed))
         order_cols = ["_h", "userId", "movieId"]
-    folded = C.kfold_assign(r, k, order_cols)
-    roles = C.fold_roles(folded.drop("_h") if "_h" in folded.columns else folded, k)
+    folded = C.kfold_assign(r, k, order_cols).drop("_h")
     by = ["cv"]
-    train = roles.where(F.col("role") == "train").drop("role")
-    test = roles.where(F.col("role") == "test").drop("role")
-    sup = supported_train(train, params, by)
-    neighbors = neighbor_table(sup, params, method, by)
-    warm = G.warm_test(test, train, by)
-    preds = G.final_predictions(warm, neighbors, train, params.default_rating, by)
+    if method == "exact":       # every rating enters once, with its fold
+        folded = cut_lineage(folded, "folded")
+        neighbors = cut_lineage(fold_topk_neighbors(folded, k, params.top_k, min_ratings=params.min_ratings, min_cosine=params.min_cosine,
+                                                    item_block=params.item_block, side_rows=params.side_rows), "fold-neighbors")
+        test = folded.withColumnRenamed("fold", "cv")
+        users = folded.groupBy("userId").agg(F.min("fold").alias("_lo"), F.max("fold").alias("_hi"))
+        warm = test.join(users, "userId").where((F.col("_lo") != F.col("cv")) | (F.col("_hi") != F.col("cv"))).drop("_lo", "_hi")
+        preds = G.final_predictions(warm, neighbors, folded, params.default_rating, by, fold="fold")
+    else:
+        roles = C.fold_roles(folded, k)
+        train = roles.where(F.col("role") == "train").drop("role")
+        test = roles.where(F.col("role") == "test").drop("role")
+        sup = supported_train(train, params, by)
+        neighbors = neighbor_table(sup, params, method, by)
+        warm = G.warm_test(test, train, by)
+        preds = G.final_predictions(warm, neighbors, train, params.default_rating, by)
     per_fold = H.summary(preds, params.default_rating, by)
     mean = per_fold.agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"),
                         F.avg("coverage").alias("coverage"), F.count(F.lit(1)).alias("folds"))

@@ -20,6 +20,7 @@ from recsim.operators import evaluate as H
 from recsim.operators import interactions as D
 from recsim.operators import lsh as L
 from recsim.operators import predict as G
+from recsim.operators import prefix_join as X
 from recsim.operators import profile as B
 from recsim.operators import serving as I
 from recsim.operators import similarity as E
@@ -39,6 +40,13 @@ LSH_TABLES = 20             # MLlib LSH key compared with the exact oracle
 LSH_THRESHOLD = 1.0
 PROJ_BANDS, PROJ_BITS = 3, 2   # relational LSH keys: 3 bands of 2 sign bits
 RECALL_BANDS = 7
+PROBE_BANDS, PROBES = 3, 2     # multi-probe LSH keys: bands, and buckets probed beside an item's own
+PREFIX_COSINE = 0.2            # threshold of the prefix-filtering keys over the part ratings
+FINE_LENGTHS = (0.1, 0.5)      # bucketLength below 1: more buckets than the sign
+FINE_SWEEP = dict(tables=(1, 3), thresholds=(1.0, 1.2), top_ks=(10, 20), bucket_lengths=(0.1, 0.5, 2.0))
+RECALL_SAMPLE, PART_SAMPLE = 40, 200    # items of the sampled recall: event ratings, part ratings
+CACHE_BUCKETS = 8              # buckets of the co-located caches
+PART_BUCKET, EVENT_BUCKET = 64, 16   # items of an average bucket: part ratings, event ratings (100 items)
 LEAVE_START, LEAVE_STOP, LEAVE_CAP = 1, 10, 500
 KFOLDS = 5
 SEARCH_QUERY = "Red"
@@ -81,6 +89,11 @@ class Workload:
     def ratings(self) -> DataFrame:
         return self.tagged.drop("split")
 
+    @property
+    def ratings_once(self) -> DataFrame:
+        """The rating table for queries that read it once: straight from the scan."""
+        return src.event_ratings(self.spark, self.sf_dir)
+
     @cached_property
     def items(self) -> DataFrame:
         return src.part_items(self.spark, self.sf_dir)
@@ -97,6 +110,11 @@ class Workload:
     def train_supported(self) -> DataFrame:
         return D.supported_ratings(self.train, self.p.min_ratings)
 
+    @cached_property
+    def train_supported_once(self) -> DataFrame:
+        """``train_supported`` over a written list of the supported items."""
+        return P.supported_train(self.train, self.p)
+
     @cached_property
     def pairs(self) -> DataFrame:
         """Exact half edge list above the workload threshold."""
@@ -201,10 +219,10 @@ class Workload:
 
     # -- B: profiling -------------------------------------------------------------------
     def dataset_stats(self) -> DataFrame:
-        return rounded(B.dataset_stats(self.ratings))
+        return rounded(B.dataset_stats(self.ratings_once))
 
     def rating_distribution(self) -> DataFrame:
-        return B.rating_distribution(self.ratings)
+        return B.rating_distribution(self.ratings_once)
 
     def split_stats(self) -> DataFrame:
         return rounded(B.split_stats(self.tagged))
@@ -328,6 +346,41 @@ class Workload:
                                    side_rows=self.p.side_rows, min_cosine=self.p.min_cosine)
         return rounded(pairs)
 
+    def lsh_topk_neighbors(self) -> DataFrame:
+        """Top-K neighbours of the part ratings by multi-probe LSH: buckets of one size at any number of items."""
+        return rounded(L.multiprobe_topk_neighbors(self.part_ratings, self.p.top_k, bands=PROBE_BANDS, bucket_items=PART_BUCKET, probes=PROBES,
+                                                   seed=self.p.seed, item_block=self.p.item_block, side_rows=self.p.side_rows))
+
+    def lsh_metrics(self) -> DataFrame:
+        """Train-and-evaluate with multi-probe neighbours, the share of the exact neighbours that they hold, and
+        the pairs that the buckets multiplied."""
+        p = self.p.with_(num_hash_tables=PROBE_BANDS, bucket_items=EVENT_BUCKET, probes=PROBES)
+        train, sup = self.train, cut_lineage(self.train_supported, "supported")
+        found = cut_lineage(P.neighbor_table(sup, p, "multiprobe"), "neighbors")
+        preds = G.final_predictions(G.warm_test(self.test, train), found, train, p.default_rating)
+        exact = self.neighbors.select("movie_i", "movie_j").join(found.select("movie_i", "movie_j", F.lit(1).alias("_hit")), ["movie_i", "movie_j"], "left")
+        recall = exact.agg(F.try_divide(F.count("_hit").cast("double"), F.count(F.lit(1)).cast("double"))).scalar()
+        bits = L.bits_for(sup.agg(F.count_distinct("movieId")).first()[0], EVENT_BUCKET)
+        work = L.bucket_work(L.probed_signatures(sup, PROBE_BANDS, bits, PROBES, p.seed))
+        return rounded(H.summary(preds, p.default_rating).select("rmse", "mae", "num_predictions", "coverage", recall.alias("recall"),
+                                                                 work.select("pairs").scalar().alias("pairs")))
+
+    def gaussian_buckets(self) -> DataFrame:
+        return L.gaussian_buckets(self.train_supported, self.p.num_hash_tables, FINE_LENGTHS, self.p.seed)
+
+    def lsh_recall_sampled(self) -> DataFrame:
+        """``lsh_recall`` estimated from a sample of the items, with bounds."""
+        sup = cut_lineage(self.train_supported, "supported")
+        sig = cut_lineage(L.projection_signatures(sup, RECALL_BANDS, 1, self.p.seed), "signatures")
+        return rounded(L.sampled_recall(sup, sig, RECALL_BANDS, min_cosine=self.p.min_cosine, sample=RECALL_SAMPLE, seed=self.p.seed))
+
+    def part_recall_sampled(self) -> DataFrame:
+        """Recall of multi-probe LSH on the part ratings, estimated from a sample of the items."""
+        lp = self.part_ratings
+        bits = L.bits_for(lp.agg(F.count_distinct("movieId")).first()[0], PART_BUCKET)
+        sig = cut_lineage(L.probed_signatures(lp, RECALL_BANDS, bits, PROBES, self.p.seed), "signatures")
+        return rounded(L.sampled_recall(lp, sig, RECALL_BANDS, min_cosine=PREFIX_COSINE, sample=PART_SAMPLE, seed=self.p.seed))
+
     def lsh_recall(self) -> DataFrame:
         sig = L.projection_signatures(self.train_supported, RECALL_BANDS, 1, self.p.seed)
         lsh = L.projection_pairs(self.train_supported, sig, item_block=self.p.item_block,
@@ -346,6 +399,23 @@ class Workload:
         return rounded(E.exact_cosine_pairs(ls, min_cosine=self.p.min_cosine,
                                             item_block=self.p.item_block, side_rows=self.p.side_rows))
 
+    @cached_property
+    def part_ratings(self) -> DataFrame:
+        return cut_lineage(src.lineitem_ratings(self.spark, self.sf_dir, "part"), "part-ratings")
+
+    def part_threshold_pairs(self) -> DataFrame:
+        """Pairs of the part ratings (R_lp) above a threshold by prefix filtering."""
+        return rounded(X.prefix_cosine_join(self.part_ratings, PREFIX_COSINE).pairs)
+
+    def supplier_threshold_pairs(self) -> DataFrame:
+        """``supplier_cosine_pairs`` by prefix filtering."""
+        ls = cut_lineage(src.lineitem_ratings(self.spark, self.sf_dir, "supp"), "supplier-ratings")
+        return rounded(X.prefix_cosine_join(ls, self.p.min_cosine).pairs)
+
+    def prefix_join_work(self) -> DataFrame:
+        """Index entries, candidates, products done and products pruned of ``part_threshold_pairs``."""
+        return X.prefix_cosine_join(self.part_ratings, PREFIX_COSINE).work
+
     def part_topk_neighbors(self) -> DataFrame:
         """Top-K neighbours without a threshold on the sparse lineitem/part ratings (R_lp)."""
         lp = src.lineitem_ratings(self.spark, self.sf_dir, "part")
@@ -364,7 +434,9 @@ class Workload:
 
     # -- F: similar items --------------------------------------------------------------------------
     def similar_items(self) -> DataFrame:
-        return rounded(E.similar_items(self.neighbors, self.items, self.top_item, self.p.similar_k))
+        top = cut_lineage(self.top_item, "top-item")
+        near = E.seed_neighbors(self.train_supported_once, top, self.p.top_k, min_cosine=self.p.min_cosine)
+        return rounded(E.similar_items(near, self.items, top, self.p.similar_k))
 
     def similar_items_bulk(self) -> DataFrame:
         ids = self.train.select("movieId").distinct()
@@ -381,6 +453,14 @@ class Workload:
         exp = G.neighbor_expansion(G.warm_test(self.test, self.train), self.neighbors)
         return rounded(G.neighbor_ratings(exp, self.train))
 
+    def bucketed_neighbor_ratings(self) -> DataFrame:
+        """``neighbor_ratings`` over caches that are bucketed on the join keys: neither join moves them."""
+        bucketed = lambda df, keys, name: A.write_bucketed(df, keys, CACHE_BUCKETS, name)
+        test = bucketed(G.warm_test(self.test, self.train), ["movieId"], "test_by_item")
+        neighbors = bucketed(self.neighbors, ["movie_i"], "neighbors_by_item")
+        train = bucketed(self.train, ["userId", "movieId"], "train_by_user_item")
+        return rounded(G.neighbor_ratings(G.neighbor_expansion(test, neighbors), train))
+
     def neighbor_predictions(self) -> DataFrame:
         exp = G.neighbor_expansion(G.warm_test(self.test, self.train), self.neighbors)
         return rounded(G.neighbor_predictions(G.neighbor_ratings(exp, self.train)))
@@ -408,16 +488,19 @@ class Workload:
     def append_metrics(self) -> DataFrame:
         path = A.scratch_path(self.spark, "metrics")
         rec = H.metrics_record(rounded(H.prediction_metrics(self.predictions)), self.p, "events", stamp=RUN_STAMP)
-        A.append_metrics(rec, path)
-        A.append_metrics(rec, path)
+        for run in ("first", "first", "second"):       # the first run is retried: its record is replaced
+            A.append_metrics(rec, path, run)
         return A.read_metrics(self.spark, path)
 
     def parameter_sweep(self) -> DataFrame:
         return rounded(P.parameter_sweep(self.ratings, base=self.p))
 
+    def parameter_sweep_fine(self) -> DataFrame:
+        return rounded(P.parameter_sweep(self.ratings, base=self.p, **FINE_SWEEP))
+
     # -- I: serving -------------------------------------------------------------------------------------------
     def user_ids(self) -> DataFrame:
-        return I.user_ids(self.ratings)
+        return I.user_ids(self.ratings_once)
 
     def user_history(self) -> DataFrame:
         return I.user_history(self.ratings, self.items, self.top_user)
@@ -426,8 +509,11 @@ class Workload:
         return rounded(I.user_profile_stats(self.ratings, self.items, self.top_user))
 
     def recommendations_for_user(self) -> DataFrame:
-        return rounded(I.recommendations_for_user(I.recommendation_cache(self.recs), self.top_user,
-                                                  self.p.user_top_n))
+        """One user's history against the neighbour table: other users are not scored."""
+        user = cut_lineage(self.top_user, "top-user")
+        recs = G.user_recommendations(self.train.join(user, "userId", "left_semi"), self.neighbors, self.items, self.p.user_top_n,
+                                      self.p.min_neighbors)
+        return rounded(I.recommendations_for_user(I.recommendation_cache(recs), user, self.p.user_top_n))
 
     def item_catalog(self) -> DataFrame:
         return I.item_catalog(self.sim_cache)
@@ -443,6 +529,11 @@ class Workload:
     def filter_titles(self) -> DataFrame:
         return I.filter_titles(I.item_catalog(self.sim_cache), SEARCH_QUERY)
 
+    def search_titles_bulk(self) -> DataFrame:
+        """Every distinct word of the titles as a query, by the index."""
+        words = self.items.select(F.explode(F.split(F.col("title"), " ")).alias("query"))
+        return I.search_titles(cut_lineage(I.title_index(self.items), "title-index"), self.items, words)
+
     def seed_recommendations_bulk(self) -> DataFrame:
         """Every user's whole history is a basket."""
         baskets = self.train.join(self.items, "movieId").select(F.col("userId").alias("basket_id"), "title")
@@ -463,16 +554,16 @@ REGISTERED = [
     "user_index", "indexed_ratings", "item_profiles", "supported_items", "item_vectors", "normalized_profiles",
     # E
     "lsh_buckets", "lsh_bucket_invariants", "lsh_similar_pairs", "distance_to_cosine", "join_distance_to_cosine", "exact_cosine_pairs", "projection_buckets",
-    "projection_similar_pairs", "lsh_recall", "symmetric_pairs", "topk_neighbors", "embedding_cosine_pairs",
-    "supplier_cosine_pairs", "part_topk_neighbors", "topk_neighbors_striped",
+    "projection_similar_pairs", "lsh_topk_neighbors", "lsh_metrics", "gaussian_buckets", "lsh_recall_sampled", "part_recall_sampled", "lsh_recall", "symmetric_pairs", "topk_neighbors", "embedding_cosine_pairs",
+    "supplier_cosine_pairs", "supplier_threshold_pairs", "part_threshold_pairs", "prefix_join_work", "part_topk_neighbors", "topk_neighbors_striped",
     # F
     "similar_items", "similar_items_bulk",
     # G
-    "warm_test_ratings", "neighbor_expansion", "neighbor_ratings", "neighbor_predictions",
+    "warm_test_ratings", "neighbor_expansion", "neighbor_ratings", "bucketed_neighbor_ratings", "neighbor_predictions",
     "final_predictions", "user_recommendations",
     # H
-    "prediction_metrics", "prediction_coverage", "error_stats", "true_vs_predicted", "parameter_sweep",
+    "prediction_metrics", "prediction_coverage", "error_stats", "true_vs_predicted", "parameter_sweep", "parameter_sweep_fine",
     # I
     "user_ids", "user_history", "user_profile_stats", "recommendations_for_user", "item_catalog",
-    "seed_recommendations", "search_items", "filter_titles", "seed_recommendations_bulk",
+    "seed_recommendations", "search_items", "filter_titles", "search_titles_bulk", "seed_recommendations_bulk",
 ]

@@ -92,13 +92,20 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def append_metrics(record: DataFrame, path: str) -> None:
-    """Append metric rows; creates the table on first use (no read-modify-write)."""
-    record.select(*[f.name for f in METRICS.fields]).write.mode("append").option("header", True).csv(path)
+def append_metrics(record: DataFrame, path: str, run: str | None = None) -> None:
+    """Add metric rows under a run id; creates the table on first use (no read-modify-write).
+
+    The table is partitioned by run and only the run's own partition is overwritten, so a run that is
+    written again after a failure replaces its record instead of doubling it.  Without ``run`` every call is a run of its own.
+    """
+    (record.select(*[f.name for f in METRICS.fields]).withColumn("run", F.lit(run or uuid.uuid4().hex))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").option("header", True).csv(path))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRICS).option("header", True).csv(path)
+    """The metric rows of all runs."""
+    schema = T.StructType([*METRICS.fields, T.StructField("run", T.StringType())])
+    return spark.read.schema(schema).option("header", True).csv(path).drop("run")
 
 
 def write_cache(df: DataFrame, path: str, key: str, num_files: int | None = None) -> None:
@@ -108,6 +115,18 @@ def write_cache(df: DataFrame, path: str, key: str, num_files: int | None = None
     df.repartitionByRange(n, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(df: DataFrame, keys: Sequence[str], num_buckets: int, name: str) -> DataFrame:
+    """Persist ``df`` as a table bucketed and sorted by ``keys`` under the shared folder and read it back.
+
+    Joins and aggregates on exactly ``keys`` read it without an Exchange; two tables with as many buckets on the
+    two sides' keys are co-located.  The catalog entry gets a name of its own per call.
+    """
+    table = f"recsim_{name}_{uuid.uuid4().hex}"
+    (df.repartition(num_buckets, *keys).write.bucketBy(num_buckets, *keys).sortBy(*keys).format("parquet")
+     .option("path", scratch_path(df.sparkSession, name)).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
