@@ -27,8 +27,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN, POINTS = 679535556991, 40
 #: Parts of a slot that a source's width is measured in.
 WIDTH = 1 << 16
-#: Cells of the unit interval at least, slots of a range, rows of a range of a shuffled order.
-GRID, SLOTS, RANGE = 4096, 65536, 4096
+#: Cells of the unit interval at least, and rows of a range of a shuffled order at most.
+GRID, RANGE = 4096, 2048
 
 
 def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], amount: Column) -> DataFrame:
