@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from recsim.llm.common import cut_lineage, ship
 
 #: Symbols of an index, and words that search it at a time.
-INDEX_SYMBOLS, SEARCHES = 1 << 18, 2048
+INDEX_SYMBOLS, SEARCHES = 1 << 16, 2048
 #: Code points at the end of a half that choose a shard.
 ENDS = 2
 
