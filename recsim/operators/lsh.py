@@ -260,8 +260,9 @@ def sampled_recall(ratings: DataFrame, signatures: DataFrame, bands: int, *, min
 
     The sampled items (those of the smallest md5) are multiplied with all others through their raters; the pairs above
     ``min_cosine`` are the truth, and one is found if its items share a bucket of ``signatures`` (movieId, band, bucket; an item may have
-    several per band).  No table of all pairs is built.  Every item is a cluster of its pairs: recall is a ratio estimate over clusters, its
-    interval allows for the sampled share of the items.  (num_tables, sampled_items, true_pairs, found_pairs, recall, low, high); without
+    several per band).  No table of all pairs is built.  Recall is a ratio estimate with the items as clusters.  How much items
+    differ is taken from all of them, each seen through its pairs with the sampled ones, so rare items that miss most of their pairs widen
+    the interval though none of them is sampled.  (num_tables, sampled_items, true_pairs, found_pairs, recall, low, high); without
     a true pair recall and bounds are null.
     """
     from recsim.functions.exprs import hash_order_key
@@ -274,7 +275,7 @@ def sampled_recall(ratings: DataFrame, signatures: DataFrame, bands: int, *, min
     side = lambda s: held.select(F.col("movieId").alias(f"movie_{s}"), F.col("_b").alias(f"_b{s}"))
     joined = truth.join(side("i").join(seeds.select(F.col("movieId").alias("movie_i")), "movie_i", "left_semi"), "movie_i", "left").join(side("j"), "movie_j", "left")
     first = joined.withColumn("_t", F.array_min(F.array_intersect("_bi", "_bj"))["band"])
-    counts = first.groupBy("movie_i").agg(F.count(F.lit(1)).alias("t"), *[F.count_if(F.col("_t") < T).alias(f"f{T}") for T in range(1, bands + 1)])
+    counts = first.groupBy("movie_j").agg(F.count(F.lit(1)).alias("t"), *[F.count_if(F.col("_t") < T).alias(f"f{T}") for T in range(1, bands + 1)])
     per_item = F.array(*[F.struct(F.lit(T).alias("num_tables"), F.col(f"f{T}").alias("f")) for T in range(1, bands + 1)])
     each = counts.select("t", F.explode(per_item).alias("s")).select("t", "s.num_tables", F.col("s.f").alias("f"))
     total = each.groupBy("num_tables").agg(*[F.sum(x).cast("double").alias(n) for n, x in (
@@ -283,7 +284,7 @@ def sampled_recall(ratings: DataFrame, signatures: DataFrame, bands: int, *, min
     every = ratings.sparkSession.range(1, bands + 1).select(F.col("id").cast("int").alias("num_tables"), m.alias("m"), n.alias("n"))
     r = F.try_divide("f", "t")
     spread = F.greatest(F.lit(0.0), F.col("ff") - 2 * r * F.col("ft") + r * r * F.col("tt"))
-    error = F.lit(Z99) * F.sqrt(F.try_divide((F.lit(1.0) - F.col("m") / F.col("n")) * F.col("m") * spread, F.greatest(F.col("m") - 1, F.lit(1.0)) * F.col("t") * F.col("t")))
+    error = F.lit(Z99) * F.col("n") * F.sqrt((F.lit(1.0) - F.col("m") / F.col("n")) * spread / (F.col("m") * F.greatest(F.col("n") - 1, F.lit(1.0)))) / F.col("t")
     return (every.join(total, "num_tables", "left")
             .select("num_tables", F.col("m").cast("bigint").alias("sampled_items"), F.coalesce("t", F.lit(0)).cast("bigint").alias("true_pairs"),
                     F.coalesce("f", F.lit(0)).cast("bigint").alias("found_pairs"), r.alias("recall"),

@@ -1,16 +1,16 @@
 """Exact cosine join above a threshold by prefix filtering.
 
-With a threshold t most pairs need no multiplication.  All users stand in one order, rarest first.  An
-item's *prefix* holds its users up to where what is left of its vector is shorter than t of its norm.  Two
-items with a cosine of at least t share a user in both prefixes: take the one whose prefix ends first; if no
-common user lay in it, their product would come from its rest alone, and by Cauchy-Schwarz that is below t.
-
-* The prefixes are an inverted index over each item's rarest users; popular users, whose lists are longest,
-  are in few prefixes.
-* Two items that meet in a user's list are a candidate pair only if the L2 bound at that user allows it: their
-  product there plus the product of what both have behind it.  The pair's first common user passes this bound for every pair
-  above t, so nothing is lost.
-* A candidate is multiplied over the users of its item with fewer ratings.
+With a threshold t, popular users need no pairing.  All users stand in one order, rarest first.  An
+item's *prefix* holds its users up to where what is left of its vector, the *suffix*, is shorter than t of its
+norm.  Two items with a cosine of at least t share a user in both prefixes: take the one whose prefix ends
+first; if no common user lay in it, their product would come from its suffix alone, and by Cauchy-Schwarz that is
+below t.
+
+* The prefixes are an inverted index over each item's rarest users.  Only its lists are paired, so the longest lists, those of
+  popular users, hardly count.
+* The products of a pair over the index are summed.  The pair goes on only if the sum and an L2 bound on what is left reach t:
+  what both items have behind their last common index entry, or what one of the suffixes can add.
+* A pair that goes on is completed from the two suffixes, or anew over the item with fewer ratings if that is less.
 
 A user's list is dealt into blocks and every pair of blocks meets in a group of its own, so a hot user's list never is
 one group; the prefix ends are running totals over ranges of the user order, so a hot item's ratings never meet in one task.
@@ -20,85 +20,99 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recsim.operators.indexing import running_total
 from recsim.session import cut_lineage
 
 LIST_BLOCK = 2048        # entries of a user's list that meet each other in one group
-_SLACK = 1e-9            # rounding allowed for in the bounds; candidates are computed exactly
+_SLACK = 1e-9            # rounding allowed for in the bounds; pairs that pass are computed exactly
 
 
 @dataclass
 class PrefixJoin:
     pairs: DataFrame     # movie_i < movie_j, cosine_similarity, above the threshold
-    work: DataFrame      # one row: ratings, indexed, candidates, products_done, products_pruned
+    work: DataFrame      # one row: ratings, indexed, candidates, completed, products_done, products_pruned
 
 
-def prefix_index(ratings: DataFrame, min_cosine: float) -> DataFrame:
-    """Entries of the prefixes: (movieId, userId, rating, rest, norm2, n), ``rest`` the squared length of the item's vector behind
-    the entry in the user order, ``n`` and ``norm2`` the item's count and squared norm.
+def prefix_entries(ratings: DataFrame, min_cosine: float) -> DataFrame:
+    """Every rating with its place: (movieId, userId, rating, rest, norm2, n, in_prefix), ``rest`` the squared length of the item's
+    vector behind the entry in the user order, ``n`` and ``norm2`` the item's count and squared norm.
 
     Users are ordered by the binary digits of their number of ratings, then by md5; a range of the order is such a number and
     the first two digits of the md5."""
-    rated = ratings.where(F.col("rating") != 0).select("userId", "movieId", F.col("rating").cast("double").alias("rating"))
-    users = rated.groupBy("userId").agg(F.length(F.bin(F.count(F.lit(1)))).alias("_level"))
-    stats = rated.groupBy("movieId").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rating") * F.col("rating")).alias("norm2"))
-    placed = (rated.join(users, "userId").withColumn("_key", F.md5(F.col("userId").cast("string")))
-              .withColumn("_range", F.col("_level") * 256 + F.conv(F.substring("_key", 1, 2), 16, 10).cast("int")).drop("_level"))
+    users = ratings.groupBy("userId").agg(F.length(F.bin(F.count(F.lit(1)))).alias("_level"))
     square = F.col("rating") * F.col("rating")
+    stats = ratings.groupBy("movieId").agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("norm2"))
+    placed = (ratings.join(users, "userId").withColumn("_key", F.md5(F.col("userId").cast("string")))
+              .withColumn("_range", F.col("_level") * 256 + F.conv(F.substring("_key", 1, 2), 16, 10).cast("int")).drop("_level"))
     done = running_total(cut_lineage(placed, "user-order"), ["movieId"], "_range", ["_key", "userId"], {"_before": square})
-    return (done.join(stats, "movieId").where(F.col("norm2") - F.col("_before") >= F.lit(min_cosine * min_cosine - _SLACK) * F.col("norm2"))
-            .select("movieId", "userId", "rating", (F.col("norm2") - F.col("_before") - square).alias("rest"), "norm2", "n"))
+    left = F.col("norm2") - F.col("_before")
+    return done.join(stats, "movieId").select("movieId", "userId", "rating", (left - square).alias("rest"), "norm2", "n",
+                                              (left >= F.lit(min_cosine * min_cosine - _SLACK) * F.col("norm2")).alias("in_prefix"))
 
 
-def candidate_pairs(index: DataFrame, min_cosine: float, list_block: int = LIST_BLOCK) -> DataFrame:
-    """Distinct (movie_i, movie_j, n_i, n_j, norms) of the pairs that the index cannot rule out."""
+def index_products(index: DataFrame, list_block: int = LIST_BLOCK) -> DataFrame:
+    """(movie_i, movie_j, dot, behind): the products of every pair summed over the index, and the product of the
+    squared lengths that both have behind their last common entry."""
     lists = index.groupBy("userId").agg(F.ceil(F.count(F.lit(1)) / list_block).cast("int").alias("_parts"))
-    own = F.pmod(F.xxhash64("movieId"), F.col("_parts")).cast("int")
-    dealt = index.join(lists, "userId").withColumn("_own", own)
-    names = ("movieId", "rating", "rest", "norm2", "n")
-    side = lambda low, high, s: dealt.select("userId", low, high, *[F.col(c).alias(f"{c}_{s}") for c in names])
+    dealt = index.join(lists, "userId").withColumn("_own", F.pmod(F.xxhash64("movieId"), F.col("_parts")).cast("int"))
+    side = lambda low, high, s: dealt.select("userId", low, high, *[F.col(c).alias(f"{c}_{s}") for c in ("movieId", "rating", "rest")])
     # group (lo, hi) of a list holds the entries of part lo on one side and those of part hi on the other
     first = side(F.col("_own").alias("_lo"), F.explode(F.sequence(F.col("_own"), F.col("_parts") - 1)).alias("_hi"), "i")
     second = side(F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_lo"), F.col("_own").alias("_hi"), "j")
-    bound = F.col("rating_i") * F.col("rating_j") + F.sqrt(F.greatest("rest_i", F.lit(0.0)) * F.greatest("rest_j", F.lit(0.0)))
-    norms = F.col("norm2_i") * F.col("norm2_j")
-    kept = (first.join(second, ["userId", "_lo", "_hi"]).where((F.col("_lo") < F.col("_hi")) | (F.col("movieId_i") < F.col("movieId_j")))
-            .where(bound >= F.lit(min_cosine - _SLACK) * F.sqrt(norms)))
-    in_order = F.col("movieId_i") < F.col("movieId_j")
-    return kept.groupBy(F.least("movieId_i", "movieId_j").alias("movie_i"), F.greatest("movieId_i", "movieId_j").alias("movie_j")).agg(
-        F.first(F.when(in_order, F.col("n_i")).otherwise(F.col("n_j"))).alias("n_i"),
-        F.first(F.when(in_order, F.col("n_j")).otherwise(F.col("n_i"))).alias("n_j"), F.first(norms).alias("norms"))
+    both = first.join(second, ["userId", "_lo", "_hi"]).where((F.col("_lo") < F.col("_hi")) | (F.col("movieId_i") < F.col("movieId_j")))
+    return both.groupBy(F.least("movieId_i", "movieId_j").alias("movie_i"), F.greatest("movieId_i", "movieId_j").alias("movie_j")).agg(
+        F.sum(F.col("rating_i") * F.col("rating_j")).alias("dot"), F.min(F.col("rest_i") * F.col("rest_j")).alias("behind"))
 
 
 def prefix_cosine_join(ratings: DataFrame, min_cosine: float, list_block: int = LIST_BLOCK) -> PrefixJoin:
     """All item pairs (movie_i < movie_j) with a cosine strictly above ``min_cosine`` > 0, exactly, and the work it took.
 
-    ``work`` counts the ratings, the entries of the index, the candidate pairs, the products that their computation took
-    (one per rating of the item with fewer of them) and those of the plain join (one per user and pair of ratings) that were pruned.
-    Weights of either sign are allowed.  One rating per user and item.
+    ``work`` counts the ratings, the entries of the index, the candidate pairs that it gave, those that had to be completed, the
+    products of ratings that were multiplied, and those of the plain join (one per user and pair of ratings) that
+    were not.  Weights of either sign are allowed.  One rating per user and item.
     """
     if not 0 < min_cosine <= 1:
         raise ValueError("min_cosine must lie above 0 and not above 1")
     rated = ratings.where(F.col("rating") != 0).select("userId", "movieId", F.col("rating").cast("double").alias("rating"))
-    index = cut_lineage(prefix_index(rated, min_cosine), "prefixes")
-    candidates = cut_lineage(candidate_pairs(index, min_cosine, list_block), "candidates")
-    fewer = F.col("n_i") <= F.col("n_j")
-    asked = candidates.select("movie_i", "movie_j", "norms", F.when(fewer, F.col("movie_i")).otherwise(F.col("movie_j")).alias("_few"),
-                              F.when(fewer, F.col("movie_j")).otherwise(F.col("movie_i")).alias("_many"))
-    few = rated.select(F.col("movieId").alias("_few"), "userId", F.col("rating").alias("_a"))
-    many = rated.select(F.col("movieId").alias("_many"), "userId", F.col("rating").alias("_b"))
-    products = asked.join(few, "_few").join(many, ["_many", "userId"])
-    dots = products.groupBy("movie_i", "movie_j").agg(F.sum(F.col("_a") * F.col("_b")).alias("_dot"), F.first("norms").alias("norms"))
-    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_dot") / F.sqrt("norms")))
-    pairs = dots.select("movie_i", "movie_j", cosine.alias("cosine_similarity")).where(F.col("cosine_similarity") > F.lit(float(min_cosine)))
-
-    degree = rated.groupBy("userId").agg(F.count(F.lit(1)).alias("_d")).agg(
-        F.coalesce(F.sum("_d"), F.lit(0)).alias("ratings"), F.coalesce(F.sum(F.col("_d") * (F.col("_d") - 1) / 2), F.lit(0)).cast("bigint").alias("_all"))
-    done = candidates.agg(F.count(F.lit(1)).alias("candidates"), F.coalesce(F.sum(F.least("n_i", "n_j")), F.lit(0)).alias("products_done"))
+    entries = cut_lineage(prefix_entries(rated, min_cosine), "prefixes")
+    index = entries.where("in_prefix").select("movieId", "userId", "rating", "rest")
+    items = cut_lineage(entries.groupBy("movieId").agg(F.first("norm2").alias("norm2"), F.first("n").alias("n"), F.count_if(~F.col("in_prefix")).alias("tail"),
+                                                       F.min(F.when(F.col("in_prefix"), F.col("rest"))).alias("over")), "items")
+    side = lambda s: items.select(*[F.col(c).alias(f"{c}_{s}" if c != "movieId" else f"movie_{s}") for c in items.columns])
+    candidates = cut_lineage(index_products(index, list_block), "candidates")
+    known = candidates.join(side("i"), "movie_i").join(side("j"), "movie_j")
+    root = lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))
+    by_suffix = root(F.greatest(F.col("over_i") * F.col("norm2_j"), F.col("over_j") * F.col("norm2_i")))
+    more: Column = F.least(root(F.col("behind")), by_suffix)
+    norms = F.col("norm2_i") * F.col("norm2_j")
+    open_ = cut_lineage(known.where(F.col("dot") + more >= F.lit(min_cosine - _SLACK) * F.sqrt(norms)).withColumn("norms", norms)
+                        .withColumn("anew", F.col("tail_i") + F.col("tail_j") > F.least("n_i", "n_j"))
+                        .select("movie_i", "movie_j", "dot", "norms", "anew", (F.col("n_i") <= F.col("n_j")).alias("i_fewer")), "open-pairs")
+
+    # what the index did not hold: the suffix of i against all of j, and that of j against the prefix of i
+    ask = lambda x, y, whole: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(whole).alias("whole"))
+    asked = F.when(F.col("anew"), F.array(F.when(F.col("i_fewer"), ask("movie_i", "movie_j", True)).otherwise(ask("movie_j", "movie_i", True)))).otherwise(
+        F.array(ask("movie_i", "movie_j", True), ask("movie_j", "movie_i", False)))
+    asks = open_.select("movie_i", "movie_j", "anew", F.explode(asked).alias("a")).select("movie_i", "movie_j", "anew", "a.*")
+    mine = entries.select(F.col("movieId").alias("x"), "userId", F.col("rating").alias("_a"), F.col("in_prefix").alias("_pa"))
+    theirs = entries.select(F.col("movieId").alias("y"), "userId", F.col("rating").alias("_b"), F.col("in_prefix").alias("_pb"))
+    added = cut_lineage(asks.join(mine, "x").where("anew or not _pa").join(theirs, ["y", "userId"]).where("whole or _pb")
+                        .groupBy("movie_i", "movie_j").agg(F.sum(F.col("_a") * F.col("_b")).alias("_more"), F.count(F.lit(1)).alias("_products")), "completed")
+    dot = F.when(F.col("anew"), F.lit(0.0)).otherwise(F.col("dot")) + F.coalesce("_more", F.lit(0.0))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.sqrt("norms")))
+    pairs = (open_.join(added, ["movie_i", "movie_j"], "left").select("movie_i", "movie_j", cosine.alias("cosine_similarity"))
+             .where(F.col("cosine_similarity") > F.lit(float(min_cosine))))
+
     one = lambda df: df.withColumn("_k", F.lit(0))
-    work = (one(degree).join(one(index.agg(F.count(F.lit(1)).alias("indexed"))), "_k").join(one(done), "_k")
-            .select("ratings", "indexed", "candidates", "products_done", (F.col("_all") - F.col("products_done")).alias("products_pruned")))
+    per_user = entries.groupBy("userId").agg(F.count(F.lit(1)).alias("_d"), F.count_if("in_prefix").alias("_p"))
+    plain = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0)).cast("bigint")
+    lists = per_user.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("ratings"), F.coalesce(F.sum("_p"), F.lit(0)).alias("indexed"),
+                         plain("_d").alias("_all"), plain("_p").alias("_indexed"))
+    work = (one(lists).join(one(candidates.agg(F.count(F.lit(1)).alias("candidates"))), "_k").join(one(open_.agg(F.count(F.lit(1)).alias("completed"))), "_k")
+            .join(one(added.agg(F.coalesce(F.sum("_products"), F.lit(0)).alias("_more"))), "_k")
+            .withColumn("products_done", F.col("_indexed") + F.col("_more"))
+            .select("ratings", "indexed", "candidates", "completed", "products_done", (F.col("_all") - F.col("products_done")).alias("products_pruned")))
     return PrefixJoin(pairs, work)

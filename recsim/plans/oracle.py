@@ -97,7 +97,7 @@ sr_first AS (
   FROM sr_truth t LEFT JOIN {sig} a ON a.movieId = t.movie_i LEFT JOIN {sig} b ON b.movieId = t.movie_j AND b.band = a.band AND b.bucket = a.bucket
   GROUP BY 1, 2),
 sr_item AS (
-  SELECT g.t AS num_tables, movie_i, CAST(count(*) AS DOUBLE) AS t, CAST(count_if(first_table < g.t) AS DOUBLE) AS f
+  SELECT g.t AS num_tables, movie_j, CAST(count(*) AS DOUBLE) AS t, CAST(count_if(first_table < g.t) AS DOUBLE) AS f
   FROM sr_first CROSS JOIN range(1, {bands + 1}) g(t) GROUP BY 1, 2),
 sr_total AS (
   SELECT num_tables, sum(t) AS t, sum(f) AS f, sum(f * f) AS ff, sum(f * t) AS ft, sum(t * t) AS tt,
@@ -109,7 +109,7 @@ def sampled_select() -> str:
     from recsim.operators.lsh import Z99
     return f"""SELECT CAST(num_tables AS INTEGER) AS num_tables, CAST(m AS BIGINT) AS sampled_items, CAST(t AS BIGINT) AS true_pairs,
        CAST(f AS BIGINT) AS found_pairs, round(r, 6) AS recall, round(greatest(0.0, r - e), 6) AS low, round(least(1.0, r + e), 6) AS high
-FROM (SELECT *, {dbl(Z99)} * sqrt((1.0::DOUBLE - m / n) * m * greatest(0.0, ff - 2 * r * ft + r * r * tt) / (greatest(m - 1, 1.0) * t * t)) AS e
+FROM (SELECT *, {dbl(Z99)} * n * sqrt((1.0::DOUBLE - m / n) * greatest(0.0, ff - 2 * r * ft + r * r * tt) / (m * greatest(n - 1, 1.0))) / t AS e
       FROM (SELECT *, f / t AS r FROM sr_total))"""
 
 
@@ -591,15 +591,24 @@ ordered AS (
          n.norm2 - sum(l.rating * l.rating) OVER (PARTITION BY l.movieId ORDER BY length(bin(d.d)), md5(CAST(l.userId AS VARCHAR)), l.userId
                                                   ROWS UNBOUNDED PRECEDING) AS rest
   FROM lr l JOIN deg d ON d.userId = l.userId JOIN ln n ON n.movieId = l.movieId),
-idx AS (SELECT * FROM ordered WHERE rest + rating * rating >= {dbl(t * t - slack)} * norm2),
+entries AS (SELECT *, rest + rating * rating >= {dbl(t * t - slack)} * norm2 AS inside FROM ordered),
+its AS (SELECT movieId, any_value(norm2) AS norm2, any_value(n) AS n, count_if(NOT inside) AS tail, min(rest) FILTER (WHERE inside) AS over
+        FROM entries GROUP BY movieId),
 cands AS (
-  SELECT DISTINCT a.movieId AS movie_i, b.movieId AS movie_j, least(a.n, b.n) AS products
-  FROM idx a JOIN idx b ON a.userId = b.userId AND a.movieId < b.movieId
-  WHERE a.rating * b.rating + sqrt(a.rest * b.rest) >= {dbl(t - slack)} * sqrt(a.norm2 * b.norm2))
-SELECT (SELECT count(*) FROM lr) AS ratings, (SELECT count(*) FROM idx) AS indexed, count(*) AS candidates,
-       CAST(sum(products) AS BIGINT) AS products_done,
-       CAST((SELECT sum(d * (d - 1) // 2) FROM deg) - sum(products) AS BIGINT) AS products_pruned
-FROM cands"""
+  SELECT a.movieId AS movie_i, b.movieId AS movie_j, sum(a.rating * b.rating) AS dot, min(a.rest * b.rest) AS behind
+  FROM entries a JOIN entries b ON a.userId = b.userId AND a.movieId < b.movieId WHERE a.inside AND b.inside GROUP BY 1, 2),
+opened AS (
+  SELECT c.movie_i, c.movie_j, i.tail + j.tail > least(i.n, j.n) AS anew
+  FROM cands c JOIN its i ON i.movieId = c.movie_i JOIN its j ON j.movieId = c.movie_j
+  WHERE c.dot + least(sqrt(c.behind), sqrt(greatest(i.over * j.norm2, j.over * i.norm2))) >= {dbl(t - slack)} * sqrt(i.norm2 * j.norm2)),
+done AS (
+  SELECT (SELECT sum(d * (d - 1) // 2) FROM (SELECT count_if(inside) AS d FROM entries GROUP BY userId))
+         + (SELECT count(*) FROM opened o JOIN entries a ON a.movieId = o.movie_i JOIN entries b ON b.movieId = o.movie_j AND b.userId = a.userId
+            WHERE o.anew OR NOT (a.inside AND b.inside)) AS done)
+SELECT (SELECT count(*) FROM lr) AS ratings, (SELECT count(*) FROM entries WHERE inside) AS indexed, (SELECT count(*) FROM cands) AS candidates,
+       (SELECT count(*) FROM opened) AS completed, CAST(done AS BIGINT) AS products_done,
+       CAST((SELECT sum(d * (d - 1) // 2) FROM deg) - done AS BIGINT) AS products_pruned
+FROM done"""
 
 
 def part_topk_neighbors(p):

@@ -40,3 +40,24 @@ def test_events_scan_reads_only_needed_columns(spark):
     scan = [line for line in plan.splitlines() if "FileScan parquet" in line][0]
     schema = re.search(r"ReadSchema: struct<([^>]*)>", scan).group(1)
     assert "event_type" not in schema and "ts:" not in schema
+
+
+def test_bucketed_caches_are_not_shuffled_by_the_joins(spark):
+    """G2 and G3 over bucketed tables: no Exchange stands above the scans on the bucketed sides."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = Workload(spark, SF).bucketed_neighbor_ratings()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    lines = plan.splitlines()
+    scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line]
+    assert len(scans) == 3 and plan.count("Exchange hashpartitioning") == 1       # only the expanded rows move, to the last join
+    exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    depth = lambda i: len(lines[i]) - len(lines[i].lstrip(" :+-*(0123456789)"))
+    train = next(i for i in scans if "train_by_user_item" in lines[i])
+    assert train > exchange and not any("Exchange" in lines[i] for i in range(exchange + 1, train))
+    assert all("SelectedBucketsCount: 8 out of 8" in lines[i] for i in scans) and depth(exchange) > 0

@@ -65,3 +65,38 @@ def test_recommendations_for_user_confidence(spark):
     recs = spark.createDataFrame([(1, f"t{i}", float(10 - i)) for i in range(8)], "userId long, title string, score double")
     got = I.recommendations_for_user(recs, 1, 6).collect()
     assert [r.confidence for r in sorted(got, key=lambda r: r.rank)] == [95, 90, 85, 80, 75, 75]
+
+
+# -- one item against all, and the title index ---------------------------------------------
+
+def test_seed_neighbors_equal_the_neighbour_table(mk, spark):
+    from recsim.operators import similarity as E
+    from tests.helpers import random_ratings
+    df = mk(random_ratings(40, 30, 0.3, 4, hot_user=1, hot_share=0.3) + [(1, 77, 0.0), (2, 78, 4.0)])
+    seeds = spark.createDataFrame([(3,), (8,), (3,), (78,), (500,)], "movieId long")
+    rows = lambda d: {(r.movie_i, r.movie_j): round(r.cosine_similarity, 9) for r in d.collect()}
+    for cut in (None, 0.3):
+        want = {k: c for k, c in rows(E.exact_topk_neighbors(df, 5, min_cosine=cut)).items() if k[0] in (3, 8, 78)}
+        assert rows(E.seed_neighbors(df, seeds, 5, min_cosine=cut)) == want and want
+
+
+def test_similar_items_builds_no_neighbour_table(spark):
+    import os
+    import pytest
+    from recsim.plans.workloads import Workload
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("driver tables not present")
+    plan = Workload(spark, "/root/testdata/sf0.001").similar_items()._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_title_index_equals_contains(spark):
+    from recsim.operators import serving as I
+    titles = ["The Heat (1995)", "heat", "Sheath", "100% Wolf_", "", None, "Ça va ça", "aaaa", "aa", "Heat Heat", "x"]
+    catalog = spark.createDataFrame(list(enumerate(titles)), "movieId long, title string")
+    asked = ["heat", "HEAT", "he", "h", "eath", "100%", "f_", "%", "ça", "ÇA", "aaa", "aaaaa", "zzz", "", None, "heat heat", "at h", "he", "t ("]
+    queries = spark.createDataFrame([(x,) for x in asked], "query string")
+    for rarest in (1, 2, 5):
+        got = {(r.query, r.movieId) for r in I.search_titles(I.title_index(catalog), catalog, queries, rarest).collect()}
+        assert got == {(x, i) for x in asked if x for i, t in enumerate(titles) if t and x.lower() in t.lower()}
+    assert I.search_titles(I.title_index(catalog.limit(0)), catalog.limit(0), queries).collect() == []

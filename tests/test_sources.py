@@ -53,6 +53,16 @@ def test_csv_round_trips_and_metric_append(spark, mk):
     assert len(rows) == 2 and rows[0].numHashTables == 3 and rows[0].timestamp == "20250101_000000"
 
 
+def test_a_run_that_is_written_again_replaces_its_record(spark):
+    path = A.scratch_path(spark, "metrics-test")
+    rec = lambda rmse: H.metrics_record(spark.createDataFrame([(rmse, 0.5)], "rmse double, mae double"), Params(), "ds", stamp="x")
+    A.append_metrics(rec(1.0), path, "a")
+    A.append_metrics(rec(2.0), path, "b")
+    A.append_metrics(rec(3.0), path, "a")
+    assert sorted(r.rmse for r in A.read_metrics(spark, path).collect()) == [2.0, 3.0]
+    assert A.read_metrics(spark, path).columns == ["dataset", "rmse", "mae", "bucketLength", "numHashTables", "threshold", "top_k", "timestamp"]
+
+
 def test_scratch_path_is_under_checkpoint_dir(spark):
     p = A.scratch_path(spark, "x")
     assert p.startswith(spark.sparkContext.getCheckpointDir().rstrip("/"))
