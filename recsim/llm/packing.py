@@ -87,19 +87,22 @@ class WordIds:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def _of(self, word: bytes, slow: list[bytes]) -> bytes | None:
+    def _of(self, word: bytes, slow: list[bytes], marked: bool) -> bytes | None:
         """The ids of a word that no table has; None, and the word added to ``slow``, if it needs the whole
-        tokenizer."""
+        tokenizer.  Only in a ``marked`` text a word may spell out a special token."""
         ids = self.known.get(word)
         if ids is None:
             ids = self.older.get(word)
         if ids is None:
-            if self._marked(word.lower()):
+            if marked and self._marked(word.lower()):
                 slow.append(word)
                 return None
+            if len(word) <= 64 and word.isalpha():     # ASCII letters
+                ids = self.known[word] = array("I", [t.id for t in self.model.tokenize(word.lower().decode())]).tobytes()
+                return ids
             stem = word.rstrip(_SIGNS)
             if stem and len(stem) < len(word) and 97 <= stem[-1] <= 122:
-                first, last = self._of(stem, slow), self._of(word[len(stem):], slow)
+                first, last = self._of(stem, slow, marked), self._of(word[len(stem):], slow, marked)
                 return None if first is None or last is None else first + last
             text = unicodedata.normalize("NFC", word.decode())
             if len(text) > 64 or not _PLAIN.issuperset(text):
@@ -116,19 +119,20 @@ class WordIds:
     def __call__(self, data: bytes) -> bytes:
         low = data.lower()
         words = low.split()
-        if self._marked(low):
+        marked = self._marked(low)
+        if marked:
             words = [w if self._marked(v) else v for w, v in zip(data.split(), words)]
         found = list(map(self.known.get, words))
         if None in found:
             miss = [i for i, ids in enumerate(found) if ids is None]
             slow: list[bytes] = []
-            new = {w: self._of(w, slow) for w in {words[i] for i in miss}}
+            new = {w: self._of(w, slow, marked) for w in {words[i] for i in miss}}
             slow = list(dict.fromkeys(slow))
             for i in range(0, len(slow), 1024):
                 part = slow[i:i + 1024]
                 self.known.update(zip(part, self._encode(part)))
             for w, ids in new.items():
-                self.known[w] = self._of(w, []) if ids is None else ids
+                self.known[w] = self._of(w, [], marked) if ids is None else ids
             for i in miss:
                 found[i] = self.known[words[i]]
             if len(self.known) > self.limit:
