@@ -342,9 +342,11 @@ def pack_lengths(lengths: list[int], size: int) -> list[list[int]]:
 def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``pieces`` (with ``length`` from 1 to ``max_tokens``) plus ``sequence_id`` and ``offset``: pieces
     of a sequence follow each other without gaps from 0.  Other columns stay.  Which of
-    several pieces of equal length goes where follows from their order by all columns, so a
-    task run again gives the same.  No piece, no sequence."""
+    several pieces of equal length goes where follows from their group and their order by all columns;
+    groups follow from the places in a written table, so a task run again gives the same.  No piece, no sequence."""
     names = pieces.columns
+    # groups are dealt by a row's place in the staged files, so equal rows spread too
+    place = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
     schema = pieces.schema.simpleString()[len("struct<"):-1] + ",sequence_id:bigint,offset:bigint,carried:boolean"
     rest, done, turn = cut_lineage(pieces, "pieces"), None, 0
     while True:
@@ -370,13 +372,13 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, group_rows: int = GRO
                 rows = rows.append_column(name, pa.array(column))
             return rows
 
-        dealt = rest.withColumn("group", F.pmod(F.xxhash64(F.lit(turn), *names), F.lit(groups)))
+        dealt = rest.select(*names, F.pmod(F.xxhash64(F.lit(turn), *place), F.lit(groups)).alias("group"))
         packed = cut_lineage(dealt.groupBy("group").applyInArrow(pack, schema), "packed")
         final = packed.where("not carried").drop("carried")
         done = final if done is None else done.unionByName(final)
         if last:
             return done
-        rest, turn = packed.where("carried").select(*names), turn + 1
+        rest, turn = packed.where("carried"), turn + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 4096, end_id: int = 1,

@@ -1,6 +1,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -167,3 +168,16 @@ def test_sequences_hold_the_tokens(spark, tok):
     text = {r.doc_id: tok.encode(r.text, add_special_tokens=False).ids + [1] for r in docs.collect()}
     for r in packed.collect():
         assert seq[r.sequence_id][r.offset:r.offset + r.length] == text[r.doc_id][r.start:r.start + r.length]
+
+
+def test_equal_rows_spread_over_the_groups(spark):
+    """Groups are dealt by place: 6,000 equal pieces in groups of 500 pack as well as in one, and no task holds them all."""
+    pieces = spark.createDataFrame([(1, 0, 0, 1365, 7)] * 6000, packing.PIECE).repartition(3)
+    packed = packing.pack_pieces(pieces, 4096, group_rows=500)
+    rows = packed.collect()
+    fills = Counter()
+    for r in rows:
+        fills[r.sequence_id] += r.length
+    assert len(rows) == 6000 and max(fills.values()) <= 4096 and len(fills) == 2000
+    first = Counter((r.sequence_id >> 24) & 0xFFFFFFFF for r in rows if not r.sequence_id >> 56)
+    assert len(first) == 12 and max(first.values()) < 700
