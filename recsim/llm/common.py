@@ -200,21 +200,20 @@ def word_edges(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every word; works through slices, so memory stays near a few
-    times the slice (or the longest word)."""
-    out: tuple[list, list] = ([], [])
+def word_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, bases: tuple[int, ...] = _BASES) -> tuple[np.ndarray, ...]:
+    """A 64-bit hash of every word per base; works through slices, so memory stays near a few
+    times the slice (or the longest word).  Words can be made that collide under every base: equal hashes
+    are a hint, not a proof."""
+    out: tuple[list, ...] = tuple([] for _ in bases)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SLICE, "right")))
         lo = int(starts[i])
         piece = np.frombuffer(data, np.uint8, int(ends[j - 1]) - lo, lo).astype(np.uint64) + np.uint64(1)
-        for got, base in zip(out, _BASES):
+        for got, base in zip(out, bases):
             got.append(spans_hash(piece, starts[i:j] - lo, ends[i:j] - lo, base))
         i = j
-    if not out[0]:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(out[0]), np.concatenate(out[1])
+    return tuple(np.concatenate(got) if got else np.zeros(0, np.uint64) for got in out)
 
 
 assert sys.byteorder == "little"

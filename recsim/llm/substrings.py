@@ -7,8 +7,9 @@ so they share an anchor aligned at that offset.  Therefore:
 
 1. Anchors: every document's anchors are hashed (64 bits) and meet by hash.  Anchors that
    occur once are done with.
-2. Extension: only windows around a repeated anchor are hashed whole (96 bits); they meet
-   by hash, and all but the earliest start (document, then position) of each are marked.
+2. Extension: only windows around a repeated anchor are digested whole (96 bits of BLAKE2 of their
+   words, so also words made to collide under the anchors' hash are told apart); they meet
+   by digest, and all but the earliest start (document, then position) of each are marked.
 3. The words that marked windows cover are taken out.
 
 Both meetings work on packed arrays.  A task first reduces what it has: equal hashes inside
@@ -19,6 +20,8 @@ both later steps read that shuffle.  Buckets grow in number with the input.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +36,7 @@ LEAST_ANCHOR = 8
 #: Bytes of the documents that a task reduces together.
 CHUNK = 3 << 20
 
-_A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_A = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 ship(__name__)
@@ -53,7 +56,8 @@ class Words:
         starts, ends = word_edges(data)
         begin = np.cumsum([0] + [len(d) + 1 for d in datas])
         self.first = np.searchsorted(starts, begin)
-        self.h1, self.h2 = word_hashes(data, starts, ends)
+        self.data, self.starts, self.ends = data, starts, ends
+        self.h1, = word_hashes(data, starts, ends, (_A,))
         counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(datas)), counts)
         self.at = np.arange(self.first[-1]) - np.repeat(self.first[:-1], counts)
@@ -68,8 +72,12 @@ class Words:
         return i, spans_hash(self.h1, i, i + size, _A)
 
     def windows(self, i: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """96-bit hash of the windows that start at words ``i``, as 64 and 32 bits."""
-        return spans_hash(self.h1, i, i + window, _A), (spans_hash(self.h2, i, i + window, _B) >> _U(32)).astype(np.uint32)
+        """96-bit BLAKE2 of the words of the windows that start at words ``i``, as 64 and 32 bits."""
+        flat = b" ".join([self.data[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())])
+        at = np.concatenate(([0], np.cumsum(self.ends - self.starts + 1)))
+        raw = b"".join([blake2b(flat[a:b], digest_size=12).digest() for a, b in zip(at[i].tolist(), (at[i + window] - 1).tolist())])
+        told = np.frombuffer(raw, [("hi", "<u8"), ("lo", "<u4")])
+        return told["hi"].astype(_U), told["lo"].astype(np.uint32)
 
 
 def _chunks(keys: list, datas: list[bytes], limit: int = CHUNK):
