@@ -32,7 +32,7 @@ GROUP_ROWS = 20_000
 #: A group hands on at most this share of its pieces.
 CARRY = 1 / 16
 #: Words whose ids a worker keeps at hand.
-CACHE = 1 << 18
+CACHE = 1 << 17
 
 ship(__name__)
 

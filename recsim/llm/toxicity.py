@@ -33,7 +33,7 @@ LEAST_Z, LEAST_DOCS = 3.0, 4
 #: Lengths of the letter runs inside words that are features.
 GRAMS = (4, 5)
 #: Words whose features a task keeps at hand.
-CACHE = 1 << 18
+CACHE = 1 << 16
 
 #: Terms that name groups, by kind; a term may stand for any other of its row.
 IDENTITY = (
