@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from recsim.operators import interactions as D  # noqa: E402
+from recsim.operators import lsh as L  # noqa: E402
 from recsim.operators import similarity as E  # noqa: E402
 from recsim.params import Params  # noqa: E402
 from recsim.plans import train_eval as P  # noqa: E402
@@ -58,6 +59,14 @@ def main() -> None:
         lp = src.lineitem_ratings(spark, sf_dir, "part")
         drain(E.exact_topk_neighbors(lp, p.top_k, item_block=p.item_block, side_rows=p.side_rows))
 
+    def lp_multiprobe():
+        lp = src.lineitem_ratings(spark, sf_dir, "part")
+        drain(L.multiprobe_topk_neighbors(lp, p.top_k, bands=3, bucket_items=p.bucket_items, probes=p.probes, seed=p.seed))
+
+    def lp_train_eval():
+        lp = src.lineitem_ratings(spark, sf_dir, "part")
+        return P.train_and_evaluate(lp, p.with_(threshold=1.4), "exact").metrics.collect()
+
     queries = {
         "train_eval_exact": lambda: run_eval("exact", p),
         "train_eval_lsh": lambda: run_eval("lsh", p),
@@ -66,6 +75,8 @@ def main() -> None:
         "cross_validate_5fold": cv,
         "exact_pairs_part_ratings": lp_pairs,
         "exact_topk_part_ratings": lp_topk,
+        "multiprobe_topk_part_ratings": lp_multiprobe,
+        "train_eval_part_ratings": lp_train_eval,
         "similar_items": lambda: wl.similar_items().collect(),
         "user_recommendations": lambda: drain(wl.user_recommendations()),
         "seed_recommendations_bulk": lambda: drain(wl.seed_recommendations_bulk()),
