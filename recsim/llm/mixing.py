@@ -102,7 +102,7 @@ def schedule(sources: DataFrame, most: int) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, *, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 128,
-                  least_blocks: int = 64, seed: int = 1, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+                  least_blocks: int = 1024, seed: int = 1, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix as spans: (slot, pass, block, doc_id, copy, size, start, words, no, source, source_size, target).
 
     A row says that slot ``slot`` takes the ``words`` words of a document from word ``start`` on.  Read in the order of slot and place in the

@@ -206,7 +206,7 @@ WITH RECURSIVE d AS (
   SELECT k + 1, (1.5::DOUBLE * sum(source_size) - coalesce(sum(CASE WHEN w * unit > cap THEN cap END), 0)) / sum(CASE WHEN w * unit > cap THEN 0 ELSE w END)
   FROM u, s WHERE k < 30 GROUP BY k
 ), t AS (
-  SELECT s.*, least(w * unit, CAST(cap AS DOUBLE)) AS target, greatest(1, least(128, source_size // 64)) AS bw FROM s, u WHERE k = 30
+  SELECT s.*, least(w * unit, CAST(cap AS DOUBLE)) AS target, greatest(1, least(128, source_size // 1024)) AS bw FROM s, u WHERE k = 30
 ), b AS (
   SELECT *, (source_size + bw - 1) // bw AS blocks, CAST(floor(target * 65536 / bw) AS BIGINT) AS width FROM t
 ), laid AS (SELECT no, blocks, width, CAST(sum(width) OVER (ORDER BY no) - width AS BIGINT) AS low FROM b),
