@@ -7,26 +7,26 @@ inside its document; the score is a logistic function of the weighted passage en
 Only documents have labels; passages get theirs through the attention weights.
 
 Fitting: on a bounded sample of labelled documents (``SAMPLE``, the smallest hashes of their
-ids), all passages of them, measured by the executors.  The driver takes the measurements in by
-partitions, keeps them in a file and reads a mini-batch at a time.  Scoring: every document, all
-passages of it, in tasks.
+ids, ``PASSAGES`` passages together at most), all passages of them, measured by the executors.  The driver
+holds the measurements as half-precision numbers.  Scoring: every document, all passages of it, in tasks.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recsim.llm.common import cut_lineage, labelled_texts, ship, spans_hash, without, word_edges
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 6000
+#: Passages that it is fitted on, at most (384 bytes each): documents are taken in the order of their hashes while they fit.
+PASSAGES = 200_000
 PASSAGE_WORDS = 64
 #: Bytes measured at a time.
 SLICE = 1 << 20
@@ -132,19 +132,16 @@ class AttentionModel:
 
 
 class Bags(Sequence):
-    """Bags of measurements in a file of half-precision numbers, one after the other; a bag is read when asked for."""
+    """Bags of measurements, kept as bytes of half-precision numbers; a bag is widened when asked for."""
 
-    def __init__(self, file, places: list[tuple[int, int]]):
-        """``places``: first row and number of rows of each bag."""
-        self.places = places
-        self.rows = np.memmap(file, np.float16, "r").reshape(-1, FEATURES) if places else None
+    def __init__(self, bags: list[bytes]):
+        self.bags = bags
 
     def __len__(self) -> int:
-        return len(self.places)
+        return len(self.bags)
 
     def __getitem__(self, i: int) -> np.ndarray:
-        at, n = self.places[i]
-        return np.asarray(self.rows[at:at + n], np.float32)
+        return np.frombuffer(self.bags[i], np.float16).reshape(-1, FEATURES).astype(np.float32)
 
 
 def fit(bags: Sequence[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 30,
@@ -199,9 +196,10 @@ def fit(bags: Sequence[np.ndarray], labels: np.ndarray, hidden: int = 24, gate:
     return AttentionModel(mean, scale, p["encode"], p["shift"], p["v"], p["u"], p["attend"], p["out"], float(p["bias"][0]))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> AttentionModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> AttentionModel:
     """Model of ``labels`` (doc_id, ``label``) on at most ``sample`` of the labelled ``docs``: those with
-    the smallest hashes of their ids, so the choice does not depend on the order of rows.  Rows
+    the smallest hashes of their ids, so the choice does not depend on the order of rows.  Of these a document longer than
+    an eighth of ``passages`` is not used, nor those after the first ``passages`` passages.  Rows
     with a null id or label are not used; of rows that repeat an id the smallest text is."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
              .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
@@ -212,17 +210,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", samp
         return texts.map(lambda t: measure((t or "").encode()).astype(np.float16).tobytes())
 
     got = cut_lineage(labelled_texts(docs, known).select("doc_id", "y", measured("text").alias("x")), "quality-bags")
-    with tempfile.TemporaryFile() as file:
-        seen: dict[int, tuple[int, int, int]] = {}
-        at = 0
-        for r in got.toLocalIterator():
-            n = len(r.x) // (2 * FEATURES)
-            file.write(r.x)
-            seen[r.doc_id] = (at, n, r.y)
-            at += n
-        file.flush()
-        order = [seen[i] for i in sorted(seen)]
-        return fit(Bags(file, [(at, n) for at, n, _ in order]), np.array([y for _, _, y in order]))
+    size = (F.length("x") / (2 * FEATURES)).cast("long")
+    place = Window.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")       # over at most ``sample`` ids
+    taken = (got.select("doc_id", size.alias("n")).where(F.col("n") <= passages // 8).withColumn("total", F.sum("n").over(place))
+             .where(F.col("total") <= passages).select("doc_id"))
+    seen = {r.doc_id: (bytes(r.x), r.y) for r in got.join(taken, "doc_id").toLocalIterator()}
+    order = [seen[i] for i in sorted(seen)]
+    return fit(Bags([x for x, _ in order]), np.array([y for _, y in order]))
 
 
 def with_quality(docs: DataFrame, model: AttentionModel, text: str = "text", out: str = "score") -> DataFrame:

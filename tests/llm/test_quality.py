@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -89,6 +91,73 @@ def test_a_repeated_id_is_measured_once(spark, monkeypatch):
     assert bags == [3, 3, 1, 3, 3, 3]
 
 
+def test_the_sample_is_bounded_in_passages(spark, monkeypatch):
+    texts = {i: "word " * (64 * n) for i, n in enumerate([3, 11, 2, 9, 4, 5, 1, 10, 6])}
+    train = spark.createDataFrame([(i, t, i % 2) for i, t in texts.items()], "doc_id long, text string, quality int").repartition(3)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.append(sorted(len(b) for b in bags)))
+    quality.fit_quality(train, train, passages=80)
+    quality.fit_quality(train, train, passages=20)
+    assert seen[0] == [1, 2, 3, 4, 5, 6, 9, 10] and sum(seen[1]) <= 20 and set(seen[1]) <= {1, 2}
+
+
+def plain_measure(text, words=quality.PASSAGE_WORDS):
+    """The measurements of each passage, letter by letter."""
+    raw = text.encode()
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    if not spans:
+        return [[0.0] * quality.FEATURES]
+    kind, out = quality._CLASS, []
+    for i in range(0, len(spans), words):
+        mine = spans[i:i + words]
+        end = spans[i + words][0] if i + words < len(spans) else spans[-1][1]
+        part = [int(kind[b]) for b in raw[mine[0][0]:end]]
+        single, pairs = [0] * quality.CLASSES, [0] * quality.CLASSES ** 2
+        for k, c in enumerate(part):
+            single[c] += 1
+            if k:
+                pairs[part[k - 1] * quality.CLASSES + c] += 1
+        w = [raw[a:b] for a, b in mine]
+        n, lengths = len(w), [len(x) for x in w]
+        mean = sum(lengths) / n
+        spread = max(0.0, sum(x * x for x in lengths) / n - mean * mean) ** 0.5
+        share = lambda hit: sum(map(hit, w)) / n
+        out.append([(x / len(part)) ** 0.5 for x in single + pairs] + [
+            min(mean, 40) / 10, min(spread, 40) / 10, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:])) / n, share(lambda x: len(x) == 1),
+            share(lambda x: kind[x[0]] == 3), share(lambda x: kind[x[-1]] >= 8), share(lambda x: kind[x[-1]] == 6), share(lambda x: len(x) > 20),
+            min(n, words) / words])
+    return out
+
+
+def plain_score(m, text):
+    """Gated attention over the passages of a text by plain loops over the model's weights."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    dot = lambda x, col: sum(a * b for a, b in zip(x, col))
+    hs, logits = [], []
+    for x in plain_measure(text):
+        x = [(a - b) / c for a, b, c in zip(x, m.mean, m.scale)]
+        h = [math.tanh(dot(x, m.encode[:, k]) + m.shift[k]) for k in range(len(m.out))]
+        gate = [math.tanh(dot(h, m.v[:, k])) * sig(dot(h, m.u[:, k])) for k in range(len(m.attend))]
+        hs.append(h)
+        logits.append(dot(gate, m.attend))
+    weights = [math.exp(a - max(logits)) for a in logits]
+    rep = [sum(w * h[k] for w, h in zip(weights, hs)) / sum(weights) for k in range(len(m.out))]
+    return sig(dot(rep, m.out) + m.bias)
+
+
+def test_scores_equal_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    some = sorted(texts, key=lambda i: len(texts[i]))[:120]
+    odd = {-1: "", -2: " \n", -3: "a a a B! 12 " * 90, -4: "漢字 " * 70}
+    frame = spark.createDataFrame([(i, texts[i]) for i in some] + list(odd.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.with_quality(frame, model).collect()}
+    for i, t in [(i, texts[i]) for i in some] + list(odd.items()):
+        assert abs(got[i] - plain_score(model, t)) < 1e-5, i
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in QUERIES["op10_quality_classifier"](spark, SF).collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
