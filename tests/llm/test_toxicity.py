@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -59,6 +60,24 @@ def test_a_repeated_id_is_fitted_once(spark, monkeypatch):
     assert seen == [(40, 20)]
 
 
+def test_scores_equal_plain_loops(spark):
+    """Every score against a loop over the text's letter runs and the model's weights."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert model.weights
+    for r in toxicity.with_toxicity(docs, model).collect():
+        words, word = set(), ""
+        for c in (r.text or "").lower() + " ":
+            if re.fullmatch(r"[^\W\d_]", c):
+                word += c
+            elif word:
+                words.add(word)
+                word = ""
+        have = {f"^{w}$" for w in words} | {w[i:i + n] for w in words for n in (4, 5) for i in range(len(w)) if i + n <= len(w)}
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in have)
+        assert abs(r.score - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9
+
+
 def test_held_out_accuracy_and_purity(spark):
     got = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
