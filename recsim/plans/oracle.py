@@ -237,6 +237,14 @@ def load_item_flags(p):
        concat_ws(',', {flags}) AS genres FROM part"""
 
 
+def load_genres(p):
+    return "SELECT n_name AS name, CAST(n_nationkey AS INTEGER) AS genre_id FROM nation"
+
+
+def load_occupations(p):
+    return "SELECT DISTINCT c_mktsegment AS occupation FROM customer"
+
+
 def random_split_invariants(p):
     return q(p, "SELECT count(*) AS num_ratings, count(*) AS num_rows, CAST(0 AS BIGINT) AS overlap FROM r")
 

@@ -217,6 +217,20 @@ class Workload:
         return A.read_item_file(self.spark, path).select("movieId", "title", "release_date", "url",
                                                          F.array_join("genres", ",").alias("genres"))
 
+    def load_genres(self) -> DataFrame:
+        """Nations as a pipe separated genre list with blank lines."""
+        path = A.scratch_path(self.spark, "genres-pipe")
+        lines = src.table(self.spark, self.sf_dir, "nation").select(F.concat_ws("|", "n_name", "n_nationkey").alias("value"))
+        lines.withColumn("value", F.explode(F.array("value", F.lit(""), F.lit("  ")))).write.text(path)
+        return A.read_genres(self.spark, path)
+
+    def load_occupations(self) -> DataFrame:
+        """Market segments as an occupation list, one per line, with blank lines and spaces around."""
+        path = A.scratch_path(self.spark, "occupations")
+        names = src.table(self.spark, self.sf_dir, "customer").select("c_mktsegment").distinct()
+        names.select(F.explode(F.array(F.concat(F.lit(" "), "c_mktsegment", F.lit(" ")), F.lit(""))).alias("value")).write.text(path)
+        return A.read_occupations(self.spark, path)
+
     # -- B: profiling -------------------------------------------------------------------
     def dataset_stats(self) -> DataFrame:
         return rounded(B.dataset_stats(self.ratings_once))
@@ -543,7 +557,7 @@ class Workload:
 REGISTERED = [
     # A
     "load_ratings", "load_items", "write_predictions", "cache_roundtrip", "append_metrics",
-    "recs_cache_roundtrip", "load_rating_folds", "load_user_table", "load_item_flags",
+    "recs_cache_roundtrip", "load_rating_folds", "load_user_table", "load_item_flags", "load_genres", "load_occupations",
     # B
     "dataset_stats", "rating_distribution", "split_stats", "most_rated_items", "most_rated_item",
     "item_title", "sample_rows", "supported_item_count", "prediction_histogram", "true_rating_histogram",
