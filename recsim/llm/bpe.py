@@ -1,11 +1,18 @@
 """Byte-level BPE: encoding and decoding.
 
-The text is cut by the vocabulary's pattern; every match is encoded by itself.  Tasks first
-collect the distinct words of a block of documents, so that a word is encoded once per block
-however often it stands there.  The encoding is a fold in Spark's higher-order functions over
-the word's bytes: each step merges the adjacent pair of lowest rank, with the ranks in a literal
-map: two literal arrays, with a perfect hash of the pair as the place.  Decoding folds ids into one
-binary by concatenating pieces from a literal array.  Nothing is shuffled.
+The text is cut by the vocabulary's pattern; every match is encoded by itself, and every
+distinct word of the corpus once:
+
+1. Blocks of documents number their distinct words.  The words travel to buckets by their hash, the
+   documents, as numbers of words, to a task of the block's own.
+2. A bucket collects the distinct words of all blocks.  Their encoding is a fold in Spark's
+   higher-order functions over the word's bytes: each step merges the adjacent pair of lowest rank,
+   with the ranks in a literal map: two literal arrays, with a perfect hash of the pair as the place.
+   Decoding folds ids into one binary by concatenating pieces from a literal array.
+3. Each block gets the ids and decoded bytes of its words back and puts its documents together.
+
+A word that stands in every block costs a bucket one entry per block.  Everything is packed and compressed;
+documents cross the network once, as numbers.
 """
 
 from __future__ import annotations
@@ -13,15 +20,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recsim.llm.common import ship, spark_xxhash64
+from recsim.llm.common import fan_out, ship, spark_xxhash64
 
-#: UTF-8 bytes of the documents of one block.
+#: Characters of the documents of one block; a longer document is a block of its own.
 BLOCK = 8 << 20
 #: Ids lie below this; (left * LEFT + right) * LEFT + joined is an entry of the rank map.
 LEFT = 1 << 20
@@ -125,40 +135,138 @@ class Vocabulary:
         return F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, F.get(self.pieces, i.cast("int"))))
 
 
-BLOCK_ROW = "words array<array<smallint>>, doc_ids array<bigint>, counts binary, codes binary"
+PACKED = "dest long, block long, sizes binary, data binary, doc_ids array<bigint>, counts binary"
+PACKED_TYPES = pa.schema([("dest", pa.int64()), ("block", pa.int64()), ("sizes", pa.binary()), ("data", pa.binary()),
+                          ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary())])
+GATHERED = "bucket long, words array<array<smallint>>, blocks array<bigint>, numbers array<binary>"
+GATHERED_TYPES = pa.schema([("bucket", pa.int64()), ("words", pa.list_(pa.list_(pa.int16()))), ("blocks", pa.list_(pa.int64())),
+                            ("numbers", pa.list_(pa.binary()))])
+SENT = "dest long, bucket long, id_sizes binary, ids binary, sizes binary, bytes binary"
+SENT_TYPES = pa.schema([("dest", pa.int64()), ("bucket", pa.int64())] + [(c, pa.binary()) for c in ("id_sizes", "ids", "sizes", "bytes")])
 
 
-def word_blocks(docs: DataFrame, pattern: str, text: str, doc_id: str, block: int = BLOCK) -> DataFrame:
-    """Blocks of documents: their distinct words as byte arrays and, per document, its id and the
-    numbers of its words in order."""
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def squeeze_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 to 2**31 - 1, low bytes first: they compress better apart."""
+    return squeeze(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueeze_numbers(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unsqueeze(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+
+
+def pick(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``values[starts[i]:starts[i] + sizes[i]]`` for each i of ``which``, joined."""
+    n = sizes[which]
+    shift = np.repeat(starts[which] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(n) else np.zeros(0, np.int64)
+    return values[shift + np.arange(len(shift))]
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of ``n`` partitions that Spark's hash partitioning sends there."""
+    rows = (spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id"))
+            .orderBy("at").collect())
+    return [r.id for r in rows]
+
+
+def word_blocks(docs: DataFrame, pattern: str, text: str, doc_id: str, block: int = BLOCK, buckets: list[int] | None = None) -> DataFrame:
+    """Blocks of documents, packed.  One row per block and bucket: dest (the bucket), block, and the block's
+    distinct words of the bucket (sizes, bytes).  One row per block: dest (the block, negative), the bucket's place of
+    each word (sizes), the documents as numbers of words (data), their ids and word counts."""
+    buckets = buckets or [0]
+
     def collect(batches):
         import regex
         find = regex.compile(pattern).findall
-        number: dict[str, int] = {}
-        ids, counts, codes, size = [], [], [], 0
+        task = TaskContext.get().partitionId()
+        done = 0
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        ids, codes, size = [], [], 0
 
         def flush():
-            rows = pa.RecordBatch.from_arrays(
-                [pa.array([[np.frombuffer(w.encode(), np.uint8).astype(np.int16) for w in number]], pa.list_(pa.list_(pa.int16()))),
-                 pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, np.int32).tobytes()], pa.binary()),
-                 pa.array([b"".join(codes)], pa.binary())], names=["words", "doc_ids", "counts", "codes"])
-            return rows
+            words = [w.encode() for w in number]
+            place = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % len(buckets)
+            counts = np.array([len(c) for c in codes], np.int64).tobytes()
+            flat = np.concatenate(codes)
+            # a block that a task run again fills otherwise has another name
+            told = hashlib.blake2b(b"%d,%d," % (task, done), digest_size=8)
+            for part in (counts, flat.tobytes(), *words):
+                told.update(part)
+            name = -1 - (int.from_bytes(told.digest(), "little") >> 1)
+            rows: list[list] = [[name], [None], [squeeze_numbers(place)], [squeeze_numbers(flat)], [ids], [counts]]
+            order = np.argsort(place, kind="stable")
+            edges = np.searchsorted(place[order], np.arange(len(buckets) + 1))
+            for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                if a < b:
+                    some = [words[i] for i in order[a:b].tolist()]
+                    sizes = np.fromiter(map(len, some), np.int64, len(some))
+                    for column, value in zip(rows, (buckets[k], name, squeeze_numbers(sizes), squeeze(b"".join(some)), None, None)):
+                        column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, PACKED_TYPES.types)], schema=PACKED_TYPES)
 
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if ids and size + len(body or "") > block:
                     yield flush()
-                    number, ids, counts, codes, size = {}, [], [], [], 0
+                    number.clear()
+                    ids, codes, size, done = [], [], 0, done + 1
                 words = find(body or "")
-                coded = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
                 ids.append(key)
-                counts.append(len(coded))
-                codes.append(coded.tobytes())
+                codes.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                 size += len(body or "")
         if ids:
             yield flush()
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(collect, BLOCK_ROW)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(collect, PACKED)
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """The distinct words of a bucket as numbers from 0 to 255, and each block's words as places among them."""
+    blocks = rows.column("block").to_pylist()
+    if blocks[0] is None:                                   # a block's documents
+        return GATHERED_TYPES.empty_table()
+    number: dict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    numbers = []
+    for sizes, data in zip(rows.column("sizes").to_pylist(), rows.column("data").to_pylist()):
+        data = unsqueeze(data)
+        ends = np.cumsum(unsqueeze_numbers(sizes)).tolist()
+        words = [data[a:b] for a, b in zip([0] + ends, ends)]
+        numbers.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)).tobytes())
+    ends = np.cumsum(np.fromiter(map(len, number), np.int64, len(number)))
+    flat = pa.array(np.frombuffer(b"".join(number), np.uint8).astype(np.int16))
+    words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), flat)
+    return pa.Table.from_arrays(
+        [rows.column("dest").combine_chunks().slice(0, 1), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+         pa.array([blocks], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.binary()))], schema=GATHERED_TYPES)
+
+
+def _send(batches):
+    """The ids and decoded bytes of a bucket's words to each block that asked."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            ids, raw = batch.column("word_ids")[k].values, batch.column("word_bytes")[k].values
+            if raw.null_count:
+                raise ValueError("a word holds bytes that the vocabulary has no piece for")
+            id_ends, ends = ids.offsets.to_numpy().astype(np.int64), np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]
+            values, data = ids.values.to_numpy(), np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+            id_sizes, sizes = np.diff(id_ends), np.diff(ends).astype(np.int64)
+            bucket = batch.column("bucket")[k].as_py()
+            for block, some in zip(batch.column("blocks")[k].as_py(), batch.column("numbers")[k].as_py()):
+                which = np.frombuffer(some, np.int32)
+                yield pa.RecordBatch.from_pylist(
+                    [{"dest": block, "bucket": bucket, "id_sizes": squeeze_numbers(id_sizes[which]),
+                      "ids": squeeze_numbers(pick(values, id_ends[:-1], id_sizes, which)), "sizes": squeeze_numbers(sizes[which]),
+                      "bytes": squeeze(pick(data, ends[:-1].astype(np.int64), sizes, which).tobytes())}], schema=SENT_TYPES)
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", doc_id: str = "doc_id",
@@ -167,45 +275,54 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
     decoded_sha256 (of the bytes that the ids decode to) and, with ``ids``, the ids (array of int).
 
     A null text is empty.  Null ids and repeated rows stay; other columns are not read.  Special
-    tokens are ordinary text.  An empty table gives an empty one.
+    tokens are ordinary text.  An empty table gives an empty one.  ``docs`` must give the same rows when
+    a task is run again (files do); otherwise the job fails rather than mix two versions.
     """
     vocabulary = Vocabulary(ranks)
-    blocks = word_blocks(docs, pattern, text, doc_id)
-    encoded = blocks.withColumn("word_ids", F.transform("words", vocabulary.encode)).drop("words")
+    n = fan_out(docs)
+    buckets = even_keys(docs.sparkSession, n)
+    place = {b: k for k, b in enumerate(buckets)}
+    packed = word_blocks(docs, pattern, text, doc_id, buckets=buckets).repartition(n, "dest")
+    words = packed.groupBy("dest").applyInArrow(_gather, GATHERED)
+    encoded = words.withColumn("word_ids", F.transform("words", vocabulary.encode)).drop("words")
     decoded = encoded.withColumn("word_bytes", F.transform("word_ids", vocabulary.decode))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
+    sent = decoded.mapInArrow(_send, SENT)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:5 if ids else 4]
+    types = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))))
+
+    def digest(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows or rows.column("doc_ids")[0].as_py() is None:      # words of a bucket
+            if not rows.num_rows and told.num_rows:
+                raise RuntimeError("a block changed when its task ran again; write the documents to a table first")
+            return types.empty_table()
+        answers = sorted(told.to_pylist(), key=lambda r: place[r["bucket"]])
+        join = lambda c: np.concatenate([unsqueeze_numbers(r[c]) for r in answers] or [np.zeros(0, np.int32)])
+        id_sizes, flat, ends = join("id_sizes"), join("ids").astype(str).tolist(), np.cumsum(join("sizes")).tolist()
+        number = np.cumsum(id_sizes)
+        data = b"".join([unsqueeze(r["bytes"]) for r in answers])
+        raw = [data[a:b] for a, b in zip([0] + ends, ends)]
+        shown = [",".join(flat[a:b]).encode() for a, b in zip((number - id_sizes).tolist(), number.tolist())]
+        homes = unsqueeze_numbers(rows.column("sizes")[0].as_py())
+        if len(homes) != len(raw):
+            raise RuntimeError("a block changed when its task ran again; write the documents to a table first")
+        at = np.empty(len(homes), np.int64)                 # answers come by bucket, then by number
+        at[np.argsort(homes, kind="stable")] = np.arange(len(homes))
+        codes = at[unsqueeze_numbers(rows.column("data")[0].as_py())]
+        out: list[list] = [[] for _ in names]
+        begin = 0
+        for key, count in zip(rows.column("doc_ids")[0].as_py(), np.frombuffer(rows.column("counts")[0].as_py(), np.int64).tolist()):
+            mine = codes[begin:begin + count]
+            begin += count
+            some = mine.tolist()
+            told_ids = b",".join(map(shown.__getitem__, some))
+            row = (key, int(id_sizes[mine].sum()), hashlib.sha256(told_ids).hexdigest(),
+                   hashlib.sha256(b"".join(map(raw.__getitem__, some))).hexdigest())
+            for column, value in zip(out, row if not ids else (*row, [int(i) for i in told_ids.split(b",")] if some else [])):
+                column.append(value)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types.types)], schema=types)
 
-    def digest(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                lists = batch.column("word_ids")[k].values
-                flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-                flat, sizes = flat[ends[0]:ends[-1]], np.diff(ends)
-                starts = ends[:-1] - ends[0]
-                numbers = flat.astype(str).tolist()
-                shown = [",".join(numbers[a:a + n]) for a, n in zip(starts.tolist(), sizes.tolist())]
-                del numbers
-                raw = batch.column("word_bytes")[k].values.to_pylist()
-                codes = np.frombuffer(batch.column("codes")[k].as_py(), np.int32)
-                counts = np.frombuffer(batch.column("counts")[k].as_py(), np.int32)
-                out: list[list] = [[], [], [], [], []]
-                at = 0
-                for key, n in zip(batch.column("doc_ids")[k].as_py(), counts.tolist()):
-                    mine = codes[at:at + n]
-                    at += n
-                    some = mine.tolist()
-                    for column, value in zip(out, (key, int(sizes[mine].sum()),
-                                                   hashlib.sha256(",".join([shown[c] for c in some]).encode()).hexdigest(),
-                                                   hashlib.sha256(b"".join([raw[c] for c in some])).hexdigest())):
-                        column.append(value)
-                    if ids:
-                        out[4].append(np.concatenate([flat[starts[c]:starts[c] + sizes[c]] for c in some]) if some else [])
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-                m = 5 if ids else 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:m], kinds)], names=names[:m])
-
-    return decoded.mapInArrow(digest, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else "")
+    return packed.groupBy("dest").cogroup(sent.groupBy("dest")).applyInArrow(digest, schema)
 
 
 def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -55,6 +55,40 @@ def test_small_blocks_change_nothing(spark, ranks, encoding):
     assert bpe.word_blocks(df, PATTERN, "text", "doc_id", block=60).count() > 5
 
 
+def test_many_blocks_and_buckets_equal_tiktoken(spark, ranks, encoding, monkeypatch):
+    monkeypatch.setattr(bpe.word_blocks, "__defaults__", (300, None))
+    texts = [f"the same words and {k} odd\u00e9{k * 7919} ones \x00\xff \U0001F600{k}" * (k % 5) for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    got = {r.doc_id: tuple(r)[1:4] for r in bpe.encode_documents(df, ranks, PATTERN, ids=False).collect()}
+    assert got == {k: expected(encoding, t) for k, t in enumerate(texts)}
+
+
+def test_a_word_is_folded_once(spark):
+    """Blocks with the same words: a bucket holds each word once, with an entry per block."""
+    df = spark.createDataFrame([(k, "alpha beta gamma " * 20) for k in range(40)], "doc_id long, text string").coalesce(2)
+    keys = bpe.even_keys(spark, 3)
+    packed = bpe.word_blocks(df, PATTERN, "text", "doc_id", 600, keys)
+    rows = packed.groupBy("dest").applyInArrow(bpe._gather, bpe.GATHERED).collect()
+    words = [bytes(w) for r in rows for w in r.words]
+    assert len(words) == len(set(words)) and all(len(r.blocks) > 10 for r in rows)
+
+
+def test_even_keys_fall_into_one_partition_each(spark):
+    from pyspark.sql import functions as F
+    keys = bpe.even_keys(spark, 7)
+    df = spark.createDataFrame([(k,) for k in keys], "dest long").repartition(7, "dest").withColumn("at", F.spark_partition_id())
+    assert sorted(r.at for r in df.collect()) == list(range(7))
+
+
+def test_numbers_survive_packing():
+    x = np.array([0, 1, 255, 256, 1 << 20, (1 << 31) - 1])
+    assert (bpe.unsqueeze_numbers(bpe.squeeze_numbers(x)) == x).all() and len(bpe.unsqueeze_numbers(bpe.squeeze_numbers(x[:0]))) == 0
+    assert bpe.unsqueeze(bpe.squeeze(b"")) == b""
+    values, starts, sizes = np.arange(10), np.array([0, 3, 3, 9]), np.array([3, 0, 6, 1])
+    assert bpe.pick(values, starts, sizes, np.array([3, 1, 0])).tolist() == [9, 0, 1, 2]
+    assert bpe.pick(values, starts, sizes, np.array([], int)).tolist() == []
+
+
 def test_decoding_restores_the_bytes(spark, ranks):
     df = spark.createDataFrame([(1, "naïve café \U0001F600"), (2, "")], "doc_id long, text string")
     back = bpe.decode_ids(bpe.encode_documents(df, ranks, PATTERN), ranks).collect()
