@@ -12,10 +12,11 @@ so they share an anchor aligned at that offset.  Therefore:
    by digest, and all but the earliest start (document, then position) of each are marked.
 3. The words that marked windows cover are taken out.
 
-Both meetings work on packed arrays.  A task first reduces what it has: equal hashes inside
-a batch send the hash once, but every occurrence's id and position.  All occurrences of one
-hash meet in one task, which is not split.  Texts are shuffled once, by document;
-both later steps read that shuffle.  Buckets grow in number with the input.
+Both meetings work on packed arrays.  A task first reduces what it has: of equal hashes inside
+a batch only the first occurrence goes to the hash's bucket.  The others are repeats whatever
+other batches hold, so they go by their document, and a hot hash meets as one entry per
+batch.  Texts are shuffled once, by document; both later steps read that shuffle.  Buckets
+grow in number with the input.
 """
 
 from __future__ import annotations
@@ -113,9 +114,15 @@ def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.array(c, pa.binary()) for c in columns[1:]], names=names)
 
 
+def _home(ids: np.ndarray, homes: int) -> np.ndarray:
+    """The bucket of each id: Spark's pmod(xxhash64(id), homes)."""
+    return spark_xxhash64(ids) % homes
+
+
 def _packed(buckets: int, ids: np.ndarray, pos: np.ndarray, hi: np.ndarray, lo: np.ndarray | None) -> pa.RecordBatch:
-    """Rows by bucket of the hash.  Of equal hashes the first by (id, position) stands for all;
-    ``more`` is 0 for it, 1 if others follow, 2 for those others (which carry no hash)."""
+    """Rows by bucket.  Of equal hashes the first by (id, position) stands for all, in the bucket of the
+    hash; ``more`` is 0 for it, 1 if others follow, 2 for those others (which carry no hash and lie in the
+    bucket of their document)."""
     order = np.lexsort((pos, ids, *(() if lo is None else (lo,)), hi))
     ids, pos, hi = ids[order], pos[order], hi[order]
     same = hi[1:] == hi[:-1]
@@ -124,7 +131,7 @@ def _packed(buckets: int, ids: np.ndarray, pos: np.ndarray, hi: np.ndarray, lo:
         same &= lo[1:] == lo[:-1]
     again = np.concatenate(([False], same))
     more = np.where(again, 2, np.concatenate((same, [False]))).astype(np.uint8)
-    bucket = (hi % _U(buckets)).astype(np.int64)
+    bucket = np.where(again, _home(ids, buckets), (hi % _U(buckets)).astype(np.int64))
     order = np.lexsort((pos, ids, bucket))
     ids, pos, hi, bucket, more = ids[order], pos[order].astype(np.uint32), hi[order], bucket[order], more[order]
     lo = lo[order] if lo is not None else np.zeros(0, np.uint32)
@@ -148,11 +155,6 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
     return ids, join("pos", np.uint32), more, np.flatnonzero(more != 2), join("hi", _U), join("lo", np.uint32)
 
 
-def _home(ids: np.ndarray, homes: int) -> np.ndarray:
-    """The bucket of each id: Spark's pmod(xxhash64(id), homes)."""
-    return spark_xxhash64(ids) % homes
-
-
 def _marks(homes: int, ids: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Marked positions, packed by the bucket of their document."""
     home = _home(ids, homes)

@@ -131,3 +131,12 @@ def test_words_made_to_collide_are_told_apart(spark):
     rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}")]
     got = {r.doc_id: r.n_removed for r in substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_a_hot_hash_meets_as_one_entry_per_batch():
+    """Of equal hashes all but the first are spread by document."""
+    ids, pos = np.repeat(np.arange(2000), 5), np.tile(np.arange(5), 2000)
+    packed = substrings._packed(16, ids, pos, np.full(10_000, 77, np.uint64), None)
+    sizes = {r["bucket"]: len(r["more"]) for r in packed.to_pylist()}
+    assert sum(sizes.values()) == 10_000 and max(sizes.values()) < 2 * 10_000 / 16
+    assert sum(len(r["hi"]) for r in packed.to_pylist()) == 8
