@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recsim.llm.common import cell_blocks, components, cut_lineage, fresh, local_roots, ship, without
+from recsim.llm.common import cell_blocks, components, cut_lineage, fan_out, fresh, local_roots, ship, without
 
 #: log2 of the number of anchors; cells hold (rows x replicas / 2**BLOCKS) fingerprints.
 BLOCKS = 13
+#: A fingerprint of more than 1 / (HOT x partitions) of the rows is joined by broadcast; at most HOT x partitions are.
+HOT = 4
 
 ship(__name__)
 _U = np.uint64
@@ -152,13 +154,18 @@ def simhash_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     prints = with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
                                "text", words).select("doc_id", "fingerprint")
     prints = cut_lineage(prints, "fingerprints")
-    groups = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "groups")
+    groups = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "groups")
     roots = components(fingerprint_links(groups, "fingerprint", max_bits, blocks), "a", "b")
     linked = groups.join(roots, groups.fingerprint == roots.node).select("fingerprint", "low", "root")
     least = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = (groups.join(linked.join(least, "root").select("fingerprint", "component_id"), "fingerprint", "left")
-               .select("fingerprint", F.coalesce("component_id", "low").alias("component_id")))
-    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    classes = cut_lineage(groups.join(linked.join(least, "root").select("fingerprint", "component_id"), "fingerprint", "left")
+                          .select("fingerprint", F.coalesce("component_id", "low").alias("component_id"), "n"), "classes")
+    most = prints.count() / (HOT * fan_out(prints))
+    hot = classes.where(F.col("n") > most).select(F.col("fingerprint").alias("hot"), F.col("component_id").alias("hot_id"))
+    dealt = prints.join(F.broadcast(hot), F.col("fingerprint") == F.col("hot"), "left")
+    rest = dealt.where("hot is null").select("doc_id", "fingerprint").join(classes.where(F.col("n") <= most).drop("n"), "fingerprint")
+    return (rest.select("doc_id", "fingerprint", "component_id")
+            .unionAll(dealt.where("hot is not null").select("doc_id", "fingerprint", F.col("hot_id").alias("component_id"))))
 
 
 def keep_one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3,

@@ -93,6 +93,21 @@ def test_classes_on_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "5", "5", "9", "None", "None"]
 
 
+@pytest.mark.parametrize("hot", [1, 10**9, 1e-9])
+def test_a_hot_fingerprint_is_joined_apart(spark, monkeypatch, hot):
+    """Some, all and none of the fingerprints are hot."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rows = [(i, "one text that most rows share") for i in range(100, 5100)] + [(i, f"text number {i} stands alone") for i in range(60)]
+    rows += [(None, "one text that most rows share"), (7, None)]
+    got = simhash.simhash_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    prints = {t: brute_print(t) for _, t in rows}
+    some = sorted({t for _, t in rows}, key=str)
+    low = {t: min(i for i, u in rows if u == t and i is not None) for t in some}
+    comp = dict(zip(some, brute_components([low[t] for t in some], [prints[t] for t in some], 2)))
+    want = [(i, int(np.uint64(prints[t]).astype(np.int64)), comp[t]) for i, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_classes(df).count() == 0
