@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recsim.llm.common import mix64, ship, spans_hash, without
+from recsim.llm.common import fan_out, mix64, ship, spans_hash, without
 
 #: Places of a signature (a power of two); each is printed as four hex digits.
 PLACES = 128
@@ -104,13 +104,15 @@ def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     first.  A null text counts as empty.  Other columns are not read.  An empty table gives
     an empty one.
 
-    The ids are cut into ``parts`` ranges at quantiles.  Every range is sorted and read as a stream
-    that holds one text; the first row of the following range is sent along.  Texts are
-    shuffled once.  The driver sees one id per range.
+    The ids are cut into ``parts`` ranges at quantiles, by default as many as hold an input partition
+    each, and every range is one task.  It is sorted and read as a stream that holds one text; the
+    first row of the following range is sent along, by every batch its own candidate.  Texts are
+    shuffled once.  The driver sees one id per range.  Rows that share an id, and those without one,
+    stay in one range: they are sorted on disk where they do not fit into memory.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or fan_out(rows)
     shares = [k / parts for k in range(1, parts)]
     cuts = np.unique(np.array(rows.where("doc_id is not null").approxQuantile("doc_id", shares, 0.2 / parts) if shares else [], np.int64))
 
@@ -127,24 +129,31 @@ def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
               .agg(F.max("doc_id").alias("first")).orderBy("part").collect())
     if not firsts:
         return spark.createDataFrame([], OUT)
-    before = {r.part: firsts[k - 1].part for k, r in enumerate(firsts)}
     top = np.zeros(len(cuts) + 2, np.int64)
-    to = np.zeros(len(cuts) + 2, np.int32)
-    for r in firsts:
-        top[r.part], to[r.part] = r.first or 0, before[r.part]
+    own, before = np.zeros((2, len(cuts) + 2), np.int32)            # numbers of ranges that hold rows
+    for k, r in enumerate(firsts):
+        top[r.part], own[r.part], before[r.part] = r.first or 0, k, (k - 1) % len(firsts)
+
+    def openers(part: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        """Of each range the row of the batch that may open it: of its largest id, the smallest text."""
+        ids, least = batch.column(0), {}
+        at = np.flatnonzero((part == len(cuts) + 1) | (ids.fill_null(0).to_numpy() == top[part]))
+        for k, number, body in zip(at.tolist(), part[at].tolist(), batch.column(1).take(pa.array(at)).to_pylist()):
+            if number not in least or body < least[number][0]:
+                least[number] = body, k
+        return np.array(sorted(k for _, k in least.values()), np.int64)
 
     def deal(batches):
         """Every row goes to its range; those that may open it also go to the range before, as its tail."""
         for batch in batches:
-            ids = batch.column(0)
-            part = place(ids)
-            opens = np.flatnonzero((part == len(cuts) + 1) | (ids.fill_null(0).to_numpy() == top[part]))
-            for rows_at, target, tail in ((None, part, False), (pa.array(opens), to[part[opens]], True)):
+            part = place(batch.column(0))
+            opens = openers(part, batch)
+            for rows_at, target, tail in ((None, own[part], False), (pa.array(opens), before[part[opens]], True)):
                 some = batch if rows_at is None else batch.take(rows_at)
                 yield pa.RecordBatch.from_arrays([pa.array(target), pa.array(np.full(len(target), tail)), some.column(0), some.column(1)],
                                                  names=["part", "tail", "doc_id", "text"])
 
-    sorted_rows = (rows.mapInArrow(deal, "part int, tail boolean, doc_id long, text string").repartition(len(firsts), "part")
+    sorted_rows = (rows.mapInArrow(deal, "part int, tail boolean, doc_id long, text string").repartitionById(len(firsts), "part")
                    .sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "text"))
 
     def stream(batches):

@@ -69,6 +69,21 @@ def test_equals_brute_force(spark, parts):
     assert got == expected(rows)
 
 
+def test_many_rows_of_one_id_and_of_none(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(0, 20)))
+    rows = [(7, word()) for _ in range(400)] + [(None, word()) for _ in range(400)] + [(i, word()) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((tuple(r) for r in lzprint.compare_with_next(df, parts=9).collect()), key=str)
+    assert got == expected(rows)
+
+
+def test_every_range_is_one_task(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    plan = lzprint.compare_with_next(df, parts=40)
+    assert plan.rdd.getNumPartitions() == 40 and all(n > 60 for n in plan.rdd.glom().map(len).collect())
+
+
 def test_one_row_and_empty_table(spark):
     df = spark.createDataFrame([(1, "abcabc")], "doc_id long, text string")
     assert [tuple(r) for r in lzprint.compare_with_next(df).collect()] == expected([(1, "abcabc")])
