@@ -5,9 +5,10 @@ writer puts them into files (any Hadoop file system, commit protocol included).
 writer's line separator is an empty gzip member, so a file is a plain concatenation of
 members and any WARC tool can read it.
 
-Reading: ``binaryFile`` gives a task the bytes of one archive, whose record count is
-bounded by the writer.  The reader inflates it in small steps, one member at a time,
-frames the record by its content length and verifies the block and payload digests.
+Reading: ``binaryFile`` gives a task the bytes of one archive, whose size and record count are
+bounded by the writer.  The reader inflates it in small steps, one member at a time; the
+record's content length frames the bytes as they come, and the block and payload digests are
+taken on the way.  A payload is held only where it is asked for.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from recsim.sources.files import scratch_path
 
 #: Records of one archive at most.
 RECORDS_PER_FILE = 1000
-#: Bytes given to the inflater at a time.
-STEP = 1 << 16
+#: Bytes of one archive at most; a longer member is an archive of its own.
+BYTES_PER_FILE = 16 << 20
+#: Bytes given to the inflater at a time, bytes it gives back at most, bytes of a record's head at most.
+STEP, INFLATED, HEAD = 1 << 16, 1 << 20, 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -77,50 +80,121 @@ def make_record(page_id: int, url: str, payload: bytes, refers_to: int | None) -
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def members(data: bytes, step: int = STEP):
-    """The inflated bytes of each non-empty gzip member, inflated ``step`` bytes at a time."""
+def inflated(data, step: int = STEP):
+    """(bytes, whether the member ends) of gzip members, read ``step`` bytes at a time."""
     view, at = memoryview(data), 0
     while at < len(view):
-        z, out = zlib.decompressobj(31), []
+        z = zlib.decompressobj(31)
         while not z.eof:
             piece = view[at:at + step]
-            if not len(piece):
+            out = z.decompress(piece, INFLATED)
+            if not len(piece) and not out and not z.eof:
                 raise WarcError("the archive ends inside a member")
-            out.append(z.decompress(piece))
-            at += len(piece) - len(z.unused_data)
-        if record := b"".join(out):
-            yield record
+            at += len(piece) - len(z.unused_data if z.eof else z.unconsumed_tail)
+            yield out, z.eof
+
+
+def members(data, step: int = STEP):
+    """The inflated bytes of each non-empty gzip member."""
+    out: list[bytes] = []
+    for piece, ends in inflated(data, step):
+        out.append(piece)
+        if ends:
+            if record := b"".join(out):
+                yield record
+            out = []
 
 
 def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8").split("\r\n")[1:])}
 
 
+class Record:
+    """A record read piece by piece: its Content-Length frames the block, digests are taken as bytes pass."""
+
+    def __init__(self, keep: bool = True):
+        self.begun = self.tail = b""
+        self.fields: dict | None = None             # of the record
+        self.http: dict | None = None               # of the block
+        self.block, self.body, self.size = hashlib.sha1(), hashlib.sha1(), 0
+        self.payload: list | None = [] if keep else None
+
+    def _head(self, data: bytes) -> tuple[dict | None, bytes]:
+        """(fields, what follows them) once the head is whole."""
+        self.begun += data
+        head, sep, rest = self.begun.partition(b"\r\n\r\n")
+        if not sep:
+            if len(self.begun) > HEAD:
+                raise WarcError("no end of the head")
+            return None, b""
+        self.begun = b""
+        return _fields(head), rest
+
+    def feed(self, data: bytes) -> None:
+        if self.fields is None:
+            if not b"WARC/".startswith((self.begun + data)[:5]):
+                raise WarcError("no WARC head")
+            self.fields, data = self._head(data)
+            if self.fields is None:
+                return
+            self.left = int(self.fields["content-length"])
+        block, after = data[:self.left], data[self.left:]
+        self.left -= len(block)
+        self.tail += after
+        if len(self.tail) > 4:
+            raise WarcError("the block does not have its stated length")
+        self.block.update(block)
+        if self.http is None:
+            self.http, block = self._head(block)
+        self.body.update(block)
+        self.size += len(block)
+        if self.payload is not None:
+            self.payload.append(block)
+
+    def close(self) -> dict:
+        """The record's columns, verified."""
+        def base32(digest) -> str:
+            return base64.b32encode(digest.digest()).decode()
+
+        f = self.fields
+        if f is None or self.left or self.tail != b"\r\n\r\n":
+            raise WarcError("the record does not have its stated length")
+        if f["warc-block-digest"] != f"sha1:{base32(self.block)}":
+            raise WarcError("block digest")
+        if self.http is None:
+            raise WarcError("no HTTP head")
+        kind, digest = f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:")
+        length = int(self.http["content-length"])
+        if kind == "response" and (self.size != length or base32(self.body) != digest):
+            raise WarcError("payload digest")
+        refers = f.get("warc-refers-to")
+        return {"page_id": page_of(f["warc-record-id"]), "url": f["warc-target-uri"], "record_type": kind, "payload_digest": digest,
+                "payload_bytes": length, "refers_to": None if refers is None else page_of(refers),
+                "payload": b"".join(self.payload) if kind == "response" and self.payload is not None else None}
+
+
 def parse_record(data: bytes) -> dict:
-    """One record, framed by its Content-Length; digests verified."""
-    head, sep, rest = data.partition(b"\r\n\r\n")
-    if not sep or not head.startswith(b"WARC/"):
-        raise WarcError("no WARC head")
-    f = _fields(head)
-    size = int(f["content-length"])
-    block = rest[:size]
-    if len(block) != size or rest[size:] != b"\r\n\r\n":
-        raise WarcError("the block does not have its stated length")
-    if f["warc-block-digest"] != f"sha1:{base32_sha1(block)}":
-        raise WarcError("block digest")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    kind, digest = f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:")
-    length = int(_fields(http)["content-length"])
-    if kind == "response" and (len(payload) != length or base32_sha1(payload) != digest):
-        raise WarcError("payload digest")
-    refers = f.get("warc-refers-to")
-    return {"page_id": page_of(f["warc-record-id"]), "url": f["warc-target-uri"], "record_type": kind, "payload_digest": digest,
-            "payload_bytes": length, "refers_to": None if refers is None else page_of(refers),
-            "payload": payload if kind == "response" else None}
-
-
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """One record per row of ``pages`` (page_id, url, html) under ``path``.
+    record = Record()
+    record.feed(data)
+    return record.close()
+
+
+def read_records(data, payloads: bool = True, step: int = STEP):
+    """Every record of an archive, one at a time; empty members lie between them."""
+    record = None
+    for piece, ends in inflated(data, step):
+        if piece:
+            record = record or Record(payloads)
+            record.feed(piece)
+        if ends and record is not None:
+            yield record.close()
+            record = None
+
+
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE,
+               bytes_per_file: int = BYTES_PER_FILE) -> None:
+    """One record per row of ``pages`` (page_id, url, html) under ``path``, in archives of at most
+    ``records_per_file`` records and ``bytes_per_file`` bytes (more only if one record is longer).
 
     Among rows with equal payloads (by SHA-1) of at least ``min_bytes`` bytes the row with the
     smallest page_id is a response and the others revisit it; rows that repeat that smallest
@@ -138,15 +212,27 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file
     dealt = rows.join(revisits, ["page_id", "sha"], "left")
 
     def pack(batches):
+        """One row per archive: the members of consecutive records."""
+        held, size = [], 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
         for batch in batches:
-            out = [member(make_record(p, u, b, f)) for p, u, b, f in
-                   zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first")))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            for k in range(batch.num_rows):
+                data = member(make_record(*(batch.column(c)[k].as_py() for c in ("page_id", "url", "payload", "first"))))
+                if held and (len(held) == records_per_file or size + len(data) > bytes_per_file):
+                    yield archive()
+                    held, size = [], 0
+                held.append(data)
+                size += len(data)
+        if held:
+            yield archive()
 
     (dealt.select("page_id", "url", "payload", "first").mapInArrow(pack, "value binary")
      .select(F.col("value").cast("string"))
      .write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+     .option("maxRecordsPerFile", 1).text(path))
 
 
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -164,13 +250,13 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     def scan(batches):
         for batch in batches:
             for content in batch.column(0):
-                rows: list[dict] = []
-                for record in members(content.as_py()):
-                    row = parse_record(record)
+                rows, size = [], 0
+                for row in read_records(content.as_buffer(), payloads):
                     rows.append({k: row[k] for k in types.names})
-                    if len(rows) == 256:
+                    size += len(row["payload"] or b"")
+                    if len(rows) == 256 or size > BYTES_PER_FILE:
                         yield pa.RecordBatch.from_pylist(rows, schema=types)
-                        rows = []
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=types)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)

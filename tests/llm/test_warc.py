@@ -1,4 +1,5 @@
 import gzip
+import random
 import zlib
 
 import pytest
@@ -62,6 +63,30 @@ def test_reader_frames_and_verifies():
         list(warc.members(b"not gzip"))
 
 
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "u", "".join(map(chr, rng.choices(range(33, 1000), k=100_000 if i % 10 else 3_000_000))), "", 0) for i in range(20)]
+    warc.write_warc(pages(spark, rows).coalesce(2), str(tmp_path / "w"), bytes_per_file=1 << 20)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) > 4 and sorted(sizes)[-3] < 1 << 20 < sorted(sizes)[-2]
+    got = {r.page_id: r.payload for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {r[0]: r[2].encode() for r in rows}
+
+
+def test_reader_works_in_any_steps():
+    records = [warc.make_record(i, "u", b"\r\n\r\n" * i + b"x" * 5_000_000 * (i == 2), 1 if i == 3 else None) for i in range(5)]
+    stream = b"".join(warc.member(r) + warc.EMPTY_MEMBER for r in records)
+    want = [warc.parse_record(r) for r in records]
+    for step in (1, 5, 1 << 16):
+        assert list(warc.read_records(stream, True, step)) == want
+    bare = list(warc.read_records(stream, False))
+    assert [{**r, "payload": None} for r in want] == bare
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(stream[:-30]))
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(warc.member(b"HTTP/1.1 200 OK\r\n\r\n")))
+
+
 @pytest.mark.parametrize("n", [0, 1, -1, (1 << 63) - 1, -(1 << 63), 1 << 62])
 def test_record_ids_hold_the_page(n):
     assert warc.page_of(f"<urn:uuid:{warc.record_uuid(n)}>") == n
