@@ -3,17 +3,18 @@ terms that reveal them.  DataFrame functions only.
 
 Base spans: e-mail addresses, IPv4 addresses, payment cards (Luhn) and phone numbers.
 
-Disclosure: every distinct base value is a protected entity c.  Its contexts are the words beside
-its occurrences (``NEAR`` on each side); equal contexts of an entity count once, so copies of
-a document are no evidence.  With T the words of the corpus, n(c) the entity's contexts,
-n(t) the occurrences of a term and n(c, t) the contexts of c that hold t,
+Disclosure: every distinct base value is a protected entity c.  Its contexts are the documents that
+name it; those with the same words beside it (``NEAR`` on each side) count once, so copies of a
+document are no evidence.  With N the documents of the corpus, n(c) the entity's contexts,
+n(t) the documents that hold a term and n(c, t) the contexts of c whose documents hold t anywhere,
 
-    PMI(c; t) = log2(n(c, t) T / (n(c) n(t))),    IC(c) = log2(T / n(c)).
+    PMI(c; t) = log2(n(c, t) N / (n(c) n(t))),    IC(c) = log2(N / n(c)).
 
-PMI / IC is the share of the entity's information that the term gives away: 1 if the term occurs
-beside the entity only.  A term seen in at least ``LEAST`` contexts whose share reaches
+PMI / IC is the share of the entity's information that the term gives away: 1 if the term stands
+in the entity's documents only.  A term seen in at least ``LEAST`` contexts whose share reaches
 ``GENERALISE`` is generalised in every document that names the entity, from ``REMOVE`` on it is
-removed.  Counts cover all documents.
+removed.  Counts cover all documents, whole texts and all distances.  An entity of fewer than ``LEAST``
+contexts discloses no terms: every word of a text that stands alone would be one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from recsim.llm.common import cut_lineage, fresh, without
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an occurrence, and characters looked at to find them.
+#: Words on each side of an occurrence that tell contexts apart, and characters looked at to find them.
 NEAR, REACH = 5, 120
 LEAST = 3
 GENERALISE, REMOVE = 0.6, 0.9
@@ -103,15 +104,19 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{3,}"), F.lit(0))
 
 
+def _blank(text: Column) -> Column:
+    """The text without e-mail addresses, the only base spans that hold terms."""
+    return F.regexp_replace(text, rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9.-]++", " ")
+
+
 def _context(text: Column, span: Column) -> Column:
     """The ``NEAR`` terms on each side, without those of other base spans."""
-    blank = lambda s: F.regexp_replace(s, rf"{_LOCAL}++@[A-Za-z0-9.-]++", " ")
     at = F.greatest(span["start"] - REACH, F.lit(0))
     left = F.substring(text, at + 1, span["start"] - at)
     left = F.when(at > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
     right = F.substring(text, span["end"] + 1, F.lit(REACH))
     right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    before, after = _terms(blank(left)), _terms(blank(right))
+    before, after = _terms(_blank(left)), _terms(_blank(right))
     return F.concat(F.slice(F.reverse(before), 1, NEAR), F.slice(after, 1, NEAR))
 
 
@@ -119,21 +124,26 @@ def disclosing_terms(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
                      generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(doc_id, generalise, remove): for the documents that name an entity which terms disclose, the
     arrays of those terms.  Rows without id give evidence but get no row."""
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), base_spans(F.col(text)).alias("spans"))
-    named = cut_lineage(
-        found.where(F.size("spans") > 0).select("doc_id", "text", F.explode("spans").alias("span"))
-        .select("doc_id", entity_of(F.col("span")).alias("entity"), _context(F.col("text"), F.col("span")).alias("context")), "named")
-    contexts = named.select("entity", "context").distinct()
-    sizes = contexts.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") >= least)
+    body = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), base_spans(body).alias("spans"))
+    near = lambda s: F.struct(entity_of(s).alias("entity"), F.xxhash64(_context(F.col("text"), s)).alias("context"))
+    found = cut_lineage(found.where(F.size("spans") > 0).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", F.transform("spans", near).alias("named"),
+        F.array_distinct(_terms(_blank(F.col("text")))).alias("terms")), "found")
+    # one context per entity and document
+    named = cut_lineage(found.select("row", "doc_id", F.inline("named")).groupBy("row", "doc_id", "entity")
+                        .agg(F.min("context").alias("context")), "named")
+    sizes = named.groupBy("entity").agg(F.count_distinct("context").alias("n_c")).where(F.col("n_c") >= least)
+    evidence = named.join(sizes.select("entity"), "entity").select("row", "entity", "context")
     pairs = cut_lineage(
-        contexts.select("entity", F.explode(F.array_distinct("context")).alias("term"))
+        found.select("row", "terms").join(evidence, "row").select("entity", "context", F.explode("terms").alias("term")).distinct()
         .groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= least).join(sizes, "entity"), "pairs")
     terms = pairs.select(F.col("term").alias("known")).distinct()
-    each = docs.select(F.explode(_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    if pairs.count() <= BROADCAST_TERMS:          # all other words count together, under a null
-        each = each.join(F.broadcast(terms), F.col("term") == F.col("known"), "left").select(F.col("known").alias("term"))
+    each = docs.select(F.explode(F.array_distinct(_terms(body))).alias("term"))
+    if pairs.count() <= BROADCAST_TERMS:
+        each = each.join(F.broadcast(terms), F.col("term") == F.col("known")).select("term")
     counts = cut_lineage(each.groupBy("term").agg(F.count("*").alias("n_t")), "terms")
-    size = float(counts.agg(F.coalesce(F.sum("n_t"), F.lit(0))).first()[0])
+    size = float(docs.count())
     share = F.log2(F.col("n_ct") * size / (F.col("n_c") * F.col("n_t"))) / F.log2(size / F.col("n_c"))
     told = (pairs.join(counts, "term").where(F.col("n_c") < size).withColumn("share", share).where(F.col("share") >= generalise)
             .groupBy("entity").agg(F.collect_set("term").alias("all"),

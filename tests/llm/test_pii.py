@@ -89,6 +89,24 @@ def test_a_name_that_goes_with_one_entity_is_removed(spark):
     assert [s.kind for s in other.spans] == ["email"]
 
 
+def test_a_name_far_from_the_entity_is_removed_too(spark):
+    rng = random.Random(7)
+    words = ["river", "house", "green", "table", "walk", "music", "stone", "paper", "glass", "cloud"]
+    filler = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    rows = [(i, f"Zebulon {filler(14 + 200 * (i % 2))} bob@x.com {filler(5)}") for i in range(40)]
+    rows += [(100 + i, f"{filler(30)} info{i}@y.org") for i in range(40)]
+    terms, found = disclosed(spark, rows)
+    assert terms == {("remove", "zebulon")}
+    assert not any("Zebulon" in r.clean_text for r in found)
+
+
+def test_one_document_is_one_context(spark):
+    """An entity named many times in one document is no more evidence than named once."""
+    rows = [(1, "Zebulon of stones: z@x.org one two; z@x.org three four; z@x.org five six; z@x.org seven")]
+    rows += [(10 + i, "plain words only") for i in range(50)]
+    assert disclosed(spark, rows)[0] == set()
+
+
 def test_copies_are_no_evidence(spark):
     rows = [(i, "Zebulon wrote to zeb@mail.org about stones") for i in range(50)] + [(100 + i, "plain words only") for i in range(50)]
     assert disclosed(spark, rows)[0] == set()
