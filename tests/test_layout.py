@@ -65,3 +65,24 @@ def test_sparse_kernel_memory_is_flat(hot):
     tracemalloc.stop()
     assert len(rows) == na * (na - 1) // 2
     assert peak < 500e6
+
+
+def _frames(users, items, step=10_000):
+    import pandas as pd
+    u, i = (x.ravel() for x in np.meshgrid(np.arange(users), np.arange(items), indexing="ij"))
+    rating = np.random.default_rng(3).normal(size=len(u))
+    norm2 = np.bincount(i, weights=rating * rating)
+    for at in range(0, len(u), step):
+        s = slice(at, at + step)
+        yield pd.DataFrame({"userId": u[s], "movieId": i[s], "rating": rating[s], "_norm2": norm2[i[s]], "_blk": np.zeros(len(u[s]), np.int32), "_stripe": 0, "_lo": 0, "_hi": 0})
+
+
+def test_a_dense_cell_holds_a_slab_and_not_its_pairs():
+    """3,000 dense vectors make 4.5M pairs; those behind the threshold are never held, and the others leave slab by slab."""
+    frames = list(_frames(16, 3000))
+    cell = gram._cell_function([], True, None, 0.9)
+    tracemalloc.start()
+    n = sum(len(f) for f in cell(iter(frames)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < n < 10_000 and peak < 120 << 20
