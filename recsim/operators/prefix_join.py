@@ -14,19 +14,30 @@ below t.
 
 A user's list is dealt into blocks and every pair of blocks meets in a group of its own, so a hot user's list never is
 one group; the prefix ends are running totals over ranges of the user order, so a hot item's ratings never meet in one task.
+
+Where the index holds most products anyhow and the table is large, the same steps run in the cells of ``histories``: there the sums of
+a pair are final, so candidates and open pairs are counted but never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recsim.operators import histories as H
 from recsim.operators.indexing import running_total
-from recsim.session import cut_lineage
+from recsim.session import cut_lineage, ship_by_value
+
+ship_by_value(__name__)
 
 LIST_BLOCK = 2048        # entries of a user's list that meet each other in one group
+MOST_RATINGS = 100_000   # of a user whose history goes to cells whole
+LIKE = 1.5               # products of all ratings over those of the index, up to which cells take whole histories
 _SLACK = 1e-9            # rounding allowed for in the bounds; pairs that pass are computed exactly
 
 
@@ -82,6 +93,13 @@ def prefix_cosine_join(ratings: DataFrame, min_cosine: float, list_block: int =
     items = cut_lineage(entries.groupBy("movieId").agg(F.first("norm2").alias("norm2"), F.first("n").alias("n"), F.count_if(~F.col("in_prefix")).alias("tail"),
                                                        F.min(F.when(F.col("in_prefix"), F.col("rest"))).alias("over")), "items")
     side = lambda s: items.select(*[F.col(c).alias(f"{c}_{s}" if c != "movieId" else f"movie_{s}") for c in items.columns])
+    sizes = items.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+    per_user = cut_lineage(entries.groupBy("userId").agg(F.count(F.lit(1)).alias("_d"), F.count_if("in_prefix").alias("_p")), "lists")
+    every, paired = per_user.agg(F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0)), F.coalesce(F.sum(F.col("_p") * F.col("_p")), F.lit(0))).first()
+    blocks = H.blocks_for(entries, sizes[0], sizes[1], 1, MOST_RATINGS, paired, H.CELL_PRODUCTS // 4) if every <= LIKE * paired else None
+    lists = _lists(per_user)
+    if blocks:
+        return _joined_in_cells(entries, items, lists, min_cosine, blocks)
     candidates = cut_lineage(index_products(index, list_block), "candidates")
     known = candidates.join(side("i"), "movie_i").join(side("j"), "movie_j")
     root = lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))
@@ -106,13 +124,81 @@ def prefix_cosine_join(ratings: DataFrame, min_cosine: float, list_block: int =
     pairs = (open_.join(added, ["movie_i", "movie_j"], "left").select("movie_i", "movie_j", cosine.alias("cosine_similarity"))
              .where(F.col("cosine_similarity") > F.lit(float(min_cosine))))
 
-    one = lambda df: df.withColumn("_k", F.lit(0))
-    per_user = entries.groupBy("userId").agg(F.count(F.lit(1)).alias("_d"), F.count_if("in_prefix").alias("_p"))
+    return PrefixJoin(pairs, _work(lists, candidates.agg(F.count(F.lit(1)).alias("candidates")), open_.agg(F.count(F.lit(1)).alias("completed")),
+                                   added.agg(F.coalesce(F.sum("_products"), F.lit(0)).alias("_more"))))
+
+
+def _lists(per_user: DataFrame) -> DataFrame:
     plain = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0)).cast("bigint")
-    lists = per_user.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("ratings"), F.coalesce(F.sum("_p"), F.lit(0)).alias("indexed"),
-                         plain("_d").alias("_all"), plain("_p").alias("_indexed"))
-    work = (one(lists).join(one(candidates.agg(F.count(F.lit(1)).alias("candidates"))), "_k").join(one(open_.agg(F.count(F.lit(1)).alias("completed"))), "_k")
-            .join(one(added.agg(F.coalesce(F.sum("_products"), F.lit(0)).alias("_more"))), "_k")
-            .withColumn("products_done", F.col("_indexed") + F.col("_more"))
+    return per_user.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("ratings"), F.coalesce(F.sum("_p"), F.lit(0)).alias("indexed"),
+                        plain("_d").alias("_all"), plain("_p").alias("_indexed"))
+
+
+def _work(*counts: DataFrame) -> DataFrame:
+    """One row from tables of one row each."""
+    work = counts[0].withColumn("_k", F.lit(0))
+    for c in counts[1:]:
+        work = work.join(c.withColumn("_k", F.lit(0)), "_k")
+    return (work.withColumn("products_done", F.col("_indexed") + F.col("_more"))
             .select("ratings", "indexed", "candidates", "completed", "products_done", (F.col("_all") - F.col("products_done")).alias("products_pruned")))
-    return PrefixJoin(pairs, work)
+
+
+_COLUMNS = ("rating", "rest", "norm2", "n", "in_prefix", "tail", "over")
+
+
+def _cell(min_cosine: float, blocks: int):
+    """The pairs of one block above the threshold, and a row without pair that counts candidates, completed pairs and their products."""
+    def cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bodies, own = [], 0
+        for batch in batches:
+            own = int(batch["cell"].iat[0])
+            bodies += list(batch["body"])
+        root = lambda x: np.sqrt(np.maximum(x, 0.0))
+        index = H.Sums()
+        for stripe in H.stripes(bodies, H.STEP):
+            for a, b, (items, rating, rest, norm2, n, inside, tail, over) in H.products(stripe, own, blocks, True):
+                both = (inside[a] > 0) & (inside[b] > 0)
+                a, b = a[both], b[both]
+                index.add(H.summed(items[a], items[b], [rating[a] * rating[b], np.ones(len(a))],
+                                   [rest[a] * rest[b], norm2[a] * norm2[b], np.maximum(over[a] * norm2[b], over[b] * norm2[a]),
+                                    (tail[a] + tail[b] > np.minimum(n[a], n[b])).astype(np.float64)]))
+        i, j, sums, lows = index.settle()
+        if not len(i):
+            return
+        (dot, common), (behind, norms, suffix, anew) = sums, lows
+        candidates = len(i)
+        open_ = dot + np.minimum(root(behind), root(suffix)) >= (min_cosine - _SLACK) * np.sqrt(norms)
+        i, j, dot, common, norms, anew = (x[open_] for x in (i, j, dot, common, norms, anew))
+        completed, products = len(i), int(common[anew > 0].sum())
+        if completed:       # what the index did not hold, of the open pairs alone
+            ids_i, ids_j = np.unique(i), np.unique(j)
+            at = lambda x, y: np.searchsorted(ids_i, x) * (len(ids_j) + 1) + np.searchsorted(ids_j, y)
+            known = at(i, j)                                                                            # in order, as the pairs are
+            for stripe in H.stripes(bodies, H.STEP):
+                for a, b, (items, rating, _, _, _, inside, _, _) in H.products(stripe, own, blocks, True):
+                    more = (inside[a] == 0) | (inside[b] == 0)
+                    a, b = a[more], b[more]
+                    place = np.minimum(np.searchsorted(known, at(items[a], items[b])), completed - 1)
+                    hit = (i[place] == items[a]) & (j[place] == items[b])
+                    a, b, place = a[hit], b[hit], place[hit]
+                    dot += np.bincount(place, weights=rating[a] * rating[b], minlength=completed)
+                    products += len(place)
+        cos = np.clip(dot / np.sqrt(norms), -1.0, 1.0)
+        keep = cos > min_cosine
+        i, j, cos = i[keep], j[keep], cos[keep]
+        yield from H.frames(movie_i=np.minimum(i, j), movie_j=np.maximum(i, j), cosine_similarity=cos, candidates=np.zeros(len(i), np.int64),
+                            completed=np.zeros(len(i), np.int64), products=np.zeros(len(i), np.int64))
+        yield pd.DataFrame({"movie_i": pd.array([None], "Int64"), "movie_j": pd.array([None], "Int64"), "cosine_similarity": [0.0], "candidates": [candidates],
+                            "completed": [completed], "products": [products]})
+
+    return cell
+
+
+def _joined_in_cells(entries: DataFrame, items: DataFrame, lists: DataFrame, min_cosine: float, blocks: int) -> PrefixJoin:
+    """The join from users' histories: a cell sums the products over the index, drops the pairs whose bound stays below the
+    threshold, and completes the others, so neither candidates nor open pairs are shuffled."""
+    full = entries.join(items.select("movieId", "tail", "over"), "movieId").withColumn("in_prefix", F.col("in_prefix").cast("int"))
+    found = cut_lineage(H.history_cells(full, _COLUMNS, blocks, True).groupBy("cell").applyInPandas(
+        _cell(min_cosine, blocks), "movie_i long, movie_j long, cosine_similarity double, candidates long, completed long, products long"), "prefix-pairs")
+    total = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("candidates", "candidates"), ("completed", "completed"), ("products", "_more"))])
+    return PrefixJoin(found.where("movie_i is not null").select("movie_i", "movie_j", "cosine_similarity"), _work(lists, total))

@@ -73,3 +73,19 @@ def test_a_user_beyond_a_stripe_stays_with_the_cells(mk, sparse):
     df = mk([(u, i, 1.0 + (u + i) % 3) for u in range(3) for i in range(60)])
     plan = gram.gram_products(df, side_rows=50)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+@pytest.mark.parametrize("seed,density,t", [(0, 0.3, 0.3), (1, 0.1, 0.2), (4, 0.3, 1.0), (6, 0.2, 0.6)])
+def test_prefix_join_in_cells_equals_the_joins(mk, monkeypatch, seed, density, t):
+    from recsim.operators import prefix_join as X
+    monkeypatch.setattr(X, "LIKE", 10 ** 6)
+    df = mk(random_ratings(40, 25, density, seed)).repartition(4)
+    found = {}
+    for least in (1 << 60, 0):
+        monkeypatch.setattr(H, "LEAST_ROWS", least)
+        monkeypatch.setattr(H, "SENT", 10 ** 6)
+        monkeypatch.setattr(H, "CELL_PRODUCTS", 300)
+        got = X.prefix_cosine_join(df, t)
+        assert ("prefix-pairs" in "".join(got.pairs.inputFiles())) == (least == 0)
+        found[least] = _rows(got.pairs), got.work.first()
+    assert found[0] == found[1 << 60]
