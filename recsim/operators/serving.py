@@ -126,10 +126,12 @@ def _grams(text, size: int):
 
 
 def title_index(catalog: DataFrame) -> DataFrame:
-    """(gram, movieId): the distinct substrings of one to three code points of every lower-cased title."""
-    text = F.lower(F.col("title"))
-    return (catalog.select("movieId", F.explode(F.flatten(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)]))).alias("gram"))
-            .select("gram", "movieId").distinct())
+    """(gram, movieId): the distinct substrings of one to three code points of every lower-cased title.  Rows without id have no entry.
+
+    An id's titles meet before they are cut up, so entries are distinct as they come and no task holds those of many titles."""
+    texts = catalog.where("movieId is not null").groupBy("movieId").agg(F.collect_set(F.lower("title")).alias("_texts"))
+    grams = F.flatten(F.transform("_texts", lambda text: F.flatten(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)]))))
+    return texts.select(F.explode(F.array_distinct(grams)).alias("gram"), "movieId")
 
 
 def search_titles(index: DataFrame, catalog: DataFrame, queries: DataFrame, rarest: int = 2) -> DataFrame:
@@ -147,6 +149,7 @@ def search_titles(index: DataFrame, catalog: DataFrame, queries: DataFrame, rare
     place = Window.partitionBy("query").orderBy("_df", "gram")
     picked = sized.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= rarest)
     need = picked.groupBy("query").agg(F.count(F.lit(1)).alias("_need"))
-    hits = picked.select("query", "gram").join(index, "gram").groupBy("query", "movieId").agg(F.count(F.lit(1)).alias("_n"))
+    # dealt by title first: a task that reads the index would else hold the counts of all titles that it meets
+    hits = picked.select("query", "gram").join(index, "gram").repartition("movieId").groupBy("query", "movieId").agg(F.count(F.lit(1)).alias("_n"))
     both = hits.join(need, "query").where(F.col("_n") == F.col("_need")).select("query", "movieId")
     return both.join(catalog.select("movieId", "title"), "movieId").where(F.contains(F.lower("title"), text)).select("query", "movieId", "title")
