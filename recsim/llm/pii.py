@@ -29,8 +29,8 @@ KINDS = ("email", "ip", "card", "phone")
 NEAR, REACH = 5, 120
 LEAST = 3
 GENERALISE, REMOVE = 0.6, 0.9
-#: Terms up to which the candidates are sent to every executor (about 10 MB); beyond, the
-#: corpus is counted first and joined by term.  The counts are the same.
+#: Terms up to which the candidates are sent to every executor (about 10 MB) and the counts of others dropped before
+#: they are written; beyond, all counts are joined by term.  The counts are the same.
 BROADCAST_TERMS = 200_000
 
 # A match may start where its run of characters starts, or where the last match ended: any other
@@ -139,10 +139,11 @@ def disclosing_terms(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         found.select("row", "terms").join(evidence, "row").select("entity", "context", F.explode("terms").alias("term")).distinct()
         .groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= least).join(sizes, "entity"), "pairs")
     terms = pairs.select(F.col("term").alias("known")).distinct()
-    each = docs.select(F.explode(F.array_distinct(_terms(body))).alias("term"))
+    # counted before the join: its rows are terms, not their occurrences
+    counts = docs.select(F.explode(F.array_distinct(_terms(body))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     if pairs.count() <= BROADCAST_TERMS:
-        each = each.join(F.broadcast(terms), F.col("term") == F.col("known")).select("term")
-    counts = cut_lineage(each.groupBy("term").agg(F.count("*").alias("n_t")), "terms")
+        counts = counts.join(F.broadcast(terms), F.col("term") == F.col("known")).select("term", "n_t")
+    counts = cut_lineage(counts, "terms")
     size = float(docs.count())
     share = F.log2(F.col("n_ct") * size / (F.col("n_c") * F.col("n_t"))) / F.log2(size / F.col("n_c"))
     told = (pairs.join(counts, "term").where(F.col("n_c") < size).withColumn("share", share).where(F.col("share") >= generalise)

@@ -173,3 +173,13 @@ def test_query_equals_brute_force(spark):
 def test_no_python_in_the_plan(spark, name):
     plan = pii.find_pii(spark.read.parquet(f"{SF}/{name}.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_occurrences_of_terms_are_counted_before_the_join(spark, monkeypatch):
+    """The join with the candidate terms has one row per term, not one per document that holds it."""
+    plans = []
+    cut = pii.cut_lineage
+    monkeypatch.setattr(pii, "cut_lineage", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df, name))
+    assert ("remove", "zebulon") in disclosed(spark, corpus())[0]
+    plan = dict(plans)["terms"]
+    assert "known" in plan and plan.index("Join") < plan.index("Aggregate") < plan.index("Generate")
