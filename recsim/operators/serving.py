@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recsim.functions.exprs import rank_confidence
+from recsim.session import cut_lineage
+
+BASKET_ROWS = 100_000       # titles of the baskets of one task
+SMALL_CACHE = 200_000       # rows of a similarity cache that every task may hold
 
 
 def similarity_cache(neighbors: DataFrame, items: DataFrame) -> DataFrame:
@@ -86,10 +90,21 @@ def seed_recommendations(sim_cache: DataFrame, seeds, top_n: int = 5) -> DataFra
 
 def seed_recommendations_bulk(sim_cache: DataFrame, baskets: DataFrame, top_n: int = 5) -> DataFrame:
     """``seed_recommendations`` for many baskets (basket_id, title) in one job."""
-    b = baskets.select("basket_id", "title").distinct()
-    hits = sim_cache.join(b.withColumnRenamed("title", "title_i"), "title_i")
-    scores = hits.groupBy("basket_id", "movie_j", "title_j").agg(F.sum("cosine_similarity").alias("score"))
-    kept = scores.join(b.withColumnRenamed("title", "title_j"), ["basket_id", "title_j"], "left_anti")
+    b = cut_lineage(baskets.select("basket_id", "title").where("title is not null").distinct(), "baskets")
+    # a basket's own titles meet it like neighbours, so that one aggregate sums its hits and tells what to leave out
+    own = sim_cache.select("title_j").where("title_j is not null").distinct()
+    cache = cut_lineage(sim_cache.select("title_i", "movie_j", "title_j", "cosine_similarity", F.lit(False).alias("_own")).unionByName(
+        own.select(F.col("title_j").alias("title_i"), F.lit(None).alias("movie_j"), "title_j", F.lit(None).alias("cosine_similarity"), F.lit(True).alias("_own"))), "baskets-cache")
+    # dealt by basket before the sums: a task holds those of its own baskets, a bounded number of titles, at any size
+    tasks = max(1, -(-b.count() // BASKET_ROWS), b.sparkSession.sparkContext.defaultParallelism)
+    asked = b.withColumnRenamed("title", "title_i")
+    if cache.count() <= SMALL_CACHE:
+        hits = asked.repartition(tasks, "basket_id").join(F.broadcast(cache), "title_i")
+    else:
+        hits = asked.join(cache, "title_i").repartition(tasks, "basket_id")
+    scores = hits.groupBy("basket_id", "title_j", "_own", "movie_j").agg(F.sum("cosine_similarity").alias("score"))
+    asks = F.max("_own").over(Window.partitionBy("basket_id", "title_j"))
+    kept = scores.withColumn("_asked", asks & F.col("title_j").isNotNull()).where(~F.col("_asked") & ~F.col("_own"))
     # Scores are sums of floats: compare at 1e-9 so ties break by id, not by summation order.
     w = Window.partitionBy("basket_id").orderBy(F.round("score", 9).desc(), F.col("movie_j").asc())
     top = kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)

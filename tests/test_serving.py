@@ -40,6 +40,24 @@ def test_seed_bulk_equals_single(cache, spark):
         assert {(r.movie_j, round(r.score, 9)) for r in bulk if r.basket_id == bid} == single
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_baskets_are_dealt_before_their_sums(cache, spark, monkeypatch, small):
+    monkeypatch.setattr(I, "SMALL_CACHE", small)
+    monkeypatch.setattr(I, "BASKET_ROWS", 1)
+    baskets = spark.createDataFrame([(1, "Twin"), (1, "Twin"), (2, "Delta"), (2, "Gamma"), (None, "Twin"), (3, None), (4, "unknown")], "basket_id long, title string")
+    bulk = I.seed_recommendations_bulk(cache, baskets, 5)
+    plan = bulk._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [basket_id" in plan and "LeftAnti" not in plan
+    rows = bulk.collect()
+    assert {r.basket_id for r in rows} <= {1, 2, None}
+    for bid, seeds in [(1, ["Twin"]), (2, ["Delta", "Gamma"]), (None, ["Twin"])]:
+        hits, own = {}, set(seeds)
+        for r in cache.collect():
+            if r.title_i in own and r.title_j not in own:
+                hits[r.movie_j] = hits.get(r.movie_j, 0.0) + r.cosine_similarity
+        assert {r.movie_j: round(r.score, 9) for r in rows if r.basket_id == bid} == {j: round(x, 9) for j, x in hits.items()}
+
+
 def test_search_substring_not_pattern(cache):
     cat = I.item_catalog(cache)
     assert [r.title for r in I.search_items(cat, "%", 20).collect()] == ["50% off_Deal"]
