@@ -26,6 +26,7 @@ from recsim.session import cut_lineage, ship_by_value
 ship_by_value(__name__)
 
 USER_ROWS = 500_000          # rating rows of a user block; a user with more is scored relationally
+FOLD_ROWS = 250_000          # the same where test ratings are predicted by folds
 CANDIDATES = 4096            # candidates of a block
 _SLAB = 1 << 21              # entries of a dense sum
 _CHUNK = 1 << 20             # products added per numpy step
@@ -123,6 +124,90 @@ def blocked_scores(train: DataFrame, neighbors: DataFrame, top_n: int, min_neigh
     return scores, rest
 
 
+def _prediction_cell(default_rating: float):
+    def cell(ratings: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        users, u = np.unique(ratings["userId"].to_numpy(), return_inverse=True)
+        items, item = np.unique(ratings["movieId"].to_numpy(), return_inverse=True)
+        r, fold = ratings["rating"].to_numpy(dtype=np.float64), ratings["fold"].to_numpy(dtype=np.int64)
+        rated = u * len(items) + item
+        order = np.argsort(rated)
+        rated = rated[order]
+        # the edges of run c and item i one after another; those to an item that no user of the block has rated find nothing
+        if len(items):
+            place = np.minimum(np.searchsorted(items, edges["movie_j"].to_numpy()), len(items) - 1)
+            edges = edges[items[place] == edges["movie_j"].to_numpy()]
+        run, of, to = (edges[c].to_numpy() for c in ("cv", "movie_i", "movie_j"))
+        at_i = np.searchsorted(items, of)
+        known = at_i < len(items)
+        known[known] = items[at_i[known]] == of[known]
+        group = (run.astype(np.int64) * len(items) + at_i)[known]
+        by_group = np.argsort(group, kind="stable")
+        group = group[by_group]
+        to, cos = np.searchsorted(items, to[known])[by_group], edges["cosine_similarity"].to_numpy()[known][by_group]
+        test = np.flatnonzero(ratings["_test"].to_numpy(dtype=bool))
+        asked = fold[test] * len(items) + item[test]
+        first = np.searchsorted(group, asked)
+        many = np.searchsorted(group, asked, "right") - first
+        num, den, cnt = (np.zeros(len(test)) for _ in range(3))
+        total = np.cumsum(many)
+        i = 0
+        while i < len(test):
+            base = total[i - 1] if i else 0
+            e = max(int(np.searchsorted(total, base + _CHUNK // 2, "right")), i + 1)
+            row = np.repeat(np.arange(i, e), many[i:e])
+            at = first[row] + np.arange(len(row)) - (total - many)[row] + base
+            key = u[test[row]] * len(items) + to[at]
+            found = np.minimum(np.searchsorted(rated, key), len(rated) - 1)
+            has = rated[found] == key
+            row, at, found = row[has], at[has], order[found[has]]
+            other = fold[found] != fold[test[row]]
+            row, at, found = row[other] - i, at[other], found[other]
+            num[i:e] = np.bincount(row, weights=cos[at] * r[found], minlength=e - i)
+            den[i:e] = np.bincount(row, weights=cos[at], minlength=e - i)
+            cnt[i:e] = np.bincount(row, minlength=e - i)
+            i = e
+        none = (cnt == 0) | (den == 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            predicted = np.where(none, default_rating, num / den)
+        return pd.DataFrame({"cv": fold[test].astype(np.int32), "userId": users[u[test]], "movieId": items[item[test]], "true_rating": r[test],
+                             "predicted_rating": predicted, "is_fallback": none, "num_neighbors": cnt.astype(np.int64)})
+
+    return cell
+
+
+def blocked_fold_predictions(rated: DataFrame, neighbors: DataFrame, default_rating: float, *, user_rows: int = FOLD_ROWS,
+                             candidates: int = CANDIDATES) -> tuple[DataFrame, DataFrame]:
+    """(predictions, rest): the prediction of every rating marked ``_test`` by the neighbours of its own run and the user's ratings of other folds.
+
+    ``rated`` has userId, movieId, rating, fold and _test, one row per user and item; ``neighbors`` cv, movie_i, movie_j, cosine_similarity.
+    Ratings meet the neighbour lists in cells, so no (rating, neighbour) row is shuffled.  ``rest`` has the tests that no cell takes:
+    those of a user with more than ``user_rows`` ratings, and those with a null item or rating.
+    """
+    spark = rated.sparkSession
+    plain = F.col("userId").isNotNull() & F.col("movieId").isNotNull() & F.col("rating").isNotNull()
+    degrees = cut_lineage(rated.groupBy("userId").agg(F.count(F.lit(1)).alias("_d")), "user-degrees")
+    rows, heavy = degrees.agg(F.coalesce(F.sum(F.when(F.col("_d") <= user_rows, F.col("_d"))), F.lit(0)),
+                              F.count_if(F.col("_d") > user_rows)).first()
+    items = neighbors.agg(F.count_distinct("movie_i")).first()[0]
+    u_blocks = max(-(-rows // user_rows), min(2 * spark.sparkContext.defaultParallelism, -(-rows // 1000)), 1)
+    c_blocks = max(1, -(-items // candidates))
+    fits, rest = rated.where(plain), rated.where(F.col("_test") & ~plain)
+    if heavy:
+        large = degrees.where(F.col("_d") > user_rows).select("userId")
+        rest = rest.unionByName(fits.where("_test").join(large, "userId", "left_semi"))
+        fits = fits.join(large, "userId", "left_anti")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = (fits.select("userId", "movieId", F.col("rating").cast("double").alias("rating"), "fold", "_test", block("userId", u_blocks).alias("_ub"), each(c_blocks).alias("_cb"))
+            .withColumn("_test", F.col("_test") & (F.col("_cb") == block("movieId", c_blocks))))
+    right = neighbors.select("cv", "movie_i", "movie_j", "cosine_similarity", each(u_blocks).alias("_ub"), block("movie_i", c_blocks).alias("_cb"))
+    schema = T.StructType([T.StructField("cv", T.IntegerType()), T.StructField("userId", rated.schema["userId"].dataType),
+                           T.StructField("movieId", rated.schema["movieId"].dataType), T.StructField("true_rating", T.DoubleType()),
+                           T.StructField("predicted_rating", T.DoubleType()), T.StructField("is_fallback", T.BooleanType()), T.StructField("num_neighbors", T.LongType())])
+    found = left.groupBy("_ub", "_cb").cogroup(right.groupBy("_ub", "_cb")).applyInPandas(_prediction_cell(float(default_rating)), schema)
+    return found, rest
+
+
 def relational_scores(train: DataFrame, neighbors: DataFrame, min_neighbors: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """(userId, movie_i, score, num_neighbors) of every unseen candidate, by joins."""
     by = list(by)

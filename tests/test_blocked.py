@@ -113,6 +113,31 @@ def test_cross_validation_equals_runs_of_their_own(mk):
     assert mean.first().folds == 4
 
 
+@pytest.mark.parametrize("user_rows, candidates", [(10_000, 4096), (40, 3), (9, 4096)])
+def test_fold_predictions_equal_the_joins(spark, user_rows, candidates):
+    from pyspark.sql import functions as F
+    rows = [(*r, i % 3 + 1) for i, r in enumerate(random_ratings(25, 15, 0.5, 4))] + [(1, None, 2.0, 1), (2, 90, None, 2), (99, 3, 5.0, 1)]
+    folded = spark.createDataFrame(rows, "userId long, movieId long, rating double, fold int")
+    rng = np.random.default_rng(5)
+    edges = [(c, i, j, float(rng.choice([0.0, 0.3, 0.9]))) for c in (1, 2, 3) for i in range(16) for j in rng.choice(16, 4, replace=False).tolist() if i != j]
+    near = spark.createDataFrame(edges, "cv int, movie_i long, movie_j long, cosine_similarity double")
+    rated = folded.withColumn("_test", F.col("userId") != 99)
+    found, rest = S.blocked_fold_predictions(rated, near, 3.0, user_rows=user_rows, candidates=candidates)
+    test = rated.where("_test").select("userId", "movieId", "rating", F.col("fold").alias("cv"))
+    left = G.final_predictions(rest.select(*test.columns[:3], F.col("fold").alias("cv")), near, folded, 3.0, ["cv"], fold="fold")
+    key = lambda df: sorted(((r.cv, r.userId, r.movieId, r.true_rating, round(r.predicted_rating, 9), r.is_fallback, r.num_neighbors) for r in df.collect()), key=str)
+    want = key(G.final_predictions(test, near, folded, 3.0, ["cv"], fold="fold"))
+    assert key(found.unionByName(left)) == want and any(not w[5] for w in want)
+    none = S.blocked_fold_predictions(rated, near.limit(0), 3.0, user_rows=10_000)[0]
+    assert none.where("is_fallback").count() == rated.where("_test and movieId is not null and rating is not null").count()
+
+
+def test_cross_validation_joins_no_rating_with_its_neighbours(mk):
+    per_fold, _ = P.cross_validate(mk(random_ratings(20, 12, 0.5, 6)), 3, Params(threshold=1.3, top_k=5, min_ratings=2))
+    plan = per_fold._jdf.queryExecution().optimizedPlan().toString()
+    assert "_prediction_cell" in plan or plan.count("FlatMapCoGroupsInPandas") == 1
+
+
 def test_the_shuffle_of_ratings_does_not_depend_on_k(mk, spark):
     rows = random_ratings(30, 20, 0.4, 3)
     sizes = []
