@@ -27,7 +27,7 @@ def fold_products(ua, ia, va, fa, ub, ib, vb, fb, n_users, na, nb, k):
 
     Ratings are (user, column, value, fold 0..k-1).  Small dense operands multiply once per run by BLAS; else the users' products are
     expanded once, and each is added to the total and to what touches its folds."""
-    step = max(1, K._DENSE_ACC // max(1, na * (k + 1)))
+    step = max(1, 4 * K._DENSE_ACC // max(1, na * (k + 1)))
     expanded = float(np.dot(np.bincount(ua, minlength=n_users).astype(np.float64), np.bincount(ub, minlength=n_users)))
     dense = n_users * max(na, nb) <= K._DENSE_MAX // 4 and k * float(n_users) * na * nb < 64.0 * expanded
     if dense:
@@ -55,7 +55,7 @@ def fold_products(ua, ia, va, fa, ub, ib, vb, fb, n_users, na, nb, k):
         start = 0
         while start < len(ua):
             base = cum[start - 1] if start else 0
-            end = max(int(np.searchsorted(cum, base + K._CHUNK, side="right")), start + 1)
+            end = max(int(np.searchsorted(cum, base + 4 * K._CHUNK, side="right")), start + 1)
             r = rep[start:end]
             if r.sum():
                 a = np.repeat(np.arange(start, end), r)
