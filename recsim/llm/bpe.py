@@ -7,8 +7,9 @@ distinct word of the corpus once:
    documents, as numbers of words, to a task of the block's own.
 2. A bucket collects the distinct words of all blocks.  Their encoding is a fold in Spark's
    higher-order functions over the word's bytes: each step merges the adjacent pair of lowest rank,
-   with the ranks in a literal map: two literal arrays, with a perfect hash of the pair as the place.
-   Decoding folds ids into one binary by concatenating pieces from a literal array.
+   with the ranks in two arrays, with a perfect hash of the pair as the place.  Decoding folds ids into one
+   binary by concatenating pieces from an array.  A broadcast row holds the arrays, once per executor: as literals
+   every task would unpack them anew, at each place that reads them.
 3. Each block gets the ids and decoded bytes of its words back and puts its documents together.
 
 A word that stands in every block costs a bucket one entry per block.  Everything is packed and compressed;
@@ -33,6 +34,8 @@ from recsim.llm.common import fan_out, ship, spark_xxhash64
 
 #: Characters of the documents of one block; a longer document is a block of its own.
 BLOCK = 8 << 20
+#: Texts of a batch that are unpacked at a time.
+TEXTS = 64
 #: Ids lie below this; (left * LEFT + right) * LEFT + joined is an entry of the rank map.
 LEFT = 1 << 20
 
@@ -77,27 +80,42 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def piece_list(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The piece of every id."""
+    pieces: list = [None] * (max(ranks.values(), default=-1) + 1)
+    for p, i in ranks.items():
+        pieces[i] = p
+    return pieces
+
+
+def joined(ids: Column, pieces: Column) -> Column:
+    """The pieces of the ids in one binary."""
+    return F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, F.get(pieces, i.cast("int"))))
+
+
 class Vocabulary:
-    """The literals that the folds read; the ids of pieces are their ranks."""
+    """The arrays that the folds read; the ids of pieces are their ranks.  ``encode`` and ``decode`` read the columns of
+    ``table``, so they need a row joined with it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         pairs = merge_pairs(ranks)
         if any(i >= LEFT for i in ranks.values()):
             raise ValueError(f"ids must lie below {LEFT}")
-        shifts, entries = perfect_table(np.array([a * LEFT + b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int64))
-        self.n_shifts, self.n_entries = len(shifts), len(entries)
-        self.shifts, self.entries = (F.from_json(F.lit(json.dumps(t.tolist())), "array<bigint>") for t in (shifts, entries))
-        pieces: list = [None] * (max(ranks.values(), default=-1) + 1)
-        for p, i in ranks.items():
-            pieces[i] = base64.b64encode(p).decode()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<binary>")
+        self.shifts, self.entries = perfect_table(np.array([a * LEFT + b for a, b in pairs], np.int64), np.array(list(pairs.values()), np.int64))
+        self.pieces = piece_list(ranks)
         self.bytes = F.from_json(F.lit(json.dumps([ranks.get(bytes([b]), -1) for b in range(256)])), "array<bigint>")
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row with the arrays: _shifts, _entries and _pieces."""
+        return F.broadcast(spark.createDataFrame(pa.table(
+            {"_shifts": pa.array([self.shifts], pa.list_(pa.int64())), "_entries": pa.array([self.entries], pa.list_(pa.int64())),
+             "_pieces": pa.array([self.pieces], pa.list_(pa.binary()))})))
+
     def merged(self, a: Column, b: Column) -> Column:
         """Id of the piece that two ids join to, null if there is none."""
         def look(key: Column) -> Column:
-            shift = F.get(self.shifts, F.pmod(F.xxhash64(key), F.lit(self.n_shifts)).cast("int"))
-            entry = F.get(self.entries, F.pmod(F.xxhash64(key, shift), F.lit(self.n_entries)).cast("int"))
+            shift = F.get("_shifts", F.pmod(F.xxhash64(key), F.lit(len(self.shifts))).cast("int"))
+            entry = F.get("_entries", F.pmod(F.xxhash64(key, shift), F.lit(len(self.entries))).cast("int"))
             return let(entry, lambda e: F.when(F.shiftright(e, 20) == key, e.bitwiseAND(F.lit(LEFT - 1).cast("long"))))
 
         return let(a * LEFT + b, look)
@@ -132,7 +150,7 @@ class Vocabulary:
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for; ids without a piece give null."""
-        return F.aggregate(ids, F.lit(b""), lambda acc, i: F.concat(acc, F.get(self.pieces, i.cast("int"))))
+        return joined(ids, F.col("_pieces"))
 
 
 PACKED = "dest long, block long, sizes binary, data binary, doc_ids array<bigint>, counts binary"
@@ -145,7 +163,7 @@ SENT = "dest long, bucket long, id_sizes binary, ids binary, sizes binary, bytes
 SENT_TYPES = pa.schema([("dest", pa.int64()), ("bucket", pa.int64())] + [(c, pa.binary()) for c in ("id_sizes", "ids", "sizes", "bytes")])
 
 
-def squeeze(data: bytes) -> bytes:
+def squeeze(data: bytes | np.ndarray) -> bytes:
     return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
@@ -155,7 +173,7 @@ def unsqueeze(data: bytes) -> bytes:
 
 def squeeze_numbers(numbers: np.ndarray) -> bytes:
     """Numbers from 0 to 2**31 - 1, low bytes first: they compress better apart."""
-    return squeeze(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    return squeeze(np.ascontiguousarray(numbers.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T).reshape(-1))
 
 
 def unsqueeze_numbers(data: bytes) -> np.ndarray:
@@ -177,12 +195,8 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [r.id for r in rows]
 
 
-def word_blocks(docs: DataFrame, pattern: str, text: str, doc_id: str, block: int = BLOCK, buckets: list[int] | None = None) -> DataFrame:
-    """Blocks of documents, packed.  One row per block and bucket: dest (the bucket), block, and the block's
-    distinct words of the bucket (sizes, bytes).  One row per block: dest (the block, negative), the bucket's place of
-    each word (sizes), the documents as numbers of words (data), their ids and word counts."""
-    buckets = buckets or [0]
-
+def _collector(pattern: str, block: int, buckets: list[int]):
+    """The task that packs blocks of documents."""
     def collect(batches):
         import regex
         find = regex.compile(pattern).findall
@@ -197,9 +211,10 @@ def word_blocks(docs: DataFrame, pattern: str, text: str, doc_id: str, block: in
             place = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % len(buckets)
             counts = np.array([len(c) for c in codes], np.int64).tobytes()
             flat = np.concatenate(codes)
+            codes.clear()
             # a block that a task run again fills otherwise has another name
             told = hashlib.blake2b(b"%d,%d," % (task, done), digest_size=8)
-            for part in (counts, flat.tobytes(), *words):
+            for part in (counts, flat, *words):
                 told.update(part)
             name = -1 - (int.from_bytes(told.digest(), "little") >> 1)
             rows: list[list] = [[name], [None], [squeeze_numbers(place)], [squeeze_numbers(flat)], [ids], [counts]]
@@ -214,7 +229,8 @@ def word_blocks(docs: DataFrame, pattern: str, text: str, doc_id: str, block: in
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, PACKED_TYPES.types)], schema=PACKED_TYPES)
 
         for batch in batches:
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, body in (row for at in range(0, batch.num_rows, TEXTS)
+                              for row in zip(*(c.to_pylist() for c in batch.slice(at, TEXTS).columns))):
                 if ids and size + len(body or "") > block:
                     yield flush()
                     number.clear()
@@ -226,7 +242,14 @@ def word_blocks(docs: DataFrame, pattern: str, text: str, doc_id: str, block: in
         if ids:
             yield flush()
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(collect, PACKED)
+    return collect
+
+
+def word_blocks(docs: DataFrame, pattern: str, text: str, doc_id: str, block: int = BLOCK, buckets: list[int] | None = None) -> DataFrame:
+    """Blocks of documents, packed.  One row per block and bucket: dest (the bucket), block, and the block's
+    distinct words of the bucket (sizes, bytes).  One row per block: dest (the block, negative), the bucket's place of
+    each word (sizes), the documents as numbers of words (data), their ids and word counts."""
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_collector(pattern, block, buckets or [0]), PACKED)
 
 
 def _gather(rows: pa.Table) -> pa.Table:
@@ -269,6 +292,19 @@ def _send(batches):
                       "bytes": squeeze(pick(data, ends[:-1].astype(np.int64), sizes, which).tobytes())}], schema=SENT_TYPES)
 
 
+def _answers(told: pa.Table, place: dict[int, int]) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """The words of a block by bucket: the number of ids of each, its decimal ids joined by commas and its bytes.
+    The numbers of one bucket are unpacked at a time."""
+    counts, shown, raw = [np.zeros(0, np.int32)], [], []
+    for r in sorted(told.to_pylist(), key=lambda r: place[r["bucket"]]):
+        counts.append(unsqueeze_numbers(r["id_sizes"]))
+        ends, flat = np.cumsum(counts[-1]).tolist(), list(map(str, unsqueeze_numbers(r["ids"]).tolist()))
+        shown += [",".join(flat[a:b]).encode() for a, b in zip([0] + ends, ends)]
+        ends, data = np.cumsum(unsqueeze_numbers(r["sizes"])).tolist(), unsqueeze(r["bytes"])
+        raw += [data[a:b] for a, b in zip([0] + ends, ends)]
+    return np.concatenate(counts), shown, raw
+
+
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", doc_id: str = "doc_id",
                      ids: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas),
@@ -284,9 +320,9 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
     place = {b: k for k, b in enumerate(buckets)}
     packed = word_blocks(docs, pattern, text, doc_id, buckets=buckets).repartition(n, "dest")
     words = packed.groupBy("dest").applyInArrow(_gather, GATHERED)
-    encoded = words.withColumn("word_ids", F.transform("words", vocabulary.encode)).drop("words")
+    encoded = words.crossJoin(vocabulary.table(docs.sparkSession)).withColumn("word_ids", F.transform("words", vocabulary.encode)).drop("words")
     decoded = encoded.withColumn("word_bytes", F.transform("word_ids", vocabulary.decode))
-    sent = decoded.mapInArrow(_send, SENT)
+    sent = decoded.select("bucket", "blocks", "numbers", "word_ids", "word_bytes").mapInArrow(_send, SENT)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:5 if ids else 4]
     types = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())))))
 
@@ -295,17 +331,11 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
             if not rows.num_rows and told.num_rows:
                 raise RuntimeError("a block changed when its task ran again; write the documents to a table first")
             return types.empty_table()
-        answers = sorted(told.to_pylist(), key=lambda r: place[r["bucket"]])
-        join = lambda c: np.concatenate([unsqueeze_numbers(r[c]) for r in answers] or [np.zeros(0, np.int32)])
-        id_sizes, flat, ends = join("id_sizes"), join("ids").astype(str).tolist(), np.cumsum(join("sizes")).tolist()
-        number = np.cumsum(id_sizes)
-        data = b"".join([unsqueeze(r["bytes"]) for r in answers])
-        raw = [data[a:b] for a, b in zip([0] + ends, ends)]
-        shown = [",".join(flat[a:b]).encode() for a, b in zip((number - id_sizes).tolist(), number.tolist())]
+        id_sizes, shown, raw = _answers(told, place)
         homes = unsqueeze_numbers(rows.column("sizes")[0].as_py())
         if len(homes) != len(raw):
             raise RuntimeError("a block changed when its task ran again; write the documents to a table first")
-        at = np.empty(len(homes), np.int64)                 # answers come by bucket, then by number
+        at = np.empty(len(homes), np.int32)                 # answers come by bucket, then by number
         at[np.argsort(homes, kind="stable")] = np.arange(len(homes))
         codes = at[unsqueeze_numbers(rows.column("data")[0].as_py())]
         out: list[list] = [[] for _ in names]
@@ -327,4 +357,5 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
 
 def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` plus ``out``: the binary that the array column ``ids`` stands for (null for a null array)."""
-    return df.withColumn(out, Vocabulary(ranks).decode(F.col(ids)))
+    pieces = [p if p is None else base64.b64encode(p).decode() for p in piece_list(ranks)]
+    return df.withColumn(out, joined(F.col(ids), F.from_json(F.lit(json.dumps(pieces)), "array<binary>")))

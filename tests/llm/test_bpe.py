@@ -1,7 +1,9 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -103,3 +105,58 @@ def test_query_equals_tiktoken(spark, encoding):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: tuple(r)[1:4] for r in QUERIES["op1_byte_level_bpe"](spark, SF).collect()}
     assert got == {i: expected(encoding, t) for i, t in docs.items()}
+
+
+def test_tasks_carry_no_tables(spark, ranks):
+    """The arrays of the vocabulary come in a broadcast row; as literals every task would unpack several copies."""
+    df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    plan = bpe.encode_documents(df, ranks, PATTERN)._jdf.queryExecution()
+    assert "BroadcastNestedLoopJoin" in plan.executedPlan().toString()
+    assert plan.analyzed().toString().count("from_json") < 2      # the ids of the 256 bytes
+    fold = [x for x in plan.optimizedPlan().toString().split("\n") if "xxhash64" in x]
+    assert fold and all("_shifts" in x and "_entries" in x for x in fold)
+
+
+def peak(run):
+    tracemalloc.start()
+    out = run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+class Context:
+    """Stands in for a task's context."""
+
+    @staticmethod
+    def get():
+        return Context
+
+    @staticmethod
+    def partitionId():
+        return 0
+
+
+def test_a_batch_is_unpacked_by_pieces(monkeypatch):
+    monkeypatch.setattr(bpe, "TaskContext", Context)
+    text = "\u0436" + "the same few words again " * 400           # two bytes a character
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [f"{text}{k}" for k in range(1000)]})
+    collect = bpe._collector(PATTERN, 1 << 20, [0, 1])
+    n, most = peak(lambda: sum(sum(x is not None for x in b.column("doc_ids").to_pylist()) for b in collect(iter([batch]))))
+    assert n >= 10 and most < 12 << 20                              # all texts at once: 23 MB
+
+
+def test_the_ids_of_one_bucket_are_unpacked_at_a_time():
+    rng = np.random.default_rng(0)
+    sizes = [rng.integers(0, 9, 2000) for _ in range(100)]
+    ids = [rng.integers(0, 50000, x.sum()) for x in sizes]
+    raw = [[bytes(rng.integers(0, 256, n, np.uint8)) for n in x] for x in sizes]
+    rows = [{"dest": -1, "bucket": 7 * k, "id_sizes": bpe.squeeze_numbers(a), "ids": bpe.squeeze_numbers(b), "sizes": bpe.squeeze_numbers(a),
+             "bytes": bpe.squeeze(b"".join(c))} for k, (a, b, c) in enumerate(zip(sizes, ids, raw))]
+    told = pa.Table.from_pylist(rows[::-1], schema=bpe.SENT_TYPES)
+    (counts, shown, got), most = peak(lambda: bpe._answers(told, {7 * k: k for k in range(100)}))
+    assert counts.tolist() == np.concatenate(sizes).tolist() and got == sum(raw, [])
+    assert b",".join(x for x in shown if x) == ",".join(map(str, np.concatenate(ids).tolist())).encode()
+    assert most < 40 << 20                                          # the texts of all ids at once: 87 MB
+    none, shown, got = bpe._answers(told.slice(0, 0), {})
+    assert len(none) == len(shown) == len(got) == 0
