@@ -96,10 +96,10 @@ def prefix_cosine_join(ratings: DataFrame, min_cosine: float, list_block: int =
     sizes = items.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
     per_user = cut_lineage(entries.groupBy("userId").agg(F.count(F.lit(1)).alias("_d"), F.count_if("in_prefix").alias("_p")), "lists")
     every, paired = per_user.agg(F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0)), F.coalesce(F.sum(F.col("_p") * F.col("_p")), F.lit(0))).first()
-    blocks = H.blocks_for(entries, sizes[0], sizes[1], 1, MOST_RATINGS, paired, H.CELL_PRODUCTS // 4) if every <= LIKE * paired else None
+    layout = H.blocks_for(entries, sizes[0], sizes[1], 1, MOST_RATINGS, paired, H.CELL_PRODUCTS // 4) if every <= LIKE * paired else None
     lists = _lists(per_user)
-    if blocks:
-        return _joined_in_cells(entries, items, lists, min_cosine, blocks)
+    if layout:
+        return _joined_in_cells(entries, items, lists, min_cosine, layout.blocks)
     candidates = cut_lineage(index_products(index, list_block), "candidates")
     known = candidates.join(side("i"), "movie_i").join(side("j"), "movie_j")
     root = lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))

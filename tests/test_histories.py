@@ -1,5 +1,7 @@
 """Products from users' histories: the same results as the cells of two blocks, and what is sent."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -89,3 +91,71 @@ def test_prefix_join_in_cells_equals_the_joins(mk, monkeypatch, seed, density, t
         assert ("prefix-pairs" in "".join(got.pairs.inputFiles())) == (least == 0)
         found[least] = _rows(got.pairs), got.work.first()
     assert found[0] == found[1 << 60]
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_the_shuffle_files_of_a_write_go_with_it(spark, mk):
+    from recsim.session import cut_lineage
+    flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = _shuffle_files(spark), spark.conf.get(flag, None)
+    df = mk(random_ratings(30, 20, 0.5, 1)).repartition(7).groupBy("movieId").sum("rating")
+    kept = cut_lineage(df, "sums")
+    end = time.monotonic() + 20
+    while (left := _shuffle_files(spark) - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(flag, None) == was
+    assert kept.count() == 20 and df.count() == 20
+
+
+@pytest.fixture
+def many_turns(sparse, monkeypatch):
+    monkeypatch.setattr(H, "LEAST_TURN", 1)
+    monkeypatch.setattr(H, "TURN", 6)
+    monkeypatch.setattr(H, "STORED", 20)
+
+
+def test_turns_bound_what_is_sent(mk, many_turns):
+    """Users of 40 ratings, 300 blocks: the turns send every block's histories once, and none sends more than a share of them."""
+    rows = [(u, (u * 13 + k * 7) % 300, 1.0 + (u + k) % 4) for u in range(60) for k in range(40)]
+    blocks, half = 300, False
+    df = mk(rows)
+    layout = H.blocks_for(df, 300, 60, blocks, 1000, 1 << 30)
+    turns = layout.turns(1, half)
+    assert (layout.blocks, layout.ratings, layout.sent) == (blocks, len(rows), 40 * len(rows)) and turns == 20
+
+    def ratings(sent):
+        got = {}
+        for r in sent.collect():
+            size, items, (value,) = H._flat([H._unpacked(r.body)])
+            at = np.r_[0, np.cumsum(size)]
+            got.setdefault(r.cell, []).extend(tuple(zip(items[a:b].tolist(), value[a:b].tolist())) for a, b in zip(at[:-1], at[1:]))
+        return {cell: sorted(h) for cell, h in got.items()}
+
+    whole, stored, merged = ratings(H.history_cells(df, ["rating"], blocks, half)), H.stored_histories(df, ["rating"]), {}
+    assert stored.count() > 20
+    for turn in range(turns):
+        part = ratings(H.turn_cells(stored, blocks, half, turn, turns))
+        assert sum(len(x) for h in part.values() for x in h) <= 2 * layout.sent / turns and not part.keys() & merged.keys()
+        merged |= part
+    assert merged == whole
+
+
+def test_turns_do_not_show(spark, mk, many_turns, monkeypatch):
+    from recsim.operators import prefix_join as X
+    monkeypatch.setattr(X, "LIKE", 10 ** 6)
+    rng = np.random.default_rng(5)
+    rows = random_ratings(60, 40, 0.15, 5) + [(None, i, float(rng.normal())) for i in range(0, 12)] + [(7000, 5, 0.0)] + [(u, (1 << 60) + u % 5, 2.5) for u in range(60)]
+    df = mk(rows).repartition(5)
+    at = dict(item_block=4, side_rows=100)
+    got = {}
+    for least in (1, 1 << 60):
+        monkeypatch.setattr(H, "LEAST_TURN", least)
+        found = [E.exact_cosine_pairs(df, **at), E.exact_cosine_pairs(df, min_cosine=0.3, **at), E.exact_topk_neighbors(df, 3, keep_rank=True, **at)]
+        assert all(("history-pairs" in "".join(x.inputFiles())) == (least == 1) for x in found)
+        join = X.prefix_cosine_join(df, 0.3)
+        got[least] = [*map(_rows, found), _rows(join.pairs), join.work.first()]
+    assert got[1] == got[1 << 60] and all(len(x) for x in got[1])
