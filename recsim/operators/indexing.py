@@ -58,7 +58,7 @@ def dense_index(df: DataFrame, order_cols: Sequence[str], index_col: str = "pos"
     return (out, acc) if with_total else out
 
 
-def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], amounts: dict[str, Column]) -> DataFrame:
+def running_total(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str | Column], amounts: dict[str, Column]) -> DataFrame:
     """``df`` with, per entry of ``amounts``, its total over the rows of equal ``keys`` that come earlier in the order (bucket, ``order``).
 
     ``bucket`` cuts a key's rows into ranges of the order: totals per range run on over the ranges, and a window runs only inside

@@ -56,9 +56,9 @@ def prefix_entries(ratings: DataFrame, min_cosine: float) -> DataFrame:
     users = ratings.groupBy("userId").agg(F.length(F.bin(F.count(F.lit(1)))).alias("_level"))
     square = F.col("rating") * F.col("rating")
     stats = ratings.groupBy("movieId").agg(F.count(F.lit(1)).alias("n"), F.sum(square).alias("norm2"))
-    placed = (ratings.join(users, "userId").withColumn("_key", F.md5(F.col("userId").cast("string")))
-              .withColumn("_range", F.col("_level") * 256 + F.conv(F.substring("_key", 1, 2), 16, 10).cast("int")).drop("_level"))
-    done = running_total(cut_lineage(placed, "user-order"), ["movieId"], "_range", ["_key", "userId"], {"_before": square})
+    key = F.md5(F.col("userId").cast("string"))         # made where it is needed: no key is written or shuffled with a rating
+    placed = ratings.join(users, "userId").withColumn("_range", F.col("_level") * 256 + F.conv(F.substring(key, 1, 2), 16, 10).cast("int")).drop("_level")
+    done = running_total(cut_lineage(placed, "user-order"), ["movieId"], "_range", [key, "userId"], {"_before": square})
     left = F.col("norm2") - F.col("_before")
     return done.join(stats, "movieId").select("movieId", "userId", "rating", (left - square).alias("rest"), "norm2", "n",
                                               (left >= F.lit(min_cosine * min_cosine - _SLACK) * F.col("norm2")).alias("in_prefix"))
@@ -99,7 +99,7 @@ def prefix_cosine_join(ratings: DataFrame, min_cosine: float, list_block: int =
     layout = H.blocks_for(entries, sizes[0], sizes[1], 1, MOST_RATINGS, paired, H.CELL_PRODUCTS // 4) if every <= LIKE * paired else None
     lists = _lists(per_user)
     if layout:
-        return _joined_in_cells(entries, items, lists, min_cosine, layout.blocks)
+        return _joined_in_cells(entries, items, lists, min_cosine, layout)
     candidates = cut_lineage(index_products(index, list_block), "candidates")
     known = candidates.join(side("i"), "movie_i").join(side("j"), "movie_j")
     root = lambda c: F.sqrt(F.greatest(c, F.lit(0.0)))
@@ -194,11 +194,11 @@ def _cell(min_cosine: float, blocks: int):
     return cell
 
 
-def _joined_in_cells(entries: DataFrame, items: DataFrame, lists: DataFrame, min_cosine: float, blocks: int) -> PrefixJoin:
+def _joined_in_cells(entries: DataFrame, items: DataFrame, lists: DataFrame, min_cosine: float, layout: H.Layout) -> PrefixJoin:
     """The join from users' histories: a cell sums the products over the index, drops the pairs whose bound stays below the
     threshold, and completes the others, so neither candidates nor open pairs are shuffled."""
     full = entries.join(items.select("movieId", "tail", "over"), "movieId").withColumn("in_prefix", F.col("in_prefix").cast("int"))
-    found = cut_lineage(H.history_cells(full, _COLUMNS, blocks, True).groupBy("cell").applyInPandas(
-        _cell(min_cosine, blocks), "movie_i long, movie_j long, cosine_similarity double, candidates long, completed long, products long"), "prefix-pairs")
+    found = H.by_cells(full, _COLUMNS, layout, True, _cell(min_cosine, layout.blocks),
+                       "movie_i long, movie_j long, cosine_similarity double, candidates long, completed long, products long", "prefix-pairs", write=True)
     total = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("candidates", "candidates"), ("completed", "completed"), ("products", "_more"))])
     return PrefixJoin(found.where("movie_i is not null").select("movie_i", "movie_j", "cosine_similarity"), _work(lists, total))

@@ -49,3 +49,14 @@ def test_one_users_single_ratings_all_pair(mk):
     rows = [(9, i, 4.0) for i in range(30)]                     # every pair has cosine 1: the one hot list is the answer
     got, _ = joined(mk(rows), 0.9, list_block=5)
     assert len(got) == 30 * 29 // 2 and all(c == 1.0 for c in got.values())
+
+
+def test_the_order_of_users_travels_without_keys(mk, monkeypatch):
+    """Only numbers go with a rating: the md5 that orders the users is made inside the task that needs it."""
+    written = {}
+    cut = X.cut_lineage
+    monkeypatch.setattr(X, "cut_lineage", lambda df, name: written.setdefault(name, cut(df, name)))
+    entries = X.prefix_entries(mk(random_ratings(40, 25, 0.3, 2)), 0.3)
+    assert dict(written["user-order"].dtypes) == {"userId": "bigint", "movieId": "bigint", "rating": "double", "_range": "int"}
+    plan = entries._jdf.queryExecution().executedPlan().toString()
+    assert "md5" in plan and entries.count() == written["user-order"].count()
